@@ -54,6 +54,35 @@ def group(hit: Column, pattern: str, n: int = 1) -> Column:
     return unnumbered(F.regexp_extract(hit, pattern, n))
 
 
+def running_offsets(lengths: Column, block: int = 256) -> Column:
+    """Start offset of each element: the sum of the lengths before it.
+
+    A plain fold copies its result at every step; folding blocks first keeps long rows cheap.
+    """
+    zero = F.lit(0)
+    empty = F.array().cast("array<int>")
+    count = F.size(lengths)
+
+    def starts(part: Column) -> Column:
+        state = F.struct(zero.alias("at"), empty.alias("out"))
+        return F.aggregate(
+            part,
+            state,
+            lambda st, x: F.struct((st["at"] + x).alias("at"), F.array_append(st["out"], st["at"]).alias("out")),
+            lambda st: st["out"],
+        )
+
+    last = F.floor((count - 1) / F.lit(block)).cast("int")
+    parts = F.transform(
+        F.sequence(zero, last), lambda b: F.slice(lengths, b * F.lit(block) + 1, F.lit(block))
+    )
+    sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
+    placed = F.zip_with(
+        F.transform(parts, starts), starts(sums), lambda inner, base: F.transform(inner, lambda x: x + base)
+    )
+    return F.when(count <= 0, empty).otherwise(F.flatten(placed))
+
+
 def or_null(text: Column) -> Column:
     return F.when(text != "", text)
 

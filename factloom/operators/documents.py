@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import running_offsets
 from factloom.plans.prefixes import dotted_prefixes
 
 # Requirement keywords, strongest first.
@@ -230,23 +231,19 @@ def _requirement_sentences(text: Column) -> Column:
     whole = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
     found = "MUST NOT|MUST|SHALL NOT|SHALL|SHOULD NOT|SHOULD|MAY|REQUIRED|RECOMMENDED|OPTIONAL"
     word = rf"(?s)^.*?\b({found})\b"
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<text:string,level:string,offset:int>>").alias("rows"),
+    placed = F.zip_with(
+        whole,
+        running_offsets(F.transform(whole, lambda p: F.length(p) + 1)),
+        lambda p, at: F.struct(
+            F.concat(_strip(p), F.lit(".")).alias("text"),
+            F.regexp_extract(p, word, 1).alias("word"),
+            at.alias("offset"),
+        ),
+    )
+    return F.transform(
+        F.filter(placed, lambda r: r["word"] != ""),
+        lambda r: F.struct(r["text"].alias("text"), _normal_level(r["word"]).alias("level"), r["offset"].alias("offset")),
     )
-
-    def step(state: Column, piece: Column) -> Column:
-        row = F.struct(
-            F.concat(_strip(piece), F.lit(".")).alias("text"),
-            _normal_level(F.regexp_extract(piece, word, 1)).alias("level"),
-            state["at"].alias("offset"),
-        )
-        return F.struct(
-            (state["at"] + F.length(piece) + 1).alias("at"),
-            F.when(piece.rlike(word), F.array_append(state["rows"], row)).otherwise(state["rows"]).alias("rows"),
-        )
-
-    return F.aggregate(whole, start, step, lambda s: s["rows"])
 
 
 def extract_requirement_sentences(docs: DataFrame) -> DataFrame:

@@ -104,26 +104,22 @@ def word_index(files: DataFrame) -> DataFrame:
     """Inverted index of words: ``(word, path, line, col)``, both counted from 0."""
     keep = [c for c in files.columns if c != "content"]
     lines = files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
-    # a run of separators tells how far apart two words stand, so columns are running lengths
     words = F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))
-    gaps = F.split("text", r"\w+", -1)
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<word:string,col:int>>").alias("out")
+    # the separators before each word give its distance to the word before, hence its column
+    gaps = F.transform(F.split("text", r"\w+", -1), lambda g: F.length(g))
+    steps = F.zip_with(
+        F.slice(gaps, 2, F.size("words")), F.transform("words", lambda w: F.length(w)), lambda g, n: g + n
     )
-    pairs = F.arrays_zip(gaps.alias("gap"), words.alias("word"))
-    placed = F.aggregate(
-        F.filter(pairs, lambda p: p["word"].isNotNull()),
-        start,
-        lambda st, p: F.struct(
-            (st["at"] + F.length(p["gap"]) + F.length(p["word"])).alias("at"),
-            F.array_append(
-                st["out"], F.struct(p["word"].alias("word"), (st["at"] + F.length(p["gap"])).alias("col"))
-            ).alias("out"),
-        ),
-        lambda st: st["out"],
+    placed = F.zip_with(
+        "words",
+        T.running_offsets(steps),
+        lambda w, at: F.struct(w.alias("word"), (at + F.get(gaps, 0)).alias("col")),
     )
-    return lines.select(*keep, "line", F.explode(placed).alias("w")).select(
-        F.col("w.word").alias("word"), *keep, "line", F.col("w.col").alias("col")
+    return (
+        lines.withColumn("words", words)
+        .filter(F.size("words") > 0)
+        .select(*keep, "line", F.explode(placed).alias("w"))
+        .select(F.col("w.word").alias("word"), *keep, "line", F.col("w.col").alias("col"))
     )
 
 

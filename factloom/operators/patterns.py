@@ -30,7 +30,13 @@ _ROW = (
     f"fields:{_FIELD},args:array<string>,states:array<string>>>"
 )
 
-N = F.col("_n")
+
+
+def _text() -> Column:
+    """Numbered text of the file."""
+    return F.col("_n")
+
+
 _IMPL = r"<<<\s*impl\b([\s\S]*?)>>>"
 _MEMBER = r"<<<\s*member\b([\s\S]*?)>>>"
 _OBJECT = rf"{T.BOL}object[ \t]+[\w.]+{T.WS}={T.WS}\{{"
@@ -57,7 +63,7 @@ def _row(kind, subtype, line, name, details=None, fields=None, args=None, states
 
 
 def _each(pattern: str, make) -> Column:
-    return F.transform(T.hits(N, pattern), lambda h: make(F.trim(T.unnumbered(h)), T.first_line(h)))
+    return F.transform(T.hits(_text(), pattern), lambda h: make(F.trim(T.unnumbered(h)), T.first_line(h)))
 
 
 def _once(condition: Column, row: Column) -> Column:
@@ -65,7 +71,7 @@ def _once(condition: Column, row: Column) -> Column:
 
 
 def _native(pattern: str) -> Column:
-    raw = F.regexp_extract_all(N, F.lit(pattern), F.lit(1))
+    raw = F.regexp_extract_all(_text(), F.lit(pattern), F.lit(1))
     return F.transform(raw, lambda b: T.unnumbered(b))
 
 
@@ -75,7 +81,7 @@ def _native_text(pattern: str) -> Column:
 
 def _first_impl_line() -> Column:
     """Line of the first implementation block: the last line mark before it."""
-    before = F.regexp_extract(N, r"^([\s\S]*?)<<<\s*impl\b", 1)
+    before = F.regexp_extract(_text(), r"^([\s\S]*?)<<<\s*impl\b", 1)
     return F.coalesce(T.last_line(before), F.lit(0))
 
 
@@ -131,8 +137,8 @@ def serdes_rows() -> Column:
 def variants_rows() -> Column:
     # the object with its text up to the struct, to check the distance without line marks
     near = rf"{_OBJECT}(?=([\s\S]{{0,{STRUCT_REACH * 10}}}?{T.BOL}{_STRUCT}))"
-    heads = F.regexp_extract_all(N, F.lit(near), F.lit(0))
-    tails = F.regexp_extract_all(N, F.lit(near), F.lit(1))
+    heads = F.regexp_extract_all(_text(), F.lit(near), F.lit(0))
+    tails = F.regexp_extract_all(_text(), F.lit(near), F.lit(1))
     zipped = F.arrays_zip(heads.alias("head"), tails.alias("tail"))
     between = lambda z: F.regexp_replace(
         T.unnumbered(z["tail"]), r"(?s)\s*type[ \t]+this\s*=\s*struct\s*\{[^}]+\}$", ""
@@ -168,7 +174,7 @@ def variants_rows() -> Column:
 def monitor_marks() -> Column:
     """Finalize marker, exported actions and weights (the monitors themselves come from blocks)."""
     final = _once(
-        N.rlike(r"\b_finalize\b"), _row("monitors", "finalize", F.lit(0), "_finalize")
+        _text().rlike(r"\b_finalize\b"), _row("monitors", "finalize", F.lit(0), "_finalize")
     )
     action = lambda h: F.regexp_extract(h, r"([\w.]+)$", 1)
     exports = _each(
@@ -192,7 +198,7 @@ def shim_rows() -> Column:
     handler = r"\.(recv|connected|accept)"
     action = lambda h: F.regexp_extract(h, r"^implement\s+([\w.]+)", 1)
     handled = F.filter(
-        T.hits(N, _IMPLEMENT),
+        T.hits(_text(), _IMPLEMENT),
         lambda h: F.regexp_extract(T.unnumbered(h), r"implement\s+([\w.]+)", 1).rlike(handler),
     )
 
@@ -207,7 +213,7 @@ def shim_rows() -> Column:
         return _row("shim", subtype, T.first_line(raw), name, {"action": name})
 
     names = lambda word: F.regexp_extract_all(
-        N, F.lit(rf"{T.BOL}{word}[ \t]+([\w.]+)"), F.lit(1)
+        _text(), F.lit(rf"{T.BOL}{word}[ \t]+([\w.]+)"), F.lit(1)
     )
     state = F.filter(names("relation"), lambda r: r.isin(CONNECTION_RELATIONS))
     sockets = F.filter(names("function"), lambda f: F.contains(F.lower(f), F.lit("sock")))
@@ -254,7 +260,7 @@ def module_rows() -> Column:
 
 
 def include_rows() -> Column:
-    names = F.regexp_extract_all(N, F.lit(rf"{T.BOL}include[ \t]+(\w+)"), F.lit(1))
+    names = F.regexp_extract_all(_text(), F.lit(rf"{T.BOL}include[ \t]+(\w+)"), F.lit(1))
     return _once(
         F.size(names) > 0,
         _row(
@@ -268,7 +274,7 @@ def entity_rows() -> Column:
     """Objects with a later variant of their own name; modules declared after the object are its roles."""
     token = rf"(?:{_OBJECT})|(?:{_MODULE})|(?:{_VARIANT})"
     toks = F.transform(
-        T.hits(N, token),
+        T.hits(_text(), token),
         lambda h, i: F.struct(
             i.alias("i"),
             T.first_line(h).alias("line"),
@@ -277,7 +283,7 @@ def entity_rows() -> Column:
             F.regexp_extract(T.unnumbered(h), r"of[ \t]+(\w+)$", 1).alias("parent"),
         ),
     )
-    behaviour = N.rlike(rf"{T.BOL}action[ \t]+[\w.]*behavior")
+    behaviour = _text().rlike(rf"{T.BOL}action[ \t]+[\w.]*behavior")
 
     def entity(o: Column) -> Column:
         roles = F.transform(
