@@ -11,17 +11,17 @@ from factloom.operators.maintain import merge_edges, merge_tables
 CLUSTER_BY = {"edges": ["etype", "src"], "symbols": ["name"], "requirements": ["monitor_action"]}
 
 
-def _pointer(dir_: str) -> str:
-    return f"{dir_}/current"
+_POINTER = "seq bigint, version string, tables string"
 
 
-def write_index(tables: dict[str, DataFrame], dir_: str, version: str = "v1") -> None:
-    """Write every table under ``dir/version`` and then move the pointer.
+def write_index(tables: dict[str, DataFrame], dir_: str, seq: int = 0) -> None:
+    """Write every table under ``dir/v<seq>`` and then append the version to the snapshot log.
 
     A table with a ``corpus`` column is partitioned by it. A retry of a version overwrites its own
-    directory, so readers of the pointer never see half a snapshot.
+    directory and the log is only appended to, so readers never see half a snapshot.
     """
     spark = next(iter(tables.values())).sparkSession
+    version = f"v{seq}"
     for name, df in tables.items():
         cluster = [c for c in CLUSTER_BY.get(name, []) if c in df.columns]
         out = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster) if cluster else df
@@ -29,15 +29,16 @@ def write_index(tables: dict[str, DataFrame], dir_: str, version: str = "v1") ->
         if "corpus" in df.columns:
             writer = writer.partitionBy("corpus")
         writer.parquet(f"{dir_}/{version}/{name}")
-    names = ",".join(sorted(tables))
-    spark.createDataFrame([(version, names)], "version string, tables string").coalesce(1).write.mode(
-        "overwrite"
-    ).json(_pointer(dir_))
+    entry = spark.createDataFrame([(seq, version, ",".join(sorted(tables)))], _POINTER)
+    entry.coalesce(1).write.mode("append").json(f"{dir_}/snapshots")
 
 
-def load_index(spark: SparkSession, dir_: str) -> dict[str, DataFrame]:
-    """Tables of the current snapshot."""
-    row = spark.read.schema("version string, tables string").json(_pointer(dir_)).first()
+def load_index(spark: SparkSession, dir_: str, before: int | None = None) -> dict[str, DataFrame]:
+    """Tables of the newest snapshot, or of the newest one numbered below ``before``."""
+    log = spark.read.schema(_POINTER).json(f"{dir_}/snapshots")
+    if before is not None:
+        log = log.filter(F.col("seq") < before)
+    row = log.orderBy(F.col("seq").desc()).first()
     return {t: spark.read.parquet(f"{dir_}/{row['version']}/{t}") for t in row["tables"].split(",")}
 
 
@@ -57,8 +58,3 @@ def merge_indexes(spark: SparkSession, dirs: list[str]) -> dict[str, DataFrame]:
                 merged = merged.unionByName(p, allowMissingColumns=True)
             out[name] = merged.distinct()
     return out
-
-
-def scope_metadata(scopes: DataFrame) -> DataFrame:
-    """What is stored about scopes beside their members."""
-    return scopes.select("scope_file", "role", F.col("file_count").cast("long").alias("file_count"))
