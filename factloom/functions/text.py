@@ -54,14 +54,18 @@ def group(hit: Column, pattern: str, n: int = 1) -> Column:
     return unnumbered(F.regexp_extract(hit, pattern, n))
 
 
-def running_offsets(lengths: Column, block: int = 256) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also when the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running_offsets(lengths: Column, block: int = 64) -> Column:
     """Start offset of each element: the sum of the lengths before it.
 
     A plain fold copies its result at every step; folding blocks first keeps long rows cheap.
     """
     zero = F.lit(0)
     empty = F.array().cast("array<int>")
-    count = F.size(lengths)
 
     def starts(part: Column) -> Column:
         state = F.struct(zero.alias("at"), empty.alias("out"))
@@ -72,15 +76,26 @@ def running_offsets(lengths: Column, block: int = 256) -> Column:
             lambda st: st["out"],
         )
 
-    last = F.floor((count - 1) / F.lit(block)).cast("int")
-    parts = F.transform(
-        F.sequence(zero, last), lambda b: F.slice(lengths, b * F.lit(block) + 1, F.lit(block))
-    )
-    sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
-    placed = F.zip_with(
-        F.transform(parts, starts), starts(sums), lambda inner, base: F.transform(inner, lambda x: x + base)
+    def blocked(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / F.lit(block)).cast("int")
+        return F.transform(
+            F.sequence(zero, last), lambda b: F.slice(all_, b * F.lit(block) + 1, F.lit(block))
+        )
+
+    def placed(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
+        return F.flatten(
+            F.zip_with(
+                F.transform(parts, starts), starts(sums), lambda inner, at: F.transform(inner, lambda x: x + at)
+            )
+        )
+
+    return let(
+        lengths,
+        lambda all_: F.when(F.size(all_) <= 0, empty)
+        .when(F.size(all_) <= block, starts(all_))
+        .otherwise(let(blocked(all_), placed)),
     )
-    return F.when(count <= 0, empty).otherwise(F.flatten(placed))
 
 
 def or_null(text: Column) -> Column:

@@ -107,19 +107,13 @@ def word_index(files: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))
     # the separators before each word give its distance to the word before, hence its column
     gaps = F.transform(F.split("text", r"\w+", -1), lambda g: F.length(g))
-    steps = F.zip_with(
-        F.slice(gaps, 2, F.size("words")), F.transform("words", lambda w: F.length(w)), lambda g, n: g + n
-    )
-    placed = F.zip_with(
-        "words",
-        T.running_offsets(steps),
-        lambda w, at: F.struct(w.alias("word"), (at + F.get(gaps, 0)).alias("col")),
-    )
-    return (
-        lines.withColumn("words", words)
-        .filter(F.size("words") > 0)
-        .select(*keep, "line", F.explode(placed).alias("w"))
-        .select(F.col("w.word").alias("word"), *keep, "line", F.col("w.col").alias("col"))
+    rows = lines.withColumns({"words": words, "gaps": gaps}).filter(F.size("words") > 0)
+    before = F.slice("gaps", F.lit(1), F.size("words"))
+    steps = F.zip_with(before, F.transform("words", lambda w: F.length(w)), lambda g, n: g + n)
+    columns = F.zip_with(T.running_offsets(steps), before, lambda at, g: at + g)
+    placed = F.zip_with("words", columns, lambda w, at: F.struct(w.alias("word"), at.alias("col")))
+    return rows.select(*keep, "line", F.explode(placed).alias("w")).select(
+        F.col("w.word").alias("word"), *keep, "line", F.col("w.col").alias("col")
     )
 
 

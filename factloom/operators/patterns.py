@@ -488,58 +488,72 @@ def compare_corpora(patterns: DataFrame, a: str, b: str) -> DataFrame:
 
 def pattern_crossref(patterns: DataFrame) -> DataFrame:
     """Findings of four checks: unknown (de)serializer, exported action without monitor, roles without a
-    receiving handler, module that is never instantiated."""
-    p = patterns
-    d = F.col("details")
-    out = []
-    instances = p.filter("kind = 'serdes' AND subtype = 'instance'")
-    for key, subtype in (("ser_name", "serializer"), ("deser_name", "deserializer")):
-        known = p.filter((F.col("kind") == "serdes") & (F.col("subtype") == subtype)).select(
-            F.col("name").alias("related")
-        ).distinct()
-        out.append(
-            instances.withColumn("related", d[key])
-            .filter("related IS NOT NULL AND related <> ''")
-            .join(known, "related", "left_anti")
-            .select(
-                F.lit("info").alias("severity"), F.lit("serdes").alias("kind"),
-                F.lit(f"unknown_{subtype}").alias("finding"), "path", "line", "related",
-            )
-        )
-    exported = p.filter("kind = 'monitors' AND subtype = 'export'").select(d["action"].alias("related")).distinct()
-    monitored = p.filter(
-        (F.col("subtype") == "monitor") & d["mixin_kind"].isin("before", "after", "around")
-    ).select(d["action"].alias("related")).distinct()
-    nowhere = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line")]
-    out.append(
-        exported.filter("related <> '_finalize'").join(monitored, "related", "left_anti").select(
-            F.lit("warning").alias("severity"), F.lit("monitors").alias("kind"),
-            F.lit("export_without_monitor").alias("finding"), *nowhere, "related",
-        )
-    )
-    flags = p.agg(
-        F.max((F.col("kind") == "entity") & (F.size("args") > 0)).alias("roles"),
-        F.max(F.col("subtype") == "recv_handler").alias("recv"),
-    )
-    out.append(
-        flags.filter("roles AND NOT recv").select(
-            F.lit("warning").alias("severity"), F.lit("shim").alias("kind"),
-            F.lit("roles_without_recv").alias("finding"), *nowhere,
-            F.lit(None).cast("string").alias("related"),
+    receiving handler, module that is never instantiated.
+
+    Every pattern says which names it offers and which it needs; one aggregate per name finds the needs
+    that nothing offers.
+    """
+    d, name, sub = F.col("details"), F.col("name"), F.col("subtype")
+
+    def entry(when: Column, space: str, value: Column, offers: bool) -> Column:
+        return F.when(
+            when & value.isNotNull(),
+            F.struct(F.lit(space).alias("space"), value.alias("related"), F.lit(offers).alias("offers")),
         )
-    )
-    defined = p.filter("kind = 'module' AND subtype = 'definition'").select(F.col("name").alias("related")).distinct()
-    used = p.filter("kind = 'module' AND subtype = 'instance'").select(d["module"].alias("related")).distinct()
-    out.append(
-        defined.join(used, "related", "left_anti").select(
-            F.lit("info").alias("severity"), F.lit("module").alias("kind"),
-            F.lit("module_without_instance").alias("finding"), *nowhere, "related",
+
+    serdes = (F.col("kind") == "serdes") & (sub == "instance")
+    module = F.col("kind") == "module"
+    watched = (sub == "monitor") & d["mixin_kind"].isin("before", "after", "around")
+    nothing = F.lit("")
+    entries = F.filter(
+        F.array(
+            entry(sub == "serializer", "serializer", name, True),
+            entry(serdes & (d["ser_name"] != ""), "serializer", d["ser_name"], False),
+            entry(sub == "deserializer", "deserializer", name, True),
+            entry(serdes & (d["deser_name"] != ""), "deserializer", d["deser_name"], False),
+            entry(watched, "monitor", d["action"], True),
+            entry((sub == "export") & (d["action"] != "_finalize"), "monitor", d["action"], False),
+            entry(module & (sub == "instance"), "module", d["module"], True),
+            entry(module & (sub == "definition"), "module", name, False),
+            entry(sub == "recv_handler", "shim", nothing, True),
+            entry((F.col("kind") == "entity") & (F.size("args") > 0), "shim", nothing, False),
+        ),
+        lambda e: e.isNotNull(),
+    )
+    open_names = (
+        patterns.select(F.explode(entries).alias("e"))
+        .groupBy("e.space", "e.related")
+        .agg(F.max("e.offers").alias("offered"))
+        .filter("NOT offered")
+        .select("space", "related")
+    )
+    uses = patterns.filter(serdes).select(
+        "path", "line",
+        F.explode(
+            F.array(
+                F.struct(F.lit("serializer").alias("space"), d["ser_name"].alias("related")),
+                F.struct(F.lit("deserializer").alias("space"), d["deser_name"].alias("related")),
+            )
+        ).alias("u"),
+    ).select("path", "line", "u.space", "u.related")
+    placed = uses.join(open_names, ["space", "related"]).select(
+        F.lit("info").alias("severity"), F.lit("serdes").alias("kind"),
+        F.concat(F.lit("unknown_"), F.col("space")).alias("finding"), "path", "line", "related",
+    )
+    # fixed values: severity, kind and finding of the checks that concern a name, not a place
+    whole = {
+        "monitor": ("warning", "monitors", "export_without_monitor"),
+        "module": ("info", "module", "module_without_instance"),
+        "shim": ("warning", "shim", "roles_without_recv"),
+    }
+    pick = lambda i: F.create_map(*[F.lit(x) for k, v in whole.items() for x in (k, v[i])])[F.col("space")]
+    return placed.unionByName(
+        open_names.filter(F.col("space").isin(list(whole))).select(
+            pick(0).alias("severity"), pick(1).alias("kind"), pick(2).alias("finding"),
+            F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"),
+            F.when(F.col("related") != "", F.col("related")).alias("related"),
         )
     )
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
 
 
 def categorize_file(patterns: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import dir_of, stem_of
+from factloom.functions.text import dir_of, let, stem_of
 from factloom.plans.keyed import top_per_key
 
 
@@ -140,7 +140,7 @@ def unresolved_includes(
 
 
 def _edit_variants(name: Column) -> Column:
-    """Array of (variant, deletions): the name after at most two steps, each deleting a character or
+    """Array of ``<deletions><variant>``: the name after at most two steps, each deleting a character or
     replacing it by a wildcard, from left to right."""
     wild = F.lit("\u0001")
 
@@ -165,9 +165,10 @@ def _edit_variants(name: Column) -> Column:
 
     none = F.array(F.struct(name.alias("v"), F.lit(0).alias("d"), F.lit(1).alias("next")))
     one = steps(name, F.lit(1), F.lit(0))
-    two = F.flatten(F.transform(one, lambda o: steps(o["v"], o["next"], o["d"])))
+    two = let(one, lambda all_: F.concat(all_, F.flatten(F.transform(all_, lambda o: steps(o["v"], o["next"], o["d"])))))
+    # written as text, because distinct is only fast on plain values
     return F.array_distinct(
-        F.transform(F.concat(none, one, two), lambda o: F.struct(o["v"].alias("v"), o["d"].alias("d")))
+        F.transform(F.concat(none, two), lambda o: F.concat(o["d"].cast("string"), o["v"]))
     )
 
 
@@ -191,11 +192,12 @@ def near_miss(names: DataFrame, stems: DataFrame) -> DataFrame:
     )
     left = asked.join(same, "name", "left_anti")
     wild_count = F.length("v") - F.length(F.translate("v", "\u0001", ""))
+    digit, rest = F.substring("e", 1, 1).cast("int"), F.substring("e", 2, 1 << 20)
     stem_side = known.select("stem", F.explode(_edit_variants(F.col("stem"))).alias("e")).select(
-        "e.v", F.col("e.d").alias("stem_d"), "stem"
+        rest.alias("v"), digit.alias("stem_d"), "stem"
     )
     name_side = left.select("name", F.explode(_edit_variants(F.col("name"))).alias("e")).select(
-        "name", "e.v", F.col("e.d").alias("name_d")
+        "name", rest.alias("v"), digit.alias("name_d")
     )
     firsts = top_per_key(stem_side, ["v", "stem_d"], [F.col("stem")], 2).drop("rank")
     fuzzy = (

@@ -172,7 +172,7 @@ SELECT 'p' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'axiom' ELSE 'in
 SELECT 'p' || s_suppkey AS id, 'x' || (s_suppkey * 7 % 500) AS var FROM {supplier}
 UNION SELECT 'p' || s_suppkey AS id, 'x' || s_nationkey AS var FROM {supplier}""",
     "manifest": """
-SELECT 'r' || (c_custkey % 5) || ':' || (c_custkey % 40) || '.' || c_custkey AS req_id, 'r' || (c_custkey % 5) AS rfc,
+SELECT 'r' || (c_custkey % 7) || ':' || (c_custkey % 40) || '.' || c_custkey AS req_id, 'r' || (c_custkey % 7) AS rfc,
   (c_custkey % 40) || '.' || c_custkey AS section, c_name || ' in ' || c_mktsegment AS text,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'MUST' WHEN 'MACHINERY' THEN 'SHOULD' WHEN 'HOUSEHOLD' THEN 'MAY' WHEN 'FURNITURE' THEN '' ELSE 'SHALL' END AS level,
   CASE c_nationkey % 3 WHEN 0 THEN 'frame' WHEN 1 THEN 'packet' ELSE '' END AS layer, true AS testable FROM {customer}""",
@@ -180,8 +180,8 @@ SELECT 'r' || (c_custkey % 5) || ':' || (c_custkey % 40) || '.' || c_custkey AS
 SELECT path || ':' || line || ':0' AS id, path, line, split(tag_text, ',') AS tags
 FROM (SELECT 'f' || (o_custkey % 90) || '.spec' AS path, CAST(o_orderkey AS INT) AS line,
   CASE WHEN o_orderstatus = 'P' AND o_totalprice < 150000
-    THEN 'r' || (o_custkey % 5) || ':' || (o_custkey % 40) || '.' || o_custkey || ',zz:' || (o_orderkey % 9)
-  WHEN o_orderkey % 1000 = 1 THEN 'r' || (o_custkey % 5) || ':' || (o_custkey % 40)
+    THEN 'r' || (o_custkey % 7) || ':' || (o_custkey % 40) || '.' || o_custkey || ',zz:' || (o_orderkey % 9)
+  WHEN o_orderkey % 1000 = 1 THEN 'r' || (o_custkey % 7) || ':' || (o_custkey % 40)
   WHEN o_orderkey % 1000 = 2 THEN (o_custkey % 40) || '.' || o_custkey || ',3'
   WHEN o_orderkey % 1000 = 3 THEN CAST(o_custkey % 40 AS STRING)
   ELSE 'none:' || (o_orderkey % 50) || ',r' || (o_orderkey % 5) || ':' || (100 + o_orderkey % 30) END AS tag_text
@@ -205,8 +205,8 @@ FROM (SELECT {path('l_partkey')} AS path, CAST(l_orderkey * 8 + l_linenumber AS
     # symbols with qualified names, for look-up and search
     "symbols": """
 SELECT 'f' || (p_partkey % 120) || '.spec' AS path, 'corpus' || (p_partkey % 3) AS corpus,
-  replace(p_name, ' ', '_') || '_' || (p_partkey % 40) AS name,
-  CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN lower(p_type) || '.' ELSE 'top.' || lower(p_type) || '.' END || replace(p_name, ' ', '_') || '_' || (p_partkey % 40) AS qualified_name,
+  replace(p_name, ' ', '_') || '_' || (p_partkey % 4) AS name,
+  CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN lower(p_type) || '.' ELSE 'top.' || lower(p_type) || '.' END || replace(p_name, ' ', '_') || '_' || (p_partkey % 4) AS qualified_name,
   CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'variable' END AS kind,
   CAST(p_partkey AS INT) AS line FROM {part}""",
     # documents with numbered sections around their text

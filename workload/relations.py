@@ -442,14 +442,14 @@ def _edges(df):
     return df.select(F.col("id").alias("src"), F.lit("READS").alias("etype"), F.col("var").alias("dst"))
 
 
-_DEP = """, pr AS (SELECT p.id, kind = 'axiom' AS ax, var FROM props p JOIN prop_reads USING (id)), both AS (SELECT var FROM pr GROUP BY var HAVING bool_or(ax) AND NOT bool_and(ax)) """
+_DEP = """, pr AS (SELECT p.id, kind = 'axiom' AS ax, var FROM props p JOIN prop_reads USING (id)), twoside AS (SELECT var FROM pr GROUP BY var HAVING bool_or(ax) AND NOT bool_and(ax)) """
 
 
 @register(
     "wire_depends_on",
     cte(
         "props prop_reads",
-        _DEP + "SELECT id AS src, 'SHARES' AS etype, var AS dst FROM pr JOIN both USING (var) WHERE NOT ax UNION SELECT var, 'AXIOM', id FROM pr JOIN both USING (var) WHERE ax",
+        _DEP + "SELECT id AS src, 'SHARES' AS etype, var AS dst FROM pr JOIN twoside USING (var) WHERE NOT ax UNION SELECT var, 'AXIOM', id FROM pr JOIN twoside USING (var) WHERE ax",
     ),
 )
 def _(spark, sf):
@@ -781,16 +781,16 @@ def _(spark, sf):
 _PAT = """, b AS (SELECT path, corpus, line, text, regexp_extract(text, '^\\s*(before|after|around|implement)\\s+[\\w.]+\\s*(?:\\([^)]*\\))?\\s*\\{', 1) AS head, CASE WHEN text = '}' THEN line END AS closer FROM lines)
 , c AS (SELECT *, first_value(closer IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_close, lead(text) OVER (PARTITION BY path ORDER BY line) AS nx FROM b)
 , mon AS (SELECT path, corpus, line, head AS mixin, regexp_extract(text, '^\\s*\\w+\\s+([\\w.]+)', 1) AS act, contains(nx, '_generating') AS guard FROM c WHERE head <> '' AND (next_close IS NOT NULL OR text LIKE '%}'))
-, impl AS (SELECT path, corpus, min(line) FILTER (starts_with(text, '<<< impl')) AS at FROM lines GROUP BY path, corpus)
+, impl AS (SELECT path, corpus, min(line) FILTER (starts_with(text, '<<< impl')) AS first_at FROM lines GROUP BY path, corpus)
 , pat AS (SELECT 'monitors' AS kind, 'monitor' AS subtype, path, corpus, line, mixin || '.' || act AS name FROM mon
 UNION ALL SELECT 'monitors', 'export', path, corpus, line, 'export.' || regexp_extract(text, 'action ([\\w.]+)', 1) FROM lines WHERE starts_with(text, 'export action ')
 UNION ALL SELECT 'monitors', 'weight', path, corpus, line, 'weight.' || regexp_extract(text, 'attribute (\\w+)', 1) FROM lines WHERE starts_with(text, 'attribute ')
-UNION ALL SELECT 'serdes', CASE WHEN contains(text, 'deser_128') THEN 'deserializer' ELSE 'serializer' END, l.path, l.corpus, at, regexp_extract(text, 'class (\\w+)', 1) FROM lines l JOIN impl USING (path) WHERE regexp_matches(text, 'class \\w+ : public')
+UNION ALL SELECT 'serdes', CASE WHEN contains(text, 'deser_128') THEN 'deserializer' ELSE 'serializer' END, l.path, l.corpus, first_at, regexp_extract(text, 'class (\\w+)', 1) FROM lines l JOIN impl USING (path) WHERE regexp_matches(text, 'class \\w+ : public')
 UNION ALL SELECT 'serdes', 'instance', path, corpus, line, regexp_extract(text, 'instance (\\w+)', 1) FROM lines WHERE regexp_matches(text, '^instance \\w+ : serdes')
 UNION ALL SELECT 'variants', 'variant', path, corpus, line, 'variant_of_' || regexp_extract(text, 'of (\\w+)', 1) FROM lines WHERE regexp_matches(text, '^\\s*variant this of')
 UNION ALL SELECT 'variants', 'struct_object', o.path, o.corpus, o.line, regexp_extract(o.text, 'object (\\w+)', 1) FROM lines o WHERE regexp_matches(o.text, '^object \\w+ = \\{')
 UNION ALL SELECT 'shim', 'recv_handler', path, corpus, line, act FROM mon WHERE mixin = 'implement' UNION ALL SELECT 'shim', 'state_tracking', path, corpus, 0, 'connection_state' FROM lines WHERE text LIKE 'relation isup%'
-UNION ALL SELECT 'shim', 'transport', path, corpus, 0, 'transport_udp' FROM lines WHERE text = 'using ip.udp' UNION ALL SELECT 'shim', 'socket_operations', path, corpus, at, 'socket_ops' FROM impl WHERE at IS NOT NULL
+UNION ALL SELECT 'shim', 'transport', path, corpus, 0, 'transport_udp' FROM lines WHERE text = 'using ip.udp' UNION ALL SELECT 'shim', 'socket_operations', path, corpus, first_at, 'socket_ops' FROM impl WHERE first_at IS NOT NULL
 UNION ALL SELECT 'module', 'definition', path, corpus, line, regexp_extract(text, 'module (\\w+)', 1) FROM lines WHERE starts_with(text, 'module ') UNION ALL SELECT 'module', 'instance', path, corpus, line, regexp_extract(text, 'instance (\\w+)', 1) FROM lines WHERE starts_with(text, 'instance ')
 UNION ALL SELECT 'entity', 'entity', path, corpus, line, regexp_extract(text, 'object (\\w+)', 1) FROM lines WHERE starts_with(text, 'object frame_') UNION ALL SELECT DISTINCT 'include_chain', 'include_chain', path, corpus, 0, 'includes' FROM lines WHERE regexp_matches(text, '^\\s*include \\w+')) """
 
