@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stem_of
 from factloom.operators.patterns import categorize_file, find_variants, serdes_correlation
+from factloom.plans.bitsets import count_through
 from factloom.plans.closure import reach
 from factloom.plans.lineage import cut_lineage
 
@@ -48,12 +51,12 @@ def detect_cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     live = cut_lineage(live)
     size = live.count()
     while size:
-        for _ in range(4):  # several peels per materialised round
-            has_in = live.select(F.col("dst").alias("src")).distinct()
-            live = live.join(has_in, "src", "left_semi").select("src", "dst")
-            has_out = live.select(F.col("src").alias("dst")).distinct()
-            live = live.join(has_out, "dst", "left_semi").select("src", "dst")
-        live = cut_lineage(live)
+        ends = live.select(F.col("src").alias("node"), F.lit(1).alias("side")).unionByName(
+            live.select(F.col("dst").alias("node"), F.lit(2).alias("side"))
+        )
+        both = ends.groupBy("node").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo < hi")
+        inner = live.join(both.select(F.col("node").alias("src")), "src", "left_semi")
+        live = cut_lineage(inner.join(both.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
         left = live.count()
         if left == size:
             break
@@ -188,33 +191,10 @@ def vars_written_by_action(reqs: DataFrame, writes: DataFrame, actions: DataFram
     return held.join(writes.select("path", "var").distinct(), "path").select("action", "var").distinct()
 
 
-#: Bits in one of Spark's bitmaps.
-_BITS = 32768
-
-
 def written_var_counts(reqs: DataFrame, writes: DataFrame) -> DataFrame:
-    """``(action, vars_written)`` for all actions, without writing out the pairs.
-
-    Variables get a bit each; the bitmaps of a file are built once and united over the files of an
-    action. The count is exact.
-    """
-    names = writes.select("var").distinct().withColumn("_part", F.pmod(F.hash("var"), F.lit(256)))
-    in_part = Window.partitionBy("_part").orderBy("var")
-    bits = names.withColumn("_n", F.row_number().over(in_part) - 1).select(
-        "var",
-        F.col("_part"),
-        F.floor(F.col("_n") / _BITS).alias("_slice"),
-        F.pmod(F.col("_n"), F.lit(_BITS)).cast("long").alias("_bit"),
-    )
-    per_file = (
-        writes.select("path", "var").distinct().join(bits, "var")
-        .groupBy("path", "_part", "_slice").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    )
-    held = reqs.select(F.col("monitor_action").alias("action"), "path").distinct()
-    united = held.join(per_file, "path").groupBy("action", "_part", "_slice").agg(
-        F.bitmap_or_agg("_map").alias("_map")
-    )
-    return united.groupBy("action").agg(F.sum(F.bitmap_count("_map")).alias("vars_written"))
+    """``(action, vars_written)`` for all actions, exact, without writing out the pairs."""
+    held = reqs.select(F.col("monitor_action").alias("action"), "path")
+    return count_through(held, writes, "action", "path", "var", "vars_written")
 
 
 def impact_of_var(edges: DataFrame, reqs: DataFrame, state_vars: DataFrame) -> DataFrame:
@@ -392,49 +372,63 @@ def scope_partitions(scope_members: DataFrame, shared_stems: DataFrame) -> DataF
     variants, and the one variant each colour stands for, are looked at.
     """
     need = (
-        scope_members.select(F.col("scope_file").alias("scope"), F.col("member_path").alias("path"))
-        .withColumn("stem", stem_of(F.col("path")))
+        scope_members.select(F.col("scope_file").alias("scope"), F.col("member_path").alias("variant"))
+        .withColumn("stem", stem_of(F.col("variant")))
         .join(shared_stems.select("stem").distinct(), "stem", "left_semi")
         .distinct()
     )
-    need = cut_lineage(need.select("scope", "stem", F.col("path").alias("variant")))
-    everyone = scope_members.select(F.col("scope_file").alias("scope")).distinct()
-    waiting = cut_lineage(need.select("scope").distinct())
-    spark = scope_members.sparkSession
-    coloured = spark.createDataFrame([], "scope string, color int")
-    while not waiting.isEmpty():
-        rows = need.join(waiting, "scope", "left_semi")
-        first = rows.groupBy("stem", "variant").agg(F.min("scope").alias("least"))
+    # scopes that need exactly the same files have the same rivals and get the same colour: one stands for all
+    mark = F.xxhash64("stem", "variant")
+    marks = need.groupBy("scope").agg(
+        F.count("*").alias("m1"), F.bit_xor(mark).alias("m2"), F.sum(mark.cast("decimal(38,0)")).alias("m3")
+    )
+    alike = ["m1", "m2", "m3"]
+    leaders = marks.groupBy(*alike).agg(F.min("scope").alias("leader"))
+    led = cut_lineage(marks.join(leaders, alike).select("scope", "leader"))
+    need = need.join(led.filter("scope = leader").select("scope"), "scope", "left_semi")
+    need = cut_lineage(need.select("scope", "stem", "variant"))
+    done: list[DataFrame] = []
+    while True:
+        waiting, taken = need, None
+        if done:
+            coloured = reduce(DataFrame.unionByName, done)
+            waiting = need.join(coloured.select("scope"), "scope", "left_anti")
+            # all scopes of a colour use the same variant of a name
+            stood = need.join(coloured, "scope").select("stem", F.col("variant").alias("other"), "color").distinct()
+            taken = stood
+        first = waiting.groupBy("stem", "variant").agg(F.min("scope").alias("least"))
         lowest = first.groupBy("stem").agg(F.min(F.struct("least", "variant")).alias("a"))
         second = (
             first.join(lowest, "stem").filter(F.col("variant") != F.col("a.variant"))
             .groupBy("stem").agg(F.min("least").alias("b"))
         )
-        rivals = lowest.join(second, "stem", "left")
-        blocked = (
-            rows.join(rivals, "stem")
-            .withColumn("rival", F.when(F.col("variant") != F.col("a.variant"), F.col("a.least")).otherwise(F.col("b")))
-            .filter("rival < scope").select("scope").distinct()
-        )
-        ready = cut_lineage(waiting.join(blocked, "scope", "left_anti"))
-        stood = (
-            need.join(coloured, "scope").select("stem", F.col("variant").alias("other"), "color").distinct()
-        )
-        taken = (
-            need.join(ready, "scope", "left_semi").join(stood, "stem").filter("variant <> other")
-            .select("scope", "color").distinct()
-        )
-        used = taken.groupBy("scope").agg(F.array_sort(F.collect_set("color")).alias("used"))
-        free = F.coalesce(
-            F.get(
-                F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")), F.lit(0)
-            ),
-            F.lit(0),
+        rival = F.when(F.col("variant") != F.col("a.variant"), F.col("a.least")).otherwise(F.col("b"))
+        ready = (
+            waiting.join(lowest.join(second, "stem", "left"), "stem")
+            .groupBy("scope").agg(F.max(F.coalesce(rival < F.col("scope"), F.lit(False))).alias("blocked"))
+            .filter("NOT blocked").select("scope")
         )
-        fresh = ready.join(used, "scope", "left").select("scope", free.cast("int").alias("color"))
-        coloured = cut_lineage(coloured.unionByName(fresh))
-        waiting = cut_lineage(waiting.join(ready, "scope", "left_anti"))
-    return everyone.join(coloured, "scope", "left").select(
+        if taken is None:
+            fresh = ready.withColumn("color", F.lit(0))
+        else:
+            used = (
+                need.join(ready, "scope", "left_semi").join(taken, "stem").filter("variant <> other")
+                .groupBy("scope").agg(F.collect_set("color").alias("used"))
+            )
+            free = F.get(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")), F.lit(0))
+            fresh = ready.join(used, "scope", "left").select(
+                "scope", F.coalesce(free, F.lit(0)).cast("int").alias("color")
+            )
+        fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
+            break
+        done.append(fresh)
+        if len(done) > 8:
+            done = [cut_lineage(reduce(DataFrame.unionByName, done))]
+    everyone = scope_members.select(F.col("scope_file").alias("scope")).distinct()
+    none = everyone.select("scope", F.lit(0).alias("color")).limit(0)
+    coloured = reduce(DataFrame.unionByName, done, none).withColumnRenamed("scope", "leader")
+    return everyone.join(led.join(coloured, "leader"), "scope", "left").select(
         F.col("scope").alias("scope_file"),
         F.concat(F.lit("partition_"), F.coalesce("color", F.lit(0)).cast("string")).alias("partition"),
     )

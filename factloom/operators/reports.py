@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -12,6 +12,7 @@ from factloom.operators.documents import LEVEL_SYNONYMS
 from factloom.operators.filters import requirement_class
 from factloom.operators.graph import written_var_counts
 from factloom.operators.resolve import unresolved_includes
+from factloom.plans.bitsets import count_through
 from factloom.plans.keyed import pick_last, top_per_key
 
 MIXINS = ["before", "after", "around", "implement", "direct"]
@@ -181,26 +182,12 @@ def state_var_summary(state_vars: DataFrame, reads: DataFrame, reqs: DataFrame)
 def property_summary(properties: DataFrame, property_reads: DataFrame, reads: DataFrame, reqs: DataFrame) -> DataFrame:
     """Per property: requirements that share a variable with it, and their files.
 
-    Requirements and files get a bit each and bitmaps are united over the variables of a property, so
-    that popular variables never multiply with the properties that use them. Counts are exact.
+    Popular variables never multiply with the properties that use them; the counts are exact.
     """
-    def shared(items: DataFrame, item: str, out: str) -> DataFrame:
-        names = items.select(item).distinct().withColumn("_part", F.pmod(F.hash(item), F.lit(256)))
-        n = F.row_number().over(Window.partitionBy("_part").orderBy(item)) - 1
-        bits = names.withColumn("_n", n).select(
-            item, "_part", F.floor(F.col("_n") / 32768).alias("_slice"),
-            F.pmod(F.col("_n"), F.lit(32768)).cast("long").alias("_bit"),
-        )
-        maps = items.join(bits, item).groupBy("var", "_part", "_slice").agg(
-            F.bitmap_construct_agg("_bit").alias("_map")
-        )
-        used = property_reads.select(F.col("id").alias("pid"), "var").distinct()
-        united = used.join(maps, "var").groupBy("pid", "_part", "_slice").agg(F.bitmap_or_agg("_map").alias("_map"))
-        return united.groupBy("pid").agg(F.sum(F.bitmap_count("_map")).alias(out))
-
     readers = reads.select("id", "var").distinct().join(reqs.select("id", F.col("path").alias("req_path")), "id")
-    by_req = shared(readers.select("id", "var"), "id", "requirements")
-    by_file = shared(readers.select("req_path", "var").distinct(), "req_path", "files")
+    used = property_reads.select(F.col("id").alias("pid"), "var")
+    by_req = count_through(used, readers, "pid", "var", "id", "requirements")
+    by_file = count_through(used, readers, "pid", "var", "req_path", "files")
     return properties.withColumn("pid", F.col("id")).join(by_req, "pid").join(by_file, "pid").drop("pid")
 
 

@@ -159,7 +159,7 @@ SELECT 'x' || c_custkey AS id, 'x' || c_custkey AS name, 'mod' || c_nationkey ||
   'f' || (c_custkey % 130) || '.spec' AS path, CAST(c_custkey % 700 AS INT) AS line FROM {customer}""",
     # what the requirements read, as known from their formulas
     "reads": """
-SELECT DISTINCT 'f' || l_suppkey || '.spec:' || CAST(l_orderkey * 8 + l_linenumber AS INT) AS id, 'x' || (l_orderkey % 2500) AS var FROM {lineitem}
+SELECT DISTINCT 'f' || l_suppkey || '.spec:' || CAST(l_orderkey * 8 + l_linenumber AS INT) AS id, 'x' || (2 * (l_orderkey % 1250)) AS var FROM {lineitem}
 UNION SELECT 'f' || l_suppkey || '.spec:' || CAST(l_orderkey * 8 + l_linenumber AS INT) AS id, 'x' || l_suppkey AS var FROM {lineitem}""",
     "action_reads": "SELECT DISTINCT 'act_' || l_partkey AS action, 'x' || (l_orderkey % 2500) AS var FROM {lineitem}",
     "writes": """
@@ -184,8 +184,19 @@ FROM (SELECT 'f' || (o_custkey % 90) || '.spec' AS path, CAST(o_orderkey AS INT)
   WHEN o_orderkey % 1000 = 1 THEN 'r' || (o_custkey % 7) || ':' || (o_custkey % 40)
   WHEN o_orderkey % 1000 = 2 THEN (o_custkey % 40) || '.' || o_custkey || ',3'
   WHEN o_orderkey % 1000 = 3 THEN CAST(o_custkey % 40 AS STRING)
-  ELSE 'none:' || (o_orderkey % 50) || ',r' || (o_orderkey % 5) || ':' || (100 + o_orderkey % 30) END AS tag_text
+  ELSE 'none:' || (o_orderkey % 90) || ',r' || (o_orderkey % 5) || ':' || (100 + o_orderkey % 30) END AS tag_text
   FROM {orders}) AS q""",
+    # the annotations there were at an earlier date
+    "annotations_before": """
+SELECT path || ':' || line || ':0' AS id, path, line, split(tag_text, ',') AS tags
+FROM (SELECT 'f' || (o_custkey % 90) || '.spec' AS path, CAST(o_orderkey AS INT) AS line,
+  CASE WHEN o_orderstatus = 'P' AND o_totalprice < 150000
+    THEN 'r' || (o_custkey % 7) || ':' || (o_custkey % 40) || '.' || o_custkey || ',zz:' || (o_orderkey % 9)
+  WHEN o_orderkey % 1000 = 1 THEN 'r' || (o_custkey % 7) || ':' || (o_custkey % 40)
+  WHEN o_orderkey % 1000 = 2 THEN (o_custkey % 40) || '.' || o_custkey || ',3'
+  WHEN o_orderkey % 1000 = 3 THEN CAST(o_custkey % 40 AS STRING)
+  ELSE 'none:' || (o_orderkey % 90) || ',r' || (o_orderkey % 5) || ':' || (100 + o_orderkey % 30) END AS tag_text
+  FROM {orders} WHERE o_orderdate < TIMESTAMP '1998-01-01') AS q""",
     # exports of specification files, by part
     "exports": f"""
 SELECT {path('k')} AS path, 'act_' || k AS name, 'export' AS direction, 40 AS line

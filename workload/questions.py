@@ -127,14 +127,14 @@ def _(spark, sf):
 # asked files: the shims
 _VISIBLE = (
     _MEM
-    + """, ask AS (SELECT path FROM files WHERE k % 11 = 3 OR k % 11 = 6), held AS (SELECT DISTINCT member_path AS path, scope_file FROM mem WHERE member_path IN (SELECT path FROM ask))
+    + """, ask AS (SELECT path FROM files WHERE contains(path, '_shim.')), held AS (SELECT DISTINCT member_path AS path, scope_file FROM mem WHERE member_path IN (SELECT path FROM ask))
 , own AS (SELECT path AS from_path, path FROM ask WHERE path NOT IN (SELECT path FROM held) UNION SELECT o.from_path, to_path FROM own o JOIN includes i ON i.from_path = o.path)
 , vis AS (SELECT DISTINCT path AS from_path, member_path AS path FROM held JOIN mem USING (scope_file) UNION SELECT from_path, path FROM own) """
 )
 
 
 def _asked(spark, sf):
-    return table(spark, sf, "files").filter("k % 11 = 3 OR k % 11 = 6").select("path")
+    return table(spark, sf, "files").filter(F.contains("path", F.lit("_shim."))).select("path")
 
 
 @register("scope_files_for_file", cte(_ST + " files", _VISIBLE + "SELECT * FROM vis"))
@@ -152,7 +152,7 @@ def _(spark, sf):
     "active_requirements",
     cte(
         "includes files spec_reqs",
-        "RECURSIVE , cl AS (SELECT path AS for_path, path FROM files WHERE k % 11 = 3 OR k % 11 = 6 UNION SELECT for_path, to_path FROM cl JOIN includes ON from_path = path) SELECT for_path, path, count(*) AS n FROM cl JOIN spec_reqs USING (path) GROUP BY 1, 2",
+        "RECURSIVE , cl AS (SELECT path AS for_path, path FROM files WHERE contains(path, '_shim.') UNION SELECT for_path, to_path FROM cl JOIN includes ON from_path = path) SELECT for_path, path, count(*) AS n FROM cl JOIN spec_reqs USING (path) GROUP BY 1, 2",
     ),
 )
 def _(spark, sf):
@@ -164,7 +164,7 @@ def _(spark, sf):
     "include_summary",
     cte(
         "includes files",
-        """RECURSIVE , ask AS (SELECT path FROM files WHERE k % 11 = 3 OR k % 11 = 6), cl AS (SELECT path, path AS other FROM ask UNION SELECT cl.path, to_path FROM cl JOIN includes ON from_path = other)
+        """RECURSIVE , ask AS (SELECT path FROM files WHERE contains(path, '_shim.')), cl AS (SELECT path, path AS other FROM ask UNION SELECT cl.path, to_path FROM cl JOIN includes ON from_path = other)
 SELECT path, 'transitive' AS relation, other FROM cl WHERE path <> other UNION SELECT from_path, 'includes', to_path FROM includes WHERE from_path IN (SELECT path FROM ask) UNION SELECT to_path, 'included_by', from_path FROM includes WHERE to_path IN (SELECT path FROM ask)""",
     ),
 )
@@ -172,7 +172,7 @@ def _(spark, sf):
     return graph.include_summary(table(spark, sf, "includes"), _asked(spark, sf))
 
 
-_BRING = """RECURSIVE , ask AS (SELECT path FROM files WHERE k % 11 = 3 OR k % 11 = 6), cl AS (SELECT DISTINCT to_path AS start, to_path AS node FROM includes WHERE from_path IN (SELECT path FROM ask) UNION SELECT start, to_path FROM cl JOIN includes ON from_path = node)
+_BRING = """RECURSIVE , ask AS (SELECT path FROM files WHERE contains(path, '_shim.')), cl AS (SELECT DISTINCT to_path AS start, to_path AS node FROM includes WHERE from_path IN (SELECT path FROM ask) UNION SELECT start, to_path FROM cl JOIN includes ON from_path = node)
 , fb AS (SELECT from_path AS path, node AS brought, min((line, include_name)) AS m FROM includes JOIN cl ON start = to_path WHERE from_path IN (SELECT path FROM ask) GROUP BY 1, 2)
 , ih AS (SELECT fb.path, m[1] AS line, m[2] AS include_name, count(*) AS inherited FROM fb JOIN spec_reqs r ON r.path = brought GROUP BY 1, 2, 3) """
 
@@ -217,21 +217,21 @@ def _reads_edges(spark, sf):
     return table(spark, sf, "reads").select(F.col("id").alias("src"), F.lit("READS").alias("etype"), F.col("var").alias("dst"))
 
 
-@register("requirements_for_action", cte("reqs actions", "SELECT monitor_action AS action, id, kind FROM reqs WHERE monitor_action IN (SELECT id FROM actions WHERE line > 45)"))
+@register("requirements_for_action", cte("reqs actions", "SELECT monitor_action AS action, id, kind FROM reqs WHERE monitor_action IN (SELECT id FROM actions)"))
 def _(spark, sf):
-    asked = table(spark, sf, "actions").filter("line > 45").select("id")
+    asked = table(spark, sf, "actions").select("id")
     return graph.requirements_for_action(_constrains(spark, sf), table(spark, sf, "reqs"), asked).select("action", "id", "kind")
 
 
-@register("state_vars_read_by", cte("reads vars reqs", "SELECT DISTINCT r.id AS reader, v.id FROM reads r JOIN vars v ON v.id = r.var WHERE r.id IN (SELECT id FROM reqs WHERE kind = 'assume')"))
+@register("state_vars_read_by", cte("reads vars reqs", "SELECT DISTINCT r.id AS reader, v.id FROM reads r JOIN vars v ON v.id = r.var WHERE r.id IN (SELECT id FROM reqs)"))
 def _(spark, sf):
-    asked = table(spark, sf, "reqs").filter("kind = 'assume'").select("id")
+    asked = table(spark, sf, "reqs").select("id")
     return graph.state_vars_read_by(_reads_edges(spark, sf), table(spark, sf, "vars"), asked).select("reader", "id")
 
 
-@register("requirements_sharing_var", cte("reads reqs vars", "SELECT DISTINCT var, r.id FROM reads r JOIN reqs USING (id) WHERE var IN (SELECT id FROM vars WHERE line < 100)"))
+@register("requirements_sharing_var", cte("reads reqs vars", "SELECT DISTINCT var, r.id FROM reads r JOIN reqs USING (id) WHERE var IN (SELECT id FROM vars)"))
 def _(spark, sf):
-    asked = table(spark, sf, "vars").filter("line < 100").select("id")
+    asked = table(spark, sf, "vars").select("id")
     return graph.requirements_sharing_var(_reads_edges(spark, sf), table(spark, sf, "reqs"), asked).select("var", "id")
 
 
@@ -240,9 +240,9 @@ def _(spark, sf):
     return graph.impact_of_var(_reads_edges(spark, sf), table(spark, sf, "reqs"), table(spark, sf, "vars"))
 
 
-@register("vars_written_by_action", cte("reqs writes actions", "SELECT DISTINCT monitor_action AS action, var FROM reqs JOIN writes USING (path) WHERE monitor_action IN (SELECT id FROM actions WHERE line = 7)"))
+@register("vars_written_by_action", cte("reqs writes", "SELECT DISTINCT monitor_action AS action, var FROM reqs JOIN writes USING (path) WHERE monitor_action IN ('act_12', 'act_70', 'act_155')"))
 def _(spark, sf):
-    asked = table(spark, sf, "actions").filter("line = 7").select("id")
+    asked = spark.createDataFrame([("act_12",), ("act_70",), ("act_155",)], "id string")
     return graph.vars_written_by_action(table(spark, sf, "reqs"), table(spark, sf, "writes"), asked)
 
 
@@ -264,14 +264,13 @@ def _(spark, sf):
 @register(
     "dirty_expand",
     cte(
-        "includes files",
-        "RECURSIVE , cl AS (SELECT path FROM files WHERE k >= (SELECT max(k) - 40 FROM files) UNION SELECT from_path FROM cl JOIN includes ON to_path = path) SELECT path FROM cl",
+        "includes",
+        "RECURSIVE , cl AS (SELECT 'corpus1/layer0/p0/common_0.spec' AS path UNION SELECT from_path FROM cl JOIN includes ON to_path = path) SELECT path FROM cl",
     ),
 )
 def _(spark, sf):
-    f = table(spark, sf, "files")
-    top = f.agg(F.max("k")).first()[0]
-    return graph.dirty_expand(f.filter(F.col("k") >= top - 40).select("path"), table(spark, sf, "includes"), f.count())
+    changed = spark.createDataFrame([("corpus1/layer0/p0/common_0.spec",)], "path string")
+    return graph.dirty_expand(changed, table(spark, sf, "includes"), table(spark, sf, "files").count())
 
 
 @register(
@@ -503,7 +502,7 @@ def _(spark, sf):
     cte(
         "src",
         """, m AS (SELECT * FROM (VALUES ('types', 'type '), ('codec', 'interpret '), ('frame', 'variant '), ('packet', 'type.*quic_packet'), ('connection', 'relation conn'), ('transport', 'action '), ('security', 'action '), ('application', 'action app_'), ('shim', '<<< impl'), ('test_specs', 'export '), ('entities', 'instance '), ('behavior', 'before '), ('recovery', 'no such text'), ('extensions', 'no such text')) AS v(layer, marker))
-, p AS (SELECT layer, bool_or(contains(substr(content, 1, 4096), marker)) AS present FROM m, src GROUP BY layer)
+, p AS (SELECT m.layer, bool_or(contains(substr(content, 1, 4096), marker)) AS present FROM m, src GROUP BY m.layer)
 SELECT layer, present, (SELECT CAST(round(100.0 * count(*) FILTER (present) / 14) AS INT) FROM p) AS score, CASE WHEN present THEN NULL WHEN layer IN ('types', 'frame', 'packet', 'connection') THEN 'high' ELSE 'medium' END AS priority FROM p""",
     ),
 )
@@ -693,17 +692,18 @@ def _(spark, sf):
 
 @register(
     "index_staleness",
-    """WITH b AS (SELECT source AS corpus, 'd' || doc_id AS path, CAST(n_chars AS DOUBLE) AS mtime, doc_id, n_chars, lang FROM documents), m AS (SELECT corpus, path, CASE WHEN n_chars % 97 = 0 THEN NULL ELSE mtime END AS was FROM b WHERE n_chars % 89 <> 1), f AS (SELECT corpus, path, CASE WHEN n_chars % 61 = 0 THEN mtime + 2 WHEN n_chars % 61 = 1 THEN mtime + 1 ELSE mtime END AS now FROM b WHERE n_chars % 83 <> 2)
+    """WITH b AS (SELECT source AS corpus, 'd' || doc_id AS path, CAST(n_chars AS DOUBLE) AS mtime, doc_id, n_chars, lang FROM documents), m AS (SELECT corpus, path, CASE WHEN n_chars % 97 = 0 THEN NULL ELSE mtime END AS was FROM b WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), f AS (SELECT corpus, path, CASE WHEN n_chars % 61 = 0 THEN mtime + 2 WHEN n_chars % 61 = 1 THEN mtime + 1 ELSE mtime END AS now FROM b WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
 , j AS (SELECT coalesce(m.corpus, f.corpus) AS corpus, m.path IS NOT NULL AS known, was, now FROM m FULL JOIN f USING (corpus, path)), a AS (SELECT corpus, count(*) FILTER (known) AS total_files, count(*) FILTER (known AND (was IS NULL OR now IS NULL OR abs(now - was) > 1)) AS changed_files, count(*) FILTER (NOT known) AS new_files FROM j GROUP BY 1)
 SELECT *, CASE WHEN total_files = 0 THEN 'stale_major' WHEN changed_files = 0 THEN 'fresh' WHEN changed_files * 10 < total_files THEN 'stale_minor' ELSE 'stale_major' END AS status FROM a""",
 )
 def _(spark, sf):
     n = F.col("n_chars")
     b = table(spark, sf, "documents").select(
-        F.col("source").alias("corpus"), F.concat(F.lit("d"), "doc_id").alias("path"), n.cast("double").alias("t"), "n_chars"
+        F.col("source").alias("corpus"), F.concat(F.lit("d"), "doc_id").alias("path"), n.cast("double").alias("t"), "n_chars", "doc_id"
     )
-    meta = b.filter(n % 89 != 1).select("corpus", "path", F.when(n % 97 != 0, F.col("t")).alias("mtime"))
-    files = b.filter(n % 83 != 2).select(
+    labels = table(spark, sf, "labels")
+    meta = b.join(labels.filter("quality = 0"), "doc_id", "left_anti").select("corpus", "path", F.when(n % 97 != 0, F.col("t")).alias("mtime"))
+    files = b.join(labels.filter("toxic = 1"), "doc_id", "left_anti").select(
         "corpus", "path", F.when(n % 61 == 0, F.col("t") + 2).when(n % 61 == 1, F.col("t") + 1).otherwise(F.col("t")).alias("mtime")
     )
     return reports.index_staleness(meta, files)
@@ -813,11 +813,11 @@ def _(spark, sf):
 
 @register(
     "lint_no_monitor_scoped",
-    cte("actions reqs exports", _dg("no_monitor", "hint", subject="name") + "actions WHERE name NOT IN (SELECT monitor_action FROM reqs WHERE kind = 'ensure') AND name IN (SELECT name FROM exports)"),
+    cte("actions reqs exports", _dg("no_monitor", "hint", subject="name") + "actions WHERE name NOT IN (SELECT monitor_action FROM reqs WHERE kind = 'ensure' AND mixin_kind = 'around') AND name IN (SELECT name FROM exports)"),
 )
 def _(spark, sf):
     return lint.lint_no_monitor(
-        table(spark, sf, "actions"), table(spark, sf, "reqs").filter("kind = 'ensure'"), table(spark, sf, "exports")
+        table(spark, sf, "actions"), table(spark, sf, "reqs").filter("kind = 'ensure' AND mixin_kind = 'around'"), table(spark, sf, "exports")
     )
 
 

@@ -184,10 +184,10 @@ def _(spark, sf):
     return coverage.coverage_gap_counts(_gaps(spark, sf))
 
 
-# the baseline knows annotations of even orders only
+# the baseline knows the annotations of an earlier date
 _DIFF = (
     _RESOLVE
-    + """, tb AS (SELECT DISTINCT unnest(tags) AS tag FROM annotations WHERE line % 2 = 0), rb AS (SELECT DISTINCT key FROM rs JOIN tb USING (tag))
+    + """, tb AS (SELECT DISTINCT unnest(tags) AS tag FROM annotations_before), rb AS (SELECT DISTINCT key FROM rs JOIN tb USING (tag))
 , df AS (SELECT req_id, CASE WHEN rb.key IS NOT NULL AND NOT covered THEN 'new_gap' WHEN rb.key IS NULL AND covered THEN 'recovered' WHEN covered THEN 'unchanged_covered' ELSE 'unchanged_uncovered' END AS change, rb.key IS NOT NULL AS was, covered AS now
   FROM mk LEFT JOIN rb ON rb.key = req_id) """
 )
@@ -195,10 +195,10 @@ _DIFF = (
 
 def _diff(spark, sf):
     m, a = _man(spark, sf), _ann(spark, sf)
-    return coverage.coverage_diff(coverage.coverage_ids(m, a.filter("line % 2 = 0")), coverage.coverage_ids(m, a))
+    return coverage.coverage_diff(coverage.coverage_ids(m, table(spark, sf, "annotations_before")), coverage.coverage_ids(m, a))
 
 
-@register("coverage_diff", cte("manifest annotations", _DIFF + "SELECT * FROM df"))
+@register("coverage_diff", cte("manifest annotations annotations_before", _DIFF + "SELECT * FROM df"))
 def _(spark, sf):
     return _diff(spark, sf)
 
@@ -206,7 +206,7 @@ def _(spark, sf):
 @register(
     "coverage_diff_summary",
     cte(
-        "manifest annotations",
+        "manifest annotations annotations_before",
         _DIFF
         + """SELECT count(*) FILTER (change = 'new_gap') AS new_gaps, count(*) FILTER (change = 'recovered') AS recovered, count(*) FILTER (change = 'unchanged_covered') AS unchanged_covered,
 count(*) FILTER (change = 'unchanged_uncovered') AS unchanged_uncovered, 'improved' AS direction FROM df""",
