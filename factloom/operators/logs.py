@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.keyed import fill_forward, pick_first, pick_last
+from factloom.plans.keyed import fill_forward, pick_first
 
 # Line formats of the tool logs.
 RUNTIME_ERROR = r"[\w.]*Error:\s*(.*?):\s*line\s+([0-9]+):\s*(?:(error|warning):\s*)?(.*)"
@@ -142,35 +142,43 @@ def parse_counterexamples(log: DataFrame) -> DataFrame:
         },
     )
     body = r"^\s+((?:assert|require|ensure|assume)\s+.+)$"
-    above = marks.filter("cex IS NULL")
-    heads = above.filter("head.at = line_no").groupBy("log_id").agg(
-        F.min_by(F.col("head.line"), "line_no").alias("assertion_line")
-    )
-    bodies = above.filter(F.col("head").isNotNull() & (F.col("head.at") < F.col("line_no")) & t.rlike(body))
-    texts = bodies.groupBy("log_id").agg(
-        F.min_by(_strip(F.regexp_extract(t, body, 1)), "line_no").alias("assertion")
-    )
-    logs = marks.filter("cex = 1").select("log_id").distinct().join(heads, "log_id", "left").join(
-        texts, "log_id", "left"
+    assign = r"^\s{2,}(\w[\w.]*)\s*=\s*(.+)$"
+    above = F.col("cex").isNull()
+    first = lambda value, when: F.min_by(value, F.when(when, F.col("line_no")))
+    logs = (
+        marks.groupBy("log_id")
+        .agg(
+            F.max("cex").alias("cex"),
+            first(F.col("head.line"), above & (F.col("head.at") == F.col("line_no"))).alias("assertion_line"),
+            first(
+                _strip(F.regexp_extract(t, body, 1)), above & (F.col("head.at") < F.col("line_no")) & t.rlike(body)
+            ).alias("assertion"),
+        )
+        .filter("cex = 1")
+        .drop("cex")
     )
-    inside = marks.filter("cex = 1 AND step IS NOT NULL")
-    # lines after a step header belong to it; the header itself names the step
     action = _or_null(_strip(F.regexp_extract(t, r"^\s*Action:\s*(.+)$", 1)))
-    steps = inside.groupBy("log_id", F.col("step.at").alias("at"), F.col("step.number").alias("step_number")).agg(
-        F.min_by(action, F.when(action.isNotNull(), F.col("line_no"))).alias("action")
-    )
-    assign = r"^\s{2,}(\w[\w.]*)\s*=\s*(.+)$"
-    pairs = inside.filter(t.rlike(assign)).select(
-        "log_id",
-        F.col("step.at").alias("at"),
-        "line_no",
-        F.regexp_extract(t, assign, 1).alias("name"),
-        _strip(F.regexp_extract(t, assign, 2)).alias("value"),
+    # first per step and name, so that the last value of a name is chosen by an aggregate
+    names = (
+        marks.filter("cex = 1 AND step IS NOT NULL")
+        .select(
+            "log_id", "line_no", F.col("step.at").alias("at"), F.col("step.number").alias("step_number"),
+            action.alias("action"),
+            F.when(~F.contains(t, F.lit("Action:")), _or_null(F.regexp_extract(t, assign, 1))).alias("name"),
+            _strip(F.regexp_extract(t, assign, 2)).alias("value"),
+        )
+        .groupBy("log_id", "at", "step_number", "name")
+        .agg(
+            F.max_by("value", "line_no").alias("value"),
+            F.min(F.when(F.col("action").isNotNull(), F.struct("line_no", "action"))).alias("action"),
+        )
     )
-    values = pick_last(pairs, ["log_id", "at", "name"], ["line_no"]).groupBy("log_id", "at").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("assignments")
+    steps = names.groupBy("log_id", "at", "step_number").agg(
+        F.min("action").getField("action").alias("action"),
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value"))))
+        ).alias("assignments"),
     )
-    steps = steps.join(values, ["log_id", "at"], "left")
     return logs.join(steps, "log_id", "left").select(
         "log_id", "assertion_line", "assertion", "step_number", "action",
         F.coalesce("assignments", F.create_map().cast("map<string,string>")).alias("assignments"),

@@ -173,7 +173,7 @@ def scan_manifest(spark: SparkSession, root: str, corpus: str | None = None, suf
 
 def scan_check_log(spark: SparkSession, path: str) -> DataFrame:
     """``(log_id, line_no, text)`` of tool logs, line order kept."""
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("log_id"), F.col("value")
     )
     return text.select("log_id", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "text"))

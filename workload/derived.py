@@ -232,8 +232,8 @@ SELECT 'log' || l_orderkey AS log_id, l_linenumber, l_partkey, max(l_suppkey) AS
 FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber""",
     "log": """
 SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY l_linenumber, l_partkey, sub) - 1 AS INT) AS line_no, text FROM (
-SELECT log_id, l_linenumber, l_partkey, s.sub AS sub,
-  CASE s.sub WHEN 0 THEN 'Isolate iso_' || (l_suppkey % 7) || ':'
+SELECT log_id, l_linenumber, l_partkey, sub,
+  CASE sub WHEN 0 THEN 'Isolate iso_' || (l_suppkey % 7) || ':'
     WHEN 1 THEN CASE flag WHEN 'A' THEN 'The following properties are to be checked:' WHEN 'N' THEN 'The following program assertions are treated as guarantees:' ELSE 'The following initializers are present:' END
     WHEN 2 THEN '  in action act_' || l_partkey || ' when called from env:'
     WHEN 3 THEN '    f' || l_suppkey || '.spec: line ' || l_linenumber || ': check ... ' || (CASE st WHEN 'O' THEN 'PASS' ELSE 'FAIL' END)
@@ -243,24 +243,22 @@ SELECT log_id, l_linenumber, l_partkey, s.sub AS sub,
        ELSE 'ValueError: bad ' || flag END
     WHEN 5 THEN 'isolate iso_' || (l_suppkey % 7) || ' : ' || (CASE st WHEN 'O' THEN 'OK' ELSE 'FAIL' END)
     ELSE '' END AS text
-FROM (SELECT 'log' || l_orderkey AS log_id, l_linenumber, l_partkey, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS flag, max(l_linestatus) AS st
+FROM (SELECT 'log' || l_orderkey AS log_id, l_linenumber, l_partkey, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS flag, max(l_linestatus) AS st, {numbers_to_6} AS sub
   FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber) AS li
-CROSS JOIN (SELECT 0 AS sub UNION ALL SELECT 1 AS sub UNION ALL SELECT 2 AS sub UNION ALL SELECT 3 AS sub UNION ALL SELECT 4 AS sub UNION ALL SELECT 5 AS sub UNION ALL SELECT 6 AS sub) AS s
 ) AS q""",
     # counterexample logs, one per order: assertion, steps from its line items
     "cex": """
 SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY part, l_linenumber, l_partkey, sub) - 1 AS INT) AS line_no, text FROM (
-SELECT 'log' || o_orderkey AS log_id, 0 AS part, 0 AS l_linenumber, 0 AS l_partkey, s.sub AS sub,
-  CASE s.sub WHEN 0 THEN 'checking' WHEN 1 THEN 'The following assertion at line ' || (o_custkey % 90) || ' is not always true:'
+SELECT log_id, 0 AS part, 0 AS l_linenumber, 0 AS l_partkey, sub,
+  CASE sub WHEN 0 THEN 'checking' WHEN 1 THEN 'The following assertion at line ' || (o_custkey % 90) || ' is not always true:'
     WHEN 2 THEN '  require pkt > ' || (o_custkey % 7) ELSE 'Counterexample:' END AS text
-FROM {orders} CROSS JOIN (SELECT 0 AS sub UNION ALL SELECT 1 AS sub UNION ALL SELECT 2 AS sub UNION ALL SELECT 3 AS sub) AS s
+FROM (SELECT 'log' || o_orderkey AS log_id, o_custkey, {numbers_to_3} AS sub FROM {orders}) AS o
 UNION ALL
-SELECT log_id, 1 AS part, l_linenumber, l_partkey, s.sub AS sub,
-  CASE s.sub WHEN 0 THEN '  Step ' || l_linenumber || ':' WHEN 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'note' ELSE '    Action: act_' || l_partkey END
+SELECT log_id, 1 AS part, l_linenumber, l_partkey, sub,
+  CASE sub WHEN 0 THEN '  Step ' || l_linenumber || ':' WHEN 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'note' ELSE '    Action: act_' || l_partkey END
     WHEN 2 THEN '    size = ' || l_suppkey ELSE '    size = ' || flag || ' ' END AS text
-FROM (SELECT 'log' || l_orderkey AS log_id, l_linenumber, l_partkey, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS flag
+FROM (SELECT 'log' || l_orderkey AS log_id, l_linenumber, l_partkey, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS flag, {numbers_to_3} AS sub
   FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber) AS li
-CROSS JOIN (SELECT 0 AS sub UNION ALL SELECT 1 AS sub UNION ALL SELECT 2 AS sub UNION ALL SELECT 3 AS sub) AS s
 ) AS q""",
     # tool events
     "ev": """
@@ -275,6 +273,7 @@ def _fill(sql: str, places: dict[str, str]) -> str:
 
 def _spark_sql(name: str, sf: str) -> str:
     places = {t: f"parquet.`{sf}/{t}.parquet`" for t in TABLES}
+    places.update({f"numbers_to_{n}": f"explode(sequence(0, {n}))" for n in (3, 6)})
     return _fill(DERIVED[name], places)
 
 
@@ -286,9 +285,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def cte(names: str, body: str) -> str:
     """DuckDB statement with the named derived relations as common table expressions."""
-    parts = [
-        f"{n} AS ({_fill(DERIVED[n], {t: t for t in TABLES})})" for n in names.split()
-    ]
+    places = {t: t for t in TABLES} | {f"numbers_to_{n}": f"unnest(range(0, {n + 1}))" for n in (3, 6)}
+    parts = [f"{n} AS ({_fill(DERIVED[n], places)})" for n in names.split()]
     return f"WITH {', '.join(parts)} {body}" if not body.lstrip().startswith("RECURSIVE") else (
         f"WITH RECURSIVE {', '.join(parts)} {body.lstrip()[len('RECURSIVE'):]}"
     )
