@@ -159,15 +159,13 @@ def test_count_through(spark):
     rnd = random.Random(6)
     owners = {(f"o{rnd.randint(0, 5)}", f"h{rnd.randint(0, 6)}") for _ in range(20)}
     items = {(f"h{rnd.randint(0, 6)}", f"i{rnd.randint(0, 30)}") for _ in range(60)}
-    got = count_through(
-        spark.createDataFrame(sorted(owners), "o string, h string"),
-        spark.createDataFrame(sorted(items), "h string, i string"),
-        "o", "h", "i", "n",
-    )
+    o, i = spark.createDataFrame(sorted(owners), "o string, h string"), spark.createDataFrame(sorted(items), "h string, i string")
     want = {}
-    for o, h in owners:
-        want.setdefault(o, set()).update(i for hh, i in items if hh == h)
-    assert dict(rows(got)) == {o: len(s) for o, s in want.items() if s}
+    for own, hub in owners:
+        want.setdefault(own, set()).update(x for h, x in items if h == hub)
+    for direct in (None, True, False):
+        got = count_through(o, i, "o", "h", "i", "n", direct)
+        assert dict(rows(got)) == {k: len(s) for k, s in want.items() if s}
 
 
 def test_scope_partitions_is_greedy_by_name(spark):

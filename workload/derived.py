@@ -114,7 +114,7 @@ DERIVED: dict[str, str] = {
     "src": f"""
 SELECT {path('k')} AS path, 'corpus' || (k % 3) AS corpus, 'layer' || (k % 5) AS layer, k,
   concat_ws(chr(10), {', '.join(_SOURCE_LINES)}) AS content
-FROM (SELECT p_partkey AS k, CAST(floor(p_partkey / 2) AS BIGINT) AS h, CAST(floor(p_partkey / 3) AS BIGINT) AS t,
+FROM (SELECT {{spread}} p_partkey AS k, CAST(floor(p_partkey / 2) AS BIGINT) AS h, CAST(floor(p_partkey / 3) AS BIGINT) AS t,
   replace(p_name, ' ', '_') AS nm, lower(replace(p_brand, '#', '')) AS br, lower(p_type) AS ty, p_size AS sz
   FROM {{part}}) AS p""",
     # resolved includes of those files
@@ -225,7 +225,7 @@ SELECT 'f' || (p_partkey % 120) || '.spec' AS path, 'corpus' || (p_partkey % 3)
 SELECT 'doc' || doc_id AS doc, concat_ws(chr(10), '1.  Intro to ' || source, '', 'The ' || lang || ' client MUST send text. It', '   SHOULD NOT wait, see Section 2.1 and [RFC' || (doc_id % 9) || '], Section ' || (doc_id % 4) || '. The ' || lang || ' client MUST send text.',
   '', '1.1.  Scope', '', text, '', '2.  Figure ' || doc_id, '', 'A server MAY reply. It is OPTIONAL as RFC ' || (doc_id % 13) || ' says.', '',
   '2.1.  Rules', '', 'Peers SHALL NOT reset.', CASE WHEN doc_id % 3 = 0 THEN '' END, CASE WHEN doc_id % 3 = 0 THEN '1.5.  Backwards' END, '', '3.  End', '', 'n/a') AS text
-FROM {documents}""",
+FROM (SELECT {spread} doc_id, source, lang, text FROM {documents}) AS d""",
     # logs of a checking tool, one per order, built from its line items' flags
     "log_rows": """
 SELECT 'log' || l_orderkey AS log_id, l_linenumber, l_partkey, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS flag, max(l_linestatus) AS st
@@ -271,21 +271,38 @@ def _fill(sql: str, places: dict[str, str]) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: places.get(m.group(1), m.group(0)), sql)
 
 
-def _spark_sql(name: str, sf: str) -> str:
+#: Tables of text, whose rows are worth spreading over the cores.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def _cores(spark: SparkSession, sf: str, name: str) -> int:
+    """Number of cores to spread a table over; 0 when its files keep all cores busy anyway.
+
+    The driver tables are single files with one row group, which one task would read and process.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return cores if len(spark.read.parquet(f"{sf}/{name}.parquet").inputFiles()) < cores else 0
+
+
+def _spark_sql(spark: SparkSession, name: str, sf: str) -> str:
     places = {t: f"parquet.`{sf}/{t}.parquet`" for t in TABLES}
     places.update({f"numbers_to_{n}": f"explode(sequence(0, {n}))" for n in (3, 6)})
+    cores = _cores(spark, sf, "documents" if name == "docs" else "part") if name in ("src", "docs") else 0
+    places["spread"] = f"/*+ REPARTITION({cores}) */" if cores else ""
     return _fill(DERIVED[name], places)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in TABLES:
-        return spark.read.parquet(f"{sf}/{name}.parquet")
-    return spark.sql(_spark_sql(name, sf))
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        cores = _cores(spark, sf, name) if name in TEXT_TABLES else 0
+        return df.repartition(cores) if cores else df
+    return spark.sql(_spark_sql(spark, name, sf))
 
 
 def cte(names: str, body: str) -> str:
     """DuckDB statement with the named derived relations as common table expressions."""
-    places = {t: t for t in TABLES} | {f"numbers_to_{n}": f"unnest(range(0, {n + 1}))" for n in (3, 6)}
+    places = {t: t for t in TABLES} | {"spread": ""} | {f"numbers_to_{n}": f"unnest(range(0, {n + 1}))" for n in (3, 6)}
     parts = [f"{n} AS ({_fill(DERIVED[n], places)})" for n in names.split()]
     return f"WITH {', '.join(parts)} {body}" if not body.lstrip().startswith("RECURSIVE") else (
         f"WITH RECURSIVE {', '.join(parts)} {body.lstrip()[len('RECURSIVE'):]}"
