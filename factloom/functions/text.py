@@ -7,7 +7,7 @@ when a declaration spans lines, so that extraction jobs stay map-only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
@@ -54,6 +54,17 @@ def group(hit: Column, pattern: str, n: int = 1) -> Column:
     return unnumbered(F.regexp_extract(hit, pattern, n))
 
 
+def exploded(df: DataFrame, keep: list, array: Column, item: str, pos: str | None = None) -> DataFrame:
+    """One row per element of a computed array, with its position if asked.
+
+    A plain ``explode`` lets Spark add a filter on the size of the array, which computes it twice (and puts
+    it into lambdas that look back at it). The outer form is computed once; empty arrays go afterwards.
+    """
+    at = pos or "_pos"
+    out = df.select(*keep, F.posexplode_outer(array).alias(at, item)).filter(F.col(at).isNotNull())
+    return out if pos else out.drop(at)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, also when the body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), 0)

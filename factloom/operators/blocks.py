@@ -38,7 +38,7 @@ def explode_lines(files: DataFrame, before: int = 0, after: int = 0) -> DataFram
     lines = F.col("_lines")
     keep = [c for c in files.columns if c != "content"]
     if not (before or after):
-        return files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("line_no", "text"))
+        return T.exploded(files, keep, F.split("content", "\n", -1), "text", "line_no")
     wide = files.withColumn("_lines", F.split("content", "\n", -1))
     rows = F.transform(
         lines,
@@ -49,7 +49,7 @@ def explode_lines(files: DataFrame, before: int = 0, after: int = 0) -> DataFram
             *[F.get(lines, i + n).alias(f"next{n}") for n in range(1, after + 1)],
         ),
     )
-    return wide.select(*keep, F.explode(rows).alias("_r")).select(*keep, "_r.*")
+    return T.exploded(wide, keep, rows, "_r").select(*keep, "_r.*")
 
 
 def block_tokens(files: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def block_tokens(files: DataFrame) -> DataFrame:
     One shuffle by path carries the tokens; the four scans that follow need only re-sort them. A path
     never holds more tokens than its one text row, so the group is bounded by the size of a row.
     """
-    toks = files.select("path", F.posexplode(T.hits(T.numbered(F.col("content")), _TOKENS)).alias("pos", "tok"))
+    toks = T.exploded(files, ["path"], T.hits(T.numbered(F.col("content")), _TOKENS), "tok", "pos")
     t = F.col("tok")
     bare = F.regexp_replace(t, rf"^{T.LINE}", "")
     kind = (

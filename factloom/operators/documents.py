@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import running_offsets
+from factloom.functions.text import exploded, running_offsets
 from factloom.plans.prefixes import dotted_prefixes
 
 # Requirement keywords, strongest first.
@@ -104,10 +104,8 @@ def parse_sections(docs: DataFrame) -> DataFrame:
         .withColumn("_titled", titled)
         .withColumn("_kept", kept)
         .withColumn("_heads", F.filter("_titled", lambda c: F.array_contains(F.col("_kept"), c["line"])))
-        .select(
-            "doc", "_lines", "_kept", F.posexplode("_heads").alias("ordinal", "h")
-        )
     )
+    sections = exploded(sections, ["doc", "_lines", "_kept"], F.col("_heads"), "h", "ordinal")
     end = F.coalesce(F.get("_kept", F.col("ordinal") + 1), F.size("_lines"))
     body = F.slice("_lines", F.col("h.line") + 2, end - F.col("h.line") - 1)
     return sections.select(
@@ -156,11 +154,10 @@ def extract_normative(sections: DataFrame) -> DataFrame:
         ),
         0,
     )
-    return (
-        sections.filter(F.col("text") != "")
-        .select("doc", F.col("number").alias("section"), F.explode(kept).alias("sentence"))
-        .select("doc", "section", strongest.alias("keyword"), F.col("sentence").alias("text"))
+    rows = exploded(
+        sections.filter(F.col("text") != ""), ["doc", F.col("number").alias("section")], kept, "sentence"
     )
+    return rows.select("doc", "section", strongest.alias("keyword"), F.col("sentence").alias("text"))
 
 
 def _with_context(joined: Column, pattern: str) -> Column:
@@ -206,7 +203,7 @@ def extract_cross_refs(sections: DataFrame) -> DataFrame:
         rows(2, SECTION_REF, lambda h: none, section),
         rows(3, DOC_REF, number, lambda h: none),
     )
-    refs = base.select("doc", "source_section", F.explode(found).alias("r")).select(
+    refs = exploded(base, ["doc", "source_section"], found, "r").select(
         "doc", "source_section", "r.*"
     )
     taken = (F.col("rank") == 2) & F.right("left", F.lit(15)).rlike(r"(?i)\[RFC\s*[0-9]+\]\s*,?\s*$")
@@ -248,7 +245,7 @@ def _requirement_sentences(text: Column) -> Column:
 
 def extract_requirement_sentences(docs: DataFrame) -> DataFrame:
     """Requirement sentences of ``docs(doc, text)`` with normalised level and character offset."""
-    return docs.select("doc", F.posexplode(_requirement_sentences(F.col("text"))).alias("ordinal", "r")).select(
+    return exploded(docs, ["doc"], _requirement_sentences(F.col("text")), "r", "ordinal").select(
         "doc", "ordinal", "r.text", "r.level", "r.offset"
     )
 

@@ -58,21 +58,13 @@ def lint_unmatched_brace(files: DataFrame) -> DataFrame:
     # the text before each brace gives its column: split on braces, keep lengths
     braces = F.regexp_extract_all("code", F.lit(r"[{}]"), F.lit(0))
     gaps = F.transform(F.split("code", r"[{}]", -1), lambda g: F.length(g) + 1)
-    rows = (
-        lines.withColumn("code", code)
-        .filter(F.col("code").rlike(r"[{}]"))
-        .withColumn(
-            "b",
-            F.explode(
-                F.zip_with(
-                    braces,
-                    F.slice(F.zip_with(T.running_offsets(gaps), gaps, lambda at, g: at + g - 1), F.lit(1), F.size(braces)),
-                    lambda c, col: F.struct(c.alias("c"), col.alias("col")),
-                )
-            ),
-        )
-        .select("path", F.col("line_no").alias("line"), F.col("b.col").alias("col"),
-                F.when(F.col("b.c") == "{", 1).otherwise(-1).alias("d"))
+    columns = F.slice(
+        F.zip_with(T.running_offsets(gaps), gaps, lambda at, g: at + g - 1), F.lit(1), F.size(braces)
+    )
+    placed = F.zip_with(braces, columns, lambda c, col: F.struct(c.alias("c"), col.alias("col")))
+    coded = lines.withColumn("code", code).filter(F.col("code").rlike(r"[{}]"))
+    rows = T.exploded(coded, ["path", F.col("line_no").alias("line")], placed, "b").select(
+        "path", "line", F.col("b.col").alias("col"), F.when(F.col("b.c") == "{", 1).otherwise(-1).alias("d")
     )
     order = Window.partitionBy("path").orderBy("line", "col")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

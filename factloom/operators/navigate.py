@@ -103,7 +103,7 @@ def find_implementations(symbols: DataFrame, queries: DataFrame) -> DataFrame:
 def word_index(files: DataFrame) -> DataFrame:
     """Inverted index of words: ``(word, path, line, col)``, both counted from 0."""
     keep = [c for c in files.columns if c != "content"]
-    lines = files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
+    lines = T.exploded(files, keep, F.split("content", "\n", -1), "text", "line")
     words = F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))
     # the separators before each word give its distance to the word before, hence its column
     gaps = F.transform(F.split("text", r"\w+", -1), lambda g: F.length(g))
@@ -112,7 +112,7 @@ def word_index(files: DataFrame) -> DataFrame:
     steps = F.zip_with(before, F.transform("words", lambda w: F.length(w)), lambda g, n: g + n)
     columns = F.zip_with(T.running_offsets(steps), before, lambda at, g: at + g)
     placed = F.zip_with("words", columns, lambda w, at: F.struct(w.alias("word"), at.alias("col")))
-    return rows.select(*keep, "line", F.explode(placed).alias("w")).select(
+    return T.exploded(rows, [*keep, "line"], placed, "w").select(
         F.col("w.word").alias("word"), *keep, "line", F.col("w.col").alias("col")
     )
 

@@ -359,7 +359,7 @@ def detect_patterns(files: DataFrame, kinds: list[str] | None = None) -> DataFra
     arrays = [_IN_ROW[k]() for k in kinds if k in _IN_ROW]
     if "entity" in kinds:
         arrays.append(entity_rows()[1])
-    rows = _prepare(files).select("path", F.explode(F.concat(*arrays)).alias("r")).select(
+    rows = T.exploded(_prepare(files), ["path"], F.concat(*arrays), "r").select(
         "r.kind", "r.subtype", "path", "r.line", "r.name", "r.details", "r.fields", "r.args", "r.states"
     )
     return rows.unionByName(_monitor_blocks(files)) if "monitors" in kinds else rows
@@ -425,8 +425,8 @@ def extract_variant_structs(files: DataFrame, parent: str | None = None) -> Data
     """
     obj = rf"object[ \t]+\w+{T.WS}={T.WS}\{{"
     var = rf"variant[ \t]+this[ \t]+of[ \t]+\w+{T.WS}={T.WS}struct{T.WS}\{{[^}}]+\}}"
-    found = F.posexplode(T.hits(T.numbered(F.col("content")), f"{T.LINE}|{obj}|{var}"))
-    toks = files.select("path", found.alias("pos", "tok"))
+    found = T.hits(T.numbered(F.col("content")), f"{T.LINE}|{obj}|{var}")
+    toks = T.exploded(files, ["path"], found, "tok", "pos")
     t = F.col("tok")
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     toks = (
@@ -454,7 +454,7 @@ def extract_tag_map(files: DataFrame) -> DataFrame:
         F.regexp_extract_all(impl, F.lit(pattern), F.lit(2)).alias("wire_type"),
     )
     base = files.select("path", F.col("content").alias("_n")).withColumn("_impl", _native_text(_IMPL))
-    rows = base.select("path", F.posexplode(pairs).alias("pos", "p"))
+    rows = T.exploded(base, ["path"], pairs, "p", "pos")
     return rows.groupBy("path", F.col("p.tag").cast("int").alias("tag")).agg(
         F.max_by("p.wire_type", "pos").alias("wire_type")
     )
@@ -521,7 +521,7 @@ def pattern_crossref(patterns: DataFrame) -> DataFrame:
         lambda e: e.isNotNull(),
     )
     open_names = (
-        patterns.select(F.explode(entries).alias("e"))
+        T.exploded(patterns, [], entries, "e")
         .groupBy("e.space", "e.related")
         .agg(F.max("e.offers").alias("offered"))
         .filter("NOT offered")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import dir_of, let, stem_of
+from factloom.functions.text import dir_of, exploded, let, stem_of
 from factloom.plans.keyed import top_per_key
 
 
@@ -193,10 +193,10 @@ def near_miss(names: DataFrame, stems: DataFrame) -> DataFrame:
     left = asked.join(same, "name", "left_anti")
     wild_count = F.length("v") - F.length(F.translate("v", "\u0001", ""))
     digit, rest = F.substring("e", 1, 1).cast("int"), F.substring("e", 2, 1 << 20)
-    stem_side = known.select("stem", F.explode(_edit_variants(F.col("stem"))).alias("e")).select(
+    stem_side = exploded(known, ["stem"], _edit_variants(F.col("stem")), "e").select(
         rest.alias("v"), digit.alias("stem_d"), "stem"
     )
-    name_side = left.select("name", F.explode(_edit_variants(F.col("name"))).alias("e")).select(
+    name_side = exploded(left, ["name"], _edit_variants(F.col("name")), "e").select(
         "name", rest.alias("v"), digit.alias("name_d")
     )
     firsts = top_per_key(stem_side, ["v", "stem_d"], [F.col("stem")], 2).drop("rank")

@@ -65,8 +65,8 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def _numbered_hits(files: DataFrame, pattern: str) -> DataFrame:
     """One row per match over the numbered text: path, ordinal, line, hit without its first mark."""
-    found = F.posexplode(T.hits(T.numbered(F.col("content")), pattern)).alias("ordinal", "hit")
-    return files.select("path", found).withColumn("line", T.first_line(F.col("hit")))
+    found = T.exploded(files, ["path"], T.hits(T.numbered(F.col("content")), pattern), "hit", "ordinal")
+    return found.withColumn("line", T.first_line(F.col("hit")))
 
 
 _DECL = (
@@ -142,9 +142,7 @@ def extract_nested_symbols(files: DataFrame) -> DataFrame:
     Every declaration looks up, for each nesting level above it, the scope opened last on that level; the
     chain is at most as long as the nesting is deep. Includes always stand at top level.
     """
-    toks = files.select(
-        "path", F.posexplode(T.hits(T.numbered(F.col("content")), _NESTED)).alias("pos", "tok")
-    )
+    toks = T.exploded(files, ["path"], T.hits(T.numbered(F.col("content")), _NESTED), "tok", "pos")
     t = F.col("tok")
     word = F.regexp_extract(t, rf"^({_WORDS})\s", 1)
     name = F.regexp_replace(T.unnumbered(t), r"^\w+\s+\[?\s*|\s*\]$", "")
@@ -162,25 +160,21 @@ def extract_nested_symbols(files: DataFrame) -> DataFrame:
         .filter("keyword IS NOT NULL OR delta <> 0")
     )
     opens_scope = F.col("keyword").isin(SCOPE_WORDS)
-    # a scope is open from its keyword until the depth falls back to the depth of the keyword
-    level = F.when(F.col("delta") == 1, F.col("depth") - 1).otherwise(F.col("depth"))
-    toks = toks.withColumn("level", level)
+    # a scope is open from its keyword to the next brace that closes its level or the level around it, so
+    # every closing brace counts on two levels; what it ends is what was opened there since the last one
+    closes = F.col("delta") == -1
+    base = F.when(F.col("delta") == 1, F.col("depth") - 1).otherwise(F.col("depth"))
+    toks = toks.withColumn("level", F.explode_outer(F.when(closes, F.array(base, base + 1)).otherwise(F.array(base))))
     by_level = Window.partitionBy("path", "level").orderBy("pos")
-    prev = F.lag(F.struct("keyword", "pos")).over(by_level)
-    later = by_level.rowsBetween(1, Window.unboundedFollowing)
-    closer = F.when(F.col("delta") == -1, F.col("pos"))
-    toks = toks.withColumn("scope_end", F.when(opens_scope, F.first(closer, True).over(later)))
-    # the running number of open scopes gives the nesting of names
-    starts = toks.filter(opens_scope).select("path", "pos", F.lit(1).alias("step"))
-    ends = (
-        toks.filter(opens_scope & F.col("scope_end").isNotNull())
-        .groupBy("path", F.col("scope_end").alias("pos"))
-        .agg((-F.count("*")).cast("int").alias("step"))
-    )
-    steps = starts.unionByName(ends).groupBy("path", "pos").agg(F.sum("step").alias("step"))
-    toks = toks.join(steps, ["path", "pos"], "left").withColumn(
-        "nesting", F.sum(F.coalesce("step", F.lit(0))).over(upto)
+    opened = F.sum(F.coalesce(opens_scope.cast("int"), F.lit(0))).over(
+        by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    toks = toks.withColumn("opened", opened)
+    before = F.last(F.when(closes, F.col("opened")), True).over(by_level.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.when(closes, F.col("opened") - F.coalesce(before, F.lit(0))).otherwise(0)
+    step = F.coalesce(opens_scope.cast("int"), F.lit(0)) - F.col("ended")
+    in_order = Window.partitionBy("path").orderBy("pos", "level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    toks = toks.withColumn("ended", ended).withColumn("nesting", F.sum(step).over(in_order))
     own = toks.filter("keyword IS NOT NULL").select(
         "path", "pos", "line", "keyword", name.alias("name"),
         (F.col("nesting") - opens_scope.cast("int")).alias("nesting"),

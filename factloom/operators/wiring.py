@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import last_component
+from factloom.functions.text import exploded, last_component
 
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_.]*"
 
@@ -22,12 +22,8 @@ def wire_reads(formulas: DataFrame, state_vars: DataFrame) -> DataFrame:
     parts that are known names.
     """
     known = state_vars.select(F.col("name").alias("token")).distinct()
-    tokens = formulas.select(
-        "id",
-        F.explode(
-            F.array_distinct(F.regexp_extract_all("formula_text", F.lit(IDENTIFIER), F.lit(0)))
-        ).alias("token"),
-    )
+    found = F.array_distinct(F.regexp_extract_all("formula_text", F.lit(IDENTIFIER), F.lit(0)))
+    tokens = exploded(formulas, ["id"], found, "token")
     whole = tokens.join(known, "token", "left_semi")
     parts = F.split("token", r"\.")
     size = F.size(parts)

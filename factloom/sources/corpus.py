@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.text import stem_of
+from factloom.functions.text import exploded, stem_of
 
 # Directories a scan leaves out.
 EXCLUDE_DIRS = [
@@ -176,7 +176,7 @@ def scan_check_log(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("log_id"), F.col("value")
     )
-    return text.select("log_id", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "text"))
+    return exploded(text, ["log_id"], F.split("value", r"\r?\n", -1), "text", "line_no")
 
 
 SESSION_SCHEMA = (

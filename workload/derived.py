@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.plans.lineage import ensure_checkpoint_dir
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -292,12 +294,21 @@ def _spark_sql(spark: SparkSession, name: str, sf: str) -> str:
     return _fill(DERIVED[name], places)
 
 
+#: Derived relations are fact tables: written once per application, then read like any other table.
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in TABLES:
         df = spark.read.parquet(f"{sf}/{name}.parquet")
         cores = _cores(spark, sf, name) if name in TEXT_TABLES else 0
         return df.repartition(cores) if cores else df
-    return spark.sql(_spark_sql(spark, name, sf))
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE:
+        path = f"{ensure_checkpoint_dir(spark)}/derived/{key[0]}/{sf.strip('/').replace('/', '_')}/{name}"
+        spark.sql(_spark_sql(spark, name, sf)).write.mode("overwrite").parquet(path)
+        _MADE[key] = path
+    return spark.read.parquet(_MADE[key])
 
 
 def cte(names: str, body: str) -> str:
