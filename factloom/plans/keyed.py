@@ -60,7 +60,7 @@ def fill_forward(
 
     ``order`` must be a total order within ``keys``; its first column is numeric unless ``chunk`` (a
     column that never decreases along the order) is given. With ``inclusive=False`` the row itself
-    does not count.
+    does not count. Keys are not null.
     """
     keys, order = list(keys), list(order)
     chunk = chunk if chunk is not None else F.floor(F.col(order[0]) / F.lit(CHUNK))
@@ -90,7 +90,8 @@ def fill_forward(
         *[F.last(f"_t_{n}", True).over(before).alias(f"_c_{n}") for n in values],
     )
     carried = carried.filter(" OR ".join(f"_c_{n} IS NOT NULL" for n in values))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    # plain equality, so that the join reuses the shuffle of the window
+    same = [F.col(k) == F.col(f"_k_{k}") for k in keys]
     joined = local.join(carried, [*same, F.col("_chunk") == F.col("_k_chunk")], "left")
     return joined.select(
         *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values]
@@ -104,7 +105,7 @@ def running_total(
     values: dict[str, Column],
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Add running sums (the row included) of each expression along ``order`` within ``keys``."""
+    """Add running sums (the row included) of each expression along ``order`` within non-null ``keys``."""
     keys, order = list(keys), list(order)
     chunk = chunk if chunk is not None else F.floor(F.col(order[0]) / F.lit(CHUNK))
     base = df.withColumn("_chunk", chunk).withColumns({f"_v_{n}": e for n, e in values.items()})
@@ -123,7 +124,8 @@ def running_total(
         F.col("_chunk").alias("_k_chunk"),
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in values],
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    # plain equality, so that the join reuses the shuffle of the window
+    same = [F.col(k) == F.col(f"_k_{k}") for k in keys]
     joined = local.join(carried, [*same, F.col("_chunk") == F.col("_k_chunk")], "left")
     return joined.select(
         *df.columns,
