@@ -23,7 +23,8 @@ _STATEMENT = (
 )
 _ASSIGN = rf"{_START}[\w.]+(?:\([^)\n]*\))?[ \t]*:="
 _GUARD = r"_generating"
-_MARK = T.LINE
+# only lines that hold a brace or may open a block need to be known by number
+_MARK = rf"{T.LINE}(?=[^\n]*(?:[{{}}]|\b(?:{MONITOR_WORDS}|action)\b))"
 _TOKENS = "|".join(
     f"(?:{p})" for p in (_NATIVE, _STATEMENT, _ASSIGN, _COMMENT, _MONITOR, _ACTION, _GUARD, _MARK, r"[{}]")
 )
