@@ -288,7 +288,7 @@ LAYER_RULES = [
     ("extensions", "%ext%.%", None),
 ]
 HIGH_PRIORITY_LAYERS = ["types", "frame", "packet", "connection"]
-#: A marker counts when it stands within this many characters of the start; the reference rule.
+#: A marker counts when it stands within this many characters of the start (a fixed value of the rule).
 MARKER_REACH = 4096
 
 
