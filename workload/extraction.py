@@ -573,3 +573,18 @@ def _(spark, sf):
     return table(spark, sf, "symbols").select(
         q, T.last_component(q).alias("leaf"), T.module_of(q).alias("module"), F.size(dotted_prefixes(q)).alias("parts")
     )
+
+
+@register("last_component", cte("symbols", "SELECT qualified_name, string_split(qualified_name, '.')[-1] AS leaf FROM symbols"))
+def _(spark, sf):
+    q = F.col("qualified_name")
+    return table(spark, sf, "symbols").select(q, T.last_component(q).alias("leaf"))
+
+
+@register(
+    "module_of",
+    cte("symbols", "SELECT qualified_name, CASE WHEN contains(qualified_name, '.') THEN regexp_replace(qualified_name, '\\.[^.]*$', '') ELSE qualified_name END AS module FROM symbols"),
+)
+def _(spark, sf):
+    q = F.col("qualified_name")
+    return table(spark, sf, "symbols").select(q, T.module_of(q).alias("module"))
