@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
+from factloom.llm.groups import in_block_pairs, whole_groups
 from factloom.llm.storage import stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
@@ -164,49 +165,23 @@ def _compare_blocks(bounds: list[int], percent: int):
         return ids[i[keep]], ids[j[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, table]) if rest is not None else table
-            rest, done = _split_last_group(rest)
-            yield from found(done)
-        if rest is not None:
-            yield from found(rest)
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        group = [table.column(c).to_numpy() for c in _GROUP]
-        cuts = _group_cuts(group)
-        ids, comp, block, size = (table.column(c).to_numpy() for c in ("node", "component", "block", "n_shingles"))
-        sketch = _sketches(table.column("sketch"))
-        left, right = [], []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = pairs(ids[s:e], comp[s:e], block[s:e], size[s:e], sketch[s:e], group[1][s], group[2][s])
-            left.append(np.minimum(x, y))
-            right.append(np.maximum(x, y))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"]
-        )
+        for table, cuts in whole_groups(batches, _GROUP):
+            ids, comp, block, size, lo, hi = (
+                table.column(c).to_numpy() for c in ("node", "component", "block", "n_shingles", "lo", "hi")
+            )
+            sketch = _sketches(table.column("sketch"))
+            left, right = [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                x, y = pairs(ids[s:e], comp[s:e], block[s:e], size[s:e], sketch[s:e], lo[s], hi[s])
+                left.append(np.minimum(x, y))
+                right.append(np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"]
+            )
 
     return run
 
 
-def _group_cuts(group: list[np.ndarray]) -> np.ndarray:
-    change = np.zeros(len(group[0]) - 1, dtype=bool)
-    for g in group:
-        change |= g[1:] != g[:-1]
-    return np.concatenate(([0], np.flatnonzero(change) + 1, [len(group[0])]))
-
-
-def _split_last_group(table: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """The rows of the last group, which the next batch may go on with, and the rows before them."""
-    if not table.num_rows:
-        return table, table
-    cuts = _group_cuts([table.column(c).to_numpy() for c in _GROUP])
-    return table.slice(cuts[-2]), table.slice(0, cuts[-2])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -281,12 +256,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     # bands that still hold several components
     member = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_bands = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    member = member.join(open_bands.select("key"), "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    member = member.select("key", "node", "component", "block", other.alias("other")).select(
-        "key", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    )
+    member = member.join(open_bands.select("key"), "key", "left_semi").select("key", "node", "component", "n")
+    member = in_block_pairs(member, "node", "n", BLOCK)
     second = (
         member.join(sketch, "node")
         .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch")
