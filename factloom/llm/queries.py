@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.llm.bpe import decode, encode
 from factloom.llm.embedding_dups import near_vectors
 from factloom.llm.near_dups import near_duplicates
 from factloom.llm.topk import top_k
@@ -33,6 +36,15 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+@_query("op4_byte_bpe")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode(_table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+    return decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @_query(
     "op6_threshold_top_k",
     """
