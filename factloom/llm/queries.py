@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe import decode, encode
 from factloom.llm.embedding_dups import near_vectors
 from factloom.llm.near_dups import near_duplicates
+from factloom.llm.ngram import score_held_out
 from factloom.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +74,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+@_query("op7_kneser_ney")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return score_held_out(_table(spark, sf, "documents"))
+
+
 @_query(
     "op8_cross_polytope_near_dups",
     """
