@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from factloom.llm.bpe import decode, encode
 from factloom.llm.embedding_dups import near_vectors
+from factloom.llm.line_templates import drop_recurring_lines
 from factloom.llm.near_dups import near_duplicates
 from factloom.llm.ngram import score_held_out
+from factloom.llm.packing import pack
+from factloom.llm.quality import quality
 from factloom.llm.topk import top_k
+from factloom.llm.toxicity import toxicity
+from factloom.llm.url_lists import verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +42,75 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
+
+
+@_query(
+    "op2_dated_url_lists",
+    f"""
+WITH page AS (
+  SELECT DISTINCT page_id, url, DATE '2022-01-01' + CAST((page_id * 7919) % 1096 AS INTEGER) AS day,
+    lower(regexp_extract(url, '{_URL}', 1)) AS host, regexp_extract(url, '{_URL}', 2) AS path
+  FROM pages
+),
+entry AS (
+  SELECT CASE WHEN page_id % 5 = 0 THEN 'allow' ELSE 'block' END AS list,
+    CASE page_id % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'host' WHEN 2 THEN 'segment' ELSE 'url' END AS kind,
+    CASE page_id % 4 WHEN 0 THEN regexp_extract(host, '[.]([^.]+[.][^.]+[.][^.]+)$', 1) WHEN 1 THEN host
+      WHEN 2 THEN host || regexp_extract(path, '^(/[^/]*)', 1) ELSE host || path END AS value,
+    DATE '2021-12-01' + CAST((page_id * 104729) % 1096 AS INTEGER) AS day, (page_id // 4) % 3 <> 0 AS added
+  FROM page
+),
+daily AS (
+  SELECT list, kind, value, day, min(added) AS added FROM entry WHERE list || kind || value IS NOT NULL AND day IS NOT NULL GROUP BY ALL
+),
+named AS (
+  SELECT page_id, url, day, 'url' AS kind, host || path AS value FROM page WHERE host <> ''
+  UNION SELECT page_id, url, day, 'segment', host || regexp_extract(path, '^(/[^/]*)', 1) FROM page WHERE host <> ''
+  UNION SELECT page_id, url, day, 'host', host FROM page WHERE host <> ''
+  UNION SELECT page_id, url, day, 'domain', array_to_string(string_split(host, '.')[unnest(range(1, len(string_split(host, '.')) + 1)):], '.')
+  FROM page WHERE host <> ''
+),
+latest AS (
+  SELECT n.page_id, n.url, n.day, d.list, d.kind, d.value, arg_max(d.added, d.day) AS active
+  FROM named n JOIN daily d ON n.kind = d.kind AND n.value = d.value AND d.day <= n.day
+  GROUP BY ALL
+),
+held AS (
+  SELECT page_id, url, day, count(*) FILTER (list = 'block') AS blocked_by, count(*) FILTER (list = 'allow') AS allowed_by
+  FROM latest WHERE active GROUP BY ALL
+)
+SELECT p.page_id, p.url, p.day, coalesce(blocked_by, 0) AS blocked_by, coalesce(allowed_by, 0) AS allowed_by,
+  CASE WHEN allowed_by > 0 THEN 'allowed' WHEN blocked_by > 0 THEN 'blocked' ELSE 'unlisted' END AS verdict
+FROM page p LEFT JOIN held h ON p.page_id IS NOT DISTINCT FROM h.page_id AND p.url IS NOT DISTINCT FROM h.url
+  AND p.day IS NOT DISTINCT FROM h.day
+""",
+)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages have no fetch day and there are no lists, so both are derived from the pages: every page gives a capture, and an
+    entry that adds or removes its URL, segment, host or domain on another day."""
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.expr("date_add(DATE '2022-01-01', CAST((page_id * 7919) % 1096 AS INT))"))
+    host, path = F.lower(F.regexp_extract("url", _URL, 1)), F.regexp_extract("url", _URL, 2)
+    kind = F.when(F.expr("page_id % 4 = 0"), "domain").when(F.expr("page_id % 4 = 1"), "host")
+    value = F.when(F.expr("page_id % 4 = 0"), F.regexp_extract(host, r"[.]([^.]+[.][^.]+[.][^.]+)$", 1)).when(F.expr("page_id % 4 = 1"), host)
+    entries = pages.select(
+        F.expr("IF(page_id % 5 = 0, 'allow', 'block')").alias("list"),
+        kind.when(F.expr("page_id % 4 = 2"), "segment").otherwise("url").alias("kind"),
+        value.when(F.expr("page_id % 4 = 2"), F.concat(host, F.regexp_extract(path, "^(/[^/]*)", 1)))
+        .otherwise(F.concat(host, path))
+        .alias("value"),
+        F.expr("date_add(DATE '2021-12-01', CAST((page_id * 104729) % 1096 AS INT))").alias("day"),
+        F.expr("(page_id DIV 4) % 3 <> 0").alias("added"),
+    )
+    return verdicts(captures, entries)
+
+
+@_query("op3_length_buckets")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents"))
+
+
 @_query("op4_byte_bpe")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +120,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query("op5_line_templates")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_recurring_lines(_table(spark, sf, "documents"))
+
+
 @_query(
     "op6_threshold_top_k",
     """
@@ -107,3 +186,13 @@ GROUP BY e.vec_id
 )
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(_table(spark, sf, "embeddings"))
+
+
+@_query("op9_rule_ensemble")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@_query("op10_string_kernel")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
