@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.mapped import SharedSet, shared_set
 from factloom.llm.near_dups import SHINGLE
 from factloom.llm.storage import stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
@@ -104,7 +105,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
-    """``(doc_id, line)``: hashes of the lines of each document that follow a recurring template."""
+    """``line``: the hashes of all lines that follow a recurring template, once each."""
     lines = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(_read, _LINES)
     lines = stored(lines, "lines")
     held = lines.select("leaf", "doc_id", "sketch").distinct()
@@ -135,28 +136,30 @@ def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
         .agg(F.count("constant").alias("constants"), F.count("*").alias("places"))
         .filter(F.col("constants") >= SIMILAR * F.col("places"))
     )
-    return members.join(follows.select("leaf", "line"), ["leaf", "line"]).select("doc_id", "line").distinct()
+    return follows.select("line").distinct()
 
 
-def _strip(text: str, column: str, names: list[str]):
-    """Texts without the lines whose hash is listed."""
+def _strip(gone: SharedSet, text: str, names: list[str]):
+    """Texts without the lines whose hash is in the set; columns ``n_lines`` and ``n_dropped`` if they are among ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
                 lines = Lines(*utf8(batch.column(text)))
-                bounds = row_bounds(lines.row, batch.num_rows)
-                gone = batch.column(column)
+                out = gone.has(lines.hash) & (lines.size >= LEAST)
+                if "doc_id" in batch.schema.names:
+                    out &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[lines.row]
                 texts = batch.column(text).to_pylist()
                 n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
-                n_gone = [0] * len(texts)
-                for i in np.flatnonzero(gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
-                    own = slice(bounds[i], bounds[i + 1])
-                    listed = gone[int(i)].values.to_numpy().view(np.uint64)
-                    out = set(lines.number[own][np.isin(lines.hash[own], listed) & (lines.size[own] >= LEAST)].tolist())
-                    kept = [line for k, line in enumerate(texts[i].split("\n")) if k not in out]
-                    texts[i], n_gone[i] = "\n".join(kept), len(out)
-                new = {text: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_gone, pa.int64())}
+                n_gone = np.bincount(lines.row[out], minlength=batch.num_rows)
+                bounds = row_bounds(lines.row[out], batch.num_rows)
+                for i in np.flatnonzero(n_gone):
+                    drop = set(lines.number[out][bounds[i] : bounds[i + 1]].tolist())
+                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in drop)
+                new = {text: pa.array(texts, batch.column(text).type)}
+                for name, values in (("n_lines", n_lines), ("n_dropped", n_gone)):
+                    if name not in batch.schema.names:
+                        new[name] = pa.array(values, pa.int64())
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
     return run
@@ -166,21 +169,20 @@ def drop_recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` as ``(doc_id, text, n_lines, n_dropped)``, without recurring lines.
 
     A document that loses all lines stays, with an empty text. Null texts stay null; rows without an id are left as they are and count
-    for no template. Rows that repeat an id are one document and lose the same lines. Other columns are not read.
+    for no template. Rows that repeat an id are one document in the counts. Other columns are not read.
     """
-    gone = recurring_lines(docs, fewest).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))  # at most the document's lines
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left")
+    gone = shared_set(recurring_lines(docs, fewest), "recurring")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = ["doc_id", "text", "n_lines", "n_dropped"]
-    return rows.mapInArrow(_strip("text", "gone", names), "doc_id long, text string, n_lines long, n_dropped long")
+    return rows.mapInArrow(_strip(gone, "text", names), "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def without_recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """The rows of ``docs`` with the columns they have, recurring lines taken out of ``text``; ``n_chars``, if there, is counted anew."""
-    names, own = docs.columns, [f.dataType.simpleString() for f in docs.schema]
-    gone = recurring_lines(docs, fewest).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
-    listed = "_" * (1 + max(len(c) for c in names))  # no column can have such a name
-    rows = docs.join(gone.withColumnRenamed("gone", listed), "doc_id", "left").select(*names, listed)
-    out = rows.mapInArrow(_strip("text", listed, names), ", ".join(f"`{n}` {k}" for n, k in zip(names, own, strict=True)))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    gone = shared_set(recurring_lines(docs, fewest), "recurring")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = docs.mapInArrow(_strip(gone, "text", docs.columns), schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return out

@@ -10,7 +10,7 @@ without words has none). Two documents are linked when ``100 * |A & B| >= 75 * |
    far and a flat prior, is below ``MISS``. Survivors are verified on full sets.
 3. First every class is tried with the heaviest class of each of its bands: one pair per row, whatever the size of
    the band. Links found so give components. Then the bands that still hold several components are compared inside
-   tasks, in blocks of 64 classes by 64, for pairs of different components only; survivors are verified
+   tasks, in blocks of 256 classes by 256, for pairs of different components only; survivors are verified
    in turn. Pairs inside a component need no test, so a group of thousands of copies is never expanded into pairs.
 
 A pair at similarity 0.75 shares a band with probability 1 - 5e-6; the posterior bound may cost up to ``MISS`` per test.
@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.groups import in_block_pairs, whole_groups
+from factloom.llm.mapped import SharedSet, shared_set
 from factloom.llm.storage import stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
 SHINGLE = 5
 VALUES, ROWS, STEP = 128, 4, 32
 MISS = 1e-4
-BLOCK = 64
+BLOCK = 256
 
 _random = np.random.default_rng(20240229)
 _MULTIPLY = (_random.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -182,31 +183,35 @@ def _compare_blocks(bounds: list[int], percent: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            sets = shingle_sets(*utf8(batch.column("text")))
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            flat = np.concatenate([s.view(np.int64) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "shingles"],
-            )
+def _sets(wanted: SharedSet):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ids = whole.column("doc_id")
+            whole = whole.filter(pa.array(wanted.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            for batch in slices(whole, "text"):
+                sets = shingle_sets(*utf8(batch.column("text")))
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+                flat = np.concatenate([s.view(np.int64) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
+                    names=["doc_id", "shingles"],
+                )
+
+    return run
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets fulfil ``100 * intersection >= percent * union``.
 
-    Only the texts of documents in a pair are taken apart again. The pairs of a hot ``a`` are dealt over several
-    tasks; its set is sent once to each.
+    Only the texts of documents in a pair are taken apart again; their ids are a set that workers map, so no text is shuffled.
+    The pairs of a hot ``a`` are dealt over several tasks; its set is sent once to each.
     """
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     pairs = pairs.join(busy, "a").select("a", "b", F.pmod("part", "parts").alias("part"))
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sets = stored(sets, "shingles")
+    wanted = shared_set(pairs.select("a").union(pairs.select("b")), "verified")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = stored(texts.mapInArrow(_sets(wanted), "doc_id long, shingles array<long>"), "shingles")
     right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     left = (
         pairs.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -229,8 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     reps = (
         full.join(classes, "digest")
         .filter("doc_id = node")
+        .dropDuplicates(["digest", "node"])
         .select("node", "weight", "n_shingles", "sketch", "bands")
-        .dropDuplicates(["node"])
     )
     reps = stored(reps, "classes")
     member = reps.select("node", "weight", F.explode("bands").alias("key"))

@@ -7,7 +7,7 @@ Counting
   There are fewer than four heavy words a shard.
 Storing
   Each shard is one file in the shared folder of ``spark.checkpoint.dir``: sorted hashes with counts of pairs and of contexts
-  (pairs file), and of words (words file). Files are written under another name and renamed, so a task may run again.
+  (pairs file), and of words (words file).
 Scoring
   Workers map the files and look up the distinct words and pairs of a few megabytes of text at a time, in sorted order.
 
@@ -23,33 +23,21 @@ of that place add up to 1 after every context. A text is ``start w1 .. wm end``;
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.mapped import U32, U64, arrays, make_folder, write_arrays
 from factloom.llm.storage import shared_folder, stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 SHARD_BYTES = 12 << 20  # of training text for each shard
 FLUSH_TOKENS = 3 << 20  # counted together before they are shuffled
-_U64, _U32 = np.dtype("<u8"), np.dtype("<u4")
-
-
-def folder_path(uri: str) -> str:
-    """The path of a folder that every worker can open as a file, for memory mapping."""
-    parsed = urlparse(uri)
-    if parsed.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped models need a shared folder that is mounted as files, not {uri}")
-    return parsed.path or uri
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -85,15 +73,15 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _small(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype(_U32).tobytes(), 1)
+    return zlib.compress(values.astype(U32).tobytes(), 1)
 
 
 def _wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), dtype=_U32).astype(np.int64)
+    return np.frombuffer(zlib.decompress(packed), dtype=U32).astype(np.int64)
 
 
 def _u64(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=_U64)
+    return np.frombuffer(data, dtype=U64)
 
 
 # ---- counting -------------------------------------------------------------------------------------------------------
@@ -106,7 +94,7 @@ WORD_COUNTS, BEFORE, HEAVY, TOTALS = 0, 1, 2, 3  # kinds of rows
 
 
 def _row(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, more: bytes | None = None) -> dict:
-    return {"shard": shard, "kind": kind, "keys": keys.astype(_U64).tobytes(), "counts": _small(counts), "more": more}
+    return {"shard": shard, "kind": kind, "keys": keys.astype(U64).tobytes(), "counts": _small(counts), "more": more}
 
 
 def _by_shard(keys: np.ndarray, counts: np.ndarray, shards: int, kind: int) -> list[dict]:
@@ -190,9 +178,9 @@ def _count_pairs(shards: int, heavy: np.ndarray):
                     rows.append(
                         {
                             "shard": s,
-                            "first": u[heads].astype(_U64).tobytes(),
+                            "first": u[heads].astype(U64).tobytes(),
                             "run": _small(np.diff(np.append(heads, b))),
-                            "second": w[a:b].astype(_U64).tobytes(),
+                            "second": w[a:b].astype(U64).tobytes(),
                             "counts": _small(counts[a:b]),
                         }
                     )
@@ -201,29 +189,6 @@ def _count_pairs(shards: int, heavy: np.ndarray):
     return run
 
 
-def _write(path: str, arrays: list[np.ndarray]) -> None:
-    """A file of arrays: their number, types and lengths, then their bytes; in place at once."""
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as out:
-        head = [len(arrays)] + [x for a in arrays for x in (a.dtype.itemsize, len(a))]
-        out.write(np.array(head, dtype=_U64).tobytes())
-        for a in arrays:
-            out.write(a.astype(a.dtype.newbyteorder("<")).tobytes())
-            out.write(b"\0" * (-a.nbytes % 8))
-    os.replace(part, path)
-
-
-def _map(path: str) -> list[np.ndarray]:
-    """The arrays of such a file, mapped and not read."""
-    data = np.memmap(path, dtype=np.uint8, mode="r")
-    n = int(data[:8].view(_U64)[0])
-    at, out = 8 * (1 + 2 * n), []
-    for size, length in data[8:at].view(_U64).reshape(n, 2).tolist():
-        out.append(data[at : at + size * length].view({8: _U64, 4: _U32}[size]))
-        at += size * length + -size * length % 8
-    return out
-
-
 def _contexts_of(u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each context: its count, and how many words follow it once, twice, more often."""
     one, two = (counts == 1).astype(np.int64), (counts == 2).astype(np.int64)
@@ -246,8 +211,8 @@ def _merge_pairs(folder: str, shards: int, heavy: np.ndarray):
         u, w, key = u[order[first]], w[order[first]], key[first]
         of_words = _contexts_of(u, counts)
         split = np.isin(of_words[0], heavy)
-        _write(
-            f"{folder}/pairs-{shard}", [key, counts.astype(_U32), of_words[0][~split], *(x[~split].astype(_U32) for x in of_words[1:])]
+        write_arrays(
+            f"{folder}/pairs-{shard}", [key, counts.astype(U32), of_words[0][~split], *(x[~split].astype(U32) for x in of_words[1:])]
         )
         before, n = added_up(w, np.ones(len(w), dtype=np.int64))
         rows = _by_shard(before, n, shards, BEFORE)
@@ -272,14 +237,14 @@ def _finish_words(folder: str):
         kinds = table.column("kind").to_numpy()
         keys = [_u64(x) for x in table.column("keys").to_pylist()]
         counts = [_wide(x) for x in table.column("counts").to_pylist()]
-        zero = [np.zeros(0, dtype=_U64)], [np.zeros(0, dtype=np.int64)]
+        zero = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
         own = [i for i, k in enumerate(kinds) if k in (WORD_COUNTS, BEFORE)]
         merged, c, n = added_up(
             np.concatenate(zero[0] + [keys[i] for i in own]),
             np.concatenate(zero[1] + [counts[i] if kinds[i] == WORD_COUNTS else 0 * counts[i] for i in own]),
             np.concatenate(zero[1] + [counts[i] if kinds[i] == BEFORE else 0 * counts[i] for i in own]),
         )
-        _write(f"{folder}/words-{shard}", [merged.astype(_U64), c.astype(_U64), n.astype(_U32)])
+        write_arrays(f"{folder}/words-{shard}", [merged.astype(U64), c.astype(U64), n.astype(U32)])
         numbers = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n >= 3).sum()), int(n.sum())]
         rows = [{"kind": BEFORE, "key": 0, "numbers": numbers}]
         rows += [{"kind": TOTALS, "key": 0, "numbers": counts[i].tolist()} for i in np.flatnonzero(kinds == TOTALS)]
@@ -315,30 +280,20 @@ class Model:
         spare = float(self.e[1] * before[0] + self.e[2] * before[1] + self.e[3] * before[4])
         self.floor = spare / self.different / (v + 1) if self.different else 1.0 / (v + 1)
 
-    def _shard_arrays(self, kind: str, shard: int) -> list[np.ndarray] | None:
-        path = f"{self.folder}/{kind}-{shard}"
-        held = _OPEN.pop(path, None)
-        if held is None:
-            held = _map(path) if os.path.exists(path) else []
-            while len(_OPEN) >= 256:
-                _OPEN.popitem(last=False)
-        _OPEN[path] = held
-        return held or None
-
     def _look_up(self, kind: str, keys: np.ndarray, shard: np.ndarray, at: int, columns: list[int]) -> list[np.ndarray]:
         """Values of sorted distinct ``keys`` in the array ``at`` of their shard; 0 where a key is missing."""
         out = [np.zeros(len(keys), dtype=np.int64) for _ in columns]
         order = np.argsort(shard, kind="stable")  # keys stay sorted inside a shard
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            arrays = self._shard_arrays(kind, int(s))
-            if arrays is None or not len(arrays[at]):
+            held = arrays(f"{self.folder}/{kind}-{s}")
+            if held is None or not len(held[at]):
                 continue
             own = order[cuts[s] : cuts[s + 1]]
-            place = np.minimum(np.searchsorted(arrays[at], keys[own]), len(arrays[at]) - 1)
-            hit = arrays[at][place] == keys[own]
+            place = np.minimum(np.searchsorted(held[at], keys[own]), len(held[at]) - 1)
+            hit = held[at][place] == keys[own]
             for values, column in zip(out, columns, strict=True):
-                values[own[hit]] = arrays[column][place[hit]]
+                values[own[hit]] = held[column][place[hit]]
         return out
 
     def word_counts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,15 +331,12 @@ class Model:
         return np.log10(np.where(total > 0, p, lower)), c
 
 
-_OPEN: OrderedDict[str, list[np.ndarray]] = OrderedDict()
-
-
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     """The model of all texts of ``docs(text)``."""
     spark = docs.sparkSession
     docs = docs.select("text")
-    folder = folder_path(shared_folder(spark, "ngrams"))
-    os.makedirs(folder, exist_ok=True)
+    folder = shared_folder(spark, "ngrams")
+    make_folder(folder)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
     counted = docs.mapInArrow(_count_words(shards), _WORDS).groupBy("shard").applyInArrow(_merge_words, _WORDS)

@@ -29,6 +29,7 @@ from factloom.llm.textarrays import slices, utf8, word_hashes, words
 
 SAMPLE, LANDMARKS, ROUNDS = 3000, 128, 3
 CLEAN_UNITS = 10000
+DOUBT = 0.1  # weight of a witness that is not telling: the label may be wrong
 SLOPE = 4.0  # of the logistic function of a decision; the margin is 1 wide on either side
 CLEAN_WEIGHT = 30.0  # a clean text called toxic counts as much as thirty toxic ones missed
 SPAN, DECAY, WINDOW = 8, 0.6, 24
@@ -247,7 +248,7 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int
         for bag, label in zip(bags, y, strict=True):
             if label and len(bag) and not telling[bag].any():
                 witness = bag[np.argmax((value if turn else guess)[bag])]
-                often[witness] += in_clean[witness] == 0
+                often[witness] += (in_clean[witness] == 0) * (DOUBT if telling.any() else 1.0)
         common = np.flatnonzero(often)
         common = common[np.argsort(-often[common], kind="stable")]
         if not len(common):  # every unit of the toxic texts is in clean texts, too
