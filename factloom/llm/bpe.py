@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.textarrays import slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 _ROWS = "key long, block long, part int, doc_ids array<long>, lengths binary, sequence binary, parts binary, words binary"
 _ROW_NAMES = ["key", "block", "part", "doc_ids", "lengths", "sequence", "parts", "words"]
 _SCHEMA = pa.schema(

@@ -37,7 +37,7 @@ from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 SHARD_BYTES = 12 << 20  # of training text for each shard
-FLUSH_TOKENS = 3 << 20  # counted together before they are shuffled
+FLUSH_TOKENS = 2 << 20  # counted together before they are shuffled
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ SAMPLE, LANDMARKS, ROUNDS = 3000, 128, 3
 CLEAN_UNITS = 10000
 DOUBT = 0.1  # weight of a witness that is not telling: the label may be wrong
 SLOPE = 4.0  # of the logistic function of a decision; the margin is 1 wide on either side
-CLEAN_WEIGHT = 30.0  # a clean text called toxic counts as much as thirty toxic ones missed
+CLEAN_WEIGHT = 8.0  # a clean text called toxic counts as much as eight toxic ones missed
 SPAN, DECAY, WINDOW = 8, 0.6, 24
 _SIZE = 1 << 15  # three letters of five bits
 
