@@ -40,7 +40,8 @@ class Lines:
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         starts, stops, rows = words(data, ends)
         digits = np.concatenate(([0], np.cumsum(_DIGIT[data], dtype=np.int64)))
-        self.words = word_hashes(data, starts, stops)
+        self.exact = word_hashes(data, starts, stops)
+        self.words = self.exact.copy()
         self.words[digits[stops] > digits[starts]] = _FIELD
         breaks = np.flatnonzero(data == ord("\n"))
         at = np.searchsorted(breaks, starts)
@@ -81,7 +82,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             lines = Lines(*utf8(batch.column("text")))
-            sketch = sketches(lines.words, lines.word_rows, batch.num_rows)
+            sketch = sketches(lines.exact, lines.word_rows, batch.num_rows)
             long = np.flatnonzero(lines.size >= LEAST)
             _, fresh = np.unique(lines.hash[long], return_index=True)
             shown = np.zeros(len(long), dtype=bool)

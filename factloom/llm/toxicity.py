@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from factloom.llm.labelled import best_cut, remainder, sample
 from factloom.llm.textarrays import slices, utf8, word_hashes, words
 
-SAMPLE, LANDMARKS, ROUNDS = 3000, 128, 3
+SAMPLE, LANDMARKS, ROUNDS = 2500, 128, 3
 CLEAN_UNITS = 10000
 DOUBT = 0.1  # weight of a witness that is not telling: the label may be wrong
 SLOPE = 4.0  # of the logistic function of a decision; the margin is 1 wide on either side
@@ -194,8 +194,9 @@ def _first_guess(pieces: _Pieces, bags: list[np.ndarray], y: np.ndarray) -> tupl
     left = np.repeat(begin + size + 2, size + 2) - np.arange(total)
     at = np.flatnonzero(left >= 5)
     code = sum(byte[at + k] << (8 * k) for k in range(5))
-    _, run = np.unique(code, return_inverse=True)
-    unit = np.repeat(np.arange(len(size)), size + 2)[at]
+    del byte
+    run = np.unique(code, return_inverse=True)[1].astype(np.int32)
+    unit = np.repeat(np.arange(len(size), dtype=np.int32), size + 2)[at]
     first = np.searchsorted(unit, np.arange(len(size) + 1))
     n = int(run.max()) + 1 if len(run) else 1
     counts = np.zeros((2, n))
@@ -234,6 +235,7 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int
     everything = sorted(set().union(*named))
     number = {u: i for i, u in enumerate(everything)}
     bags = [np.array(sorted(number[u] for u in bag), dtype=np.int64) for bag in named]
+    del named, number
     pieces = _Pieces(everything)
     in_clean, in_toxic = np.zeros(len(everything)), np.zeros(len(everything))
     for bag, label in zip(bags, y, strict=True):
