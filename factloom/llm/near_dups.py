@@ -3,15 +3,16 @@
 A document's set holds its distinct five-word shingles (64-bit hashes; a text of fewer words is one shingle, a text
 without words has none). Two documents are linked when ``100 * |A & B| >= 75 * |A | B|``, always decided on full sets.
 
-1. One pass over the texts gives set size, set digest, 128 MinHash values and the keys of 32 bands of four values.
+1. One pass over the texts gives set size, set digest, 512 MinHash values and the keys of 32 bands of four values.
    Documents with the same digest are one class, represented by the smallest id.
-2. Classes that share a band key are candidates. The signatures of a pair are compared in batches of 32 values; after
+2. Classes that share a band key are candidates. The signatures of a pair are compared in batches of 64 values; after
    each batch the pair is dropped once the posterior probability of similarity 0.75 or more, given the matches so
    far and a flat prior, is below ``MISS``. Survivors are verified on full sets.
 3. First every class is tried with the heaviest class of each of its bands: one pair per row, whatever the size of
    the band. Links found so give components. Then the bands that still hold several components are compared inside
-   tasks, in blocks of 256 classes by 256, for pairs of different components only; survivors are verified
-   in turn. Pairs inside a component need no test, so a group of thousands of copies is never expanded into pairs.
+   tasks, in blocks of 256 classes by 256, for pairs of different components only: by signatures, then, for the classes
+   with a survivor, on full sets. Pairs inside a component need no test, and no task returns more rows than it has read,
+   so a group of thousands of copies is never expanded into pairs.
 
 A pair at similarity 0.75 shares a band with probability 1 - 5e-6; the posterior bound may cost up to ``MISS`` per test.
 
@@ -37,7 +38,8 @@ from factloom.llm.storage import stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
 SHINGLE = 5
-VALUES, ROWS, STEP = 128, 4, 32
+VALUES, STEP = 512, 64
+BANDS, ROWS = 32, 4
 MISS = 1e-4
 BLOCK = 256
 
@@ -74,8 +76,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     """``VALUES`` MinHash values of a set that isn't empty."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(VALUES, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(low), 1024):
-        np.minimum(least, (low[None, at : at + 1024] * _MULTIPLY + _ADD).min(axis=1), out=least)
+    for at in range(0, len(low), 256):
+        np.minimum(least, (low[None, at : at + 256] * _MULTIPLY + _ADD).min(axis=1), out=least)
     return least
 
 
@@ -87,9 +89,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, "text"):
             sets = shingle_sets(*utf8(batch.column("text")))
             values = np.stack([signature(s) if len(s) else np.zeros(VALUES, dtype=np.uint32) for s in sets])
-            wide = values.reshape(len(sets), VALUES // ROWS, ROWS).astype(np.uint64)
-            keys = (wide * _PLACES[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(VALUES // ROWS, dtype=np.uint64)
-            keys = mix64(keys + _PLACES[-1] * np.arange(VALUES // ROWS, dtype=np.uint64)).view(np.int64)
+            wide = values[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS).astype(np.uint64)
+            keys = (wide * _PLACES[:ROWS]).sum(axis=2, dtype=np.uint64) + _PLACES[-1] * np.arange(BANDS, dtype=np.uint64)
+            keys = mix64(keys).view(np.int64)
             full = np.array([len(s) > 0 for s in sets])
             sketches = values.astype(np.uint8)  # the low byte of each value is enough to compare
             yield pa.RecordBatch.from_arrays(
@@ -152,33 +154,78 @@ def _prune_pairs(bounds: list[int]):
 _GROUP = ["key", "lo", "hi"]
 
 
-def _compare_blocks(bounds: list[int], percent: int):
-    """Rows sorted by group: pairs of different components, and of the two blocks of the group, that stay plausible."""
+def _block_pairs(table: pa.Table, s: int, e: int, sketch: np.ndarray, bounds: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a group that may be links: of different components and, in a pair of blocks, one from each."""
+    comp, block, size = (table.column(c).to_numpy()[s:e] for c in ("component", "block", "n_shingles"))
+    i, j = np.triu_indices(e - s, 1)
+    ok = comp[i] != comp[j]
+    if table.column("lo")[s] != table.column("hi")[s]:
+        ok &= block[i] != block[j]
+    ok &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    i, j = i[ok], j[ok]
+    keep = _plausible(sketch[s:e][i], sketch[s:e][j], bounds)
+    return i[keep], j[keep]
 
-    def pairs(ids, comp, block, size, sketch, lo, hi):
-        i, j = np.triu_indices(len(ids), 1)
-        ok = comp[i] != comp[j]
-        if lo != hi:
-            ok &= block[i] != block[j]
-        ok &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-        i, j = i[ok], j[ok]
-        keep = _plausible(sketch[i], sketch[j], bounds)
-        return ids[i[keep]], ids[j[keep]]
+
+def _plausible_members(bounds: list[int], percent: int):
+    """Rows sorted by group: those that are in a plausible pair of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, _GROUP):
-            ids, comp, block, size, lo, hi = (
-                table.column(c).to_numpy() for c in ("node", "component", "block", "n_shingles", "lo", "hi")
-            )
+            table = table.combine_chunks()
             sketch = _sketches(table.column("sketch"))
-            left, right = [], []
+            keep = np.zeros(table.num_rows, dtype=bool)
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                x, y = pairs(ids[s:e], comp[s:e], block[s:e], size[s:e], sketch[s:e], lo[s], hi[s])
-                left.append(np.minimum(x, y))
-                right.append(np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"]
-            )
+                for side in _block_pairs(table, s, e, sketch, bounds, percent):
+                    keep[s + side] = True
+            yield from table.select([*_GROUP, "node", "component", "block"]).filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(b) else 0
+
+
+def _verified_links(bounds: list[int], percent: int):
+    """Rows sorted by group, with shingles: links between components that full sets confirm.
+
+    A pair that shares several bands is tested in the first; components that a link joins are one from then on, so the
+    links of a group are fewer than its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, _GROUP):
+            table = table.combine_chunks()
+            key, node, comp = (table.column(c).to_numpy() for c in ("key", "node", "component"))
+            sketch = _sketches(table.column("sketch"))
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            ends, flat = table.column("shingles").combine_chunks().offsets.to_numpy(), table.column("shingles").combine_chunks().values.to_numpy()
+            sets = [flat[x:y].view(np.uint64) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            found: list[tuple[int, int]] = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                i, j = _block_pairs(table, s, e, sketch, bounds, percent)
+                i, j = i + s, j + s
+                same = bands[i] == bands[j]
+                here = bands[i, same.argmax(axis=1)] == key[i] if len(i) else same[:, 0]
+                i, j = i[here], j[here]
+                likely = np.argsort(-(sketch[i] == sketch[j]).sum(axis=1), kind="stable")
+                head: dict[int, int] = {}
+                for a, b in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+                    x, y = int(comp[a]), int(comp[b])
+                    while head.get(x, x) != x:
+                        x = head[x]
+                    while head.get(y, y) != y:
+                        y = head[y]
+                    if x != y:
+                        common = _common(sets[a], sets[b])
+                        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                            head[max(x, y)] = min(x, y)
+                            found.append((int(node[a]), int(node[b])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -200,18 +247,25 @@ def _sets(wanted: SharedSet):
     return run
 
 
+def shingles_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc_id, shingles)`` of the documents whose id is in the only column of ``ids``.
+
+    The ids are a set that workers map, so no text is shuffled.
+    """
+    wanted = shared_set(ids, "verified")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(texts.mapInArrow(_sets(wanted), "doc_id long, shingles array<long>"), "shingles")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets fulfil ``100 * intersection >= percent * union``.
 
-    Only the texts of documents in a pair are taken apart again; their ids are a set that workers map, so no text is shuffled.
-    The pairs of a hot ``a`` are dealt over several tasks; its set is sent once to each.
+    Only the texts of documents in a pair are taken apart again. The pairs of a hot ``a`` are dealt over several tasks; its set is sent once to each.
     """
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     pairs = pairs.join(busy, "a").select("a", "b", F.pmod("part", "parts").alias("part"))
-    wanted = shared_set(pairs.select("a").union(pairs.select("b")), "verified")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(texts.mapInArrow(_sets(wanted), "doc_id long, shingles array<long>"), "shingles")
+    sets = shingles_of(pairs.select("a").union(pairs.select("b")), docs)
     right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     left = (
         pairs.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -263,15 +317,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     open_bands = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     member = member.join(open_bands.select("key"), "key", "left_semi").select("key", "node", "component", "n")
     member = in_block_pairs(member, "node", "n", BLOCK)
-    second = (
-        member.join(sketch, "node")
+    maybe = (
+        member.join(reps.select("node", "n_shingles", "sketch"), "node")
         .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch")
         .repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP)
-        .mapInArrow(_compare_blocks(bounds, percent), "a long, b long")
-        .distinct()
+        .mapInArrow(_plausible_members(bounds, percent), "key long, lo long, hi long, node long, component long, block long")
+    )
+    maybe = stored(maybe, "members")
+    sets = shingles_of(maybe.select("node"), docs).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+    more = (
+        maybe.join(reps.select("node", "n_shingles", "sketch", "bands"), "node")
+        .join(sets, "node")
+        .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch", "bands", "shingles")
+        .repartition(*_GROUP)
+        .sortWithinPartitions(*_GROUP)
+        .mapInArrow(_verified_links(bounds, percent), "a long, b long")
     )
-    more = stored(verify(stored(second, "pairs"), docs, percent), "links")
+    more = stored(more, "links")
     merged = components(links.unionByName(more))
 
     groups = reps.select("node").join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
