@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from factloom.llm.labelled import best_cut, remainder, sample
 from factloom.llm.textarrays import slices, utf8, word_hashes, words
 
-SAMPLE, LANDMARKS, ROUNDS = 2500, 128, 3
+SAMPLE, LANDMARKS, ROUNDS = 2000, 128, 3
 CLEAN_UNITS = 10000
 DOUBT = 0.1  # weight of a witness that is not telling: the label may be wrong
 SLOPE = 4.0  # of the logistic function of a decision; the margin is 1 wide on either side
@@ -165,7 +165,8 @@ class _Pieces:
         self.starts = self.stops - size
 
     def decide(self, weights: np.ndarray) -> np.ndarray:
-        return decide(self.data, self.starts, self.stops, weights)
+        parts = [slice(i, i + 50_000) for i in range(0, max(1, len(self.starts)), 50_000)]
+        return np.concatenate([decide(self.data, self.starts[p], self.stops[p], weights) for p in parts])
 
     def kernel(self, points: np.ndarray) -> np.ndarray:
         """Kernel values of every unit, no longer than a window, with every landmark's weights."""
@@ -231,11 +232,10 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
         return Machine(np.zeros(_SIZE), 0.0, 0.0, float(np.log(share / (1 - share))))
-    named = [_units_of(t) for t in texts]
-    everything = sorted(set().union(*named))
-    number = {u: i for i, u in enumerate(everything)}
-    bags = [np.array(sorted(number[u] for u in bag), dtype=np.int64) for bag in named]
-    del named, number
+    number: dict[bytes, int] = {}
+    bags = [np.array(sorted(number.setdefault(u, len(number)) for u in sorted(_units_of(t))), dtype=np.int32) for t in texts]
+    everything = list(number)
+    del number
     pieces = _Pieces(everything)
     in_clean, in_toxic = np.zeros(len(everything)), np.zeros(len(everything))
     for bag, label in zip(bags, y, strict=True):
