@@ -316,9 +316,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     member = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_bands = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     member = member.join(open_bands.select("key"), "key", "left_semi").select("key", "node", "component", "n")
-    member = in_block_pairs(member, "node", "n", BLOCK)
+    member = member.join(reps.select("node", "n_shingles", "sketch"), "node")
     maybe = (
-        member.join(reps.select("node", "n_shingles", "sketch"), "node")
+        in_block_pairs(member, "node", "n", BLOCK)
         .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch")
         .repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP)
@@ -326,9 +326,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     )
     maybe = stored(maybe, "members")
     sets = shingles_of(maybe.select("node"), docs).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+    sets = sets.join(reps.select("node", "n_shingles", "sketch", "bands"), "node")
     more = (
-        maybe.join(reps.select("node", "n_shingles", "sketch", "bands"), "node")
-        .join(sets, "node")
+        maybe.join(sets, "node")
         .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch", "bands", "shingles")
         .repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP)
