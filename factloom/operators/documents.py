@@ -300,9 +300,9 @@ def section_report(sections: DataFrame, number: str, analyze: bool = True) -> Da
 
 # Document status codes and their labels.
 STATUS_LABELS = {
-    "std": "Internet Standard",
     "ps": "Proposed Standard",
     "ds": "Draft Standard",
+    "std": "Internet Standard",
     "bcp": "Best Current Practice",
     "inf": "Informational",
     "exp": "Experimental",
@@ -310,17 +310,16 @@ STATUS_LABELS = {
 }
 
 
-def search_documents(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Documents whose title contains the text, ignoring case: the first ``limit`` by name."""
+def search_documents(docs: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Documents whose title contains the text, ignoring case: all of them, or the first ``limit`` by name."""
     label = F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv])
+    found = docs.filter(F.contains(F.lower("title"), F.lit(query.lower())))
+    found = found if limit is None else found.orderBy("doc").limit(limit)
     return (
-        docs.filter(F.contains(F.lower("title"), F.lit(query.lower())))
-        .orderBy("doc")
-        .limit(limit)
-        .select(
+        found.select(
             "doc",
             "title",
-            F.substring("abstract", 1, 500).alias("abstract"),
+            "abstract",
             F.coalesce(label[F.col("status")], F.when(F.col("status") != "", F.col("status")), F.lit("Unknown")).alias(
                 "status"
             ),

@@ -276,7 +276,7 @@ def dirty_expand(
 
 
 def action_dependency(
-    reads: DataFrame, writers: DataFrame, actions: DataFrame | None = None, max_edges: int = 500
+    reads: DataFrame, writers: DataFrame, actions: DataFrame | None = None, max_edges: int | None = None
 ) -> DataFrame:
     """Writer action -> reader action over a shared variable; ``reads`` and ``writers`` are ``(action, var)``.
 
@@ -284,7 +284,7 @@ def action_dependency(
     the action's own blocks, or ``vars_written_by_action``). Without ``actions`` the edges go through the
     variable: ``(writer, writes, var)`` and ``(var, reads, reader)``, which holds every dependency and
     grows with the input only. With ``actions`` the direct edges that start at those actions are written
-    out, at most ``max_edges`` by name, labelled with the first shared variable.
+    out, the first ``max_edges`` by name if that is given, labelled with the first shared variable.
     """
     w = writers.select("action", "var").distinct()
     r = reads.select("action", "var").distinct()
@@ -295,12 +295,8 @@ def action_dependency(
     asked = actions.select(F.col(actions.columns[0]).alias("action")).distinct()
     near = w.join(asked, "action", "left_semi").select(F.col("action").alias("source"), "var")
     pairs = near.join(r.select(F.col("action").alias("target"), "var"), "var").filter("source <> target")
-    return (
-        pairs.groupBy("source", "target").agg(F.min("var").alias("label"))
-        .withColumn("type", F.lit("shared_state"))
-        .orderBy("source", "target")
-        .limit(max_edges)
-    )
+    edges = pairs.groupBy("source", "target").agg(F.min("var").alias("label")).withColumn("type", F.lit("shared_state"))
+    return edges if max_edges is None else edges.orderBy("source", "target").limit(max_edges)
 
 
 def state_machine(
@@ -352,13 +348,14 @@ def state_machine(
     )
 
 
-def transitions_of(machine: DataFrame, actions: DataFrame, max_items: int = 500) -> DataFrame:
-    """Source-target pairs of the asked actions from a ``state_machine`` table, first ``max_items``."""
+def transitions_of(machine: DataFrame, actions: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Source-target pairs of the asked actions from a ``state_machine`` table; the first ``max_items``, if given."""
     asked = actions.select(F.col(actions.columns[0]).alias("action")).distinct()
     t = machine.filter("part = 'transition'").join(asked, "action", "left_semi")
     s = t.filter("role = 'source'").select("action", F.col("item").alias("source"))
     g = t.filter("role = 'target'").select("action", F.col("item").alias("target"))
-    return s.join(g, "action").orderBy("action", "source", "target").limit(max_items)
+    pairs = s.join(g, "action")
+    return pairs if max_items is None else pairs.orderBy("action", "source", "target").limit(max_items)
 
 
 # ---- scopes and statistics ------------------------------------------------------------------------

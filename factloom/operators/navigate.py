@@ -216,32 +216,30 @@ def symbol_rank(q: str) -> Column:
     )
 
 
-def search_symbols(symbols: DataFrame, q: str, cap: int = 1000) -> DataFrame:
-    """Symbols that contain the text, ignoring case, best match first; an empty text lists the first 100."""
+def search_symbols(symbols: DataFrame, q: str, cap: int | None = None) -> DataFrame:
+    """Symbols that contain the text, ignoring case, best match first, or all of them for an empty text; the first ``cap``, if given."""
     synthetic = F.col("synthetic") if "synthetic" in symbols.columns else F.lit(False)
     if not q:
-        return symbols.orderBy(synthetic, "qualified_name", "path", "line").limit(min(cap, 100))
+        out = symbols.orderBy(synthetic, "qualified_name", "path", "line")
+        return out if cap is None else out.limit(cap)
     low = q.lower()
-    return (
-        symbols.filter(F.contains(F.lower("qualified_name"), F.lit(low)))
-        .withColumn("rank", symbol_rank(low))
-        .orderBy("rank", "qualified_name", "path", "line")
-        .limit(cap)
-    )
+    out = symbols.filter(F.contains(F.lower("qualified_name"), F.lit(low))).withColumn("rank", symbol_rank(low))
+    out = out.orderBy("rank", "qualified_name", "path", "line")
+    return out if cap is None else out.limit(cap)
 
 
 def search_scoped(
-    symbols: DataFrame, q: str, path: str, visible: DataFrame, file_layers: DataFrame, cap: int = 100
+    symbols: DataFrame, q: str, path: str, visible: DataFrame, file_layers: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """As ``search_symbols``, ordered by definition match, scope of ``path``, its layer, then name."""
-    hits = search_symbols(symbols, q)
+    """All hits of ``search_symbols``, ordered by definition match, scope of ``path``, its layer, then name; the first ``cap``, if given."""
     low = q.lower()
+    hits = symbols.filter(F.contains(F.lower("qualified_name"), F.lit(low))).withColumn("rank", symbol_rank(low))
     boost = F.when(F.lower(T.last_component(F.col("qualified_name"))) == low, 0).otherwise(1)
     scope = visible.filter(F.col("from_path") == path).select("path").distinct().withColumn("_in", F.lit(True))
     layer = file_layers.groupBy("path").agg(F.min("layer").alias("_layer"))
     own = layer.filter(F.col("path") == path).select(F.col("_layer").alias("_own"))
     near = layer.join(own, layer["_layer"] == own["_own"], "left_semi").select("path").withColumn("_near", F.lit(True))
-    return (
+    out = (
         hits.join(scope, "path", "left")
         .join(near, "path", "left")
         .withColumn("boost", boost)
@@ -249,5 +247,5 @@ def search_scoped(
         .withColumn("layer_rank", F.when(F.col("_in") | F.col("_near"), 0).otherwise(1))
         .drop("_in", "_near")
         .orderBy("boost", "scope_rank", "layer_rank", "qualified_name", "path", "line")
-        .limit(cap)
     )
+    return out if cap is None else out.limit(cap)

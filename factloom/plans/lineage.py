@@ -2,7 +2,7 @@
 
 State of a loop is written through ``DataFrame.checkpoint`` into the shared folder named by
 ``spark.checkpoint.dir``, so that a lost executor costs a re-read and never a restart of the loop.
-Only a ``local`` master may fall back to a folder of its own.
+Only a single process (``local`` or ``local[n]``) may fall back to a folder of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
         named = tempfile.mkdtemp(prefix="factloom-checkpoint-")
     sc.setCheckpointDir(named)

@@ -198,3 +198,15 @@ def test_running_offsets(spark):
     df = spark.createDataFrame([(d,) for d in data], "a array<int>")
     got = [r[0] for r in df.select(T.running_offsets(F.col("a"))).collect()]
     assert got == [[sum(d[:i]) for i in range(len(d))] for d in data]
+
+
+def test_search_scoped_ranks_all_hits(spark):
+    from factloom.operators.navigate import search_scoped
+
+    symbols = spark.createDataFrame(
+        [(f"f{i}.spec", f"m.ring{i:04}", 1) for i in range(1500)], "path string, qualified_name string, line int"
+    )
+    visible = spark.createDataFrame([("a.spec", "f1400.spec")], "from_path string, path string")
+    layers = spark.createDataFrame([], "path string, layer string")
+    found = search_scoped(symbols, "ring", "a.spec", visible, layers)
+    assert found.count() == 1500 and found.first().path == "f1400.spec"

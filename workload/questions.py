@@ -288,7 +288,7 @@ def _(spark, sf):
     "action_dependency_direct",
     cte(
         "action_reads action_writes",
-        "SELECT w.action AS source, r.action AS target, min(var) AS label, 'shared_state' AS type FROM action_writes w JOIN action_reads r USING (var) WHERE w.action IN ('act_5', 'act_17') AND w.action <> r.action GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500",
+        "SELECT w.action AS source, r.action AS target, min(var) AS label, 'shared_state' AS type FROM action_writes w JOIN action_reads r USING (var) WHERE w.action IN ('act_5', 'act_17') AND w.action <> r.action GROUP BY 1, 2",
     ),
 )
 def _(spark, sf):
@@ -318,7 +318,7 @@ def _(spark, sf):
 
 @register(
     "transitions_of",
-    cte(_MT, _MACHINE + "SELECT action, s.item AS source, t.item AS target FROM sm s JOIN sm t USING (action) WHERE s.role = 'source' AND t.role = 'target' AND action IN ('act_3', 'act_8') ORDER BY 1, 2, 3 LIMIT 500"),
+    cte(_MT, _MACHINE + "SELECT action, s.item AS source, t.item AS target FROM sm s JOIN sm t USING (action) WHERE s.role = 'source' AND t.role = 'target' AND action IN ('act_3', 'act_8')"),
 )
 def _(spark, sf):
     return graph.transitions_of(_machine(spark, sf), spark.createDataFrame([("act_3",), ("act_8",)], "id string"))
@@ -925,12 +925,12 @@ def _(spark, sf):
 
 @register(
     "search_documents",
-    "SELECT 'd' || doc_id AS doc, substr(text, 1, 40) AS title, substr(text, 1, 500) AS abstract, CASE lang WHEN 'en' THEN 'Proposed Standard' WHEN 'de' THEN 'Draft Standard' WHEN 'fr' THEN 'Informational' ELSE lang END AS status FROM documents WHERE contains(lower(substr(text, 1, 40)), 'the') ORDER BY 1 LIMIT 10",
+    "SELECT 'd' || doc_id AS doc, text AS title, text AS abstract, CASE lang WHEN 'en' THEN 'Proposed Standard' WHEN 'de' THEN 'Draft Standard' WHEN 'fr' THEN 'Informational' ELSE lang END AS status FROM documents WHERE contains(lower(text), 'the')",
 )
 def _(spark, sf):
     code = F.when(F.col("lang") == "en", "ps").when(F.col("lang") == "de", "ds").when(F.col("lang") == "fr", "inf").otherwise(F.col("lang"))
     d = table(spark, sf, "documents").select(
-        F.concat(F.lit("d"), "doc_id").alias("doc"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("abstract"), code.alias("status")
+        F.concat(F.lit("d"), "doc_id").alias("doc"), F.col("text").alias("title"), F.col("text").alias("abstract"), code.alias("status")
     )
     return documents.search_documents(d, "The")
 

@@ -752,7 +752,7 @@ def _(spark, sf):
     cte(
         "symbols",
         """SELECT path, line, qualified_name, CASE WHEN lower(name) = 'ring' THEN 0 WHEN starts_with(lower(name), 'ring') THEN 1 WHEN starts_with(lower(qualified_name), 'ring') THEN 2 ELSE 3 END AS rank
-FROM symbols WHERE contains(lower(qualified_name), 'ring') ORDER BY rank, qualified_name, path, line LIMIT 1000""",
+FROM symbols WHERE contains(lower(qualified_name), 'ring') """,
     ),
 )
 def _(spark, sf):
@@ -763,10 +763,10 @@ def _(spark, sf):
     "search_scoped",
     cte(
         "symbols",
-        """, h AS (SELECT *, CASE WHEN lower(name) = 'ring' THEN 0 WHEN starts_with(lower(name), 'ring') THEN 1 WHEN starts_with(lower(qualified_name), 'ring') THEN 2 ELSE 3 END AS rank FROM symbols WHERE contains(lower(qualified_name), 'ring') ORDER BY rank, qualified_name, path, line LIMIT 1000)
+        """, h AS (SELECT *, CASE WHEN lower(name) = 'ring' THEN 0 WHEN starts_with(lower(name), 'ring') THEN 1 WHEN starts_with(lower(qualified_name), 'ring') THEN 2 ELSE 3 END AS rank FROM symbols WHERE contains(lower(qualified_name), 'ring'))
 , n AS (SELECT *, CAST(regexp_extract(path, 'f(\\d+)', 1) AS INT) AS f FROM h)
 SELECT path, line, qualified_name, 1 AS boost, CASE WHEN f % 10 = 3 THEN 0 ELSE 1 END AS scope_rank, CASE WHEN f % 10 = 3 OR f % 4 = 3 THEN 0 ELSE 1 END AS layer_rank FROM n
-ORDER BY boost, scope_rank, layer_rank, qualified_name, path, line LIMIT 100""",
+""",
     ),
 )
 def _(spark, sf):
