@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stem_of
-from factloom.operators.patterns import categorize_file, find_variants, serdes_correlation
+from factloom.operators.patterns import categorize_file, containing_structs, find_variants, serdes_correlation
 from factloom.plans.bitsets import count_through
 from factloom.plans.closure import reach
 from factloom.plans.lineage import cut_lineage
@@ -222,13 +222,22 @@ def change_impact(
     no rows.
     """
     types = patterns.sparkSession.createDataFrame([(type_name,)], "type string")
-    shape = find_variants(patterns, files, types).agg(F.min(F.struct("path", "kind")).alias("d"))
-    shape = shape.filter("d IS NOT NULL")
+    shape = find_variants(patterns, files, types).groupBy(F.col("type_name").alias("type")).agg(
+        F.min(F.struct("path", "kind")).alias("d")
+    )
     edit = "add_field_to_struct" if change_type == "add_field" else "add_variant_case"
     auto = shape.select(
         F.col("d.path").alias("path"), F.lit("type_definition").alias("category"), F.lit(edit).alias("edit")
     )
-    pairs = serdes_correlation(patterns, types)
+    pairs = serdes_correlation(patterns, types).select(F.col("message_type").alias("type"), "ser_path", "deser_path")
+    # a variant type without instances of its own: the first instance of a struct that holds it
+    variant = shape.filter("d.kind = 'variant'").join(pairs, "type", "left_anti").select("type")
+    holders = containing_structs(patterns, variant)
+    held = serdes_correlation(patterns, holders.select("struct")).withColumnRenamed("message_type", "struct")
+    held = held.join(holders, "struct").groupBy("type").agg(
+        F.min_by(F.struct("ser_path", "deser_path"), F.struct("instance_path", "instance_line")).alias("s")
+    )
+    pairs = pairs.unionByName(held.select("type", "s.*").filter("ser_path IS NOT NULL"))
     for side, word, verb in (("ser_path", "serializer", "set"), ("deser_path", "deserializer", "get")):
         auto = auto.unionByName(
             pairs.filter(F.col(side).isNotNull()).select(

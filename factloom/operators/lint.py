@@ -22,7 +22,6 @@ STATEMENTS = ["require", "ensure", "assume", "assert"]
 HIGH_IMPACT_READERS = 5
 TAG_GAP_MIN_TAGS = 5
 TAG_GAP_MAX_RATIO = 0.3
-RELATED_SHOWN = 10
 
 
 def _diag(
@@ -219,13 +218,12 @@ def lint_inherited_requirements(includes: DataFrame, reqs: DataFrame, files: Dat
 
 
 def inherited_related(includes: DataFrame, reqs: DataFrame, files: DataFrame) -> DataFrame:
-    """Up to ten of the requirements behind each include note."""
-    rows = first_bringer(includes, files).join(
-        reqs.select(F.col("path").alias("brought"), "kind", F.substring("formula_text", 1, 60).alias("formula"), F.col("line").alias("req_line")),
-        "brought",
-    )
-    w = Window.partitionBy("path", "line", "include_name").orderBy("brought", "req_line")
-    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= RELATED_SHOWN)
+    """The requirements behind each include note, one row each.
+
+    Notes and requirements meet at the file that is brought in; a caller that shows only some uses ``top_per_key``.
+    """
+    behind = reqs.select(F.col("path").alias("brought"), "kind", F.col("formula_text").alias("formula"), F.col("line").alias("req_line"))
+    return first_bringer(includes, files).join(behind, "brought")
 
 
 def lint_no_monitor(actions: DataFrame, reqs: DataFrame, exported: DataFrame | None = None) -> DataFrame:

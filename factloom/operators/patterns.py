@@ -425,7 +425,7 @@ def extract_variant_structs(files: DataFrame, parent: str | None = None) -> Data
     """
     obj = rf"object[ \t]+\w+{T.WS}={T.WS}\{{"
     var = rf"variant[ \t]+this[ \t]+of[ \t]+\w+{T.WS}={T.WS}struct{T.WS}\{{[^}}]+\}}"
-    found = T.hits(T.numbered(F.col("content")), f"{T.LINE}|{obj}|{var}")
+    found = T.hits(T.numbered(F.col("content")), f"{T.LINE}(?=[^\\n]*variant)|{obj}|{var}")
     toks = T.exploded(files, ["path"], found, "tok", "pos")
     t = F.col("tok")
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

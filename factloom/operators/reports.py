@@ -12,24 +12,21 @@ from factloom.operators.documents import LEVEL_SYNONYMS
 from factloom.operators.filters import requirement_class
 from factloom.operators.graph import written_var_counts
 from factloom.operators.resolve import unresolved_includes
-from factloom.plans.bitsets import count_through, direct_is_cheap
+from factloom.plans.bitsets import count_through
 from factloom.plans.keyed import pick_last, top_per_key
 
 MIXINS = ["before", "after", "around", "implement", "direct"]
 KINDS = ["require", "ensure", "assume", "assert"]
-FORMULA_SHOWN = 200
 
 
 # ---- per action -----------------------------------------------------------------------------------
 
 
 def action_requirements(actions: DataFrame, reqs: DataFrame) -> DataFrame:
-    """One row per action and requirement: mixin group, kind, class, shortened formula, place."""
-    text = F.col("formula_text")
-    shown = F.when(F.length(text) > FORMULA_SHOWN, F.concat(F.substring(text, 1, FORMULA_SHOWN), F.lit("..."))).otherwise(text)
+    """One row per action and requirement: mixin group, kind, class, formula, place."""
     a = actions.select(F.col("id").alias("action")).distinct()
     return reqs.withColumn("action", F.col("monitor_action")).join(a, "action", "left_semi").select(
-        "action", "mixin_kind", "id", "kind", requirement_class().alias("class"), shown.alias("formula"), "path", "line"
+        "action", "mixin_kind", "id", "kind", requirement_class().alias("class"), F.col("formula_text").alias("formula"), "path", "line"
     )
 
 
@@ -186,11 +183,6 @@ def property_summary(properties: DataFrame, property_reads: DataFrame, reads: Da
     """
     readers = reads.select("id", "var").distinct().join(reqs.select("id", F.col("path").alias("req_path")), "id")
     used = property_reads.select(F.col("id").alias("pid"), "var")
-    if direct_is_cheap(used, readers, "var"):
-        counts = used.distinct().join(readers, "var").groupBy("pid").agg(
-            F.count_distinct("id").alias("requirements"), F.count_distinct("req_path").alias("files")
-        )
-        return properties.withColumn("pid", F.col("id")).join(counts, "pid").drop("pid")
     by_req = count_through(used, readers, "pid", "var", "id", "requirements")
     by_file = count_through(used, readers, "pid", "var", "req_path", "files")
     return properties.withColumn("pid", F.col("id")).join(by_req, "pid").join(by_file, "pid").drop("pid")
@@ -288,23 +280,22 @@ LAYER_RULES = [
     ("extensions", "%ext%.%", None),
 ]
 HIGH_PRIORITY_LAYERS = ["types", "frame", "packet", "connection"]
-#: A marker counts when it stands within this many characters of the start (a fixed value of the rule).
-MARKER_REACH = 4096
 
 
-def completeness_score(files: DataFrame, corpus: str, rules: list[tuple] = LAYER_RULES) -> DataFrame:
+def completeness_score(
+    files: DataFrame, corpus: str, rules: list[tuple] = LAYER_RULES, reach: int | None = None
+) -> DataFrame:
     """Expected parts of a model: present or missing, priority of a missing one, and the score of all.
 
-    One pass over the files: every rule is a pair of flags, or-ed over the files.
+    Markers count anywhere in a text, or within its first ``reach`` characters if that is given. One pass over the files: every rule is a pair of flags, or-ed over the files.
     """
     name = T.base_name(F.col("path"))
     escape = lambda p: p.replace("{p}", corpus).replace("_", r"\_")
+    searched = F.col("content") if reach is None else F.substring("content", 1, reach)
     flags = []
     for layer, pattern, marker in rules:
         by_name = name.like(escape(pattern)) if pattern else F.lit(False)
-        by_text = (
-            F.contains(F.substring("content", 1, MARKER_REACH), F.lit(marker)) if marker else F.lit(False)
-        )
+        by_text = F.contains(searched, F.lit(marker)) if marker else F.lit(False)
         flags.append(F.coalesce(F.max(by_name | by_text), F.lit(False)).alias(layer))
     row = files.agg(*flags)
     parts = F.array(*[F.struct(F.lit(r[0]).alias("layer"), F.col(r[0]).alias("present")) for r in rules])
@@ -382,26 +373,23 @@ def verification_dashboard(results: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def failure_reasons(failures: DataFrame, k: int = 3) -> DataFrame:
-    """Failures by message: how many, and the first ``k`` files as rows."""
+def failure_reasons(failures: DataFrame, k: int | None = None) -> DataFrame:
+    """Failures by message: how many, and their files as rows; the first ``k`` by name, ranked, if that is given."""
     counts = failures.groupBy("message").agg(F.count("*").alias("n"))
-    samples = top_per_key(failures.select("message", "path").distinct(), ["message"], [F.col("path")], k)
-    return counts.join(samples, "message")
+    files = failures.select("message", "path").distinct()
+    return counts.join(files if k is None else top_per_key(files, ["message"], [F.col("path")], k), "message")
 
 
-def error_groups(errors: DataFrame, k: int = 5, threshold: int = 10) -> DataFrame:
-    """``errors(symbol, locations)``: duplicate (two or more places), unresolved (none) or other, with counts
-    and the first ``k`` symbols, when there are more than ``threshold`` errors; otherwise each error."""
+def error_groups(errors: DataFrame, k: int | None = None) -> DataFrame:
+    """``errors(symbol, locations)``: duplicate (two or more places), unresolved (none) or other, with the count
+    of each kind and its symbols as rows; the first ``k`` by name, ranked, if that is given."""
     kind = (
         F.when(F.col("locations") == 0, "unresolved").when(F.col("locations") >= 2, "duplicate").otherwise("other")
     )
     rows = errors.withColumn("kind", kind)
-    total = errors.limit(threshold + 1).count()
-    if total <= threshold:
-        return rows.select("kind", F.lit(1).cast("long").alias("n"), "symbol", F.lit(1).alias("rank"))
     counts = rows.groupBy("kind").agg(F.count("*").alias("n"))
-    samples = top_per_key(rows.select("kind", "symbol").distinct(), ["kind"], [F.col("symbol")], k)
-    return counts.join(samples, "kind").select("kind", "n", "symbol", "rank")
+    names = rows.select("kind", "symbol").distinct()
+    return counts.join(names if k is None else top_per_key(names, ["kind"], [F.col("symbol")], k), "kind")
 
 
 def scope_view_status(scope_members: DataFrame, changes: DataFrame) -> DataFrame:

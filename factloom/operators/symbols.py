@@ -131,7 +131,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
 _WORDS = "|".join(NESTED_CLASS)
 _NESTED = (
-    rf'<<<(?:[^">]++|"(?:[^"\\]++|\\[\s\S])*+"|>(?!>>))*+(?:>>>|\z)|#[^\n]*+|{T.LINE}|[{{}}]'
+    rf'<<<(?:[^">]++|"(?:[^"\\]++|\\[\s\S])*+"|>(?!>>))*+(?:>>>|\z)|#[^\n]*+|{T.LINE}(?=[^\n]*(?:{_WORDS})\b)|[{{}}]'
     rf"|(?<![\w.])(?:{_WORDS})\s{T.WS}(?:\[{T.WS}\w+{T.WS}\]|[\w.]+)"
 )
 

@@ -26,8 +26,8 @@ EXCLUDE_DIRS = [
     ".mypy_cache",
     ".pytest_cache",
 ]
-#: Larger files are left out and reported by ``oversized``: one file is one row.
-MAX_FILE_BYTES = 256 * 1024 * 1024
+#: One file is one row, and a binary value holds no more bytes than this.
+MAX_FILE_BYTES = 2**31 - 1 - 16
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -35,13 +35,15 @@ def _relative(path: Column, root: str) -> Column:
     return F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1}, 1000000)") if base else path
 
 
-def _listing(spark: SparkSession, root: str, suffix: str, exclude_dirs: list[str]) -> DataFrame:
+def _listing(
+    spark: SparkSession, root: str, suffix: str, exclude_dirs: list[str], skip_unreadable: bool = False
+) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{suffix}")
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
+        .option("ignoreCorruptFiles", skip_unreadable)
+        .option("ignoreMissingFiles", skip_unreadable)
         .load(root)
     )
     files = files.withColumn("rel", _relative(F.col("path"), root))
@@ -57,31 +59,37 @@ def scan_corpus(
     exclude_dirs: list[str] = EXCLUDE_DIRS,
     corpus: str = "",
     max_bytes: int = MAX_FILE_BYTES,
+    report_unreadable: bool = False,
 ) -> DataFrame:
-    """``source_files`` under a root: path relative to it, text, size, time and hash.
+    """``source_files`` under a root: path relative to it, text, size, time, hash and status.
 
-    Excluded directories are pruned by their name; bytes that are no UTF-8 become replacement
-    characters; unreadable and oversized files are left out (see ``oversized``).
+    Excluded directories are pruned by their name; bytes that are no UTF-8 become replacement characters. No file
+    is left out: one above ``max_bytes`` (by default what one value can hold) comes as a row of status
+    ``oversized`` with null text and hash. A file that cannot be read fails the job, or, with
+    ``report_unreadable``, comes as such a row of status ``unreadable``; finding those reads the files once more.
     """
-    files = _listing(spark, root, suffix, exclude_dirs).filter(F.col("length") <= max_bytes)
-    return files.select(
-        F.lit(corpus).alias("corpus"),
-        F.col("rel").alias("path"),
-        stem_of(F.col("rel")).alias("stem"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").cast("double").alias("mtime"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-
-
-def oversized(
-    spark: SparkSession, root: str, suffix: str, exclude_dirs: list[str] = EXCLUDE_DIRS, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """Files that ``scan_corpus`` leaves out for their size; their content is not read."""
-    return _listing(spark, root, suffix, exclude_dirs).filter(F.col("length") > max_bytes).select(
-        F.col("rel").alias("path"), F.col("length").alias("size")
-    )
+    listed = _listing(spark, root, suffix, exclude_dirs)
+    small = F.col("length") <= max_bytes
+    read = _listing(spark, root, suffix, exclude_dirs, report_unreadable).filter(small)
+
+    def rows(files: DataFrame, status: str, content: Column) -> DataFrame:
+        return files.select(
+            F.lit(corpus).alias("corpus"),
+            F.col("rel").alias("path"),
+            stem_of(F.col("rel")).alias("stem"),
+            F.make_valid_utf8(content.cast("string")).alias("content"),
+            F.col("length").alias("size"),
+            F.col("modificationTime").cast("double").alias("mtime"),
+            F.sha2(content, 256).alias("sha256"),
+            F.lit(status).alias("status"),
+        )
+
+    nothing = F.lit(None).cast("binary")
+    out = rows(read, "ok", F.col("content")).unionByName(rows(listed.filter(~small), "oversized", nothing))
+    if not report_unreadable:
+        return out
+    held = read.filter(F.length("content") >= 0).select("path")
+    return out.unionByName(rows(listed.filter(small).join(held, "path", "left_anti"), "unreadable", nothing))
 
 
 def scan_filter_layers(files: DataFrame, layers: DataFrame, wanted: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import blocks, documents, lint, logs, patterns, symbols
+from factloom.operators.graph import change_impact
 from factloom.operators.navigate import find_references, rename_plan, word_index
 
 SPEC = """#lang spec
@@ -275,6 +276,25 @@ def test_patterns(spark, files):
     assert rows(patterns.extract_variant_structs(f), "parent", "name") == [("frame", "ack")]
 
 
+def test_change_impact_of_variant_goes_through_its_struct(spark, files):
+    f = files(
+        ("a_frame.x", "object frame = {\n  type this\n  object ack = {\n    variant this of frame = struct { n : idx }\n  }\n}"),
+        ("b_packet.x", "include a_frame\nobject packet = {\n  type this = struct { payload : frame.arr }\n}"),
+        ("c_ser.x", "include b_packet\n<<< impl\nclass my_ser : public lib_binary_ser_128 { setn(1); }\n>>>"),
+        ("d_deser.x", "include b_packet\n<<< impl\nclass my_deser : public lib_binary_deser_128 { getn(1); }\n>>>"),
+        ("e_wire.x", "include c_ser\ninstance wire : serdes(packet, data, my_ser, my_deser)"),
+        ("z.x", "include other"),
+    )
+    p = patterns.detect_patterns(f).cache()
+    got = rows(change_impact(p, f, symbols.extract_includes(f), "frame", "add_variant"), "bucket", "path", "category")
+    assert got == [
+        ("auto", "a_frame.x", "type_definition"), ("auto", "c_ser.x", "serializer"), ("auto", "d_deser.x", "deserializer"),
+        ("manual_review", "b_packet.x", "other"), ("manual_review", "e_wire.x", "other"), ("unaffected", "z.x", None),
+    ]
+    own = rows(change_impact(p, f, symbols.extract_includes(f), "packet"), "bucket", "path")
+    assert [b for b, _ in own].count("auto") == 3 and ("auto", "b_packet.x") in own
+
+
 def test_word_index_columns(spark, files):
     text = "ab  cd_1(ab)\n\n é ab"
     idx = word_index(files(("f", text)))

@@ -15,7 +15,9 @@ SPREAD = [
     "corpus_coverage", "extract_symbols", "extract_requirements", "extract_cross_refs", "parse_check_results", "coverage_diff",
     "traceability_matrix", "resolve_includes", "wire_reads", "goto_definition", "find_references", "detect_patterns",
     "compute_scopes", "scoped_nct_counts", "model_summary", "property_summary", "quality_gate", "all_diagnostics", "id_diff",
-    "stream_event_windows", "stream_phase_transitions", "transitive_closure", "change_impact",
+    "stream_event_windows", "stream_phase_transitions", "transitive_closure", "change_impact", "change_impact_variant",
+    "scan_corpus", "scan_check_log", "written_var_counts", "completeness_score", "error_groups", "failure_reasons",
+    "extract_writes", "extract_nested_symbols", "extract_variant_structs", "inherited_related",
 ]
 NAMES = list(entry.queries()) if os.environ.get("FACTLOOM_ALL_QUERIES") else SPREAD
 

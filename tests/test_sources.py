@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -15,8 +16,16 @@ def test_scan_corpus(spark, tmp_path):
     (tmp_path / "a" / "build" / "y.spec").write_text("no")
     (tmp_path / "a" / "z.txt").write_text("no")
     got = corpus.scan_corpus(spark, str(tmp_path), ".spec", corpus="c", max_bytes=6)
-    assert rows(got, "path", "stem", "content", "size") == [("a/bad.spec", "bad", "caf�", 4)]
-    assert rows(corpus.oversized(spark, str(tmp_path), ".spec", max_bytes=6), "path") == [("a/x.spec",)]
+    bad, big = ("a/bad.spec", "bad", "caf�", 4, "ok"), ("a/x.spec", "x", None, 7, "oversized")
+    assert rows(got, "path", "stem", "content", "size", "status") == [bad, big]
+    # a wrong checksum beside a file makes it unreadable
+    (tmp_path / "a" / "torn.spec").write_text("t")
+    (tmp_path / "a" / ".torn.spec.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + bytes(4))
+    got = corpus.scan_corpus(spark, str(tmp_path), ".spec", corpus="c", max_bytes=6, report_unreadable=True)
+    torn = ("a/torn.spec", "torn", None, 1, "unreadable")
+    assert rows(got, "path", "stem", "content", "size", "status") == [bad, torn, big]
+    with pytest.raises(Exception, match="(?i)checksum"):
+        corpus.scan_corpus(spark, str(tmp_path), ".spec").collect()
 
 
 def test_manifests(spark, tmp_path):

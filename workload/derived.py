@@ -7,6 +7,7 @@ shared; what a query computes is written separately for the two engines.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -311,6 +312,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(_MADE[key])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """Folder for a query's own tables, in the shared checkpoint directory of the session."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cte(names: str, body: str) -> str:
     """DuckDB statement with the named derived relations as common table expressions."""
     places = {t: t for t in TABLES} | {"spread": ""} | {f"numbers_to_{n}": f"unnest(range(0, {n + 1}))" for n in (3, 6)}

@@ -8,7 +8,7 @@ from factloom.functions import text as T
 from factloom.operators import blocks, documents, logs, patterns, symbols
 from factloom.plans.prefixes import dotted_prefixes
 from factloom.sources import corpus
-from workload.derived import LINES, cte, table
+from workload.derived import LINES, cte, scratch, table
 from workload.registry import register
 
 ON_LINES = lambda body: cte("src", LINES + body)
@@ -16,14 +16,16 @@ ON_LINES = lambda body: cte("src", LINES + body)
 
 @register(
     "scan_corpus",
-    """SELECT source AS path, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, min(sha256(text)) AS least_hash
-FROM documents GROUP BY source""",
+    """SELECT 'block=' || b AS folder, content, CAST(octet_length(encode(content)) AS BIGINT) AS size, sha256(content) AS sha256, 'ok' AS status FROM (
+SELECT doc_id // 16 AS b, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY 1) AS d""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").withColumn("sha", F.sha2(F.encode("text", "utf-8"), 256))
-    return d.groupBy(F.col("source").alias("path")).agg(
-        F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.min("sha").alias("least_hash")
-    )
+    # files of sixteen documents each are written and read back
+    root = scratch(spark, "scan_corpus")
+    d = table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 16).alias("block"))
+    d.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "text").write.partitionBy("block").text(root)
+    files = corpus.scan_corpus(spark, root, ".txt")
+    return files.select(F.substring_index("path", "/", 1).alias("folder"), "content", "size", "sha256", "status")
 
 
 @register(
@@ -226,7 +228,7 @@ def _(spark, sf):
         _BLOCKS
         + """SELECT l.path || ':' || l.line AS id, l.path, l.line, regexp_extract(text, '^\\s*(\\w+)', 1) AS kind, trim(regexp_extract(text, '^\\s*\\w+\\s+(.+?);', 1)) AS formula_text,
   blk.monitor_action, blk.mixin_kind, array_to_string(string_split(regexp_replace(regexp_extract(text, '#\\s*\\[([^\\]]+)\\]', 1), '\\s', '', 'g'), ','), ',') AS tags
-FROM lines AS l JOIN blk ON blk.path = l.path AND l.line > blk.start_line AND l.line < blk.end_line WHERE regexp_matches(text, '^\\s*(require|ensure|assume|assert)\\s+.+;')"""
+FROM lines AS l ASOF JOIN blk ON blk.path = l.path AND l.line > blk.start_line WHERE l.line < blk.end_line AND regexp_matches(text, '^\\s*(require|ensure|assume|assert)\\s+.+;')"""
     ),
 )
 def _(spark, sf):
@@ -239,7 +241,7 @@ def _(spark, sf):
     ON_LINES(
         _BLOCKS
         + """SELECT l.path, l.line, regexp_extract(text, '^\\s*([\\w.]+)', 1) AS var_name, blk.monitor_action, blk.mixin_kind FROM lines AS l
-JOIN blk ON blk.path = l.path AND l.line > blk.start_line AND l.line < blk.end_line WHERE regexp_matches(text, '^\\s*[\\w.]+(\\([^)]*\\))?\\s*:=')"""
+ASOF JOIN blk ON blk.path = l.path AND l.line > blk.start_line WHERE l.line < blk.end_line AND regexp_matches(text, '^\\s*[\\w.]+(\\([^)]*\\))?\\s*:=')"""
     ),
 )
 def _(spark, sf):
@@ -464,10 +466,21 @@ def _(spark, sf):
 
 @register(
     "scan_check_log",
-    cte("log", "SELECT log_id, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM log GROUP BY log_id"),
+    cte(
+        "log",
+        """, l AS (SELECT CAST(substr(log_id, 4) AS BIGINT) AS o, line_no, text FROM log)
+, b AS (SELECT o // 256 AS block, CAST(row_number() OVER (PARTITION BY o // 256 ORDER BY o, line_no) - 1 AS INT) AS line_no, text FROM l)
+SELECT * FROM b UNION ALL SELECT block, CAST(count(*) AS INT), '' FROM b GROUP BY block""",
+    ),
 )
 def _(spark, sf):
-    return table(spark, sf, "log").groupBy("log_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("chars"))
+    # the logs of 256 orders make one file, which ends with a line break
+    root = scratch(spark, "scan_check_log")
+    o = F.substring("log_id", 4, 20).cast("long")
+    rows = table(spark, sf, "log").select(o.alias("o"), "line_no", "text", F.floor(o / 256).alias("block"))
+    rows.repartition("block").sortWithinPartitions("block", "o", "line_no").select("block", "text").write.partitionBy("block").text(root)
+    block = F.regexp_extract("log_id", "block=([0-9]+)", 1).cast("long")
+    return corpus.scan_check_log(spark, f"{root}/*/*.txt").select(block.alias("block"), F.col("line_no").cast("int"), "text")
 
 
 @register(

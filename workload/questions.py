@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 from factloom.operators import (
     coverage, documents, filters, graph, lint, maintain, navigate, patterns, reports, resolve, symbols, wiring,
 )
-from factloom.plans.lineage import cut_lineage, ensure_checkpoint_dir
+from factloom.plans.lineage import cut_lineage
 from factloom.sources import index as store
 from factloom.streaming.changes import build_index
-from workload.derived import LINES, cte, table
+from workload.derived import LINES, cte, scratch, table
 from workload.registry import register
 
 ON_LINES = lambda body: cte("src", LINES + body)
 
 
-def scratch(spark, name: str) -> str:
-    """Folder for a query's own tables, in the shared checkpoint directory of the session."""
-    import uuid
-
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- closures and scopes --------------------------------------------------------------------------
@@ -199,11 +194,11 @@ def _(spark, sf):
     cte(
         "includes files spec_reqs",
         _BRING
-        + """, rr AS (SELECT fb.path, m[1] AS line, m[2] AS include_name, brought, r.line AS req_line, row_number() OVER (PARTITION BY fb.path, m ORDER BY brought, r.line) AS n FROM fb JOIN spec_reqs r ON r.path = brought) SELECT * FROM rr WHERE n <= 10""",
+        + "SELECT fb.path, m[1] AS line, m[2] AS include_name, brought, r.line AS req_line, r.kind, r.formula_text AS formula FROM fb JOIN spec_reqs r ON r.path = brought",
     ),
 )
 def _(spark, sf):
-    return _inherited(spark, sf, lint.inherited_related).select("path", "line", "include_name", "brought", "req_line", "n")
+    return _inherited(spark, sf, lint.inherited_related).select("path", "line", "include_name", "brought", "req_line", "kind", "formula")
 
 
 # ---- one-hop questions ------------------------------------------------------------------------------
@@ -251,16 +246,6 @@ def _(spark, sf):
     return graph.written_var_counts(table(spark, sf, "reqs"), table(spark, sf, "writes"))
 
 
-# ---- change impact ------------------------------------------------------------------------------------
-
-
-@register("change_impact")
-def _(spark, sf):
-    src = table(spark, sf, "src")
-    p = cut_lineage(patterns.detect_patterns(src))
-    return graph.change_impact(p, src, symbols.extract_includes(src), "box_5")
-
-
 @register(
     "dirty_expand",
     cte(
@@ -502,7 +487,7 @@ def _(spark, sf):
     cte(
         "src",
         """, m AS (SELECT * FROM (VALUES ('types', 'type '), ('codec', 'interpret '), ('frame', 'variant '), ('packet', 'type.*quic_packet'), ('connection', 'relation conn'), ('transport', 'action '), ('security', 'action '), ('application', 'action app_'), ('shim', '<<< impl'), ('test_specs', 'export '), ('entities', 'instance '), ('behavior', 'before '), ('recovery', 'no such text'), ('extensions', 'no such text')) AS v(layer, marker))
-, p AS (SELECT m.layer, bool_or(contains(substr(content, 1, 4096), marker)) AS present FROM m, src GROUP BY m.layer)
+, p AS (SELECT m.layer, bool_or(contains(content, marker)) AS present FROM m, src GROUP BY m.layer)
 SELECT layer, present, (SELECT CAST(round(100.0 * count(*) FILTER (present) / 14) AS INT) FROM p) AS score, CASE WHEN present THEN NULL WHEN layer IN ('types', 'frame', 'packet', 'connection') THEN 'high' ELSE 'medium' END AS priority FROM p""",
     ),
 )
@@ -551,8 +536,7 @@ def _(spark, sf):
 
 @register(
     "failure_reasons",
-    """WITH f AS (SELECT o_orderpriority || ' ' || o_orderstatus AS message, 'f' || o_custkey AS path FROM orders), c AS (SELECT message, count(*) AS n FROM f GROUP BY 1)
-, s AS (SELECT message, path, row_number() OVER (PARTITION BY message ORDER BY path) AS rank FROM (SELECT DISTINCT message, path FROM f) AS d) SELECT message, n, path, rank FROM c JOIN s USING (message) WHERE rank <= 3""",
+    """WITH f AS (SELECT o_orderpriority || ' ' || o_orderstatus AS message, 'f' || o_custkey AS path FROM orders), c AS (SELECT message, count(*) AS n FROM f GROUP BY 1) SELECT message, n, path FROM c JOIN (SELECT DISTINCT message, path FROM f) AS s USING (message)""",
 )
 def _(spark, sf):
     f = table(spark, sf, "orders").select(
@@ -563,8 +547,7 @@ def _(spark, sf):
 
 @register(
     "error_groups",
-    """WITH e AS (SELECT p_name || ' ' || p_partkey AS symbol, CASE WHEN p_size % 3 = 0 THEN 'unresolved' WHEN p_size % 3 = 2 THEN 'duplicate' ELSE 'other' END AS kind FROM part), c AS (SELECT kind, count(*) AS n FROM e GROUP BY 1)
-, s AS (SELECT kind, symbol, row_number() OVER (PARTITION BY kind ORDER BY symbol) AS rank FROM e) SELECT kind, n, symbol, rank FROM c JOIN s USING (kind) WHERE rank <= 5""",
+    """WITH e AS (SELECT p_name || ' ' || p_partkey AS symbol, CASE WHEN p_size % 3 = 0 THEN 'unresolved' WHEN p_size % 3 = 2 THEN 'duplicate' ELSE 'other' END AS kind FROM part), c AS (SELECT kind, count(*) AS n FROM e GROUP BY 1) SELECT kind, n, symbol FROM c JOIN (SELECT DISTINCT kind, symbol FROM e) AS s USING (kind)""",
 )
 def _(spark, sf):
     e = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_partkey").alias("symbol"), (F.col("p_size") % 3).alias("locations"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import coverage, filters, graph, navigate, patterns, resolve, symbols, tags, wiring
+from factloom.plans.lineage import cut_lineage
 from workload.derived import LINES, cte, table
 from workload.registry import register
 
@@ -140,7 +141,7 @@ def _(spark, sf):
         "manifest annotations",
         _RESOLVE
         + """, pl AS (SELECT key, path, line, tag FROM (SELECT path, line, unnest(tags) AS tag FROM annotations) AS a JOIN rs USING (tag))
-SELECT req_id, rfc, section, level, substr(text, 1, 120) AS text, path, line, tag, path IS NOT NULL AS covered FROM manifest LEFT JOIN pl ON key = req_id""",
+SELECT req_id, rfc, section, level, text, path, line, tag, path IS NOT NULL AS covered FROM manifest LEFT JOIN pl ON key = req_id""",
     ),
 )
 def _(spark, sf):
@@ -902,6 +903,34 @@ def _(spark, sf):
     return patterns.containing_structs(p, types)
 
 
+_STEM = "regexp_extract(path, '([^/]+)[.][^./]*$', 1)"
+_IMPACT = (
+    _PAT + _SERDES + _HOLD
+    + f""", ex AS (SELECT path, {_STEM} AS stem, regexp_extract(text, '^include\\s+(\\w+)', 1) AS used FROM lines WHERE regexp_matches(text, '^include\\s+\\w+'))
+, ty AS (SELECT 'struct' AS k, 'add_field_to_struct' AS edit, min(path) AS path FROM st WHERE name = '{{type}}' HAVING count(*) > 0 UNION ALL SELECT 'variant', 'add_variant_case', min(path) FROM lines WHERE contains(text, 'variant this of {{type}} ') HAVING count(*) > 0)
+, ho AS (SELECT '{{type}}' AS name, 0 AS way UNION SELECT name, 1 FROM st WHERE contains(body, ': {{type}}.'))
+, ins AS (SELECT way, row_number() OVER (PARTITION BY way ORDER BY instance_path, instance_line) AS n, s.path AS sp, d.path AS dp FROM ho JOIN sd ON message_type = name LEFT JOIN cl s ON s.name = a[3] LEFT JOIN cl d ON d.name = a[4])
+, prs AS (SELECT sp, dp FROM ins WHERE way = 0 UNION ALL SELECT sp, dp FROM ins WHERE way = 1 AND n = 1 AND sp IS NOT NULL AND 'variant' IN (SELECT k FROM ty) AND 0 NOT IN (SELECT way FROM ins))
+, au AS (SELECT path, 'type_definition' AS category, edit FROM ty UNION SELECT sp, 'serializer', 'add_state_and_set_case' FROM prs WHERE sp IS NOT NULL UNION SELECT dp, 'deserializer', 'add_state_and_get_case' FROM prs WHERE dp IS NOT NULL)
+, us AS (SELECT DISTINCT stem FROM ex WHERE used IN (SELECT {_STEM} FROM au) UNION SELECT ex.stem FROM us JOIN ex ON used = us.stem)
+, cat AS (SELECT path, CASE WHEN bool_or(kind = 'shim') THEN 'shim' WHEN bool_or(kind = 'entity') THEN 'entity' WHEN bool_or(kind = 'monitors') THEN 'behavior' WHEN contains(path, 'test') THEN 'test' ELSE 'other' END AS category FROM pat GROUP BY path)
+SELECT 'auto' AS bucket, path, category, edit FROM au UNION ALL
+SELECT CASE WHEN hit THEN 'manual_review' ELSE 'unaffected' END, path, CASE WHEN hit THEN coalesce(category, 'other') END, NULL
+FROM (SELECT DISTINCT path, stem IN (SELECT stem FROM us) AS hit FROM ex WHERE path NOT IN (SELECT path FROM au)) AS f LEFT JOIN cat USING (path)"""
+)
+
+
+def _impact(name, type_name, change):
+    @register(name, cte("src", "RECURSIVE " + LINES + _IMPACT.replace("{type}", type_name)))
+    def _(spark, sf):
+        src = table(spark, sf, "src")
+        return graph.change_impact(cut_lineage(_patterns(spark, sf)), src, symbols.extract_includes(src), type_name, change)
+
+
+_impact("change_impact", "box_5", "add_field")
+_impact("change_impact_variant", "frame_2", "add_variant")
+
+
 @register(
     "find_variants",
     ON_LINES(

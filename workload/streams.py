@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import symbols
 from factloom.plans.lineage import cut_lineage
 from factloom.streaming import changes, events
-from workload.derived import cte, table
-from workload.questions import scratch
+from workload.derived import cte, scratch, table
 from workload.registry import register
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
