@@ -63,9 +63,8 @@ def filter_scope(
         members = scope_members.filter(F.col("scope_file") == scope).select(
             F.col("member_path").alias("path")
         )
-        if members.isEmpty():
-            return items.filter(F.col("path") == scope)
-        return items.join(members.distinct(), "path", "left_semi")
+        alone = items.sparkSession.createDataFrame([(scope,)], "path string").filter(~members.exists())
+        return items.join(members.unionByName(alone).distinct(), "path", "left_semi")
     if path is None:
         return items
     if is_dir:

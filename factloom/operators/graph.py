@@ -246,10 +246,6 @@ def change_impact(
             )
         )
     auto = cut_lineage(auto.distinct())
-    if auto.filter("category = 'type_definition'").isEmpty():
-        return auto.limit(0).select(
-            F.lit("auto").alias("bucket"), "path", "category", "edit"
-        )
     stems = auto.select(stem_of(F.col("path")).alias("start")).distinct()
     edges = includes_raw.select(stem_of(F.col("from_path")).alias("src"), F.col("include_name").alias("dst"))
     users = reach(edges, stems, "in").select(F.col("node").alias("stem")).distinct()
@@ -266,7 +262,8 @@ def change_impact(
             F.lit(None).cast("string").alias("edit"),
         )
     )
-    return auto.select(F.lit("auto").alias("bucket"), "path", "category", "edit").unionByName(rest)
+    known = auto.filter("category = 'type_definition'").exists()
+    return auto.select(F.lit("auto").alias("bucket"), "path", "category", "edit").unionByName(rest).filter(known)
 
 
 def dirty_expand(

@@ -76,11 +76,13 @@ def parse_check_results(log: DataFrame) -> DataFrame:
     ``The following`` line ends the tracked section.
     """
     t = _strip(F.col("text"))
-    rows = log.select("log_id", "line_no", t.alias("t")).filter("t <> ''")
+    rows = log.select("log_id", "line_no", t.alias("t"))
     t = F.col("t")
     isolate = _or_null(F.regexp_extract(t, ISOLATE_HEADER, 1))
     is_isolate = t.rlike(ISOLATE_HEADER)
     is_section = F.startswith(t, F.lit("The following"))
+    # only context and result lines are shuffled
+    rows = rows.filter(is_section | is_isolate | t.rlike(CHECK_RESULT) | t.rlike(ACTION_CONTEXT))
     kinds = F.create_map(*[F.lit(x) for kv in SECTION_TYPES.items() for x in kv])
     section = F.when(is_isolate, F.struct(F.lit(None).cast("string").alias("v"))).when(
         is_section, F.struct(kinds[t].alias("v"))

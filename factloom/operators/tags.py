@@ -55,10 +55,8 @@ def tag_ambiguity(tags: DataFrame, keys: DataFrame, key: str = "req_id") -> Data
 def orphan_tags(annotations: DataFrame, manifest: DataFrame) -> DataFrame:
     """Annotation tags that name no requirement; nothing when there is no manifest."""
     rows = annotation_tags(annotations)
-    if manifest.isEmpty():
-        return rows.limit(0)
     known = resolve_tags(rows, manifest).select("tag").distinct()
-    return rows.join(known, "tag", "left_anti")
+    return rows.join(known, "tag", "left_anti").filter(manifest.exists())
 
 
 def wire_covers(tagged: DataFrame, manifest: DataFrame) -> DataFrame:

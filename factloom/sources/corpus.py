@@ -112,30 +112,31 @@ def scan_filter_layers(files: DataFrame, layers: DataFrame, wanted: list[str] |
         .groupBy("path")
         .agg(F.max_by("layer", F.struct(F.length("_root"), "layer")).alias("layer"))
     )
-    kept = files.join(tagged, "path")
-    if kept.isEmpty():
-        return files.withColumn("layer", F.lit(None).cast("string"))
-    return kept
+    untagged = files.withColumn("layer", F.lit(None).cast("string")).filter(~tagged.exists())
+    return files.join(tagged, "path").unionByName(untagged)
 
 
 MANIFEST_SCHEMA = (
-    "path string, req_id string, rfc string, section string, text string, level string, layer string, testable boolean"
+    "path string, req_id string, rfc string, section string, text string, level string, layer string, testable boolean, "
+    "error string"
 )
 
 
 def _manifest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
-    names = ["path", "req_id", "rfc", "section", "text", "level", "layer", "testable"]
+    names = ["path", "req_id", "rfc", "section", "text", "level", "layer", "testable", "error"]
     for batch in batches:
         rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
             try:
-                data = yaml.safe_load(content)
-            except yaml.YAMLError:
+                data = yaml.safe_load(content or "")
+            except yaml.YAMLError as e:
+                rows.append((path, *[None] * 7, str(e)))
                 continue
             reqs = data.get("requirements") if isinstance(data, dict) else None
             if not isinstance(reqs, dict):
+                rows.append((path, *[None] * 7, "no requirements"))
                 continue
             doc = str(data.get("rfc", ""))
             for key, r in reqs.items():
@@ -144,14 +145,25 @@ def _manifest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         (
                             path, str(key), doc, str(r.get("section", "")), str(r.get("text", "")),
                             str(r.get("level", "MUST")), str(r.get("layer", "")), bool(r.get("testable", True)),
+                            None,
                         )
                     )
         yield pd.DataFrame(rows, columns=names)
 
 
 def parse_manifests(files: DataFrame) -> DataFrame:
-    """Requirement rows of YAML manifests ``files(path, content)``; entries that are no map are skipped."""
-    return files.select("path", "content").mapInPandas(_manifest_rows, MANIFEST_SCHEMA)
+    """Requirement rows of YAML manifests ``files(path, content)``; entries that are no map are skipped.
+
+    Files that hold no manifest give no rows here; ``manifest_errors`` names them.
+    """
+    return files.select("path", "content").mapInPandas(_manifest_rows, MANIFEST_SCHEMA).filter("error IS NULL").drop("error")
+
+
+def manifest_errors(files: DataFrame) -> DataFrame:
+    """``(path, error)`` of the files that ``parse_manifests`` finds no manifest in."""
+    return files.select("path", "content").mapInPandas(_manifest_rows, MANIFEST_SCHEMA).filter("error IS NOT NULL").select(
+        "path", "error"
+    )
 
 
 def manifest_from_json(files: DataFrame) -> DataFrame:

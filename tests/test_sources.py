@@ -37,6 +37,9 @@ def test_manifests(spark, tmp_path):
     got = corpus.scan_manifest(spark, str(tmp_path))
     assert rows(got, "req_id", "rfc", "level", "testable") == [("r:1", "RFC1", "MAY", True), ("r:2", "RFC1", "MUST", True)]
     assert corpus.scan_manifest(spark, str(tmp_path), corpus="zz").count() == 0
+    torn = spark.createDataFrame([("x", "a: [1"), ("y", None), ("z", "requirements: {q: {}}")], "path string, content string")
+    assert rows(corpus.manifest_errors(torn), "path") == [("x",), ("y",)]
+    assert rows(corpus.parse_manifests(torn), "path", "req_id") == [("z", "q")]
     doc = json.dumps({"rfc": "RFC1", "requirements": {"r:1": {"text": "t"}}})
     js = corpus.manifest_from_json(spark.createDataFrame([("m", doc)], "path string, content string"))
     assert rows(js, "req_id", "level", "section", "testable") == [("r:1", "MUST", "", True)]
