@@ -5,8 +5,8 @@ words. Words with a digit are variable fields from the start. At a leaf, a word
 documents, and a fifth of the leaf's documents, have it there; every other position is a variable field. A line follows the
 template of its leaf if at least ``SIMILAR`` of its words after the leading ones are constants.
 
-A template recurs if ``FEWEST`` documents or more have lines of the leaf, and if these are not mostly copies of one document: no value of a
-document's sketch (its least shingle hash) may have half of them. Lines that copies share go with the copies, which is
+A template recurs if ``FEWEST`` documents or more have lines of the leaf, and if these are not mostly copies of one document: no class of
+near-duplicates (``near_dups``, similarity 0.75) may have half of them. Lines that copies share go with the copies, which is
 the work of near-dedup. Lines that follow a recurring template are dropped in all documents; all other lines stay as they are.
 
 Everything is counted by keys with combinable aggregates; no leaf is gathered in one task. One pass over the texts writes a narrow table
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.mapped import SharedSet, shared_set
-from factloom.llm.near_dups import SHINGLE
+from factloom.llm.mapped import SharedMap, SharedSet, shared_map, shared_set
+from factloom.llm.near_dups import near_duplicates
 from factloom.llm.storage import stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
@@ -51,7 +51,6 @@ class Lines:
         self.size = np.diff(np.append(self.first, len(starts)))
         self.row = rows[self.first]
         self.number = at[self.first] - np.searchsorted(breaks, ends[self.row])  # line breaks of the text before it
-        self.word_rows = rows
         place = (np.arange(len(starts)) - np.repeat(self.first, self.size)).astype(np.uint64)
         spread = mix64(self.words + place * _PLACE)
         if len(self.first):
@@ -62,55 +61,49 @@ class Lines:
             self.hash = self.leaf = np.zeros(0, dtype=np.uint64)
 
 
-def sketches(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The least shingle hash of every text; 0 without a shingle."""
-    out = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    m = max(0, len(hashes) - SHINGLE + 1)
-    total = np.zeros(m, dtype=np.uint64)
-    for k in range(SHINGLE):
-        total += hashes[k : m + k] * mix64(np.array([k + 1], dtype=np.uint64))
-    whole = rows[:m] == rows[SHINGLE - 1 :] if m else np.zeros(0, dtype=bool)
-    np.minimum.at(out, rows[:m][whole], mix64(total[whole]))
-    out[out == np.iinfo(np.uint64).max] = 0
-    return out
+_LINES = "doc_id long, doc_class long, leaf long, line long, words array<long>"
+
+
+def _read(classes: SharedMap):
+    """The lines of each text, with the class of its document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                lines = Lines(*utf8(batch.column("text")))
+                doc = batch.column("doc_id").to_numpy()[lines.row]
+                long = np.flatnonzero(lines.size >= LEAST)
+                _, fresh = np.unique(lines.hash[long], return_index=True)
+                shown = np.zeros(len(long), dtype=bool)
+                shown[fresh] = True
+                size = np.where(shown, lines.size[long], 0)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                place = np.arange(ends[-1]) + np.repeat(lines.first[long] - ends[:-1], size)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(lines.words[place].view(np.int64), pa.int64()), mask=pa.array(~shown)
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc[long], pa.int64()),
+                        pa.array(classes.get(doc[long]), pa.int64()),
+                        pa.array(lines.leaf[long].view(np.int64)),
+                        pa.array(lines.hash[long].view(np.int64)),
+                        lists,
+                    ],
+                    names=["doc_id", "doc_class", "leaf", "line", "words"],
+                )
 
-_LINES = "doc_id long, sketch long, leaf long, line long, words array<long>"
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            lines = Lines(*utf8(batch.column("text")))
-            sketch = sketches(lines.exact, lines.word_rows, batch.num_rows)
-            long = np.flatnonzero(lines.size >= LEAST)
-            _, fresh = np.unique(lines.hash[long], return_index=True)
-            shown = np.zeros(len(long), dtype=bool)
-            shown[fresh] = True
-            size = np.where(shown, lines.size[long], 0)
-            ends = np.concatenate(([0], np.cumsum(size)))
-            place = np.arange(ends[-1]) + np.repeat(lines.first[long] - ends[:-1], size)
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(lines.words[place].view(np.int64), pa.int64()), mask=pa.array(~shown)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(lines.row[long])),
-                    pa.array(sketch[lines.row[long]].view(np.int64)),
-                    pa.array(lines.leaf[long].view(np.int64)),
-                    pa.array(lines.hash[long].view(np.int64)),
-                    lists,
-                ],
-                names=["doc_id", "sketch", "leaf", "line", "words"],
-            )
+    return run
 
 
 def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """``line``: the hashes of all lines that follow a recurring template, once each."""
-    lines = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(_read, _LINES)
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
+    copies = near_duplicates(docs).filter("NOT kept").select("doc_id", "component_id")
+    lines = docs.mapInArrow(_read(shared_map(copies, "copies")), _LINES)
     lines = stored(lines, "lines")
-    held = lines.select("leaf", "doc_id", "sketch").distinct()
-    alike = held.groupBy("leaf", "sketch").agg(F.count("*").alias("n"))
+    held = lines.select("leaf", "doc_id", "doc_class").distinct()
+    alike = held.groupBy("leaf", "doc_class").agg(F.count("*").alias("n"))
     leaves = alike.groupBy("leaf").agg(F.sum("n").alias("documents"), F.max("n").alias("most"))
     leaves = leaves.filter((F.col("documents") >= fewest) & (2 * F.col("most") < F.col("documents")))
     leaves = stored(leaves.select("leaf", "documents"), "leaves")

@@ -125,3 +125,46 @@ def shared_set(numbers: DataFrame, label: str) -> SharedSet:
     dealt = numbers.withColumn("shard", F.pmod("value", F.lit(shards)))
     dealt.groupBy("shard").applyInArrow(write, "written long").agg(F.sum("written")).collect()
     return SharedSet(folder, shards)
+
+
+class SharedMap:
+    """A map of 64-bit numbers of any size, dealt over files of sorted keys and their values."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each 64-bit key; the key itself where the map has none."""
+        keys = keys.view(np.int64)
+        out = keys.copy()
+        shard = keys % self.shards
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            held = arrays(f"{self.folder}/{s}")
+            if held is not None and len(held[0]):
+                own = order[cuts[s] : cuts[s + 1]]
+                wanted = keys[own].view(np.uint64)
+                place = np.minimum(np.searchsorted(held[0], wanted), len(held[0]) - 1)
+                hit = held[0][place] == wanted
+                out[own[hit]] = held[1][place[hit]].view(np.int64)
+        return out
+
+
+def shared_map(pairs: DataFrame, label: str) -> SharedMap:
+    """The two columns of longs of ``pairs`` as a map that workers map; a key that is there more than once has its least value."""
+    spark = pairs.sparkSession
+    pairs = pairs.toDF("key", "value").dropna().groupBy("key").agg(F.min("value").alias("value"))
+    shards = max(1, -(-pairs.count() // SET_ROWS))
+    folder = shared_folder(spark, label)
+    make_folder(folder)
+
+    def write(rows: pa.Table) -> pa.Table:
+        keys, values = (rows.column(c).to_numpy().view(np.uint64) for c in ("key", "value"))
+        order = np.argsort(keys)
+        write_arrays(f"{folder}/{rows.column('shard')[0].as_py()}", [keys[order], values[order]])
+        return pa.table({"written": pa.array([len(keys)], pa.int64())})
+
+    dealt = pairs.withColumn("shard", F.pmod("key", F.lit(shards)))
+    dealt.groupBy("shard").applyInArrow(write, "written long").agg(F.sum("written")).collect()
+    return SharedMap(folder, shards)
