@@ -2,12 +2,12 @@
 
 A line of at least ``LEAST`` words is parsed by a tree of fixed depth: its number of words, then its first ``LEADING``
 words. Words with a digit are variable fields from the start. At a leaf, a word is a constant of its position if at least ``FEWEST``
-documents, and a fifth of the leaf's documents, have it there; every other position is a variable field. A line follows the
+classes, and a fifth of the leaf's classes, have it there; every other position is a variable field. A line follows the
 template of its leaf if at least ``SIMILAR`` of its words after the leading ones are constants.
 
-A template recurs if ``FEWEST`` documents or more have lines of the leaf, and if these are not mostly copies of one document: no class of
-near-duplicates (``near_dups``, similarity 0.75) may have half of them. Lines that copies share go with the copies, which is
-the work of near-dedup. Lines that follow a recurring template are dropped in all documents; all other lines stay as they are.
+Documents count by class: near-duplicates (``near_dups``, similarity 0.75) are one class together, and any other document is one. A template
+recurs if ``FEWEST`` classes or more have lines of the leaf. Lines that only copies share go with the copies, which is the work of
+near-dedup. Lines that follow a recurring template are dropped in all documents; all other lines stay as they are.
 
 Everything is counted by keys with combinable aggregates; no leaf is gathered in one task. One pass over the texts writes a narrow table
 of lines, with the words of a line only where it is new to its batch. A second pass removes the lines from the texts.
@@ -61,7 +61,7 @@ class Lines:
             self.hash = self.leaf = np.zeros(0, dtype=np.uint64)
 
 
-_LINES = "doc_id long, doc_class long, leaf long, line long, words array<long>"
+_LINES = "doc_class long, leaf long, line long, words array<long>"
 
 
 def _read(classes: SharedMap):
@@ -84,45 +84,48 @@ def _read(classes: SharedMap):
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc[long], pa.int64()),
                         pa.array(classes.get(doc[long]), pa.int64()),
                         pa.array(lines.leaf[long].view(np.int64)),
                         pa.array(lines.hash[long].view(np.int64)),
                         lists,
                     ],
-                    names=["doc_id", "doc_class", "leaf", "line", "words"],
+                    names=["doc_class", "leaf", "line", "words"],
                 )
 
     return run
 
 
+def _held(fields: DataFrame, members: DataFrame) -> DataFrame:
+    """``(leaf, place, word, classes, held)``: how many classes have each word at its place of a leaf, each class once.
+
+    A class with one line of a leaf adds to the weight of that line; only the lines of other classes are taken word by word.
+    """
+    lines = members.groupBy("leaf", "doc_class").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    lines = stored(lines, "own")
+    single = lines.filter("n = 1").groupBy("leaf", "line").agg(F.count("*").alias("held"))
+    single = fields.join(single, ["leaf", "line"]).select("leaf", "place", "word", "classes", "held")
+    several = members.join(lines.filter("n > 1").select("leaf", "doc_class"), ["leaf", "doc_class"])
+    several = fields.join(several, ["leaf", "line"]).select("leaf", "place", "word", "classes", "doc_class").distinct()
+    several = several.select("leaf", "place", "word", "classes", F.lit(1).cast("long").alias("held"))
+    return single.unionByName(several).groupBy("leaf", "place", "word").agg(F.max("classes").alias("classes"), F.sum("held").alias("held"))
+
+
 def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """``line``: the hashes of all lines that follow a recurring template, once each."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
     copies = near_duplicates(docs).filter("NOT kept").select("doc_id", "component_id")
     lines = docs.mapInArrow(_read(shared_map(copies, "copies")), _LINES)
     lines = stored(lines, "lines")
-    held = lines.select("leaf", "doc_id", "doc_class").distinct()
-    alike = held.groupBy("leaf", "doc_class").agg(F.count("*").alias("n"))
-    leaves = alike.groupBy("leaf").agg(F.sum("n").alias("documents"), F.max("n").alias("most"))
-    leaves = leaves.filter((F.col("documents") >= fewest) & (2 * F.col("most") < F.col("documents")))
-    leaves = stored(leaves.select("leaf", "documents"), "leaves")
-    members = lines.select("leaf", "line", "doc_id").join(leaves.select("leaf"), "leaf").distinct()
+    leaves = lines.select("leaf", "doc_class").distinct().groupBy("leaf").agg(F.count("*").alias("classes"))
+    leaves = stored(leaves.filter(F.col("classes") >= fewest), "leaves")
+    members = lines.select("leaf", "line", "doc_class").join(leaves.select("leaf"), "leaf").distinct()
     members = stored(members, "members")
     texts = lines.filter("words IS NOT NULL").select("leaf", "line", "words").join(leaves, "leaf").dropDuplicates(["leaf", "line"])
-    weight = members.groupBy("leaf", "line").agg(F.count("*").alias("weight"))
-    fields = (
-        texts.join(weight, ["leaf", "line"])
-        .select("leaf", "line", "documents", "weight", F.posexplode("words").alias("place", "word"))
-        .filter(F.col("place") >= LEADING)
-    )
+    fields = texts.select("leaf", "line", "classes", F.posexplode("words").alias("place", "word")).filter(F.col("place") >= LEADING)
     fields = stored(fields, "fields")
-    constant = (
-        fields.filter(F.col("word") != int(_FIELD))
-        .groupBy("leaf", "place", "word")
-        .agg(F.sum("weight").alias("held"), F.max("documents").alias("documents"))
-        .filter((F.col("held") >= fewest) & (F.col("held") >= SHARE * F.col("documents")))
-        .select("leaf", "place", "word", F.lit(1).alias("constant"))
+    held = _held(fields.filter(F.col("word") != int(_FIELD)), members)
+    constant = held.filter((F.col("held") >= fewest) & (F.col("held") >= SHARE * F.col("classes"))).select(
+        "leaf", "place", "word", F.lit(1).alias("constant")
     )
     follows = (
         fields.join(constant, ["leaf", "place", "word"], "left")

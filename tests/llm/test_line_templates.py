@@ -18,3 +18,25 @@ def test_a_long_passage_of_unlike_short_documents_goes(spark):
     rows = [(i, f"{letters(15, 100 + i)}\n{passage}\n{letters(15, 300 + i)}") for i in range(50)]
     got = left(spark, rows)
     assert all(passage not in got[i] and len(got[i]) == 2 for i in range(50))
+
+
+def test_copies_shield_no_line_for_other_documents(spark):
+    passage, copy = letters(12, 2), "\n".join(letters(12, 10 + k) for k in range(6))
+    rows = [(i, f"{copy}\n{passage}") for i in range(40)]
+    rows += [(100 + i, f"{letters(40, 500 + i)}\n{passage}") for i in range(20)]
+    got = left(spark, rows)
+    assert all(passage not in x for x in got.values())
+    assert all(got[i] == copy.split("\n") for i in range(40))  # what only copies share stays
+
+
+def test_edited_copies_count_as_one_document(spark):
+    copy = [letters(12, 30 + k) for k in range(20)]
+    rows = []
+    for i in range(40):
+        line = copy[5].split(" ")
+        line[6] = letters(1, 900 + i)
+        rows.append((i, "\n".join([*copy[:5], " ".join(line), *copy[6:]])))
+    lead = " ".join(copy[5].split(" ")[:3])
+    rows += [(100 + i, f"{letters(40, 700 + i)}\n{lead} {letters(9, 800 + i)}") for i in range(10)]
+    got = left(spark, rows)
+    assert all(got[d] == text.split("\n") for d, text in rows)
