@@ -1,12 +1,13 @@
 """Line dedup by a tree of log templates.
 
-A line of at least ``LEAST`` words is parsed by a tree of fixed depth: its number of words, then its first ``LEADING``
-words. Words with a digit are variable fields from the start. At a leaf, a word is a constant of its position if at least ``FEWEST``
+A line is parsed by a tree of fixed depth: its number of words, then its first ``LEADING`` words, or half of its words if
+it is shorter than twice that. Words with a digit are variable fields from the start. At a leaf, a word is a constant of its position if at least ``FEWEST``
 classes, and a fifth of the leaf's classes, have it there; every other position is a variable field. A line follows the
 template of its leaf if at least ``SIMILAR`` of its words after the leading ones are constants.
 
 Documents count by class: near-duplicates (``near_dups``, similarity 0.75) are one class together, and any other document is one. A template
-recurs if ``FEWEST`` classes or more have lines of the leaf. Lines that only copies share go with the copies, which is the work of
+recurs if ``FEWEST`` classes or more have lines of the leaf. A line also recurs if so many classes have it word for word, numbers included;
+long lines need fewer classes for that (``LONG``). Lines that only copies share go with the copies, which is the work of
 near-dedup. Lines that follow a recurring template are dropped in all documents; all other lines stay as they are.
 
 Everything is counted by keys with combinable aggregates; no leaf is gathered in one task. One pass over the texts writes a narrow table
@@ -27,7 +28,8 @@ from factloom.llm.near_dups import near_duplicates
 from factloom.llm.storage import stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
-LEAST, LEADING, FEWEST, SIMILAR, SHARE = 6, 3, 8, 0.6, 0.2
+LEADING, FEWEST, SIMILAR, SHARE = 3, 8, 0.6, 0.2
+LONG = ((20, 3), (50, 2))  # lines of so many words recur word for word from so many classes on
 _FIELD = np.uint64(0x2A)
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -35,7 +37,10 @@ _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lines:
-    """The lines of some texts that hold words: row, place of the line in its text, words, leaf and hash of each."""
+    """The lines of some texts that hold words: row, place of the line in its text, words, leaf and hash of each.
+
+    ``hash`` takes words with a digit as fields, ``verbatim`` as they are.
+    """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         starts, stops, rows = words(data, ends)
@@ -55,13 +60,15 @@ class Lines:
         spread = mix64(self.words + place * _PLACE)
         if len(self.first):
             self.hash = mix64(np.add.reduceat(spread, self.first) + self.size.astype(np.uint64))
-            lead = np.add.reduceat(np.where(place < LEADING, spread, np.uint64(0)), self.first)
+            self.verbatim = mix64(np.add.reduceat(mix64(self.exact + place * _PLACE), self.first) + self.size.astype(np.uint64))
+            leading = np.repeat(np.minimum(LEADING, self.size // 2), self.size).astype(np.uint64)
+            lead = np.add.reduceat(np.where(place < leading, spread, np.uint64(0)), self.first)
             self.leaf = mix64(lead ^ mix64(self.size.astype(np.uint64)))
         else:
-            self.hash = self.leaf = np.zeros(0, dtype=np.uint64)
+            self.hash = self.verbatim = self.leaf = np.zeros(0, dtype=np.uint64)
 
 
-_LINES = "doc_class long, leaf long, line long, words array<long>"
+_LINES = "doc_class long, leaf long, line long, verbatim long, n_words int, words array<long>"
 
 
 def _read(classes: SharedMap):
@@ -72,24 +79,25 @@ def _read(classes: SharedMap):
             for batch in slices(whole, "text"):
                 lines = Lines(*utf8(batch.column("text")))
                 doc = batch.column("doc_id").to_numpy()[lines.row]
-                long = np.flatnonzero(lines.size >= LEAST)
-                _, fresh = np.unique(lines.hash[long], return_index=True)
-                shown = np.zeros(len(long), dtype=bool)
+                _, fresh = np.unique(lines.hash, return_index=True)
+                shown = np.zeros(len(lines.first), dtype=bool)
                 shown[fresh] = True
-                size = np.where(shown, lines.size[long], 0)
+                size = np.where(shown, lines.size, 0)
                 ends = np.concatenate(([0], np.cumsum(size)))
-                place = np.arange(ends[-1]) + np.repeat(lines.first[long] - ends[:-1], size)
+                place = np.arange(ends[-1]) + np.repeat(lines.first - ends[:-1], size)
                 lists = pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(lines.words[place].view(np.int64), pa.int64()), mask=pa.array(~shown)
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(classes.get(doc[long]), pa.int64()),
-                        pa.array(lines.leaf[long].view(np.int64)),
-                        pa.array(lines.hash[long].view(np.int64)),
+                        pa.array(classes.get(doc), pa.int64()),
+                        pa.array(lines.leaf.view(np.int64)),
+                        pa.array(lines.hash.view(np.int64)),
+                        pa.array(lines.verbatim.view(np.int64), mask=lines.verbatim == lines.hash),
+                        pa.array(lines.size, pa.int32()),
                         lists,
                     ],
-                    names=["doc_class", "leaf", "line", "words"],
+                    names=["doc_class", "leaf", "line", "verbatim", "n_words", "words"],
                 )
 
     return run
@@ -111,7 +119,7 @@ def _held(fields: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
-    """``line``: the hashes of all lines that follow a recurring template, once each."""
+    """``line``: the hashes of all lines that follow a recurring template or recur word for word, once each."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
     copies = near_duplicates(docs).filter("NOT kept").select("doc_id", "component_id")
     lines = docs.mapInArrow(_read(shared_map(copies, "copies")), _LINES)
@@ -121,8 +129,10 @@ def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     members = lines.select("leaf", "line", "doc_class").join(leaves.select("leaf"), "leaf").distinct()
     members = stored(members, "members")
     texts = lines.filter("words IS NOT NULL").select("leaf", "line", "words").join(leaves, "leaf").dropDuplicates(["leaf", "line"])
-    fields = texts.select("leaf", "line", "classes", F.posexplode("words").alias("place", "word")).filter(F.col("place") >= LEADING)
-    fields = stored(fields, "fields")
+    fields = texts.select("leaf", "line", "classes", "words", F.posexplode("words").alias("place", "word")).filter(
+        F.col("place") >= F.least(F.lit(LEADING), F.floor(F.size("words") / 2))
+    )
+    fields = stored(fields.drop("words"), "fields")
     held = _held(fields.filter(F.col("word") != int(_FIELD)), members)
     constant = held.filter((F.col("held") >= fewest) & (F.col("held") >= SHARE * F.col("classes"))).select(
         "leaf", "place", "word", F.lit(1).alias("constant")
@@ -133,7 +143,12 @@ def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
         .agg(F.count("constant").alias("constants"), F.count("*").alias("places"))
         .filter(F.col("constants") >= SIMILAR * F.col("places"))
     )
-    return follows.select("line").distinct()
+    least = F.lit(fewest)
+    for n, few in LONG:
+        least = F.when(F.col("n_words") >= n, F.least(least, F.lit(few))).otherwise(least)
+    same = lines.select(F.coalesce("verbatim", "line").alias("line"), "n_words", "doc_class").distinct()
+    same = same.groupBy("line", "n_words").agg(F.count("*").alias("classes")).filter(F.col("classes") >= least)
+    return follows.select("line").union(same.select("line")).distinct()
 
 
 def _strip(gone: SharedSet, text: str, names: list[str]):
@@ -143,7 +158,7 @@ def _strip(gone: SharedSet, text: str, names: list[str]):
         for whole in batches:
             for batch in slices(whole, text):
                 lines = Lines(*utf8(batch.column(text)))
-                out = gone.has(lines.hash) & (lines.size >= LEAST)
+                out = gone.has(lines.hash) | gone.has(lines.verbatim)
                 if "doc_id" in batch.schema.names:
                     out &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[lines.row]
                 texts = batch.column(text).to_pylist()

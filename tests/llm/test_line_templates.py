@@ -40,3 +40,17 @@ def test_edited_copies_count_as_one_document(spark):
     rows += [(100 + i, f"{letters(40, 700 + i)}\n{lead} {letters(9, 800 + i)}") for i in range(10)]
     got = left(spark, rows)
     assert all(got[d] == text.split("\n") for d, text in rows)
+
+
+def test_short_lines_and_long_lines_of_few_documents(spark):
+    once, twice, thrice = letters(12, 40), letters(55, 41), letters(25, 42)
+    notes = ["All rights reserved.", "Chapter 5", "END", "Released under the MIT License."]
+    rows = [(i, "\n".join([letters(40, 900 + i), *notes, f"Page {i}"])) for i in range(10)]
+    rows += [(20 + i, f"{letters(40, 950 + i)}\n{twice}\n{once}") for i in range(2)]
+    rows += [(30 + i, f"{letters(40, 960 + i)}\n{thrice}\n{once}") for i in range(3)]
+    rows += [(40 + i, f"{letters(40, 970 + i)}\n{letters(25, 43)}\nOnly here") for i in range(2)]
+    got = left(spark, rows)
+    assert all(got[i] == [rows[i][1].split("\n")[0], f"Page {i}"] for i in range(10))
+    assert all(len(got[20 + i]) == 2 and got[20 + i][1] == once for i in range(2))
+    assert all(len(got[30 + i]) == 2 and got[30 + i][1] == once for i in range(3))
+    assert all(len(got[40 + i]) == 3 for i in range(2))
