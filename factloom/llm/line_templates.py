@@ -5,6 +5,10 @@ it is shorter than twice that. Words with a digit are variable fields from the s
 classes, and a fifth of the leaf's classes, have it there; every other position is a variable field. A line follows the
 template of its leaf if at least ``SIMILAR`` of its words after the leading ones are constants.
 
+A leaf may hold many templates, none of them a fifth of it. So its lines are also grouped by their *frequent* words, those that at least
+``FEWEST`` classes have at that place, whatever their share: lines of a leaf with the same frequent words at the same places are a
+group, which is a template of its own if they make up ``SIMILAR`` of the words after the leading ones. It recurs by the classes of the group.
+
 Documents count by class: near-duplicates (``near_dups``, similarity 0.75) are one class together, and any other document is one. A template
 recurs if ``FEWEST`` classes or more have lines of the leaf. A line also recurs if so many classes have it word for word, numbers included;
 long lines need fewer classes for that (``LONG``). Lines that only copies share go with the copies, which is the work of
@@ -134,21 +138,33 @@ def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     )
     fields = stored(fields.drop("words"), "fields")
     held = _held(fields.filter(F.col("word") != int(_FIELD)), members)
-    constant = held.filter((F.col("held") >= fewest) & (F.col("held") >= SHARE * F.col("classes"))).select(
-        "leaf", "place", "word", F.lit(1).alias("constant")
+    constant = held.filter(F.col("held") >= fewest).select(
+        "leaf", "place", "word", F.when(F.col("held") >= SHARE * F.col("classes"), 1).alias("constant"), F.lit(1).alias("frequent")
     )
     follows = (
         fields.join(constant, ["leaf", "place", "word"], "left")
         .groupBy("leaf", "line")
-        .agg(F.count("constant").alias("constants"), F.count("*").alias("places"))
-        .filter(F.col("constants") >= SIMILAR * F.col("places"))
+        .agg(
+            F.count("constant").alias("constants"),
+            F.count("frequent").alias("frequent"),
+            F.count("*").alias("places"),
+            F.bit_xor(F.when(F.col("frequent") == 1, F.xxhash64("place", "word"))).alias("group"),
+        )
+        .filter(F.col("frequent") >= SIMILAR * F.col("places"))
     )
+    follows = stored(follows, "follows")
+    by_share = F.col("constants") >= SIMILAR * F.col("places")
+    rest = follows.filter(~by_share).select("leaf", "line", "group")
+    groups = members.join(rest, ["leaf", "line"]).select("leaf", "group", "doc_class").distinct()
+    groups = groups.groupBy("leaf", "group").agg(F.count("*").alias("classes")).filter(F.col("classes") >= fewest)
+    grouped = rest.join(groups.select("leaf", "group"), ["leaf", "group"]).select("line")
+    follows = follows.filter(by_share).select("line").union(grouped)
     least = F.lit(fewest)
     for n, few in LONG:
         least = F.when(F.col("n_words") >= n, F.least(least, F.lit(few))).otherwise(least)
     same = lines.select(F.coalesce("verbatim", "line").alias("line"), "n_words", "doc_class").distinct()
     same = same.groupBy("line", "n_words").agg(F.count("*").alias("classes")).filter(F.col("classes") >= least)
-    return follows.select("line").union(same.select("line")).distinct()
+    return follows.union(same.select("line")).distinct()
 
 
 def _strip(gone: SharedSet, text: str, names: list[str]):

@@ -54,3 +54,13 @@ def test_short_lines_and_long_lines_of_few_documents(spark):
     assert all(len(got[20 + i]) == 2 and got[20 + i][1] == once for i in range(2))
     assert all(len(got[30 + i]) == 2 and got[30 + i][1] == once for i in range(3))
     assert all(len(got[40 + i]) == 3 for i in range(2))
+
+
+def test_a_leaf_holds_many_templates(spark):
+    messages = [letters(8, 60 + k) for k in range(12)]
+    rows = []
+    for i in range(120):
+        who = letters(1, 2000 + i)  # a field without a digit
+        rows.append((i, f"{letters(40, 1000 + i)}\n2024-01-{i} 12:{i} 7{i} {messages[i % 12]} {who}"))
+    got = left(spark, rows)
+    assert all(got[d] == text.split("\n")[:1] for d, text in rows)
