@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import symbols
 from factloom.plans.lineage import cut_lineage
 from factloom.streaming import changes, events
 from workload.derived import cte, scratch, table
@@ -187,13 +186,14 @@ def _(spark, sf):
 @register("stream_coverage_diff")
 def _(spark, sf):
     out = scratch(spark, "coverage")
-    a = symbols.extract_annotations(table(spark, sf, "src")).select("path", "line", "tags")
-    a.write.parquet(f"{out}/annotations-in")
+    table(spark, sf, "src").select(
+        F.lit(0).cast("long").alias("seq"), F.current_timestamp().alias("ts"), "path", F.lit("change").alias("op"), "content"
+    ).write.parquet(f"{out}/changes")
     k = F.col("p_partkey")
     manifest = cut_lineage(
         table(spark, sf, "part").select(F.concat(F.lit("r"), k % 5, F.lit(":"), k % 7, F.lit("."), F.col("p_size")).alias("req_id")).distinct()
     )
-    stream = spark.readStream.schema(a.schema).parquet(f"{out}/annotations-in")
+    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).parquet(f"{out}/changes")
     changes.stream_coverage_diff(stream, manifest, out, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/diffs").groupBy("change").agg(F.count("*").alias("n"))
 
