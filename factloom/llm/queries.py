@@ -15,9 +15,13 @@ from factloom.llm.near_dups import near_duplicates
 from factloom.llm.ngram import score_held_out
 from factloom.llm.packing import pack
 from factloom.llm.quality import quality
+from factloom.llm.spelling import group_variants, letter_runs, vocabulary
+from factloom.llm.storage import shared_folder
 from factloom.llm.topk import top_k
 from factloom.llm.toxicity import toxicity
 from factloom.llm.url_lists import verdicts
+from factloom.llm.warc import read_records, write_archives
+from factloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +200,36 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op10_string_kernel")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@_query("op11_spelling_variants")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """One run in 97 loses a code point, by a checksum of its document and itself; so rows hold misspellings whose words are known."""
+    runs = letter_runs(_table(spark, sf, "documents"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    runs = runs.withColumn("h", F.crc32(name.cast("binary"))).withColumn("at", F.expr("CAST(h % length(run) AS INT)"))
+    return group_variants(vocabulary(runs.select(F.expr("IF(h % 97 = 0, concat(left(run, at), substr(run, at + 2)), run)").alias("word"))))
+
+
+@_query(
+    "op12_warc_index",
+    """
+WITH page AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages),
+earliest AS (SELECT digest, min(page_id) AS first FROM page WHERE bytes >= 100 GROUP BY digest)
+SELECT page_id, bytes AS payload_bytes, page.digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM page LEFT JOIN earliest ON page.digest = earliest.digest
+""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page is archived, with the fetch day that ``op2`` derives, and every record is read back by the index."""
+    captures = _table(spark, sf, "pages").select(
+        "page_id", "url", F.expr("date_add(DATE '2022-01-01', CAST((page_id * 7919) % 1096 AS INT))").alias("day"), F.col("html").cast("binary").alias("payload")
+    )
+    index = write_archives(captures, shared_folder(spark, "archives"))
+    return read_records(index, payloads=False).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+@_query("op13_chebyshev_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(_table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.plans.lineage import ensure_checkpoint_dir
@@ -20,3 +22,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a path and the path inside it, for tasks that read or write bytes themselves."""
+    parsed = urlparse(path)
+    if parsed.scheme in ("", "file"):
+        return fs.LocalFileSystem(), parsed.path
+    if parsed.scheme in ("s3a", "s3n"):  # Spark's names of what Arrow calls s3
+        path = "s3" + path[len(parsed.scheme) :]
+    return fs.FileSystem.from_uri(path)
