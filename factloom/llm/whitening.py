@@ -47,10 +47,14 @@ class Principal:
 
 
 def integer_vectors(vectors: DataFrame, vector: str, scale: int) -> DataFrame:
-    """``(vec_id, x)`` of the rows whose vector is not null and holds no null or non-finite entry; shorter vectors end in zeros."""
+    """``(vec_id, x)`` of the rows whose vector is not null and holds no null or non-finite entry; shorter vectors end in zeros.
+
+    There is no row if all vectors are empty.
+    """
     bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     rows = vectors.filter(F.coalesce(~bad, F.lit(False)))
     dims = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    rows = rows.filter(F.lit(dims > 0))
     x = F.transform(vector, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
     full = F.when(F.size(vector) == dims, x).otherwise(F.concat(x, F.array_repeat(F.lit(0).cast("long"), dims - F.size(vector))))
     return rows.select(F.col("vec_id").cast("long"), full.alias("x"))
