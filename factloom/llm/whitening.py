@@ -27,6 +27,8 @@ from factloom.llm.storage import stored
 DEGREE, SPARE, FRESH, ROUNDS, SEED = 12, 28, 2, 60, 1807
 TOLERANCE = 1e-13  # of a residual, as a share of the largest eigenvalue
 LEAST = 1e-9  # variance of a component, as a share of the whole
+BLOCK = 4 << 20  # bytes of a block of rows, before it is packed
+_KINDS = (np.int16, np.int32, np.int64)
 _RESULT = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
 
 
@@ -64,6 +66,30 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as blocks of numbers of the smallest width that holds them: many passes read them, and none converts lists."""
+    for batch in batches:
+        x = _matrix(batch) if batch.num_rows else np.zeros((0, 1), np.int64)
+        step = max(1, BLOCK // (8 * x.shape[1]))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            kind = next(k for k in _KINDS if np.iinfo(k).min <= part.min() and part.max() <= np.iinfo(k).max)
+            head = [pa.array([v], pa.int32()) for v in (part.shape[1], np.dtype(kind).itemsize)]
+            yield pa.RecordBatch.from_arrays([*head, pa.array([part.astype(kind).tobytes()], pa.binary())], names=["dims", "width", "data"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for dims, width, data in zip(*(batch.column(c) for c in ("dims", "width", "data")), strict=True):
+            kind = next(k for k in _KINDS if np.dtype(k).itemsize == width.as_py())
+            yield np.frombuffer(data.as_buffer(), dtype=kind).reshape(-1, dims.as_py())
+
+
+def packed(x: DataFrame) -> DataFrame:
+    """``x(x)``, vectors of longs of one length, as blocks of rows, stored."""
+    return stored(x.mapInArrow(_pack, "dims int, width int, data binary"), "vectors")
+
+
 def _exact(x: np.ndarray, factor: int) -> np.ndarray:
     """``x`` in a type in which a sum of its elements times ``factor`` is exact."""
     most = max(int(x.max(initial=0)), -int(x.min(initial=0)))
@@ -73,10 +99,8 @@ def _exact(x: np.ndarray, factor: int) -> np.ndarray:
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each dimension the sum and the sum of squares, exact; the number of rows in the place of dimension -1."""
     n, sums, squares = 0, [], []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = _matrix(batch)
+    for x in _unpacked(batches):
+        x = x.astype(np.int64)
         x = _exact(x, max(1, int(x.max()), -int(x.min())))
         n += len(x)
         sums = [a + int(b) for a, b in zip(sums or [0] * x.shape[1], x.sum(axis=0), strict=True)]
@@ -93,9 +117,8 @@ def _folded(x: DataFrame, fold: Callable[[np.ndarray], np.ndarray], shape: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for batch in batches:
-            if batch.num_rows:
-                total += fold(_matrix(batch).astype(np.float64))
+        for rows in _unpacked(batches):
+            total += fold(rows.astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "value"])
 
     sums = x.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
@@ -154,7 +177,7 @@ def iterate(times: Callable[[np.ndarray], np.ndarray], dims: int, k: int) -> tup
 
 
 def principal_components(x: DataFrame, k: int) -> Principal | None:
-    """The components of the distinct vectors ``x(x)``, all of one length; None without a row or without variance."""
+    """The components of the distinct vectors ``x`` (see :func:`packed`); None without a row or without variance."""
     moments = {r["dim"]: (int(r["total"]), int(r["squares"])) for r in x.mapInArrow(_moments, "dim int, total decimal(38,0), squares decimal(38,0)")
                .groupBy("dim").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares")).collect()}
     n = moments.pop(-1, (0, 0))[0]
@@ -233,7 +256,7 @@ def whiten(vectors: DataFrame, k: int = 4, scale: int = 256, vector: str = "embe
     Components of equal variance may be turned among each other. Other columns are not read.
     """
     rows = integer_vectors(vectors.select("vec_id", vector), vector, scale)
-    distinct = stored(rows.select("x").distinct(), "vectors")
+    distinct = packed(rows.select("x").distinct())
     found = principal_components(distinct, k)
     if found is None:
         return vectors.sparkSession.createDataFrame([], _RESULT)

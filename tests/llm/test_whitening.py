@@ -79,12 +79,14 @@ def test_iteration_certifies_a_flat_spectrum():
     assert np.abs(got - values[:4]).max() < 1e-12 and np.abs(np.abs(np.sum(q * turn[:, :4], axis=0)) - 1).max() < 1e-12
 
 
-def test_a_direction_that_the_first_block_misses_is_found():
+def test_a_direction_that_the_first_block_misses_is_found(monkeypatch):
+    real = np.random.default_rng
+
     class Blind:
         """The first draw lacks the first coordinate."""
 
         def __init__(self):
-            self.rng, self.first = np.random.default_rng(4), True
+            self.rng, self.first = real(4), True
 
         def standard_normal(self, shape):
             out = self.rng.standard_normal(shape)
@@ -93,11 +95,8 @@ def test_a_direction_that_the_first_block_misses_is_found():
             return out
 
     values = np.concatenate(([5.0], np.linspace(1.0, 0.1, 79)))
-    real, whitening.np.random.default_rng = whitening.np.random.default_rng, lambda seed: Blind()
-    try:
-        got, _ = whitening.iterate(lambda block: values[:, None] * block, 80, 4)
-    finally:
-        whitening.np.random.default_rng = real
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: Blind())
+    got, _ = whitening.iterate(lambda block: values[:, None] * block, 80, 4)
     assert abs(got[0] - 5) < 1e-12
 
 
