@@ -1,14 +1,22 @@
 """Event streams: windows, sessions, duplicates, phase changes.
 
-Every function has a batch twin with the same rows, so that a replayed day equals the live result.
+Every function has a batch twin with the same rows, so that a replayed day equals the live result. What a stream gives for
+rows in order (phases, repeats) does not depend on how its rows were dealt over batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+from factloom.plans.keyed import fill_forward, top_per_key
+from factloom.streaming.ordered import in_order
 
-from factloom.plans.keyed import fill_forward, pick_last, top_per_key
+#: A query that takes what there is and ends, unless the caller gives a trigger of its own.
+ALL_NOW = {"availableNow": True}
 
 # Event types a workflow journal accepts.
 JOURNAL_EVENTS = [
@@ -83,9 +91,76 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     )
 
 
-def stream_dedup(stream: DataFrame, keys: list[str], watermark: str = "60 seconds") -> DataFrame:
-    """Drop repeats of a key that arrive within the watermark delay."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+def _again(last: Row | None, row: Row) -> tuple:
+    return (last is not None,)
+
+
+def stream_repeats(
+    stream: DataFrame, keys: list[str], within: datetime.timedelta, order: list[str] | None = None, delay: str = "60 seconds"
+) -> DataFrame:
+    """Every row with ``repeat``: whether a row of its key came at most ``within`` before it.
+
+    Rows are judged by ``ts`` and then ``order``, once the watermark has passed them. A key that has been quiet for ``within`` is dropped from the state.
+    """
+    added = StructType([StructField("repeat", BooleanType())])
+    return in_order(stream, keys, order or [], added, _again, delay, within)
+
+
+def repeats(events: DataFrame, keys: list[str], within: datetime.timedelta, order: list[str] | None = None) -> DataFrame:
+    """Batch twin of ``stream_repeats``; a busy key is scanned in chunks of time."""
+    rows = events.dropna(subset=["ts", *keys])
+    rows = fill_forward(
+        rows, keys, ["ts", *(order or [])], {"_was": F.unix_micros("ts")}, chunk=F.date_trunc("DAY", F.col("ts")), inclusive=False
+    )
+    near = F.unix_micros("ts") - F.col("_was") <= int(within / datetime.timedelta(microseconds=1))
+    return rows.withColumn("repeat", F.coalesce(near, F.lit(False))).drop("_was")
+
+
+def stream_dedup(
+    stream: DataFrame, keys: list[str], within: datetime.timedelta, order: list[str] | None = None, delay: str = "60 seconds"
+) -> DataFrame:
+    """The rows that are no repeat, see ``stream_repeats``."""
+    return stream_repeats(stream, keys, within, order, delay).filter("NOT repeat").drop("repeat")
+
+
+def _suppressed(rows: DataFrame, keys: list[str], every: str) -> DataFrame:
+    n = rows.filter("repeat").groupBy(F.window("ts", every).alias("w"), *keys).agg(F.count("*").alias("suppressed"))
+    return n.select(F.col("w.start").alias("interval_start"), F.col("w.end").alias("interval_end"), *keys, "suppressed")
+
+
+def _most_suppressed(n: DataFrame, keys: list[str], k: int) -> DataFrame:
+    total = n.groupBy("interval_start").agg(F.sum("suppressed").alias("total"))
+    order = [F.col("suppressed").desc(), *[F.col(c) for c in keys]]
+    return top_per_key(n, ["interval_start"], order, k).join(total, "interval_start").drop("interval_end")
+
+
+def repeat_summary(
+    events: DataFrame, keys: list[str], within: datetime.timedelta, order: list[str] | None = None, every: str = "60 seconds", k: int = 3,
+    closed_by: str | None = None,
+) -> DataFrame:
+    """Batch twin of ``write_repeat_summary``; ``closed_by`` (a delay) keeps only intervals that the watermark has closed."""
+    n = _suppressed(repeats(events, keys, within, order), keys, every)
+    if closed_by is not None:
+        mark = events.agg((F.date_trunc("MILLISECOND", F.max("ts")) - F.expr(f"interval {closed_by}")).alias("_mark")).first()["_mark"]
+        n = n.filter(F.col("interval_end") <= F.lit(mark))
+    return _most_suppressed(n, keys, k)
+
+
+def write_repeat_summary(
+    stream: DataFrame, dir_: str, checkpoint: str, keys: list[str], within: datetime.timedelta, order: list[str] | None = None,
+    every: str = "60 seconds", k: int = 3, delay: str = "60 seconds", trigger: dict | None = None,
+):
+    """Per interval: repeats suppressed in all, and the ``k`` keys with most of them, to ``dir/batch=N``.
+
+    Two chained stateful steps: one judges the rows of a key, the next counts what was suppressed in windows. The windows of an
+    interval close together, so the batch that closes them has the whole interval, and ranks its keys.
+    """
+    n = _suppressed(stream_repeats(stream.select("ts", *keys, *(order or [])), keys, within, order, delay), keys, every)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        _most_suppressed(batch, keys, k).write.mode("overwrite").parquet(f"{dir_}/batch={batch_id}")
+
+    return n.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_NOW)).foreachBatch(step).start()
 
 
 def dedup(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,53 +184,39 @@ def valid_journal_events(journal: DataFrame) -> DataFrame:
 
 
 def phase_transitions(
-    journal: DataFrame, before: DataFrame | None = None, chunk: Column | None = None
+    journal: DataFrame, before: DataFrame | None = None, chunk: Column | None = None, forget: datetime.timedelta | None = None
 ) -> DataFrame:
     """Rows ``(workflow, ts, seq, from_phase, to_phase)`` where the phase of a workflow changes.
 
-    ``journal(workflow, ts, seq, phase)``; ``before(workflow, phase)`` is what was known earlier. Long
-    workflows are scanned in chunks of time.
+    ``journal(workflow, ts, seq, phase)``; ``before(workflow, phase)`` is what was known earlier. A workflow that was quiet for more than ``forget``
+    starts anew. Long workflows are scanned in chunks of time.
     """
     chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("ts"))
     rows = fill_forward(
         journal.select("workflow", "ts", "seq", "phase"), ["workflow"], ["ts", "seq"],
-        {"from_phase": F.col("phase")}, chunk=chunk, inclusive=False,
+        {"_from": F.struct(F.col("phase").alias("phase"), F.unix_micros("ts").alias("at"))}, chunk=chunk, inclusive=False,
     )
+    quiet = F.lit(False) if forget is None else F.unix_micros("ts") - F.col("_from.at") > int(forget / datetime.timedelta(microseconds=1))
+    rows = rows.withColumn("from_phase", F.when(~quiet, F.col("_from.phase")))
     if before is not None:
         rows = rows.join(before.select("workflow", F.col("phase").alias("_was")), "workflow", "left")
-        rows = rows.withColumn("from_phase", F.coalesce("from_phase", "_was")).drop("_was")
+        rows = rows.withColumn("from_phase", F.when(F.col("_from").isNull(), F.col("_was")).otherwise(F.col("from_phase")))
     return rows.filter("from_phase IS NOT NULL AND from_phase <> phase").select(
         "workflow", "ts", "seq", "from_phase", F.col("phase").alias("to_phase")
     )
 
 
-def last_phases(journal: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """``(workflow, phase)`` after these rows."""
-    last = pick_last(journal.select("workflow", "phase", "ts", "seq"), ["workflow"], ["ts", "seq"]).select("workflow", "phase")
-    if before is None:
-        return last
-    kept = before.select("workflow", "phase").join(last.select("workflow"), "workflow", "left_anti")
-    return last.unionByName(kept)
+def _changed(last: Row | None, row: Row) -> tuple | None:
+    known = last is not None and last["phase"] is not None and row["phase"] is not None
+    return (last["phase"],) if known and last["phase"] != row["phase"] else None
 
 
-def stream_phase_transitions(stream: DataFrame, dir_: str, checkpoint: str):
-    """Write phase changes to ``dir/transitions`` batch by batch; the last phases live in ``dir/phases``.
+def stream_phase_transitions(stream: DataFrame, delay: str = "10 minutes", forget: datetime.timedelta | None = None) -> DataFrame:
+    """The rows of ``phase_transitions`` over a stream, also if rows come out of order.
 
-    Both are stored under the batch id, so a retried batch overwrites itself. Within a batch a workflow
-    is scanned in chunks, so a single busy workflow does not bind the batch to one task.
+    A row is judged once the watermark, ``delay`` behind the newest row, has passed it; rows that come later are dropped. State holds the rows
+    that wait and one row for each workflow; ``forget`` also drops the latter for a workflow that has been quiet that long.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        before = (
-            spark.read.parquet(f"{dir_}/phases/batch_{batch_id - 1}") if batch_id > 0 else None
-        )
-        phase_transitions(batch, before).write.mode("overwrite").parquet(f"{dir_}/transitions/batch={batch_id}")
-        last_phases(batch, before).write.mode("overwrite").parquet(f"{dir_}/phases/batch_{batch_id}")
-        batch.unpersist()
-
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
-    )
-
-
+    added = StructType([StructField("from_phase", StringType())])
+    rows = in_order(stream.select("workflow", "ts", "seq", "phase"), ["workflow"], ["seq"], added, _changed, delay, forget)
+    return rows.select("workflow", "ts", "seq", "from_phase", F.col("phase").alias("to_phase"))

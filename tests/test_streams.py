@@ -61,18 +61,74 @@ def test_reindex_over_budget_is_full(spark, files):
     assert {r["reason"] for r in changes.reindex(index, ch)["dirty"].collect()} == {"full"}
 
 
-def test_phases_across_batches(spark, tmp_path):
-    schema = "workflow string, ts timestamp, seq bigint, phase string"
-    batches = [
-        [("w", _at(0), 1, "p"), ("w", _at(1), 2, "p"), ("w", _at(2), 3, "q")],
-        [("w", _at(90000), 4, "q"), ("w", _at(90001), 5, "r"), ("v", _at(90002), 6, "p")],
-    ]
-    stream = _files(spark, str(tmp_path / "in"), batches, schema)
-    d = str(tmp_path / "out")
-    events.stream_phase_transitions(stream, d, str(tmp_path / "cp")).awaitTermination()
-    assert rows(spark.read.parquet(f"{d}/transitions"), "seq", "from_phase", "to_phase") == [(3, "p", "q"), (5, "q", "r")]
-    whole = spark.createDataFrame([r for b in batches for r in b], schema)
-    assert rows(events.phase_transitions(whole), "seq", "from_phase", "to_phase") == [(3, "p", "q"), (5, "q", "r")]
+def _append(out, tmp_path):
+    q = (
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return q, out.sparkSession.read.schema(out.schema).parquet(str(tmp_path / "out"))
+
+
+JOURNAL = "workflow string, ts timestamp, seq bigint, phase string"
+LATE_BATCHES = [
+    [("w", _at(0), 1, "p"), ("w", _at(1), 2, "p"), ("w", _at(4), 5, "q"), ("v", _at(2), 3, None), (None, _at(2), 4, "p"), ("w", None, 9, "x")],
+    [("w", _at(2), 4, "r"), ("w", _at(2), 3, "s"), ("w", _at(40.0005), 6, "q"), ("v", _at(41), 7, "p"), ("u", _at(39), 8, "a")],
+    [("w", _at(39), 7, "t"), ("v", _at(70), 8, "q"), ("u", _at(75), 9, "b"), ("w", _at(75), 10, "z")],
+    [("z", _at(200), 1, "end")],
+]
+
+
+def test_phases_of_late_rows_equal_the_batch_query(spark, tmp_path):
+    stream = _files(spark, str(tmp_path / "in"), LATE_BATCHES, JOURNAL)
+    whole = spark.createDataFrame([r for b in LATE_BATCHES for r in b], JOURNAL).dropna(subset=["workflow", "ts"])
+    q, got = _append(events.stream_phase_transitions(stream, "45 seconds"), tmp_path)
+    assert rows(got) == rows(events.phase_transitions(whole)) and got.count() == 8
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert states[-1] < max(states)  # rows that the watermark has passed are gone
+
+
+def test_quiet_workflows_are_forgotten(spark, tmp_path):
+    stream = _files(spark, str(tmp_path / "in"), LATE_BATCHES, JOURNAL)
+    whole = spark.createDataFrame([r for b in LATE_BATCHES for r in b], JOURNAL).dropna(subset=["workflow", "ts"])
+    forget = dt.timedelta(seconds=35)
+    q, got = _append(events.stream_phase_transitions(stream, "45 seconds", forget), tmp_path)
+    want = rows(events.phase_transitions(whole, forget=forget))
+    assert rows(got) == want and len(want) == 7
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 4  # the workflow that waits, and its timer
+
+
+def test_a_row_behind_the_watermark_is_dropped(spark, tmp_path):
+    batches = [[("w", _at(100), 2, "b")], [("w", _at(200), 3, "c")], [("w", _at(150), 4, "x"), ("w", _at(10), 1, "a")], [("w", _at(300), 5, "c")]]
+    _, got = _append(events.stream_phase_transitions(_files(spark, str(tmp_path / "in"), batches, JOURNAL), "60 seconds"), tmp_path)
+    assert rows(got, "seq", "from_phase", "to_phase") == [(3, "x", "c"), (4, "b", "x")]
+
+
+EVENTS = "ts timestamp, seq bigint, file string, message string"
+
+
+def _messages():
+    times = [0, 5, 9, 30, 31, 50, 50, 95, 96, 200]
+    return [(_at(s), i, f"f{i % 2}", "m" if s != 31 else None) for i, s in enumerate(times)] + [(_at(s), 50 + i, "f0", "n") for i, s in enumerate([1, 2, 3, 70, 71])]
+
+
+def test_repeats_and_their_summary_over_batches(spark, tmp_path):
+    keys, within = ["file", "message"], dt.timedelta(seconds=20)
+    all_rows = _messages()
+    batches = [all_rows[:2] + all_rows[4:6], all_rows[2:4] + all_rows[10:13], all_rows[6:9] + all_rows[13:], all_rows[9:10], [(_at(400), 99, "f0", "end")]]
+    whole = spark.createDataFrame([r for b in batches for r in b], EVENTS)
+    marked = events.repeats(whole, keys, within, ["seq"])
+    expected = {r.seq: r.repeat for r in marked.collect()}
+    assert {k for k, v in expected.items() if v} == {2, 5, 51, 52, 54} | {i for i in (3, 6, 7, 8) if expected[i]}
+    stream = _files(spark, str(tmp_path / "in"), batches, EVENTS)
+    q, got = _append(events.stream_dedup(stream, keys, within, ["seq"], "60 seconds"), tmp_path)
+    assert rows(got, "seq", "file", "message") == rows(marked.filter("NOT repeat AND seq < 99"), "seq", "file", "message")
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < q.recentProgress[2]["stateOperators"][0]["numRowsTotal"]
+    d = str(tmp_path / "summary")
+    events.write_repeat_summary(stream, d, str(tmp_path / "cp2"), keys, within, ["seq"], delay="60 seconds").awaitTermination()
+    want = events.repeat_summary(whole, keys, within, ["seq"])
+    cols = ["interval_start", "file", "message", "suppressed", "rank", "total"]
+    assert rows(spark.read.parquet(d), *cols) == rows(want, *cols) and want.count() > 2
 
 
 def test_coverage_diff_over_batches(spark, tmp_path):

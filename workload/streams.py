@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from factloom.plans.lineage import cut_lineage
-from factloom.streaming import changes, events
+from factloom.streaming import changes, events, ordered
 from workload.derived import cte, scratch, table
 from workload.registry import register
 
@@ -76,10 +78,62 @@ def _(spark, sf):
     return out.select("session_id", _TIME("session_start").alias("session_start"), "events")
 
 
-@register("stream_dedup", cte("ev", "SELECT DISTINCT session_id, name, status FROM ev"))
+BATCHES, LATE = 6, 20
+
+
+def _journal(df):
+    return df.select(F.col("session_id").alias("workflow"), "ts", F.col("event_id").alias("seq"), F.col("name").alias("phase"))
+
+
+def _late_stream(spark, sf):
+    """The events as ``BATCHES`` files by time, of which every batch takes one; one event in ``LATE`` comes a batch later than its time."""
+    spark = spark.newSession()  # with state in RocksDB, whatever the caller's session has
+    for name, value in (("sql.streaming.stateStore.providerClass", ordered.STORE), ("sql.shuffle.partitions", "4"), ("sql.session.timeZone", "UTC")):
+        spark.conf.set(f"spark.{name}", value)
+    ev = table(spark, sf, "ev")
+    lo, hi = ev.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - lo) * BATCHES / (hi - lo + 1)).cast("int")
+    part = F.when((F.col("event_id") % LATE == 0) & (part < BATCHES - 1), part + 1).otherwise(part)
+    out = scratch(spark, "late")
+    for i in range(BATCHES):
+        ev.filter(part == i).select("ts", "event_id", "session_id", "name", "status").coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema("ts timestamp, event_id bigint, session_id string, name string, status string").option("maxFilesPerTrigger", 1).parquet(out)
+
+
+_KEYS, _WITHIN, _DELAY = ["session_id", "name"], datetime.timedelta(days=2), "12 days"
+_MARK = ", mk AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 12 DAY AS mark FROM ev)"
+_AGAIN = ", rp AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY session_id, name ORDER BY ts, event_id) <= INTERVAL 2 DAY, false) AS again FROM ev)"
+
+
+@register("stream_dedup", cte("ev", f"{_MARK} {_AGAIN} SELECT event_id, session_id, name FROM rp, mk WHERE NOT again AND ts <= mark"))
 def _(spark, sf):
-    keys = ["session_id", "name", "status"]
-    return _drain(spark, events.stream_dedup(_stream(spark, sf).select("ts", *keys), keys, "40 days"), "dedup").select(*keys)
+    stream = _late_stream(spark, sf)
+    out = events.stream_dedup(stream.drop("status"), _KEYS, _WITHIN, ["event_id"], _DELAY)
+    return _drain(spark, out, "dedup").select("event_id", "session_id", "name")
+
+
+@register("repeats", cte("ev", f"{_AGAIN} SELECT event_id, session_id, name, again AS repeat FROM rp"))
+def _(spark, sf):
+    return events.repeats(table(spark, sf, "ev").select("ts", "event_id", *_KEYS), _KEYS, _WITHIN, ["event_id"]).drop("ts")
+
+
+_SUPPRESSED = _AGAIN + """, n AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS d, session_id, name, count(*) AS suppressed FROM rp WHERE again GROUP BY ALL)
+, r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY suppressed DESC, session_id, name) AS rank, CAST(sum(suppressed) OVER (PARTITION BY d) AS BIGINT) AS total FROM n{closed})
+SELECT strftime(d, '%Y-%m-%d') AS interval_start, session_id, name, suppressed, rank, total FROM r WHERE rank <= 3"""
+
+
+@register("repeat_summary", cte("ev", _SUPPRESSED.format(closed="")))
+def _(spark, sf):
+    out = events.repeat_summary(table(spark, sf, "ev"), _KEYS, _WITHIN, ["event_id"], "1 day")
+    return out.withColumn("interval_start", F.date_format("interval_start", "yyyy-MM-dd"))
+
+
+@register("stream_repeat_summary", cte("ev", _MARK + _SUPPRESSED.format(closed=", mk WHERE d + INTERVAL 1 DAY <= mark")))
+def _(spark, sf):
+    stream, out = _late_stream(spark, sf), scratch(spark, "summary")
+    events.write_repeat_summary(stream, f"{out}/data", f"{out}/checkpoint", _KEYS, _WITHIN, ["event_id"], "1 day", delay=_DELAY).awaitTermination()
+    found = spark.read.schema("interval_start timestamp, session_id string, name string, suppressed bigint, rank int, total bigint").parquet(f"{out}/data")
+    return found.select(F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "session_id", "name", "suppressed", "rank", "total")
 
 
 @register(
@@ -98,20 +152,19 @@ def _(spark, sf):
 _PHASE = """, p AS (SELECT session_id AS workflow, event_id AS seq, lag(name) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS from_phase, name AS to_phase FROM ev) SELECT * FROM p WHERE from_phase <> to_phase"""
 
 
-def _journal(df):
-    return df.select(F.col("session_id").alias("workflow"), "ts", F.col("event_id").alias("seq"), F.col("name").alias("phase"))
-
-
 @register("phase_transitions", cte("ev", _PHASE))
 def _(spark, sf):
     return events.phase_transitions(_journal(table(spark, sf, "ev"))).drop("ts")
 
 
-@register("stream_phase_transitions", cte("ev", _PHASE))
+_PHASE_CLOSED = """, p AS (SELECT session_id AS workflow, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, ts <= mark AS due, event_id AS seq, lag(name) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS from_phase, name AS to_phase,
+  coalesce(ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) > INTERVAL 9 DAY, false) AS quiet FROM ev, mk) SELECT workflow, ts, seq, from_phase, to_phase FROM p WHERE from_phase <> to_phase AND due AND NOT quiet"""
+
+
+@register("stream_phase_transitions", cte("ev", _MARK + _PHASE_CLOSED))
 def _(spark, sf):
-    out = scratch(spark, "phases")
-    events.stream_phase_transitions(_journal(_stream(spark, sf)), out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/transitions").select("workflow", "seq", "from_phase", "to_phase")
+    out = events.stream_phase_transitions(_journal(_late_stream(spark, sf)), _DELAY, datetime.timedelta(days=9))
+    return _drain(spark, out, "phases").withColumn("ts", _TIME("ts"))
 
 
 @register("valid_journal_events", cte("ev", "SELECT event_id, name FROM ev WHERE name = 'error'"))
