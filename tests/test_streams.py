@@ -2,7 +2,7 @@ import datetime as dt
 
 from conftest import rows
 
-from factloom.sources.index import load_index
+from factloom.sources.buckets import load_buckets
 from factloom.streaming import changes, events
 
 CHANGES = changes.CHANGE_SCHEMA
@@ -35,30 +35,73 @@ def test_debounce_keeps_newest(spark, tmp_path):
     assert rows(got, "path", "content", "changes") == [("a", "2", 2), ("a", "3", 1), ("b", "b", 1)]
 
 
-def test_reindex_cuts_off_when_exports_stay(spark, files, tmp_path):
-    corpus = files(("a.x", "export f\nrequire x;"), ("b.x", "include a"), ("c.x", "include b"), ("d.x", "type t"), ("e.x", "type u"), ("g.x", "type v"))
+CORPUS = [
+    ("a.x", "export f\nrequire x;"), ("b.x", "include a\nimport f"), ("c.x", "include b\nimport f\nimport k"), ("d.x", "type t"), ("e.x", "type u\ninclude late"),
+    ("g.x", "type v\nimport f"), ("z/a.x", "export f"), ("h.x", "include late\nimport k\n# [r:1]"), *[(f"o{i}.x", f"type t{i}") for i in range(8)],
+]
+REINDEX = [
+    [(1, _at(0), "a.x", "change", "export f\ntype k")],  # what it exports stays
+    [(2, _at(1), "a.x", "change", "export g")],
+    [(3, _at(2), "d.x", "delete", None)],
+    [(4, _at(3), "late.x", "change", "export k\ninclude c")],  # a name that two files ask for
+    [(5, _at(4), "a.x", "delete", None)],  # the other file of the name takes its place
+    [(6, _at(5), "h.x", "change", "x"), (7, _at(6), "h.x", "change", "include b\nimport f"), (8, _at(6), "none.x", "delete", None)],
+    [(9, _at(7), "z/a.x", "change", "export f\nexport k")],
+]
+
+
+def _index(tables):
+    return {k: rows(v.select(sorted(v.columns))) for k, v in tables.items()}
+
+
+def test_reindex_equals_a_full_rebuild(spark, files, tmp_path):
     d = str(tmp_path / "idx")
-    changes.build_index(corpus, d)
-    stream = _files(
-        spark, str(tmp_path / "in"),
-        [[(1, _at(0), "a.x", "change", "export f\ntype k")], [(2, _at(1), "a.x", "change", "export g")], [(3, _at(2), "d.x", "delete", None)]],
-        CHANGES,
-    )
+    changes.build_index(files(*CORPUS), d, buckets=4)
+    stream = _files(spark, str(tmp_path / "in"), REINDEX, CHANGES)
     changes.stream_reindex(stream, d, str(tmp_path / "cp")).awaitTermination()
-    dirty = [rows(load_index(spark, d, before=n + 1)["dirty"], "path", "reason") for n in (1, 2, 3)]
-    assert dirty[0] == [("a.x", "changed")]
-    assert dirty[1] == [("a.x", "changed"), ("b.x", "includes_changed"), ("c.x", "includes_changed")]
-    assert dirty[2] == [("d.x", "changed")]
-    idx = load_index(spark, d)
-    assert rows(idx["symbols"], "path", "name") == [("e.x", "u"), ("g.x", "v")]
-    assert rows(idx["exports"], "name") == [("g",)]
-
-
-def test_reindex_over_budget_is_full(spark, files):
-    corpus = files(("a.x", "export f"), ("b.x", "include a"), ("c.x", "include a"))
-    index = {"files": corpus, **changes.extract_facts(corpus)}
-    ch = spark.createDataFrame([(1, _at(0), "a.x", "change", "export h")], CHANGES)
-    assert {r["reason"] for r in changes.reindex(index, ch)["dirty"].collect()} == {"full"}
+    now = dict(CORPUS)
+    for n, batch in enumerate(REINDEX):
+        for _, _, path, op, content in batch:
+            now.pop(path, None)
+            if op != "delete":
+                now[path] = content
+        got = load_buckets(spark, d, before=n + 2)
+        assert got.seq == n + 1
+        if n in (1, 4, 6):
+            assert _index(got.tables()) == _index(changes.index_tables(files(*now.items()))), n
+    dirty = [dict(rows(spark.read.parquet(f"{d}/dirty/at={n}"), "path", "reason")) for n in range(1, 8)]
+    assert dirty[0] == {"a.x": "changed"}
+    assert dirty[1] == {"a.x": "changed", "b.x": "includes_changed", "c.x": "includes_changed"}
+    assert dirty[2] == {"d.x": "changed"}
+    assert dirty[3] == {"late.x": "changed", "e.x": "name_changed", "h.x": "name_changed"}
+    assert dirty[4] == {"a.x": "changed", "b.x": "name_changed", **{p: "includes_changed" for p in ("c.x", "late.x", "e.x", "h.x")}}
+    imports = rows(load_buckets(spark, d).table("imports"), "path", "name", "exported_by")
+    assert imports == [("b.x", "f", "z/a.x"), ("c.x", "f", "z/a.x"), ("c.x", "k", "z/a.x"), ("g.x", "f", None), ("h.x", "f", "z/a.x")]
+
+
+def test_untouched_buckets_keep_their_files(spark, files, tmp_path):
+    d = str(tmp_path / "idx")
+    was = changes.build_index(files(*CORPUS), d, buckets=16)
+    before = {k: set(was.table(k).inputFiles()) for k in was.types}
+    ch = spark.createDataFrame([(1, _at(0), "a.x", "change", "export g")], CHANGES)
+    now, _ = changes.reindex(was, ch, 1)
+    touched = was.buckets_of(spark.createDataFrame([("a.x",)], "path string"))
+    assert len(touched) == 1
+    for name in ("files", "symbols", "exports", "requirements", "includes"):
+        kept = {f for f in before[name] if f"/bucket={next(iter(touched))}/" not in f}
+        assert kept <= set(now.table(name).inputFiles()) and len(set(now.table(name).inputFiles()) - kept) <= 1
+    # a retry of the batch, from the same state, gives the same rows
+    again, _ = changes.reindex(load_buckets(spark, d, before=1), ch, 1)
+    assert _index(again.tables()) == _index(now.tables())
+
+
+def test_reindex_over_budget_is_full(spark, files, tmp_path):
+    corpus = [("a.x", "export f"), ("b.x", "include a\nimport f"), ("c.x", "include a"), ("q.x", "type t")]
+    was = changes.build_index(files(*corpus), str(tmp_path / "idx"), buckets=4)
+    ch = spark.createDataFrame([(1, _at(0), "a.x", "change", "export h"), (2, _at(0), "q.x", "delete", None)], CHANGES)
+    now, seen = changes.reindex(was, ch, 1)
+    assert rows(seen) == [("a.x", "full"), ("b.x", "full"), ("c.x", "full")]
+    assert _index(now.tables()) == _index(changes.index_tables(files(("a.x", "export h"), *corpus[1:3])))
 
 
 def _append(out, tmp_path):

@@ -197,58 +197,76 @@ def _(spark, sf):
     return out.drop("ts")
 
 
-def _files_and_changes(spark, sf):
-    """Specification files, and a change to the exports of those whose part is in a label of quality 0."""
-    src = table(spark, sf, "src").select("path", "content", "k")
-    labels = table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("k"))
-    touched = src.join(labels, "k", "left_semi")
-    rows = touched.select(
-        F.col("k").alias("seq"), F.current_timestamp().alias("ts"), "path", F.lit("change").alias("op"),
-        F.concat("content", F.lit("\nexport fresh_name\n")).alias("content"),
-    )
-    return src.select("path", "content"), rows
-
-
-@register("stream_reindex")
+_CHANGED = """, now AS (SELECT path, CASE WHEN k % 80 = 1 AND k > 50 THEN 'include nowhere' || chr(10) || 'import act_1' WHEN k % 40 = 1 AND k > 50 THEN content || chr(10) || 'export fresh_name' || chr(10) ELSE content END AS content FROM src WHERE NOT (k % 60 = 7 AND k > 50)
+UNION ALL SELECT 'corpus0/mising_1.spec' AS path, 'export made' AS content)
+, ln AS (SELECT path, CAST(i - 1 AS INT) AS line, l[i] AS text FROM (SELECT path, string_split(content, chr(10)) AS l FROM now) AS s, unnest(range(1, len(l) + 1)) AS t(i))
+, ex AS (SELECT path, line, regexp_extract(text, '(export|import)\\s+[\\w.]+', 1) AS direction, regexp_extract(text, '(export|import)\\s+([\\w.]+)', 2) AS name FROM ln WHERE regexp_matches(text, '^\\s*(export|import)\\s+[\\w.]+'))
+, st AS (SELECT regexp_extract(path, '([^/]+)\\.spec$', 1) AS include_name, min(path) AS to_path FROM now GROUP BY 1)
+, ic AS (SELECT path, line, regexp_extract(text, '^include (\\w+)', 1) AS include_name FROM ln WHERE regexp_matches(text, '^include \\w+'))
+, inc AS (SELECT ic.*, to_path FROM ic LEFT JOIN st USING (include_name))
+, rc AS (SELECT DISTINCT path AS start, path AS node FROM ex WHERE direction = 'import' UNION SELECT rc.start, inc.to_path FROM rc JOIN inc ON inc.path = rc.node WHERE inc.to_path IS NOT NULL)
+, ln2 AS (SELECT i.path, i.name, min(e.path) AS exported_by FROM ex i JOIN rc ON rc.start = i.path AND rc.node <> i.path JOIN ex e ON e.path = rc.node AND e.direction = 'export' AND e.name = i.name WHERE i.direction = 'import' GROUP BY 1, 2)
+SELECT 'export' AS what, path, name, line, direction AS target FROM ex UNION ALL SELECT 'include', path, include_name, line, to_path FROM inc
+UNION ALL SELECT 'import', i.path, i.name, i.line, l.exported_by FROM ex i LEFT JOIN ln2 l USING (path, name) WHERE i.direction = 'import'"""
+
+
+@register("stream_reindex", cte("src", "RECURSIVE" + _CHANGED))
 def _(spark, sf):
-    files, rows = _files_and_changes(spark, sf)
+    """Two batches, of changed and of deleted and new files, over an index of all files; the tables that depend on them afterwards."""
+    src = table(spark, sf, "src").select("path", "content", "k")
     out = scratch(spark, "reindex")
-    changes.build_index(files, f"{out}/index")
-    rows.write.parquet(f"{out}/changes")
-    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).parquet(f"{out}/changes")
-    changes.stream_reindex(stream, f"{out}/index", f"{out}/checkpoint").awaitTermination()
-    from factloom.sources.index import load_index
+    changes.build_index(src, f"{out}/index", buckets=8)
+    fresh = F.when(F.col("k") % 80 == 1, "include nowhere\nimport act_1").otherwise(F.concat("content", F.lit("\nexport fresh_name\n")))
+    common = [F.col("k").alias("seq"), F.current_timestamp().alias("ts"), "path"]
+    changed = src.filter("k % 40 = 1 AND k > 50").select(*common, F.lit("change").alias("op"), fresh.alias("content"))
+    gone = src.filter("k % 60 = 7 AND k > 50").select(*common, F.lit("delete").alias("op"), F.lit(None).cast("string").alias("content"))
+    made = spark.range(1).select(
+        F.lit(0).cast("long").alias("seq"), F.current_timestamp().alias("ts"), F.lit("corpus0/mising_1.spec").alias("path"), F.lit("change").alias("op"), F.lit("export made").alias("content")
+    )
+    changed.coalesce(1).write.parquet(f"{out}/changes")
+    gone.unionByName(made).coalesce(1).write.mode("append").parquet(f"{out}/changes")
+    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{out}/changes")
+    changes.stream_reindex(stream, f"{out}/index", f"{out}/checkpoint", budget=1.0).awaitTermination()
+    from factloom.sources.buckets import load_buckets
 
-    index = load_index(spark, f"{out}/index")
-    dirty = index["dirty"].groupBy(F.concat(F.lit("dirty:"), "reason").alias("what")).agg(F.count("*").alias("n"))
-    exports = index["exports"].groupBy(F.concat(F.lit("exports:"), "direction").alias("what")).agg(F.count("*").alias("n"))
-    return dirty.unionByName(exports)
+    index = load_buckets(spark, f"{out}/index")
+    rows = [("export", "exports", "name", "direction"), ("include", "includes", "include_name", "to_path"), ("import", "imports", "name", "exported_by")]
+    parts = [index.table(t).select(F.lit(w).alias("what"), "path", F.col(n).alias("name"), "line", F.col(c).alias("target")) for w, t, n, c in rows]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("stream_lint")
 def _(spark, sf):
-    files, _ = _files_and_changes(spark, sf)
     out = scratch(spark, "lint")
-    files.select(
+    table(spark, sf, "src").select(
         F.lit(0).cast("long").alias("seq"), F.current_timestamp().alias("ts"), "path", F.lit("change").alias("op"), "content"
     ).write.parquet(f"{out}/changes")
     stream = spark.readStream.schema(changes.CHANGE_SCHEMA).parquet(f"{out}/changes")
     return _drain(spark, changes.stream_lint(stream), "lint-out").groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
-@register("stream_coverage_diff")
+_TAGGED = """WITH RECURSIVE b AS (SELECT unnest(range(0, 3)) AS b), ch AS (SELECT b, p_partkey AS p, CASE WHEN (p_partkey + b) % 7 <> 0 AND (p_partkey + b) % 3 <> 0 THEN [(p_partkey + b) % 900, (p_partkey * (b + 2)) % 1100] ELSE [] END AS tags FROM part, b WHERE (p_partkey + b) % 2 = 0)
+, st AS (SELECT b.b, p, max_by(tags, ch.b) AS tags FROM b JOIN ch ON ch.b <= b.b GROUP BY 1, 2), cov AS (SELECT DISTINCT b, 'r:' || unnest(tags) AS req_id FROM st)
+, ids AS (SELECT DISTINCT 'r:' || (p_partkey % 1000) AS req_id FROM part), m AS (SELECT b.b, req_id, cov.req_id IS NOT NULL AS covered FROM b CROSS JOIN ids LEFT JOIN cov USING (b, req_id))
+, d AS (SELECT b, req_id, covered, coalesce(lag(covered) OVER (PARTITION BY req_id ORDER BY b), false) AS was FROM m)
+SELECT b AS batch, req_id, CASE WHEN covered THEN 'recovered' ELSE 'new_gap' END AS change FROM d WHERE covered <> was"""
+
+
+@register("stream_coverage_diff", _TAGGED)
 def _(spark, sf):
-    out = scratch(spark, "coverage")
-    table(spark, sf, "src").select(
-        F.lit(0).cast("long").alias("seq"), F.current_timestamp().alias("ts"), "path", F.lit("change").alias("op"), "content"
-    ).write.parquet(f"{out}/changes")
-    k = F.col("p_partkey")
-    manifest = cut_lineage(
-        table(spark, sf, "part").select(F.concat(F.lit("r"), k % 5, F.lit(":"), k % 7, F.lit("."), F.col("p_size")).alias("req_id")).distinct()
-    )
-    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).parquet(f"{out}/changes")
-    changes.stream_coverage_diff(stream, manifest, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/diffs").groupBy("change").agg(F.count("*").alias("n"))
+    """Three batches: every other file changes in a batch; a third has no tags then and a seventh is deleted."""
+    out, p = scratch(spark, "coverage"), F.col("p_partkey")
+    for b in range(3):
+        tags = F.concat(F.lit("x # [r:"), (p + b) % 900, F.lit(", r:"), (p * (b + 2)) % 1100, F.lit("]"))
+        gone = (p + b) % 7 == 0
+        table(spark, sf, "part").filter((p + b) % 2 == 0).select(
+            p.alias("seq"), F.current_timestamp().alias("ts"), F.concat(F.lit("f"), p).alias("path"), F.when(gone, "delete").otherwise("change").alias("op"),
+            F.when(~gone, F.when((p + b) % 3 == 0, "x").otherwise(tags)).alias("content"),
+        ).coalesce(1).write.mode("append").parquet(f"{out}/changes")
+    manifest = cut_lineage(table(spark, sf, "part").select(F.concat(F.lit("r:"), p % 1000).alias("req_id")).distinct())
+    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{out}/changes")
+    changes.stream_coverage_diff(stream, manifest, out, f"{out}/checkpoint", buckets=8).awaitTermination()
+    return spark.read.parquet(f"{out}/diffs").select(F.col("batch").cast("long").alias("batch"), "req_id", "change")
 
 
 @register(
