@@ -117,16 +117,37 @@ def lint_duplicate_decl(files: DataFrame) -> DataFrame:
     return _diag(again, "duplicate_decl", "error", F.col("name"), F.col("first") + 1)
 
 
+_ACTION_HEADER = rf"{T.BOL}action{T.WS1}\w+[^=]*={T.WS}\{{"
+
+
 def lint_unguarded_action(files: DataFrame) -> DataFrame:
-    """Action bodies that assign but never require."""
-    blocks = extract_blocks(files).filter("mixin_kind = 'direct'")
-    lines = F.split("content", "\n", -1)
-    body = F.array_join(
-        F.slice(lines, F.col("start_line") + 1, F.col("end_line") - F.col("start_line") + 1), "\n"
+    """Action bodies that assign but never require; a body that is not closed goes to the end of the file.
+
+    Only headers, braces, ``:=`` and ``require`` leave the text, as tokens; running counts of the two words are compared between a header and
+    the brace that brings the depth back below it, which is its neighbour among the tokens of that level.
+    """
+    asked = files.filter(F.contains("content", F.lit("action")) & F.contains("content", F.lit(":=")))
+    pattern = "|".join((_ACTION_HEADER, r"[{}]", ":=", r"require[ (]"))
+    toks = T.exploded(asked, ["path"], T.hits(T.numbered(F.col("content")), pattern), "tok", "pos")
+    t = F.col("tok")
+    toks = toks.withColumn("kind", F.when(F.length(t) > 8, "header").when(t == "{", "open").when(t == "}", "close").when(t == ":=", "assign").otherwise("require"))
+    delta = F.when(F.col("kind").isin("header", "open"), 1).when(F.col("kind") == "close", -1).otherwise(0)
+    upto = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    toks = toks.select(
+        "path", "pos", "kind", F.when(F.col("kind") == "header", t).alias("tok"), F.sum(delta).over(upto).alias("depth"),
+        F.struct(F.count_if(F.col("kind") == "assign").over(upto).alias("assigns"), F.count_if(F.col("kind") == "require").over(upto).alias("requires")).alias("so_far"),
+        F.struct(
+            F.count_if(F.col("kind") == "assign").over(Window.partitionBy("path")).alias("assigns"),
+            F.count_if(F.col("kind") == "require").over(Window.partitionBy("path")).alias("requires"),
+        ).alias("total"),
+    )
+    braces = toks.filter("kind IN ('header', 'open', 'close')").withColumn("level", F.when(F.col("kind") == "close", F.col("depth")).otherwise(F.col("depth") - 1))
+    closed = F.coalesce(F.lead("so_far").over(Window.partitionBy("path", "level").orderBy("pos")), F.col("total"))
+    bodies = braces.withColumn("end", closed).filter("kind = 'header'")
+    bad = bodies.filter("end.assigns > so_far.assigns AND end.requires = so_far.requires")
+    return _diag(
+        bad, "unguarded_action", "hint", T.group(F.col("tok"), rf"action{T.WS1}(\w+)"), line=T.first_line(F.col("tok"))
     )
-    rows = blocks.join(files.select("path", "content"), "path").withColumn("body", body)
-    bad = rows.filter(F.contains("body", F.lit(":=")) & ~F.col("body").rlike(r"require[ (]"))
-    return _diag(bad, "unguarded_action", "hint", F.col("monitor_action"), line=F.col("start_line"))
 
 
 def lint_unresolved_include(includes_raw: DataFrame, files: DataFrame, stdlib: DataFrame | None = None) -> DataFrame:

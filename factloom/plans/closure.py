@@ -2,7 +2,7 @@
 
 Each round joins only the newly reached pairs with the edges, drops the pairs already known and
 materialises the new ones with a reliable checkpoint. Known pairs are kept as one table per round, so
-a round never rewrites older results. The driver sees one count per round and nothing else.
+a round never rewrites older results, and are read as one in a single anti join. The driver sees one flag per round.
 """
 
 from __future__ import annotations
@@ -51,13 +51,14 @@ def reach(
             .distinct()
         )
         # a node reached earlier is known; shortest paths make older rounds the only place to look
-        for level in levels:
-            found = found.join(level.select("start", "node"), ["start", "node"], "left_anti")
+        if levels:
+            known = reduce(DataFrame.unionByName, levels).select("start", "node")
+            found = found.join(known, ["start", "node"], "left_anti")
         found = cut_lineage(found.withColumn("hops", F.lit(hops)))
         if found.isEmpty():
             break
         levels.append(found)
-        if len(levels) > 12:  # keep the number of anti joins per round bounded
+        if len(levels) > 12:  # keep the number of tables bounded
             levels = [cut_lineage(reduce(DataFrame.unionByName, levels))]
         frontier = found.select("start", "node")
     if not levels:

@@ -172,6 +172,19 @@ def test_unguarded_action(files):
     assert rows(lint.lint_unguarded_action(f), "line", "subject") == [(0, "a")]
 
 
+def test_unguarded_action_bodies(files):
+    f = files(
+        ("unclosed", "action a = {\n x := 1;\nif y {\n}\n"),
+        ("after", "action a = {\n}\nx := 1;\naction b(x:t) returns\n (y:t) = {\n { x := 1 } }\nrequire z;"),
+        ("nested", "object o = {\n  action a = { x := 1; { require(q) } }\n  action b = { if q { x := 1 } }\n}\nrequire z;"),
+        ("line", "action a = { x := 1 } action b = { y := 1 }\n# action c = { z := 1 }\n"),
+        ("stray", "}}\naction a = {\n x := 1\n}\n{{"),
+        ("none", "action a = {\n require x; x := 1\n}\naction b = { y }"), ("empty", ""), ("null", None),
+    )
+    got = rows(lint.lint_unguarded_action(f), "path", "line", "subject")
+    assert got == [("after", 3, "b"), ("line", 0, "a"), ("nested", 2, "b"), ("stray", 1, "a"), ("unclosed", 0, "a")]
+
+
 def test_sections_and_sentences(spark):
     doc = (
         "RFC 9000 x\n\n1.  Intro\n\nThe client MUST send a packet. It\n   SHOULD NOT wait, see Section 4.1 and [RFC2119], Section 3. "

@@ -9,7 +9,7 @@ from factloom.operators import (
 )
 from factloom.plans.lineage import cut_lineage
 from factloom.sources import index as store
-from factloom.streaming.changes import build_index
+from factloom.streaming.changes import extract_facts
 from workload.derived import LINES, cte, scratch, table
 from workload.registry import register
 
@@ -744,16 +744,12 @@ for _rule, _sql in _LINT_SQL.items():
     )
 
 _ALL = ", all_d AS (" + " UNION ALL ".join(
-    "SELECT * FROM (" + "WITH " + s[1:].strip() + ")" if s.startswith(",") else s
-    for k, s in _LINT_SQL.items()
-    if k in ("missing_header", "empty_init", "placeholder_tag", "missing_tag", "lowercase_param", "duplicate_decl")
+    "SELECT * FROM (" + "WITH " + s[1:].strip() + ")" if s.startswith(",") else s for s in _LINT_SQL.values()
 ) + ") "
-_ALL_RULES = ["missing_header", "empty_init", "placeholder_tag", "missing_tag", "lowercase_param", "duplicate_decl"]
 
 
 def _diags(spark, sf):
-    src = table(spark, sf, "src")
-    return [lint.TEXT_RULES[r](src) for r in _ALL_RULES]
+    return [lint.text_diagnostics(table(spark, sf, "src"))]
 
 
 @register("all_diagnostics", ON_LINES(_ALL + "SELECT * FROM all_d WHERE severity IN ('error', 'warning') AND regexp_matches(path, '/layer[12]/')"))
@@ -1023,7 +1019,8 @@ def _(spark, sf):
 @register("write_index")
 def _(spark, sf):
     out = scratch(spark, "index")
-    build_index(table(spark, sf, "src"), out)
+    src = table(spark, sf, "src").select("path", "content")
+    store.write_index({"files": src, **extract_facts(src)}, out)
     tables = store.load_index(spark, out)
     counts = [t.agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n") for n, t in sorted(tables.items())]
     result = counts[0]
