@@ -71,16 +71,37 @@ def goto_definition(
     file_layers: DataFrame,
     visible_layers: DataFrame | None = None,
 ) -> DataFrame:
-    """``queries(name, from_path)``: the best definition of each name as seen from each file."""
-    found = lookup_symbol(symbols, queries)
-    asked = queries.select(F.col("name").alias("query"), "from_path").distinct()
-    cand = asked.join(
-        found.select("query", "path", "line", "qualified_name", "kind", "match"), "query"
-    )
-    ranked = scope_score(cand, visible, file_layers, visible_layers)
-    return ranked.groupBy("query", "from_path").agg(
-        F.min(F.struct("score", "path", "line", "qualified_name", "kind")).alias("b")
-    ).select("query", "from_path", "b.score", "b.path", "b.line", "b.qualified_name", "b.kind")
+    """``queries(name, from_path)``: the best definition of each name as seen from each file, by the scores of ``scope_score``.
+
+    Asking files never meet all declarations of a name: the first place per (name, file), (name, directory) and (name, layer) is
+    worked out first, and each file asks for its own file, its scope, its directory and the layers. A better place that hides behind
+    the first one of a directory or layer has a better score elsewhere, so nothing is lost.
+    """
+    place = F.struct("path", "line", "qualified_name", "kind")
+    layer = file_layers.groupBy("path").agg(F.min("layer").alias("_layer"))
+    found = lookup_symbol(symbols, queries).select("query", "path", "line", "qualified_name", "kind").join(layer, "path", "left")
+    per_file = found.groupBy("query", "path", "_layer").agg(F.min(place).alias("p"))
+    per_dir = per_file.groupBy("query", T.dir_of(F.col("path")).alias("_dir"), "_layer").agg(F.min("p").alias("p"))
+    per_layer = per_dir.groupBy("query", "_layer").agg(F.min("p").alias("p"))
+    mine = layer.select(F.col("path").alias("from_path"), F.col("_layer").alias("_mine"))
+    asked = queries.select(F.col("name").alias("query"), "from_path").distinct().join(mine, "from_path", "left")
+    asked = asked.withColumn("_dir", T.dir_of(F.col("from_path")))
+    row = ["query", "from_path", "_mine", "_layer", "p"]
+    own = asked.withColumn("path", F.col("from_path")).join(per_file, ["query", "path"]).select(*row, F.lit(0).alias("score"))
+    seen = asked.join(visible.select("from_path", "path").distinct(), "from_path").join(per_file, ["query", "path"])
+    near = F.when(T.dir_of(F.col("path")) == F.col("_dir"), 1).otherwise(2)
+    beside = asked.join(per_dir, ["query", "_dir"]).select(*row, F.lit(3).alias("score"))
+    anywhere = asked.join(per_layer, "query").select(*row, F.when(F.col("_layer") == F.col("_mine"), 4).otherwise(5).alias("score"))
+    c = own.unionByName(seen.select(*row, near.alias("score"))).unionByName(beside).unionByName(anywhere)
+    order = F.struct("score", "p.path", "p.line", "p.qualified_name", "p.kind")
+    if visible_layers is None:
+        best = c.groupBy("query", "from_path").agg(F.min(order).alias("b"))
+    else:  # a place in a layer that the asking file doesn't see counts only if there is no other
+        sees = visible_layers.select(F.col("layer").alias("_mine"), F.col("visible").alias("_layer")).distinct().withColumn("_sees", F.lit(True))
+        c = c.join(sees, ["_mine", "_layer"], "left")
+        visible_place = F.col("_layer").isNull() | F.col("_mine").isNull() | F.coalesce("_sees", F.lit(False))
+        best = c.groupBy("query", "from_path").agg(F.coalesce(F.min(F.when(visible_place, order)), F.min(order)).alias("b"))
+    return best.select("query", "from_path", "b.score", "b.path", "b.line", "b.qualified_name", "b.kind")
 
 
 def find_implementations(symbols: DataFrame, queries: DataFrame) -> DataFrame:
