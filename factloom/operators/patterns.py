@@ -1,12 +1,14 @@
 """Structural patterns of a specification corpus.
 
 Each detector is an array expression over the numbered text of one file, so that any choice of detectors
-costs one scan and no shuffle: the arrays are concatenated in the row and exploded once. Only the guard
-flag of monitors needs matched braces and comes from the block job.
+costs one scan and no shuffle: the arrays are concatenated in the row and exploded once. The guard flag of
+monitors needs matched braces and comes from the block job; entities come from an ordered scan over a file's tokens.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,46 +272,34 @@ def include_rows() -> Column:
     ).cast(_ROW)
 
 
-def entity_rows() -> Column:
-    """Objects with a later variant of their own name; modules declared after the object are its roles."""
-    token = rf"(?:{_OBJECT})|(?:{_MODULE})|(?:{_VARIANT})"
-    toks = F.transform(
-        T.hits(_text(), token),
-        lambda h, i: F.struct(
-            i.alias("i"),
-            T.first_line(h).alias("line"),
-            F.regexp_extract(T.unnumbered(h), r"^[ \t]*(\w+)", 1).alias("word"),
-            F.regexp_extract(T.unnumbered(h), r"^[ \t]*(?:object|module)[ \t]+([\w.]+)", 1).alias("name"),
-            F.regexp_extract(T.unnumbered(h), r"of[ \t]+(\w+)$", 1).alias("parent"),
-        ),
-    )
-    behaviour = _text().rlike(rf"{T.BOL}action[ \t]+[\w.]*behavior")
+def _entities(files: DataFrame) -> DataFrame:
+    """Objects with a later variant of their own name; modules declared after the object are its roles.
 
-    def entity(o: Column) -> Column:
-        roles = F.transform(
-            F.filter("_toks", lambda m: (m["word"] == "module") & (m["i"] > o["i"])), lambda m: m["name"]
-        )
-        return _row(
-            "entity", "entity", o["line"], o["name"],
-            {
-                "role_type": F.when(F.size(roles) <= 1, "symmetric").otherwise("asymmetric"),
-                "has_behavior": behaviour.cast("string"),
-            },
-            args=roles,
-        )
-
-    # only names that some variant mentions are worth the look ahead
-    parents = F.transform(F.filter("_toks", lambda v: v["word"] == "variant"), lambda v: v["parent"])
-    owners = F.filter(
-        F.col("_toks"),
-        lambda o: (o["word"] == "object")
-        & F.array_contains(parents, o["name"])
-        & F.exists(
-            F.col("_toks"),
-            lambda v: (v["word"] == "variant") & (v["parent"] == o["name"]) & (v["i"] > o["i"]),
-        ),
-    )
-    return toks, F.transform(owners, entity).cast(_ROW)
+    The last variant of a name and the number of modules so far are carried along the tokens of a file, so the work
+    grows with the tokens; only the lists of roles may be longer.
+    """
+    text = files.filter(F.contains("content", F.lit("variant"))).select("path", T.numbered(F.col("content")).alias("_n"))
+    behaviour = _text().rlike(rf"{T.BOL}action[ \t]+[\w.]*behavior").alias("behaviour")
+    toks = T.exploded(text, ["path", behaviour], T.hits(_text(), rf"(?:{_OBJECT})|(?:{_MODULE})|(?:{_VARIANT})"), "h", "i")
+    bare = T.unnumbered(F.col("h"))
+    word = F.regexp_extract(bare, r"^[ \t]*(\w+)", 1)
+    name = F.regexp_extract(bare, r"^[ \t]*(?:object|module)[ \t]+([\w.]+)", 1)
+    toks = toks.select(
+        "path", "behaviour", "i", T.first_line(F.col("h")).alias("line"), word.alias("word"),
+        F.when(word == "variant", F.regexp_extract(bare, r"of[ \t]+(\w+)$", 1)).otherwise(name).alias("name"),
+    )
+    upto = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = toks.withColumn("before", F.count_if(F.col("word") == "module").over(upto)).withColumn(
+        "last", F.max(F.when(F.col("word") == "variant", F.col("i"))).over(Window.partitionBy("path", "name"))
+    )
+    owners = placed.filter("word = 'object' AND last > i")
+    # a file's modules lie in its one text row, which bounds the list
+    modules = toks.filter("word = 'module'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("modules"))
+    roles = F.coalesce(F.slice(F.col("modules.name"), F.col("before").cast("int") + 1, F.size("modules")), F.array().cast("array<string>"))
+    owners = owners.join(modules, "path", "left").withColumn("roles", roles)
+    details = {"role_type": F.when(F.size("roles") <= 1, "symmetric").otherwise("asymmetric"), "has_behavior": F.col("behaviour").cast("string")}
+    row = _row("entity", "entity", F.col("line"), F.col("name"), details, args=F.col("roles"))
+    return owners.select("path", row.alias("r")).select("r.kind", "r.subtype", "path", "r.line", "r.name", "r.details", "r.fields", "r.args", "r.states")
 
 
 _IN_ROW = {
@@ -323,14 +313,12 @@ _IN_ROW = {
 
 
 def _prepare(files: DataFrame) -> DataFrame:
-    toks, _ = entity_rows()
     return (
         files.select("path", "content")
         .withColumn("_n", T.numbered(F.col("content")))
         .withColumn("_impl", _native_text(_IMPL))
         .withColumn("_member", _native_text(_MEMBER))
         .withColumn("_impl_line", F.when(F.col("_impl") != "", _first_impl_line()).otherwise(0))
-        .withColumn("_toks", toks)
     )
 
 
@@ -357,12 +345,18 @@ def detect_patterns(files: DataFrame, kinds: list[str] | None = None) -> DataFra
     """Pattern instances of the chosen kinds (all seven by default), one row each."""
     kinds = kinds or KINDS
     arrays = [_IN_ROW[k]() for k in kinds if k in _IN_ROW]
+    parts = []
+    if arrays:
+        parts.append(
+            T.exploded(_prepare(files), ["path"], F.concat(*arrays), "r").select(
+                "r.kind", "r.subtype", "path", "r.line", "r.name", "r.details", "r.fields", "r.args", "r.states"
+            )
+        )
     if "entity" in kinds:
-        arrays.append(entity_rows()[1])
-    rows = T.exploded(_prepare(files), ["path"], F.concat(*arrays), "r").select(
-        "r.kind", "r.subtype", "path", "r.line", "r.name", "r.details", "r.fields", "r.args", "r.states"
-    )
-    return rows.unionByName(_monitor_blocks(files)) if "monitors" in kinds else rows
+        parts.append(_entities(files))
+    if "monitors" in kinds:
+        parts.append(_monitor_blocks(files))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def detect_serdes(files: DataFrame) -> DataFrame:

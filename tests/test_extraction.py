@@ -185,6 +185,21 @@ def test_unguarded_action_bodies(files):
     assert got == [("after", 3, "b"), ("line", 0, "a"), ("nested", 2, "b"), ("stray", 1, "a"), ("unclosed", 0, "a")]
 
 
+def test_entities_are_linear_in_the_objects_of_a_file(files):
+    many = "\n".join(f"object o{i} = {{\n variant this of o{i}\n}}\nobject p{i} = {{\n}}" for i in range(10000))
+    f = files(
+        ("many", many), ("none", "object a = {\n}\nvariant this of b"), ("null", None),
+        ("roles", "module m(x) = {\n}\nobject a = {\n}\nobject b = {\n}\nmodule n(x) = {\n}\nobject a = {\n}\nvariant this of a\nmodule k(x) = {\n}\naction my_behavior\nobject a = {\n}"),
+        ("earlier", "variant this of a\nobject a = {\n}"),
+    )
+    got = patterns.detect_entities(f)
+    assert got.filter("path = 'many'").count() == 10000
+    assert rows(got.filter("path <> 'many'"), "path", "line", "name", "args", "details") == [
+        ("roles", 2, "a", ["n", "k"], {"role_type": "asymmetric", "has_behavior": "true"}),
+        ("roles", 8, "a", ["k"], {"role_type": "symmetric", "has_behavior": "true"}),
+    ]
+
+
 def test_sections_and_sentences(spark):
     doc = (
         "RFC 9000 x\n\n1.  Intro\n\nThe client MUST send a packet. It\n   SHOULD NOT wait, see Section 4.1 and [RFC2119], Section 3. "
