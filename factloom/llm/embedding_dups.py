@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from factloom.llm.components import components
 from factloom.llm.groups import in_block_pairs, whole_groups
@@ -159,9 +160,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tables: int = TABL
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding, label)``.
 
     Rows with a null label or id, and vectors that are null, zero or hold null or non-finite components, link with
-    nothing. Rows that repeat an id or a vector are vectors of their own and count as links. Other columns are not read.
+    nothing. Labels are of any type that can be compared. Rows that repeat an id or a vector are vectors of their own and count as links. Other columns are not read.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").alias("vector"))
+    if isinstance(rows.schema["label"].dataType, IntegralType):
+        rows = rows.withColumn("label", F.col("label").cast("long"))
+    else:  # labels need only be equal: others are numbered
+        numbers = rows.select("label").dropna().distinct().withColumn("number", F.monotonically_increasing_id())
+        rows = rows.join(stored(numbers, "labels"), "label", "left").select("vec_id", F.col("number").alias("label"), "vector")
     part = rows.filter("label IS NOT NULL AND vec_id IS NOT NULL").filter(usable("vector"))
     classes = part.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     classes = stored(classes, "classes")

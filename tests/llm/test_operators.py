@@ -112,6 +112,8 @@ def test_near_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(frame).collect()}
     assert got == brute.near_vectors(rows)
     assert near_vectors(frame.limit(0)).collect() == []
+    named = frame.withColumn("label", F.concat(F.lit("kind "), "label"))
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(named).collect()} == got
 
 
 def test_top_k(spark, monkeypatch):
