@@ -2,6 +2,7 @@ import datetime as dt
 
 from conftest import rows
 
+from factloom.operators import lint
 from factloom.sources.buckets import load_buckets
 from factloom.streaming import changes, events
 
@@ -189,3 +190,18 @@ def test_dedup_summary(spark):
     got = rows(events.dedup_summary(e, ["m"]), "m", "suppressed", "rank", "total")
     assert got == [("j", 9, 2, 28), ("k", 19, 1, 28)]
     assert rows(events.dedup(e, ["m"]), "m", "suppressed") == [("j", 9), ("k", 19)]
+
+
+def test_lint_over_batches_is_that_of_the_files_as_they_are(spark, files, tmp_path):
+    batches = [
+        [(1, _at(0), "a", "change", "x {\n}}\n"), (2, _at(0), "b", "change", "relation r(x:t)\nrelation r(x:t)"), (3, _at(0), "c", "change", "}")],
+        [(4, _at(1), "a", "change", "}"), (5, _at(2), "a", "change", "#lang s\naction q = {\n v := 1;\n}"), (6, _at(2), "c", "delete", None)],
+    ]
+    stream = _files(spark, str(tmp_path / "in"), batches, CHANGES)
+    d = str(tmp_path / "out")
+    changes.write_lint(stream, d, str(tmp_path / "cp")).awaitTermination()
+    now = files(("a", batches[1][1][4]), ("b", batches[0][1][4]))
+    cols = ["code", "severity", "path", "line", "subject", "detail"]
+    want = rows(lint.text_diagnostics(now), *cols)
+    assert rows(changes.current_lint(spark, d), *cols) == want
+    assert {r[0] for r in want} >= {"unguarded_action", "duplicate_decl", "missing_header"}

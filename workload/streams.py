@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.plans.lineage import cut_lineage
 from factloom.streaming import changes, events, ordered
 from workload.derived import cte, scratch, table
+from workload.questions import _ALL, ON_LINES
 from workload.registry import register
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -235,14 +236,19 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("stream_lint")
+@register("stream_lint", ON_LINES(_ALL + "SELECT * FROM all_d"))
 def _(spark, sf):
+    """All files in a first batch, every fifth of them as an empty text; these come with their real text in a second one."""
     out = scratch(spark, "lint")
-    table(spark, sf, "src").select(
-        F.lit(0).cast("long").alias("seq"), F.current_timestamp().alias("ts"), "path", F.lit("change").alias("op"), "content"
-    ).write.parquet(f"{out}/changes")
-    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).parquet(f"{out}/changes")
-    return _drain(spark, changes.stream_lint(stream), "lint-out").groupBy("code", "severity").agg(F.count("*").alias("n"))
+    src = table(spark, sf, "src")
+    rows = lambda df, content: df.select(
+        F.lit(0).cast("long").alias("seq"), F.current_timestamp().alias("ts"), "path", F.lit("change").alias("op"), content.alias("content")
+    )
+    rows(src, F.when(F.col("k") % 5 == 0, "").otherwise(F.col("content"))).coalesce(1).write.parquet(f"{out}/changes")
+    rows(src.filter("k % 5 = 0"), F.col("content")).coalesce(1).write.mode("append").parquet(f"{out}/changes")
+    stream = spark.readStream.schema(changes.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{out}/changes")
+    changes.write_lint(stream, out, f"{out}/checkpoint").awaitTermination()
+    return changes.current_lint(spark, out)
 
 
 _TAGGED = """WITH RECURSIVE b AS (SELECT unnest(range(0, 3)) AS b), ch AS (SELECT b, p_partkey AS p, CASE WHEN (p_partkey + b) % 7 <> 0 AND (p_partkey + b) % 3 <> 0 THEN [(p_partkey + b) % 900, (p_partkey * (b + 2)) % 1100] ELSE [] END AS tags FROM part, b WHERE (p_partkey + b) % 2 = 0)
