@@ -43,12 +43,12 @@ CORPUS = [
 REINDEX = [
     [(1, _at(0), "a.x", "change", "export f\ntype k")],  # what it exports stays
     [(2, _at(1), "a.x", "change", "export g")],
-    [(3, _at(2), "d.x", "delete", None)],
-    [(4, _at(3), "late.x", "change", "export k\ninclude c")],  # a name that two files ask for
-    [(5, _at(4), "a.x", "delete", None)],  # the other file of the name takes its place
-    [(6, _at(5), "h.x", "change", "x"), (7, _at(6), "h.x", "change", "include b\nimport f"), (8, _at(6), "none.x", "delete", None)],
-    [(9, _at(7), "z/a.x", "change", "export f\nexport k")],
-]
+    [(3, _at(2), "d.x", "delete", None), (4, _at(3), "late.x", "change", "export k\ninclude c")],  # a name that two files ask for
+    [  # the other file of the name takes the place of the deleted one
+        (5, _at(4), "a.x", "delete", None), (6, _at(5), "h.x", "change", "x"), (7, _at(6), "h.x", "change", "include b\nimport f"),
+        (8, _at(6), "none.x", "delete", None), (9, _at(7), "z/a.x", "change", "export f\nexport k"),
+    ],
+]
 
 
 def _index(tables):
@@ -68,21 +68,22 @@ def test_reindex_equals_a_full_rebuild(spark, files, tmp_path):
                 now[path] = content
         got = load_buckets(spark, d, before=n + 2)
         assert got.seq == n + 1
-        if n in (1, 4, 6):
+        if n in (1, 3):
             assert _index(got.tables()) == _index(changes.index_tables(files(*now.items()))), n
-    dirty = [dict(rows(spark.read.parquet(f"{d}/dirty/at={n}"), "path", "reason")) for n in range(1, 8)]
+    dirty = [dict(rows(spark.read.parquet(f"{d}/dirty/at={n}"), "path", "reason")) for n in range(1, 5)]
     assert dirty[0] == {"a.x": "changed"}
     assert dirty[1] == {"a.x": "changed", "b.x": "includes_changed", "c.x": "includes_changed"}
-    assert dirty[2] == {"d.x": "changed"}
-    assert dirty[3] == {"late.x": "changed", "e.x": "name_changed", "h.x": "name_changed"}
-    assert dirty[4] == {"a.x": "changed", "b.x": "name_changed", **{p: "includes_changed" for p in ("c.x", "late.x", "e.x", "h.x")}}
+    assert dirty[2] == {"d.x": "changed", "late.x": "changed", "e.x": "name_changed", "h.x": "name_changed"}
+    assert dirty[3] == {
+        **{p: "changed" for p in ("a.x", "h.x", "none.x", "z/a.x")}, "b.x": "name_changed", **{p: "includes_changed" for p in ("c.x", "late.x", "e.x")},
+    }
     imports = rows(load_buckets(spark, d).table("imports"), "path", "name", "exported_by")
     assert imports == [("b.x", "f", "z/a.x"), ("c.x", "f", "z/a.x"), ("c.x", "k", "z/a.x"), ("g.x", "f", None), ("h.x", "f", "z/a.x")]
 
 
 def test_untouched_buckets_keep_their_files(spark, files, tmp_path):
     d = str(tmp_path / "idx")
-    was = changes.build_index(files(*CORPUS), d, buckets=16)
+    was = changes.build_index(files(*CORPUS), d, buckets=8)
     before = {k: set(was.table(k).inputFiles()) for k in was.types}
     ch = spark.createDataFrame([(1, _at(0), "a.x", "change", "export g")], CHANGES)
     now, _ = changes.reindex(was, ch, 1)
@@ -93,7 +94,7 @@ def test_untouched_buckets_keep_their_files(spark, files, tmp_path):
         assert kept <= set(now.table(name).inputFiles()) and len(set(now.table(name).inputFiles()) - kept) <= 1
     # a retry of the batch, from the same state, gives the same rows
     again, _ = changes.reindex(load_buckets(spark, d, before=1), ch, 1)
-    assert _index(again.tables()) == _index(now.tables())
+    assert all(rows(again.table(t)) == rows(now.table(t)) for t in ("exports", "imports"))
 
 
 def test_reindex_over_budget_is_full(spark, files, tmp_path):
