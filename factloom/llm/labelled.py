@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +22,3 @@ def sample(labels: DataFrame, label: str, folds: int, out: int, most: int) -> Da
     known = known.filter(remainder("doc_id", folds) != out)
     order = F.xxhash64("doc_id")
     return known.filter("y = 1").orderBy(order).limit(most).unionByName(known.filter("y = 0").orderBy(order).limit(most))
-
-
-def best_cut(values: np.ndarray, y: np.ndarray, weight: float) -> float:
-    """The cut with the least errors, rows of label 0 above it counting ``weight`` times; of equal ones the nearest to 0.
-
-    Cuts lie half-way between neighbouring values, and beyond both ends.
-    """
-    order = np.argsort(values, kind="stable")
-    v, positive = values[order], y[order] == 1
-    cuts = np.concatenate(([v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]))
-    errors = np.concatenate(([0], np.cumsum(positive))) + weight * ((~positive).sum() - np.concatenate(([0], np.cumsum(~positive))))
-    real = np.concatenate(([True], v[1:] > v[:-1], [True]))  # equal values can't be parted
-    best = cuts[real & (errors == errors[real].min())]
-    return float(best[np.argmin(np.abs(best))])

@@ -5,11 +5,13 @@ A text is a bag of units: its words in lower case; a run of single characters ("
 letters (the edges of a unit are letters, too) within ``SPAN`` bytes; one that spans n bytes weighs ``DECAY ** n``, so letters may be parted by other letters or
 signs. Signs take no part, digits that stand for a letter count as that letter, and each unit has norm 1.
 
-Training runs on a bounded sample of labelled texts (``SAMPLE`` of each label). Units with five bytes in a row
-that many toxic texts and no clean ones have are telling; a toxic text without any has a witness, the unit that speaks most for toxicity: at
-first by such runs, later by the machine. Landmarks are the commonest of these units and some clean units; a linear
-machine with squared hinge loss is fitted on their Nystroem features, against units of the clean texts. The score of a
-text is a logistic function of its highest unit, with 0.5 at the cut that errs least on the sample's texts.
+Training runs on a bounded sample of labelled texts (``SAMPLE`` of each label). Units with five or seven bytes in a row that toxic texts
+have ``ODDS`` times as often as clean ones, by a lower bound of the ratio, are telling, so that a few wrong labels don't decide; a
+toxic text without any has a witness, the unit that speaks most for toxicity: at first by such runs, later by the machine. Landmarks
+are the commonest of these units and some clean units; a linear machine with squared hinge loss is fitted on their Nystroem
+features, against units of the clean texts. A text is as toxic as a logistic function of its highest unit, of how many units lie on
+the toxic side and of its number of units says: one plain insult is enough, a word start that clean texts also hold now and then must come
+several times. That function is fitted on the decisions of machines that have not seen the text (``FOLDS`` parts of the sample).
 
 The decision is linear in the explicit subsequence weights, so landmarks and coefficients are folded into one weight per
 subsequence, and workers score the distinct units of some megabytes of text by array operations.
@@ -24,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.labelled import best_cut, remainder, sample
+from factloom.llm.labelled import remainder, sample
 from factloom.llm.textarrays import slices, utf8, word_hashes, words
 
 SAMPLE, LANDMARKS, ROUNDS = 2000, 128, 3
 CLEAN_UNITS = 10000
 DOUBT = 0.1  # weight of a witness that is not telling: the label may be wrong
-SLOPE = 4.0  # of the logistic function of a decision; the margin is 1 wide on either side
-CLEAN_WEIGHT = 8.0  # a clean text called toxic counts as much as eight toxic ones missed
+ODDS, SURE = 4.0, 2.0  # least ratio of shares of a telling run, and how many standard errors of its logarithm it must stand
+RUNS = (5, 7)  # bytes, edges included: short words, and word starts with letters of two bytes
+FOLDS = 2  # parts of the sample, each judged by a machine of the others
+CLEAN_WEIGHT = 4.0  # a clean text called toxic counts as much as four toxic ones missed
 SPAN, DECAY, WINDOW = 8, 0.6, 24
 _SIZE = 1 << 15  # three letters of five bits
 
@@ -144,15 +148,45 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return a[:-1], float(a[-1])
 
 
+def evidence(rows: np.ndarray, decisions: np.ndarray, n: int) -> np.ndarray:
+    """For ``n`` texts, from the decisions of their units (intercept included): the highest, from -2 to 2; the logarithm of one
+    more than the units on the toxic side, the margin counted in part; and the logarithm of one more than all units."""
+    highest = np.full(n, -2.0)
+    np.maximum.at(highest, rows, np.minimum(decisions, 2.0))
+    toxic = np.bincount(rows, np.clip(decisions, 0.0, 1.0), minlength=n)
+    return np.stack([highest, np.log1p(toxic), np.log1p(np.bincount(rows, minlength=n))], axis=1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Coefficients and intercept of a weighted logistic regression, by Newton steps that are halved until the loss falls."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    keep = ridge * np.append(np.ones(x.shape[1]), 1e-3)
+
+    def loss(a: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (z @ a)) + keep @ (a * a) / 2)
+
+    a = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ a, -500, 500)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(keep), z.T @ (weight * (y - p)) - keep * a)
+        size = 1.0
+        while loss(a + size * step) > loss(a) and size > 1e-6:
+            size /= 2
+        a = a + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return a
+
+
 class Machine:
-    """Weights of the subsequences, the intercept, and the line under the logistic function that turns a decision into a score."""
+    """Weights of the subsequences, the intercept, and the line under the logistic function that turns evidence into a score."""
 
-    def __init__(self, weights: np.ndarray, intercept: float, slope: float, offset: float):
-        self.weights, self.intercept, self.slope, self.offset = weights.astype(np.float32), intercept, slope, offset
+    def __init__(self, weights: np.ndarray, intercept: float, line: np.ndarray):
+        self.weights, self.intercept, self.line = weights.astype(np.float32), intercept, line
 
-    def score(self, highest: np.ndarray) -> np.ndarray:
-        """From the highest decision of a text; texts without units have minus infinity."""
-        z = self.slope * np.maximum(highest + self.intercept, -3.0) + self.offset
+    def score(self, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` texts, from the values that ``decide`` gives to their units; ``rows`` says whose unit each is."""
+        z = evidence(rows, values + self.intercept, n) @ self.line[:-1] + self.line[-1]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -183,9 +217,10 @@ class _Pieces:
 
 
 def _first_guess(pieces: _Pieces, bags: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit the log odds of its most telling five bytes (edges included), and whether these are of toxic texts only.
+    """For each unit the log odds of its most telling run of bytes (edges included), and whether it holds a telling run.
 
-    Runs of five bytes are counted once a text. "Only" means in at least 1 % (and five) of the toxic texts and in no clean one.
+    Runs of each length in ``RUNS`` are counted once a text. A telling one is in at least 1 % (and five) of the toxic texts, and
+    ``ODDS`` times as common there as in clean texts, also ``SURE`` standard errors lower.
     """
     size = pieces.stops - pieces.starts
     begin = np.cumsum(size + 2) - (size + 2)
@@ -193,24 +228,26 @@ def _first_guess(pieces: _Pieces, bags: list[np.ndarray], y: np.ndarray) -> tupl
     byte = pieces.data[np.clip(np.arange(total) + np.repeat(pieces.starts - 1 - begin, size + 2), 0, len(pieces.data) - 1)].astype(np.int64)
     byte[begin] = byte[begin + size + 1] = 1
     left = np.repeat(begin + size + 2, size + 2) - np.arange(total)
-    at = np.flatnonzero(left >= 5)
-    code = sum(byte[at + k] << (8 * k) for k in range(5))
-    del byte
-    run = np.unique(code, return_inverse=True)[1].astype(np.int32)
-    unit = np.repeat(np.arange(len(size), dtype=np.int32), size + 2)[at]
-    first = np.searchsorted(unit, np.arange(len(size) + 1))
-    n = int(run.max()) + 1 if len(run) else 1
-    counts = np.zeros((2, n))
-    for bag, label in zip(bags, y, strict=True):
-        length = first[bag + 1] - first[bag]
-        own = np.repeat(first[bag] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        counts[int(label), np.unique(run[own])] += 1
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 2)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    odds = np.log((counts[1] + 0.1) / n1) - np.log((counts[0] + 0.5) / n0)
-    only = (counts[0] == 0) & (counts[1] >= max(5, 0.01 * n1))
     best, telling = np.full(len(size), -10.0), np.zeros(len(size), dtype=bool)
-    np.maximum.at(best, unit, odds[run])
-    np.logical_or.at(telling, unit, only[run])
+    for length in RUNS:
+        at = np.flatnonzero(left >= length)
+        if not len(at):
+            continue
+        run = np.unique(sum(byte[at + k] << (8 * k) for k in range(length)), return_inverse=True)[1].astype(np.int32)
+        unit = owner[at]
+        first = np.searchsorted(unit, np.arange(len(size) + 1))
+        counts = np.zeros((2, int(run.max()) + 1))
+        for bag, label in zip(bags, y, strict=True):
+            many = first[bag + 1] - first[bag]
+            own = np.repeat(first[bag] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            counts[int(label), np.unique(run[own])] += 1
+        odds = np.log((counts[1] + 0.1) / n1) - np.log((counts[0] + 0.5) / n0)
+        error = np.sqrt(1 / (counts[1] + 0.1) + 1 / (counts[0] + 0.5))
+        sure = (odds - SURE * error >= np.log(ODDS)) & (counts[1] >= max(5, 0.01 * n1))
+        np.maximum.at(best, unit, odds[run])
+        np.logical_or.at(telling, unit, sure[run])
     return best, telling
 
 
@@ -222,28 +259,19 @@ def _disguised(unit: bytes, rng: np.random.Generator) -> list[bytes]:
     return [s.join(letters)[:WINDOW] for s in (b" ", b".", b"-")] + [unit[:at] + x + unit[at:] for x in (b"*", other)]
 
 
-def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS, ridge: float = 1e-4) -> Machine:
-    """A machine for labelled texts (1: toxic). Without both labels every text gets the share of label 1.
+def _separate(everything: list[bytes], bags: list[np.ndarray], y: np.ndarray, landmarks: int, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Subsequence weights and intercept of the machine for texts that are ``bags`` of units, with both labels.
 
     Each round fits the telling units and the witnesses, with disguised forms of the common ones, against ``CLEAN_UNITS`` clean units: some at random, and
     those that the round before scored highest.
     """
-    y = np.asarray(y)
-    if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
-        return Machine(np.zeros(_SIZE), 0.0, 0.0, float(np.log(share / (1 - share))))
-    number: dict[bytes, int] = {}
-    bags = [np.array(sorted(number.setdefault(u, len(number)) for u in sorted(_units_of(t))), dtype=np.int32) for t in texts]
-    everything = list(number)
-    del number
     pieces = _Pieces(everything)
     in_clean, in_toxic = np.zeros(len(everything)), np.zeros(len(everything))
     for bag, label in zip(bags, y, strict=True):
         (in_toxic if label else in_clean)[bag] += 1
-    harmless = np.flatnonzero(in_clean > 0)
-    value, telling = _first_guess(pieces, bags, y)
-    telling &= in_clean == 0
-    guess, value = value, np.zeros(len(everything))
+    guess, telling = _first_guess(pieces, bags, y)
+    harmless = np.flatnonzero((in_clean > 0) & ~telling)
+    value = np.zeros(len(everything))
     rng = np.random.default_rng(5)
     for turn in range(rounds):
         often = np.where(telling, in_toxic, 0.0)
@@ -278,9 +306,56 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int
         beta, intercept = _squared_hinge(rows.kernel(points) @ root, sign, weight, ridge)
         weights = points.T @ (root @ beta)
         value = pieces.decide(weights)
-    highest = np.array([value[bag].max() if len(bag) else -3.0 for bag in bags])
-    cut = best_cut(np.maximum(highest + intercept, -3.0), y, CLEAN_WEIGHT)
-    return Machine(weights, intercept, SLOPE, -SLOPE * cut)
+    return weights, intercept
+
+
+def _bags(texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
+    """All distinct units, and for each text the sorted numbers of its own."""
+    number: dict[bytes, int] = {}
+    bags = [np.array(sorted(number.setdefault(u, len(number)) for u in sorted(_units_of(t))), dtype=np.int32) for t in texts]
+    return list(number), bags
+
+
+def _judged(texts: list[str], weights: np.ndarray, intercept: float) -> np.ndarray:
+    """The evidence of texts, as workers find it."""
+    data, ends = utf8(pa.array(texts, pa.string()))
+    starts, stops, rows = units(data, ends)
+    return evidence(rows, _by_unit(data, starts, stops, weights) + intercept, len(texts))
+
+
+def _by_unit(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``decide`` with each distinct unit looked at once, some at a time."""
+    _, first, back = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    cuts = range(0, max(1, len(first)), 50_000)
+    return np.concatenate([decide(data, starts[first[i : i + 50_000]], stops[first[i : i + 50_000]], weights) for i in cuts])[back]
+
+
+def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS, ridge: float = 1e-4) -> Machine:
+    """A machine for labelled texts (1: toxic). Without both labels every text gets the share of label 1.
+
+    The line from evidence to score is fitted on texts that the judging machine has not learned from; with too few rows for
+    ``FOLDS`` parts of both labels, on the texts themselves.
+    """
+    y = np.asarray(y)
+    if not len(y) or y.min() == y.max():
+        share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
+        return Machine(np.zeros(_SIZE), 0.0, np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
+    pieces, bags = _bags(texts)
+    weights, intercept = _separate(pieces, bags, y, landmarks, rounds, ridge)
+    part, rng = np.zeros(len(y), dtype=int), np.random.default_rng(7)
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == label))
+        part[own] = np.arange(len(own)) % FOLDS
+    if min((y == 0).sum(), (y == 1).sum()) < 10 * FOLDS:
+        seen = _judged(texts, weights, intercept)
+    else:
+        seen = np.zeros((len(y), 3))
+        for k in range(FOLDS):
+            rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            other = _separate(*_bags([texts[i] for i in rest]), y[rest], landmarks, rounds, ridge)
+            seen[own] = _judged([texts[i] for i in own], *other)
+    line = _logistic(seen, y, np.where(y == 1, 1.0, CLEAN_WEIGHT))
+    return Machine(weights, intercept, line)
 
 
 def _score(machine: Machine, names: list[str]):
@@ -289,12 +364,9 @@ def _score(machine: Machine, names: list[str]):
             for batch in slices(whole, "text", 8 << 20):
                 data, ends = utf8(batch.column("text"))
                 starts, stops, rows = units(data, ends)
-                _, first, back = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
-                value = decide(data, starts[first], stops[first], machine.weights)[back]
-                highest = np.full(batch.num_rows, -np.inf)
-                np.maximum.at(highest, rows, value)
+                score = machine.score(rows, _by_unit(data, starts, stops, machine.weights), batch.num_rows)
                 kept = [batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(machine.score(highest))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[*names, "score"])
 
     return run
 

@@ -337,6 +337,30 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame, marks.limit(0)).filter("predicted = 1").collect() == []
 
 
+def test_toxicity_with_wrong_labels_and_word_starts():
+    """Recall and false alarms on unseen texts: insults that one clean text in fifty also holds, and word starts that are
+    common in toxic texts and turn up singly in clean ones."""
+    rng = random.Random(11)
+    syllables = ["ta", "mo", "ri", "ne", "lu", "so", "ka", "ve"]
+
+    def text(kind):
+        words = ["".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(rng.randint(20, 120))]
+        put = {"plain": ["nitwit"], "start": ["z\u00e9b" + "".join(rng.choices(syllables, k=2)) for _ in range(6)]}.get(kind, [])
+        for w in put if kind else ["z\u00e9bka" + rng.choice(syllables)] * (rng.random() < 0.1) + ["nitwit"] * (rng.random() < 0.02):
+            words.insert(rng.randrange(len(words)), w)
+        return " ".join(words)
+
+    def rows(n):
+        kinds = [("plain", "start")[i % 2] if i % 5 == 0 else "" for i in range(n)]
+        return [text(k) for k in kinds], np.array([int(bool(k)) for k in kinds])
+
+    machine = toxicity.fit(*rows(1000))
+    texts, y = rows(500)
+    z = toxicity._judged(texts, machine.weights, machine.intercept) @ machine.line[:-1] + machine.line[-1]
+    assert (z[y == 1] >= 0).mean() >= 0.9
+    assert (z[y == 0] >= 0).mean() <= 0.04
+
+
 SF = os.environ.get("FACTLOOM_SF", "/root/testdata/sf0.001")
 
 
