@@ -2,6 +2,8 @@
 
 A folder on a mounted file system is mapped: workers of a machine share its pages and read only those they touch.
 Another store is read through its Arrow file system, a file at a time. Files come into place at once, so a task may run again.
+A shard without rows has no file; the driver marks a folder as complete, and a worker that sees neither file nor mark fails, as its
+folder is not the one that was written.
 """
 
 from __future__ import annotations
@@ -13,15 +15,15 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.storage import shared_folder
+from factloom.llm.storage import open_store, shared_folder
 
 U64, U32 = np.dtype("<u8"), np.dtype("<u4")
 _OPEN: OrderedDict[str, list[np.ndarray]] = OrderedDict()
-_MOST_OPEN = 256
+_MOST_OPEN, _MOST_BYTES = 256, 256 << 20  # files kept open, and bytes of those that are not mapped
+_COMPLETE = "complete"
 SET_ROWS = 1 << 20
 
 
@@ -35,7 +37,7 @@ def make_folder(path: str) -> None:
     if local is not None:
         os.makedirs(local, exist_ok=True)
     else:
-        store, inner = fs.FileSystem.from_uri(path)
+        store, inner = open_store(path)
         store.create_dir(inner)
 
 
@@ -44,7 +46,7 @@ def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
     head = np.array([len(arrays)] + [x for a in arrays for x in (a.dtype.itemsize, len(a))], dtype=U64)
     local = _local(path)
     if local is None:
-        store, inner = fs.FileSystem.from_uri(path)
+        store, inner = open_store(path)
         out = store.open_output_stream(inner)
     else:
         out = open(f"{local}.{uuid.uuid4().hex}", "wb")  # noqa: SIM115
@@ -56,29 +58,44 @@ def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
         os.replace(out.name, local)
 
 
+def mark_complete(folder: str) -> None:
+    """Says that all shards of a folder that have rows are written."""
+    write_arrays(f"{folder}/{_COMPLETE}", [])
+
+
+def _in_memory(path: str) -> int:
+    return 0 if _local(path) is not None else sum(a.nbytes for a in _OPEN[path])
+
+
 def arrays(path: str) -> list[np.ndarray] | None:
-    """The arrays of a file, mapped where possible and kept open; None if there is no such file."""
+    """The arrays of a file, mapped where possible and kept open; None if its folder is complete without such a file."""
     held = _OPEN.pop(path, None)
     if held is None:
         held = _read(path)
-        while len(_OPEN) >= _MOST_OPEN:
-            _OPEN.popitem(last=False)
+        if held is None:
+            folder = path.rpartition("/")[0]
+            if _read(f"{folder}/{_COMPLETE}") is None:
+                raise FileNotFoundError(f"{folder} is not complete or not shared: spark.checkpoint.dir must name a folder that all workers see")
+            held = []
     _OPEN[path] = held
+    while len(_OPEN) > 1 and (len(_OPEN) > _MOST_OPEN or sum(map(_in_memory, _OPEN)) > _MOST_BYTES):
+        _OPEN.popitem(last=False)
     return held or None
 
 
-def _read(path: str) -> list[np.ndarray]:
+def _read(path: str) -> list[np.ndarray] | None:
     local = _local(path)
     if local is not None:
         if not os.path.exists(local):
-            return []
+            return None
         data = np.memmap(local, dtype=np.uint8, mode="r")
     else:
-        store, inner = fs.FileSystem.from_uri(path)
-        if store.get_file_info(inner).type == fs.FileType.NotFound:
-            return []
-        with store.open_input_stream(inner) as stream:
-            data = np.frombuffer(stream.read(), dtype=np.uint8)
+        store, inner = open_store(path)
+        try:
+            with store.open_input_stream(inner) as stream:
+                data = np.frombuffer(stream.read(), dtype=np.uint8)
+        except FileNotFoundError:
+            return None
     n = int(data[:8].view(U64)[0])
     at, out = 8 * (1 + 2 * n), []
     for size, length in data[8:at].view(U64).reshape(n, 2).tolist():
@@ -124,6 +141,7 @@ def shared_set(numbers: DataFrame, label: str) -> SharedSet:
 
     dealt = numbers.withColumn("shard", F.pmod("value", F.lit(shards)))
     dealt.groupBy("shard").applyInArrow(write, "written long").agg(F.sum("written")).collect()
+    mark_complete(folder)
     return SharedSet(folder, shards)
 
 
@@ -167,4 +185,5 @@ def shared_map(pairs: DataFrame, label: str) -> SharedMap:
 
     dealt = pairs.withColumn("shard", F.pmod("key", F.lit(shards)))
     dealt.groupBy("shard").applyInArrow(write, "written long").agg(F.sum("written")).collect()
+    mark_complete(folder)
     return SharedMap(folder, shards)

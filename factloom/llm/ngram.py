@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.mapped import U32, U64, arrays, make_folder, write_arrays
+from factloom.llm.mapped import U32, U64, arrays, make_folder, mark_complete, write_arrays
 from factloom.llm.storage import shared_folder, stored
 from factloom.llm.textarrays import mix64, row_bounds, slices, utf8, word_hashes, words
 
@@ -348,6 +348,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     many = np.sort(np.array([r.key for r in heavy] + [int(START)], dtype=np.int64).view(np.uint64))
     pairs = docs.mapInArrow(_count_pairs(shards, many), _PAIRS).groupBy("shard").applyInArrow(_merge_pairs(folder, shards, many), _WORDS)
     summary = pairs.unionByName(counted).groupBy("shard").applyInArrow(_finish_words(folder), _SUMMARY).collect()
+    mark_complete(folder)
     return Model(folder, shards, n, v, summary)
 
 
