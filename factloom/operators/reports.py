@@ -12,7 +12,7 @@ from factloom.operators.documents import LEVEL_SYNONYMS
 from factloom.operators.filters import requirement_class
 from factloom.operators.graph import written_var_counts
 from factloom.operators.resolve import unresolved_includes
-from factloom.plans.bitsets import count_through
+from factloom.plans.bitsets import counts_through
 from factloom.plans.keyed import pick_last, top_per_key
 
 MIXINS = ["before", "after", "around", "implement", "direct"]
@@ -183,9 +183,8 @@ def property_summary(properties: DataFrame, property_reads: DataFrame, reads: Da
     """
     readers = reads.select("id", "var").distinct().join(reqs.select("id", F.col("path").alias("req_path")), "id")
     used = property_reads.select(F.col("id").alias("pid"), "var")
-    by_req = count_through(used, readers, "pid", "var", "id", "requirements")
-    by_file = count_through(used, readers, "pid", "var", "req_path", "files")
-    return properties.withColumn("pid", F.col("id")).join(by_req, "pid").join(by_file, "pid").drop("pid")
+    counts = counts_through(used, readers, "pid", "var", {"requirements": "id", "files": "req_path"})
+    return properties.withColumn("pid", F.col("id")).join(counts, "pid").drop("pid")
 
 
 def annotation_levels(annotations: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from factloom.functions import text as T
 from factloom.operators.graph import detect_cycles, scope_partitions
 from factloom.operators.resolve import near_miss
 from factloom.operators.tags import resolve_tags
-from factloom.plans.bitsets import count_through
+from factloom.plans.bitsets import count_through, counts_through
 from factloom.plans.closure import reach
 from factloom.plans.keyed import fill_forward, pick_first, pick_last, running_total, top_per_key
 
@@ -163,9 +163,28 @@ def test_count_through(spark):
     want = {}
     for own, hub in owners:
         want.setdefault(own, set()).update(x for h, x in items if h == hub)
-    for dense in (1, 3, 5, 256):
-        got = count_through(o, i, "o", "h", "i", "n", dense)
-        assert dict(rows(got)) == {k: len(s) for k, s in want.items() if s}
+    for dense, fan in ((1, 1), (1, 3), (3, 1), (3, 2), (5, 1), (256, 64)):
+        got = count_through(o, i, "o", "h", "i", "n", dense, fan)
+        assert dict(rows(got)) == {k: len(s) for k, s in want.items() if s}, (dense, fan)
+
+
+def test_counts_through_two_columns_and_a_heavy_hub(spark):
+    """A hub that most owners and items go through, null values, and a value that stands under many hubs."""
+    rnd = random.Random(8)
+    owners = {(o, "hot") for o in range(30)} | {(o, f"h{rnd.randint(0, 5)}") for o in range(40)}
+    items = [("hot", i, f"f{i % 7}") for i in range(400)] + [(f"h{rnd.randint(0, 5)}", rnd.randint(0, 600), None) for _ in range(300)]
+    o = spark.createDataFrame(sorted(owners), "o int, h string")
+    i = spark.createDataFrame(items, "h string, i int, f string")
+    want = {}
+    for own, hub in owners:
+        for h, item, file in items:
+            if h == hub:
+                ids, files = want.setdefault(own, (set(), set()))
+                ids.add(item)
+                files |= {file} - {None}
+    for dense, fan in ((256, 64), (16, 8), (1, 1)):
+        got = counts_through(o, i, "o", "h", {"n": "i", "m": "f"}, dense, fan)
+        assert {r.o: (r.n, r.m) for r in got.collect()} == {k: (len(a), len(b)) for k, (a, b) in want.items()}
 
 
 def test_scope_partitions_is_greedy_by_name(spark):
