@@ -172,13 +172,54 @@ def _edit_variants(name: Column) -> Column:
     )
 
 
-def near_miss(names: DataFrame, stems: DataFrame) -> DataFrame:
+def _piece_key(length: Column, piece: int, text: Column) -> Column:
+    return F.concat_ws("\u0001", length.cast("string"), F.lit(str(piece)), text)
+
+
+def _cut(length: Column, piece: int) -> tuple[Column, Column]:
+    """Offset and length of one of the three pieces of a text."""
+    first = F.floor(length / 3)
+    second = F.floor((length - first) / 2)
+    at = (F.lit(0), first, first + second)[piece]
+    return at.cast("int"), (first, second, length - first - second)[piece].cast("int")
+
+
+def _stem_pieces(stem: Column) -> Column:
+    """The three pieces of a stem as keys."""
+    def key(piece: int) -> Column:
+        at, size = _cut(F.length(stem), piece)
+        return _piece_key(F.length(stem), piece, F.substr(stem, at + 1, size))
+
+    return F.array(*[key(piece) for piece in range(3)])
+
+
+def _name_pieces(name: Column) -> Column:
+    """Keys of all pieces that a stem at most two edits away can have kept whole in this name."""
+    def keys(more: int, piece: int) -> Column:
+        length = F.length(name) + more
+        at, size = _cut(length, piece)
+        moved = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda shift: at + shift)
+        fits = F.filter(moved, lambda start: (start >= 0) & (start + size <= F.length(name)))
+        texts = F.transform(fits, lambda start: _piece_key(length, piece, F.substr(name, start + 1, size)))
+        return F.when(length >= 0, texts).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[keys(more, piece) for more in range(-2, 3) for piece in range(3)]))
+
+
+#: Stems of a piece up to which the names that hold it are compared with each of them.
+FEW = 32
+
+
+def near_miss(names: DataFrame, stems: DataFrame, few: int = FEW) -> DataFrame:
     """The likely meaning of an unresolved name: a stem with the same set of ``_`` segments, else one at
     edit distance two or less; the first by name. Null when there is none.
 
-    The fuzzy part is an equi-join: two names are at most two edits apart exactly when some choice of
-    deletions on either side and wildcards on both, two steps in all, makes them equal. Per variant only
-    the first stem is kept, so common beginnings cost nothing.
+    Two edits leave one of a stem's three pieces whole, so an index of pieces, three rows a stem, finds the
+    candidates. Pieces of at most ``few`` stems are compared directly. Stems and names that meet in a piece of
+    more stems are matched by an equi-join on edit variants instead: two names are at most two edits apart
+    exactly when some choice of deletions on either side and wildcards on both, two steps in all, makes them
+    equal. Per variant only the first stem is kept, so common beginnings don't multiply. The result does not
+    depend on ``few``.
     """
     asked = names.select(F.col(names.columns[0]).alias("name")).distinct()
     known = stems.select(F.col(stems.columns[0]).alias("stem")).distinct()
@@ -191,6 +232,18 @@ def near_miss(names: DataFrame, stems: DataFrame) -> DataFrame:
         .agg(F.min("stem").alias("suggestion"))
     )
     left = asked.join(same, "name", "left_anti")
+    index = exploded(known, ["stem"], _stem_pieces(F.col("stem")), "key").select("key", "stem")
+    probes = exploded(left, ["name"], _name_pieces(F.col("name")), "key").select("key", "name")
+    crowded = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("key")
+    direct = (
+        probes.join(index.join(crowded, "key", "left_anti"), "key")
+        .filter((F.col("stem") != F.col("name")) & (F.levenshtein("name", "stem", 2) >= 0))
+        .groupBy("name")
+        .agg(F.min("stem").alias("suggestion"))
+    )
+    crowded = crowded.join(probes, "key", "left_semi")
+    left = left.join(probes.join(crowded, "key", "left_semi"), "name", "left_semi")
+    known = known.join(index.join(crowded, "key", "left_semi"), "stem", "left_semi")
     wild_count = F.length("v") - F.length(F.translate("v", "\u0001", ""))
     digit, rest = F.substring("e", 1, 1).cast("int"), F.substring("e", 2, 1 << 20)
     stem_side = exploded(known, ["stem"], _edit_variants(F.col("stem")), "e").select(
@@ -200,13 +253,11 @@ def near_miss(names: DataFrame, stems: DataFrame) -> DataFrame:
         "name", rest.alias("v"), digit.alias("name_d")
     )
     firsts = top_per_key(stem_side, ["v", "stem_d"], [F.col("stem")], 2).drop("rank")
-    fuzzy = (
-        name_side.join(firsts, "v")
-        .filter((F.col("name_d") + F.col("stem_d") + wild_count <= 2) & (F.col("stem") != F.col("name")))
-        .groupBy("name")
-        .agg(F.min("stem").alias("suggestion"))
-    )
-    return asked.join(same.unionByName(fuzzy), "name", "left")
+    fuzzy = name_side.join(firsts, "v").filter(
+        (F.col("name_d") + F.col("stem_d") + wild_count <= 2) & (F.col("stem") != F.col("name"))
+    ).select("name", F.col("stem").alias("suggestion"))
+    near = direct.unionByName(fuzzy).groupBy("name").agg(F.min("suggestion").alias("suggestion"))
+    return asked.join(same.unionByName(near), "name", "left")
 
 
 def collisions(files: DataFrame, file_layers: DataFrame | None = None, active: list[str] | None = None) -> DataFrame:

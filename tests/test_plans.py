@@ -3,6 +3,7 @@
 import random
 from itertools import accumulate
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ def _distance(a, b):
     return prev[-1]
 
 
-def test_near_miss_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 1, 32])
+def test_near_miss_against_all_pairs(spark, few):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("ab_") for _ in range(rnd.randint(1, 7)))
     names, stems = {word() for _ in range(60)}, {word() for _ in range(25)}
@@ -146,6 +148,7 @@ def test_near_miss_against_all_pairs(spark):
             near_miss(
                 spark.createDataFrame([(n,) for n in names], "n string"),
                 spark.createDataFrame([(s,) for s in stems], "s string"),
+                few,
             )
         )
     )
