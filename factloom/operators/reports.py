@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators.documents import LEVEL_SYNONYMS
-from factloom.operators.filters import requirement_class
-from factloom.operators.graph import written_var_counts
+from factloom.operators.filters import classify_direction, requirement_class
+from factloom.operators.graph import vars_written_by_action, written_var_counts
 from factloom.operators.resolve import unresolved_includes
 from factloom.plans.bitsets import counts_through
 from factloom.plans.keyed import pick_last, top_per_key
@@ -22,14 +22,121 @@ KINDS = ["require", "ensure", "assume", "assert"]
 # ---- per action -----------------------------------------------------------------------------------
 
 
-def action_requirements(actions: DataFrame, reqs: DataFrame) -> DataFrame:
-    """One row per action and requirement: mixin group, kind, class, formula, place."""
+def action_requirements(actions: DataFrame, reqs: DataFrame, formula_chars: int | None = 200) -> DataFrame:
+    """One row per action and requirement: mixin group, kind, class, formula, place.
+
+    Formulas of more than ``formula_chars`` characters are cut there and end in ``...``; None keeps them whole.
+    """
     a = actions.select(F.col("id").alias("action")).distinct()
+    formula = F.col("formula_text")
+    if formula_chars is not None:
+        cut = F.concat(F.substring(formula, 1, formula_chars), F.lit("..."))
+        formula = F.when(F.length(formula) > formula_chars, cut).otherwise(formula)
     return reqs.withColumn("action", F.col("monitor_action")).join(a, "action", "left_semi").select(
-        "action", "mixin_kind", "id", "kind", requirement_class().alias("class"), F.col("formula_text").alias("formula"), "path", "line"
+        "action", "mixin_kind", "id", "kind", requirement_class().alias("class"), formula.alias("formula"), "path", "line"
+    )
+
+
+def select_actions(
+    actions: DataFrame,
+    scope_members: DataFrame | None = None,
+    scope: str | None = None,
+    corpus: str | None = None,
+    action: str | None = None,
+    path: str | None = None,
+) -> DataFrame:
+    """The actions a report is asked for; arguments left out restrict nothing.
+
+    ``scope`` keeps the files of a known scope (an unknown one restricts nothing), ``corpus`` the files whose path
+    holds the text, ``action`` an id, name or qualified name, ``path`` the file of that path or, if no action left
+    lies in one, the files of that base name or with that end.
+    """
+    out = actions
+    if scope is not None:
+        members = scope_members.filter(F.col("scope_file") == scope).select(F.col("member_path").alias("path")).distinct()
+        out = out.join(members, "path", "left_semi").unionByName(out.filter(~members.exists()))
+    if corpus:
+        out = out.filter(F.contains("path", F.lit(corpus)))
+    if action:
+        out = out.filter(F.lit(action).isin(F.col("id"), F.col("name"), F.col("qualified_name")))
+    if path:
+        exact = out.filter(F.col("path") == path)
+        like = (T.base_name(F.col("path")) == path.rsplit("/", 1)[-1]) | F.endswith("path", F.lit("/" + path))
+        out = exact.unionByName(out.filter(like & ~exact.select("path").exists()))
+    return out
+
+
+def action_report(
+    actions: DataFrame,
+    reqs: DataFrame,
+    reads: DataFrame,
+    writes: DataFrame,
+    scope_members: DataFrame | None = None,
+    scope_names: DataFrame | None = None,
+    scope: str | None = None,
+    offset: int = 0,
+    limit: int | None = None,
+    **asked: str | None,
+) -> DataFrame:
+    """One row per action asked for (see ``select_actions``), a page of them by path, line and id: requirements by
+    mixin and by kind, variables read and written, tags, direction in the scope (null without a known one), and how
+    many actions there are and whether more follow.
+
+    The page is cut before anything is joined to it. What is counted stands as rows in ``action_requirements``,
+    ``action_tags`` and ``action_variables``, which take the page as their actions.
+    """
+    chosen = select_actions(actions, scope_members, scope, **asked).select("id", "name", "qualified_name", "path", "line")
+    total = chosen.count()
+    page = chosen
+    if offset or limit is not None:
+        page = chosen.orderBy("path", "line", "id").offset(offset)
+        page = page if limit is None else page.limit(limit)
+    ids = page.select("id").distinct()
+    own = reqs.join(ids.withColumnRenamed("id", "monitor_action"), "monitor_action", "left_semi")
+    counts = own.groupBy(F.col("monitor_action").alias("id")).agg(
+        *[F.count_if(F.col("mixin_kind") == m).alias(m) for m in MIXINS],
+        *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS],
+        F.count("*").alias("requirements"),
+    )
+    out = page
+    for part in (counts, *_variable_counts(own, reads, writes), _tag_counts(page, own)):
+        out = out.join(part, "id", "left")
+    numbers = [c for c in out.columns if c not in page.columns]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in numbers})
+    direction = F.lit(None).cast("string")
+    if scope is not None and not scope_members.filter(F.col("scope_file") == scope).isEmpty():
+        out = classify_direction(out, scope_names.filter(F.col("scope_file") == scope))
+        direction = F.col("action_direction")
+    more = limit is not None and offset + limit < total
+    return out.withColumn("direction", direction).drop("action_direction").withColumns(
+        {"total": F.lit(total).cast("long"), "has_more": F.lit(more)}
     )
 
 
+def action_variables(actions: DataFrame, reqs: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """``(action, access, var)``: variables that an action's requirements read, and those written in their files."""
+    asked = actions.select(F.col("id").alias("monitor_action")).distinct()
+    own = reqs.join(asked, "monitor_action", "left_semi")
+    read = reads.select("id", "var").join(own.select("id", F.col("monitor_action").alias("action")), "id")
+    written = vars_written_by_action(own, writes, asked)
+    return read.select("action", F.lit("read").alias("access"), "var").distinct().unionByName(
+        written.select("action", F.lit("written").alias("access"), "var")
+    )
+
+
+def _variable_counts(reqs: DataFrame, reads: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    read = (
+        reads.select("id", "var").distinct()
+        .join(reqs.select("id", "monitor_action"), "id")
+        .groupBy(F.col("monitor_action").alias("id")).agg(F.count_distinct("var").alias("vars_read"))
+    )
+    return read, written_var_counts(reqs, writes).withColumnRenamed("action", "id")
+
+
+def _tag_counts(actions: DataFrame, reqs: DataFrame) -> DataFrame:
+    return action_tags(actions, reqs).groupBy(F.col("action").alias("id")).agg(F.count("*").alias("tags"))
+
+
 def action_tags(actions: DataFrame, reqs: DataFrame) -> DataFrame:
     """Distinct tags per action, one row each."""
     a = actions.select(F.col("id").alias("monitor_action")).distinct()
@@ -73,15 +180,8 @@ def model_summary(
         n("assert").alias("asserts"),
         F.count("*").alias("requirements"),
     )
-    read = (
-        reads.select("id", "var").distinct()
-        .join(reqs.select("id", "monitor_action"), "id")
-        .groupBy(F.col("monitor_action").alias("id")).agg(F.count_distinct("var").alias("vars_read"))
-    )
-    written = written_var_counts(reqs, writes).withColumnRenamed("action", "id")
-    tags = action_tags(actions, reqs).groupBy(F.col("action").alias("id")).agg(F.count("*").alias("tags"))
     out = actions.select("id", "name", "path", "line")
-    for part in (counts, read, written, tags):
+    for part in (counts, *_variable_counts(reqs, reads, writes), _tag_counts(actions, reqs)):
         out = out.join(part, "id", "left")
     numbers = [c for c in out.columns if c not in ("id", "name", "path", "line")]
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in numbers})
@@ -95,6 +195,22 @@ def model_summary(
     ).drop("_e", "_i")
 
 
+def scoped_model_summary(
+    actions: DataFrame,
+    reqs: DataFrame,
+    reads: DataFrame,
+    writes: DataFrame,
+    scope_members: DataFrame,
+    scope_names: DataFrame,
+    scope: str,
+    corpus: str | None = None,
+) -> DataFrame:
+    """``model_summary`` of the actions in a known scope's files, with their direction in it."""
+    chosen = select_actions(actions, scope_members, scope, corpus)
+    own = reqs.join(chosen.select(F.col("id").alias("monitor_action")).distinct(), "monitor_action", "left_semi")
+    return model_summary(chosen, own, reads, writes, scope_names.filter(F.col("scope_file") == scope))
+
+
 def model_totals(actions: DataFrame, state_vars: DataFrame, reqs: DataFrame) -> DataFrame:
     """Numbers of actions, variables and requirements as ``(metric, value)`` rows."""
     one = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")

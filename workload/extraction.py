@@ -127,17 +127,24 @@ def _(spark, sf):
     return s.select("path", "line", "name", "keyword", "kind", "detail", "return_sort", "is_enum", F.size("params").alias("n_params"))
 
 
-@register(
-    "extract_nested_symbols",
-    ON_LINES(
-        """, m AS (SELECT path, line, text, length(regexp_replace(text, '^\\s+', '')) AS body, length(text) AS full_len,
+# declarations with their scopes, from the indentation of the lines
+NESTED = """, m AS (SELECT path, line, text, length(regexp_replace(text, '^\\s+', '')) AS body, length(text) AS full_len,
   regexp_extract(text, '^\\s*(type|object|action|relation|module|isolate|property|axiom|conjecture|alias|before|after|instantiate|function|individual|definition|var|invariant|parameter|implement|derived|interpret|schema|theorem|export|import|destructor|constructor|around|attribute|include)\\s+(?:\\[\\s*\\w+|[\\w.]+)', 1) AS keyword FROM lines WHERE NOT starts_with(text, '#') AND text NOT LIKE '%<<<%' AND text NOT LIKE 'class%')
 , o AS (SELECT *, (full_len - body) // 2 AS ind, regexp_replace(regexp_extract(text, '^\\s*\\w+\\s+(\\[\\s*\\w+|[\\w.]+)', 1), '^\\[\\s*', '') AS name FROM m WHERE keyword <> '')
 , p AS (SELECT path, line, keyword, name, ind, last_value(CASE WHEN ind = 0 AND keyword IN ('object', 'module') THEN name WHEN ind = 0 THEN '' END IGNORE NULLS) OVER w AS p0,
   last_value(CASE WHEN ind = 1 AND keyword IN ('object', 'module') THEN name WHEN ind <= 1 THEN '' END IGNORE NULLS) OVER w AS p1
   FROM o WINDOW w AS (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-, r AS (SELECT path, line, keyword, name, CASE WHEN keyword = 'include' OR ind = 0 THEN NULL WHEN ind = 1 THEN nullif(p0, '') WHEN ind = 2 THEN nullif(concat_ws('.', nullif(p0, ''), nullif(p1, '')), '') END AS parent_qname FROM p)
-SELECT path, line, keyword, name, parent_qname, concat_ws('.', parent_qname, name) AS qualified_name FROM r"""
+, r AS (SELECT path, line, keyword, name, CASE WHEN keyword = 'include' OR ind = 0 THEN NULL WHEN ind = 1 THEN nullif(p0, '') WHEN ind = 2 THEN nullif(concat_ws('.', nullif(p0, ''), nullif(p1, '')), '') END AS parent_qname,
+  CASE WHEN keyword = 'include' OR ind = 0 THEN 0 ELSE CASE WHEN p0 <> '' THEN 1 ELSE 0 END + CASE WHEN ind = 2 AND p1 <> '' THEN 1 ELSE 0 END END AS depth FROM p)
+, s AS (SELECT *, concat_ws('.', parent_qname, name) AS qualified_name FROM r)
+"""
+
+
+@register(
+    "extract_nested_symbols",
+    ON_LINES(
+        NESTED
+        + "SELECT path, line, keyword, name, parent_qname, qualified_name FROM s"
     ),
 )
 def _(spark, sf):
@@ -148,12 +155,16 @@ def _(spark, sf):
 @register(
     "document_outline",
     ON_LINES(
-        """SELECT path, line, 0 AS depth, regexp_extract(text, '^(?:object|module)\\s+([\\w.]+)', 1) AS name FROM lines WHERE regexp_matches(text, '^(object|module)\\s+[\\w.]+')"""
+        NESTED
+        + """SELECT path, line, depth, name, qualified_name, CASE WHEN keyword = 'type' THEN 'class' WHEN keyword IN ('object', 'module') THEN 'module' WHEN keyword IN ('action', 'before', 'after', 'implement', 'around') THEN 'method'
+  WHEN keyword IN ('relation', 'function', 'definition', 'derived') THEN 'function' WHEN keyword = 'isolate' THEN 'namespace' WHEN keyword IN ('property', 'axiom', 'conjecture', 'invariant', 'theorem') THEN 'property'
+  WHEN keyword IN ('alias', 'instantiate', 'individual', 'var', 'parameter') THEN 'variable' WHEN keyword IN ('export', 'import') THEN 'event' WHEN keyword = 'include' THEN 'file' WHEN keyword = 'attribute' THEN 'constant'
+  WHEN keyword = 'interpret' THEN 'type_parameter' WHEN keyword = 'schema' THEN 'interface' WHEN keyword = 'destructor' THEN 'field' WHEN keyword = 'constructor' THEN 'enum_member' END AS kind FROM s WHERE name <> ''"""
     ),
 )
 def _(spark, sf):
     o = symbols.document_outline(symbols.extract_nested_symbols(table(spark, sf, "src")))
-    return o.filter("kind = 'module' AND depth = 0").select("path", "line", "depth", "name")
+    return o.select("path", "line", "depth", "name", "qualified_name", "kind")
 
 
 @register(

@@ -359,6 +359,91 @@ def _(spark, sf):
     return reports.model_summary(*[table(spark, sf, n) for n in ("actions", "reqs", "reads", "writes")])
 
 
+# scopes over the files of the action table: the files of one kind of property, all exports seen from them
+_PAGE_SCOPE = """, sm AS (SELECT DISTINCT 'test_' || kind || '.spec' AS scope_file, path AS member_path FROM props)
+, ac AS (SELECT * FROM actions WHERE path IN (SELECT member_path FROM sm WHERE scope_file = 'test_invariant.spec') AND contains(path, 'f1'))
+, dr AS (SELECT ac.id, CASE WHEN bool_or(direction = 'export') THEN 'GENERATED' WHEN bool_or(direction = 'import') THEN 'RECEIVED' ELSE 'INTERNAL' END AS direction FROM ac LEFT JOIN exports e ON e.name = ac.name GROUP BY ac.id)"""
+_REPORT_COUNTS = """, rw AS (SELECT monitor_action AS id, count(DISTINCT var) AS vars_written FROM (SELECT DISTINCT monitor_action, path FROM reqs WHERE monitor_action IN (SELECT id FROM ac)) JOIN (SELECT DISTINCT path, var FROM writes) USING (path) GROUP BY 1)
+, rd AS (SELECT monitor_action AS id, count(DISTINCT var) AS vars_read FROM reads JOIN reqs USING (id) GROUP BY 1)
+, tg AS (SELECT id, count(DISTINCT tag) AS tags FROM (SELECT monitor_action AS id, unnest(tags) AS tag FROM reqs) AS x GROUP BY 1)
+, ct AS (SELECT monitor_action AS id, """ + ", ".join(
+    [f"count(*) FILTER (mixin_kind = '{m}') AS {m}" for m in reports.MIXINS]
+    + [f"count(*) FILTER (kind = '{k}') AS {k}" for k in reports.KINDS]
+) + """, count(*) AS requirements FROM reqs GROUP BY 1)
+"""
+_REPORT = "SELECT a.id, a.name, a.qualified_name, a.path, a.line, " + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in [*reports.MIXINS, *reports.KINDS, "requirements", "vars_read", "vars_written", "tags"]
+)
+_REPORT_FROM = "LEFT JOIN ct USING (id) LEFT JOIN rd USING (id) LEFT JOIN rw USING (id) LEFT JOIN tg USING (id)"
+
+
+def _report_scope(spark, sf):
+    members = table(spark, sf, "props").select(
+        F.concat(F.lit("test_"), "kind", F.lit(".spec")).alias("scope_file"), F.col("path").alias("member_path")
+    ).distinct()
+    names = members.select("scope_file").distinct().join(
+        table(spark, sf, "exports").select(F.lit("test_invariant.spec").alias("scope_file"), "name", "direction"), "scope_file"
+    )
+    return members, names
+
+
+def _facts(spark, sf):
+    return [table(spark, sf, n) for n in ("actions", "reqs", "reads", "writes")]
+
+
+@register(
+    "action_report",
+    cte(
+        "actions reqs reads writes",
+        ", ac AS (SELECT * FROM actions)" + _REPORT_COUNTS + _REPORT
+        + ", NULL AS direction, (SELECT count(*) FROM ac) AS total, false AS has_more FROM ac a " + _REPORT_FROM,
+    ),
+)
+def _(spark, sf):
+    return reports.action_report(*_facts(spark, sf))
+
+
+@register(
+    "action_report_scoped",
+    cte(
+        "actions reqs reads writes props exports",
+        _PAGE_SCOPE + _REPORT_COUNTS + _REPORT
+        + ", direction, (SELECT count(*) FROM ac) AS total, (SELECT count(*) FROM ac) > 40 AS has_more FROM (SELECT * FROM ac ORDER BY path, line, id LIMIT 30 OFFSET 10) AS a JOIN dr USING (id) "
+        + _REPORT_FROM,
+    ),
+)
+def _(spark, sf):
+    members, names = _report_scope(spark, sf)
+    return reports.action_report(*_facts(spark, sf), members, names, "test_invariant.spec", offset=10, limit=30, corpus="f1")
+
+
+@register(
+    "action_variables",
+    cte(
+        "actions reqs reads writes props exports",
+        _PAGE_SCOPE
+        + """, own AS (SELECT * FROM reqs WHERE monitor_action IN (SELECT id FROM ac))
+SELECT DISTINCT monitor_action AS action, 'read' AS access, var FROM own JOIN reads USING (id) UNION SELECT monitor_action, 'written', var FROM own JOIN writes USING (path)""",
+    ),
+)
+def _(spark, sf):
+    actions, *facts = _facts(spark, sf)
+    members, _ = _report_scope(spark, sf)
+    asked = reports.select_actions(actions, members, "test_invariant.spec", corpus="f1")
+    return reports.action_variables(asked, *facts)
+
+
+@register(
+    "model_summary_scoped",
+    cte(
+        "actions reqs reads writes props exports",
+        _PAGE_SCOPE + _SUMMARY.replace("FROM actions a", "FROM ac a JOIN dr USING (id)").replace(" AS tags FROM ac", " AS tags, direction FROM ac"),
+    ),
+)
+def _(spark, sf):
+    return reports.scoped_model_summary(*_facts(spark, sf), *_report_scope(spark, sf), "test_invariant.spec", "f1")
+
+
 @register("model_totals", cte("actions reqs vars", "SELECT 'actions' AS metric, count(*) AS value FROM actions UNION ALL SELECT 'state_vars', count(*) FROM vars UNION ALL SELECT 'requirements', count(*) FROM reqs"))
 def _(spark, sf):
     return reports.model_totals(table(spark, sf, "actions"), table(spark, sf, "vars"), table(spark, sf, "reqs"))

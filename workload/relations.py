@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import coverage, filters, graph, navigate, patterns, resolve, symbols, tags, wiring
 from factloom.plans.lineage import cut_lineage
 from workload.derived import LINES, cte, table
+from workload.extraction import NESTED
 from workload.registry import register
 
 ON_LINES = lambda body: cte("src", LINES + body)
@@ -556,14 +557,14 @@ def _(spark, sf):
 @register(
     "wire_contains",
     ON_LINES(
-        """, k AS (SELECT path, line, text, regexp_extract(text, '^\\s*(object|module)\\s+([\\w.]+)', 2) AS box, regexp_extract(text, '^\\s*(?:type|object|action|relation|module|instantiate|function|individual)\\s+([\\w.]+)', 1) AS name, (length(text) - length(ltrim(text))) // 2 AS ind FROM lines)
-, p AS (SELECT *, last_value(CASE WHEN ind = 0 AND box <> '' THEN path || ':' || (line + 1) || ':' || box WHEN ind = 0 AND name <> '' THEN '' END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM k)
-SELECT DISTINCT parent AS src, 'CONTAINS' AS etype, path || ':' || (line + 1) || ':' || name AS dst FROM p WHERE ind = 1 AND name <> '' AND parent <> ''"""
+        NESTED
+        + """, i AS (SELECT *, path || ':' || (line + 1) || ':' || name AS id FROM s)
+, box AS (SELECT path, qualified_name AS parent_qname, min(id) AS parent FROM i WHERE keyword IN ('object', 'module') GROUP BY 1, 2)
+SELECT DISTINCT parent AS src, 'CONTAINS' AS etype, id AS dst FROM i JOIN box USING (path, parent_qname) WHERE parent <> id"""
     ),
 )
 def _(spark, sf):
-    s = symbols.extract_nested_symbols(table(spark, sf, "src")).filter("depth <= 1")
-    return wiring.wire_contains(s)
+    return wiring.wire_contains(symbols.extract_nested_symbols(table(spark, sf, "src")))
 
 
 @register(
@@ -934,13 +935,22 @@ _impact("change_impact_variant", "frame_2", "add_variant")
 @register(
     "find_variants",
     ON_LINES(
-        _HOLD
+        _PAT + _SERDES + _HOLD
         + """, s1 AS (SELECT name, min((path, line, body)) AS m FROM st GROUP BY name)
-SELECT name AS type_name, 'struct' AS kind, m[1] AS path, m[2] AS line, f.tag AS tag, f.member AS member, CASE WHEN f.tag = 0 THEN 'idx' ELSE regexp_extract(m[3], 'b : ([\\w.]+)', 1) END AS member_type, f.tag = 1 AS is_array FROM s1, (VALUES (0, 'a'), (1, 'b')) AS f(tag, member)"""
+, ob AS (SELECT path, line, text, regexp_extract(text, 'variant this of (\\w+)', 1) AS parent, last_value(nullif(regexp_extract(text, 'object\\s+(\\w+)\\s*=\\s*\\{', 1), '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS name FROM lines)
+, vs AS (SELECT path, line, parent, name FROM ob WHERE regexp_matches(text, 'variant this of \\w+ = struct') AND name <> parent AND parent NOT IN (SELECT name FROM st))
+, vm AS (SELECT path, line, parent, name, CAST(row_number() OVER (PARTITION BY parent ORDER BY line, name) - 1 AS INT) AS tag FROM vs JOIN (SELECT parent, min(path) AS path FROM vs GROUP BY 1) AS f USING (parent, path))
+, si AS (SELECT message_type AS struct, min((instance_path, instance_line, a[3])) AS m FROM sd GROUP BY 1)
+, ts AS (SELECT regexp_extract(body, 'b : (\\w+)[.]arr', 1) AS parent, min((name, m)) AS h FROM st JOIN si ON struct = name GROUP BY 1)
+, tm AS (SELECT path, CAST(regexp_extract(text, 'tag == (\\d+)', 1) AS INT) AS tag, regexp_extract(text, 'frame_type = (0x\\w+)', 1) AS wire_type FROM lines WHERE regexp_matches(text, 'tag == \\d+\\).*frame_type = 0x'))
+, co AS (SELECT parent, tag, wire_type FROM ts JOIN cl ON cl.name = h[2][3] JOIN tm USING (path))
+SELECT name AS type_name, 'struct' AS kind, m[1] AS path, m[2] AS line, f.tag AS tag, f.member AS member, CASE WHEN f.tag = 0 THEN 'idx' ELSE regexp_extract(m[3], 'b : ([\\w.]+)', 1) END AS member_type, f.tag = 1 AS is_array, '' AS wire_type FROM s1, (VALUES (0, 'a'), (1, 'b')) AS f(tag, member)
+UNION ALL SELECT vm.parent, 'variant', vm.path, vm.line, vm.tag, vm.name, 'struct', false, coalesce(wire_type, '') FROM vm LEFT JOIN co ON co.parent = vm.parent AND co.tag = vm.tag"""
     ),
 )
 def _(spark, sf):
     src = table(spark, sf, "src")
     p = patterns.detect_patterns(src, ["variants", "module", "serdes"])
-    types = p.filter("subtype = 'struct_object'").select(F.col("name").alias("t")).distinct()
-    return patterns.find_variants(p, src, types).drop("wire_type")
+    structs = p.filter("subtype = 'struct_object'").select(F.col("name").alias("t"))
+    types = structs.unionByName(p.filter("subtype = 'variant'").select(F.col("details")["parent"].alias("t")))
+    return patterns.find_variants(p, src, types)
