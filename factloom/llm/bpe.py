@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -154,7 +155,7 @@ def _answer(ranks):
         table = ranks.value
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            asked = batch.filter(pa.compute.is_valid(batch.column("words")))
+            asked = batch.filter(pc.is_valid(batch.column("words")))
             for block, part, words in zip(
                 asked.column("block").to_pylist(), asked.column("part").to_pylist(), asked.column("words").to_pylist(), strict=True
             ):
@@ -194,7 +195,7 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids",
 
 
 def _assemble(rows: pa.Table, answers: pa.Table) -> pa.Table:
-    row = rows.filter(pa.compute.is_valid(rows.column("sequence")))
+    row = rows.filter(pc.is_valid(rows.column("sequence")))
     if not row.num_rows:
         return _ENCODED.empty_table()
     doc_ids = row.column("doc_ids")[0].values

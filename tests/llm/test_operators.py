@@ -3,6 +3,8 @@ import hashlib
 import itertools
 import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -157,6 +159,12 @@ def test_bpe(spark):
         assert not word or exact.decode_bytes(bpe.merge(word, ranks)) == word
 
 
+def test_bpe_in_a_worker_that_imported_nothing_else():
+    code = "import sys; from factloom.llm import bpe; assert 'pyarrow.compute' in sys.modules"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(bpe.__file__) + "/../..", capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_kneser_ney(spark, monkeypatch):
     rows = [*ODD, (9, "it's here again"), *((30 + i, prose(60, i, 30)) for i in range(60))]
     want, p, one = brute.kneser_ney(rows)
