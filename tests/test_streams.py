@@ -1,10 +1,12 @@
 import datetime as dt
 
 from conftest import rows
+from pyspark.sql import Row
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 from factloom.operators import lint
 from factloom.sources.buckets import load_buckets
-from factloom.streaming import changes, events
+from factloom.streaming import changes, events, ordered
 
 CHANGES = changes.CHANGE_SCHEMA
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
@@ -206,3 +208,64 @@ def test_lint_over_batches_is_that_of_the_files_as_they_are(spark, files, tmp_pa
     want = rows(lint.text_diagnostics(now), *cols)
     assert rows(changes.current_lint(spark, d), *cols) == want
     assert {r[0] for r in want} >= {"unguarded_action", "duplicate_decl", "missing_header"}
+
+
+def test_keys_of_a_bucket_share_their_state_calls():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.values = []
+
+        def appendList(self, values):
+            calls.append("append")
+            self.values += values
+
+        def put(self, values):
+            calls.append("put")
+            self.values = list(values)
+
+        def get(self):
+            calls.append("get")
+            return iter(self.values)
+
+        def clear(self):
+            calls.append("clear")
+            self.values = []
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, name, schema):
+            return State()
+
+        def listTimers(self):
+            return [(t,) for t in self.timers]
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Mark:
+        def getCurrentWatermarkInMs(self):
+            return 1_000
+
+    columns = StructType([StructField("_at", LongType()), StructField("k", StringType()), StructField("seq", LongType())])
+    result = StructType([StructField("k", StringType()), StructField("ts", TimestampType()), StructField("seq", LongType()), StructField("again", BooleanType())])
+    step = ordered.InOrder(columns, result, ["k"], ["seq"], lambda last, row: (last is not None,), 500_000)
+    step.init(Handle())
+    keys = [f"k{i}" for i in range(25_000)]
+    given = [Row("_at", "k", "seq")(at, k, 0) for at in (900_000, 100_000, 700_000, 1_500_000) for k in keys]
+    assert list(step.handleInputRows((1,), iter(given), None)) == []
+    assert step.handle.timers == [99]
+    step.handle.timers = []
+    out = list(step.handleExpiredTimer((1,), Mark(), None))
+    # 600 ms apart is too far, 200 ms is not
+    assert [sum(r["again"] for r in out[i :: len(keys)]) for i in (0, 24_999)] == [1, 1]
+    assert len(out) == 75_000 and {r["k"] for r in out if r["again"]} == set(keys)
+    assert sum(len(x) for x in map(list, [ordered._unpacked(step.waiting)])) == 25_000
+    assert step.handle.timers == [1_400]
+    assert len(calls) <= 8

@@ -89,7 +89,7 @@ def _journal(df):
 def _late_stream(spark, sf):
     """The events as ``BATCHES`` files by time, of which every batch takes one; one event in ``LATE`` comes a batch later than its time."""
     spark = spark.newSession()  # with state in RocksDB, whatever the caller's session has
-    for name, value in (("sql.streaming.stateStore.providerClass", ordered.STORE), ("sql.shuffle.partitions", "4"), ("sql.session.timeZone", "UTC")):
+    for name, value in (("sql.streaming.stateStore.providerClass", ordered.STORE), ("sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism))), ("sql.session.timeZone", "UTC")):
         spark.conf.set(f"spark.{name}", value)
     ev = table(spark, sf, "ev")
     lo, hi = ev.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
