@@ -232,3 +232,25 @@ def test_search_scoped_ranks_all_hits(spark):
     layers = spark.createDataFrame([], "path string, layer string")
     found = search_scoped(symbols, "ring", "a.spec", visible, layers)
     assert found.count() == 1500 and found.first().path == "f1400.spec"
+
+
+def test_edges_of_one_set_of_tags_are_not_shuffled(spark):
+    from factloom.operators import coverage, tags
+
+    tagged = spark.createDataFrame(
+        [("a", ["r:1", "1"]), ("a", ["r:1", None]), ("b", ["1", "r:1"]), ("c", []), ("d", None), ("e", ["q:9"]), (None, ["r:1.2"])], "id string, tags array<string>"
+    )
+    manifest = spark.createDataFrame([("r:1.1",), ("r:1.2",), ("s:1.3",), ("s:2",)], "req_id string")
+    edges = tags.wire_covers(tagged, manifest)
+    want = [(i, k) for i in "ab" for k in ("r:1.1", "r:1.2", "s:1.3")] + [(None, "r:1.2")]
+    assert sorted(((r["src"], r["dst"]) for r in edges.collect()), key=repr) == sorted(want, key=repr)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Project") and plan.splitlines()[1].lstrip("+- ").startswith("Join Inner")
+    assert sorted(((r["src"], r["dst"]) for r in tags.first_covers(tagged, manifest).collect()), key=repr) == [("a", "r:1.1"), ("b", "r:1.1"), (None, "r:1.2")]
+    places = spark.createDataFrame([("p", 1, ["r:1"]), ("p", 2, ["r:1", "s:2"])], "path string, line int, tags array<string>")
+    manifest = manifest.select("req_id", *[F.lit("").alias(c) for c in ("rfc", "section", "level", "text")])
+    matrix = coverage.traceability_matrix(manifest, places)
+    assert sorted((r["req_id"], r["line"] or 0, r["covered"]) for r in matrix.collect()) == [
+        ("r:1.1", 1, True), ("r:1.1", 2, True), ("r:1.2", 1, True), ("r:1.2", 2, True), ("s:1.3", 0, False), ("s:2", 2, True),
+    ]
+    assert matrix._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
