@@ -28,7 +28,7 @@ ISOLATE_STATUS = r"^\s*isolate\s+([\w.]+)\s*:\s*(PASS|FAIL|OK)\s*$"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\u000b\f\r"))
 
 
 def parse_diagnostics_log(log: DataFrame) -> DataFrame:

@@ -254,3 +254,16 @@ def test_edges_of_one_set_of_tags_are_not_shuffled(spark):
         ("r:1.1", 1, True), ("r:1.1", 2, True), ("r:1.2", 1, True), ("r:1.2", 2, True), ("s:1.3", 0, False), ("s:2", 2, True),
     ]
     assert matrix._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_log_lines_are_numbered_before_they_are_made(spark, tmp_path):
+    from workload import derived
+
+    items = [(o, n, p, s, f, "O") for o in range(1, 4) for n, p, s, f in ((1, 9, 3, "A"), (1, 7, 4, "N"), (1, 7, 5, "R"), (3, 1, 1, "A"), (2, 8, 2, "R"))]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = spark.sql(derived._spark_sql(spark, "log", str(tmp_path)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    places = {t: f"parquet.`{tmp_path}/{t}.parquet`" for t in derived.TABLES} | {"numbers_to_6": "explode(sequence(0, 6))"}
+    want = spark.sql(derived._fill(derived.DERIVED["log"], places))
+    assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want) and got.count() == 84
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1
