@@ -4,7 +4,8 @@
   with ``row_number() = 1`` would move every row of a hot key into one task first.
 * ``top_per_key`` relies on the rank limit that Spark pushes below the shuffle (window group limit).
 * ``fill_forward`` and ``running_total`` cut a long key into chunks: each chunk is scanned by its own
-  task, one summary row per chunk is scanned per key, and the summary is joined back.
+  task, one summary row per chunk is scanned per key, and the summary is joined back. ``fill_forward``
+  looks first whether any key has rows outside its first chunk, and scans each key whole if none has.
 """
 
 from __future__ import annotations
@@ -63,17 +64,28 @@ def fill_forward(
     does not count. Keys are not null.
     """
     keys, order = list(keys), list(order)
-    chunk = chunk if chunk is not None else F.floor(F.col(order[0]) / F.lit(CHUNK))
+    end = Window.currentRow if inclusive else -1
     raw = {f"_v_{n}": e for n, e in values.items()}
+    if chunk is None:
+        # rows outside the first chunk; file statistics skip the others, so that short keys are told without a scan
+        far = df.filter((F.col(order[0]) >= CHUNK) | (F.col(order[0]) < 0)).select(*keys)
+        if far.isEmpty():
+            whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+            return df.withColumns(raw).withColumns({f"_l_{n}": F.last(f"_v_{n}", True).over(whole) for n in values}).select(
+                *df.columns, *[F.col(f"_l_{n}").alias(n) for n in values]
+            )
+        chunk = F.floor(F.col(order[0]) / F.lit(CHUNK))
+        long = df.join(far.distinct(), keys, "left_semi")
+    else:
+        long = df
     base = df.withColumn("_chunk", chunk).withColumns(raw)
-    end = Window.currentRow if inclusive else -1
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, end)
     )
     local = base.withColumns({f"_l_{n}": F.last(f"_v_{n}", True).over(inside) for n in values})
-    tails = base.groupBy(*keys, "_chunk").agg(
+    tails = long.withColumn("_chunk", chunk).withColumns(raw).groupBy(*keys, "_chunk").agg(
         *[
             F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), _order(order))).alias(f"_t_{n}")
             for n in values

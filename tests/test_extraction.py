@@ -242,6 +242,18 @@ def test_logs(spark):
     assert rows(logs.parse_isolate_status(log), "isolate", "passed") == [("foo", True)]
 
 
+def test_log_lines_are_parsed_in_one_pass(spark):
+    lines = ["Isolate i1:", "The following properties are to be checked:", "\tf.x: line 1: p ... FAIL \r", "g.x: line 2: q ... PASS", "Errors", "f.x: line 3: error:"]
+    log = spark.createDataFrame([(k, i, t) for k in "ab" for i, t in enumerate(lines)], "log_id string, line_no int, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = logs.parse_diagnostics_log(log)
+    assert rows(found, "log_id", "line_no", "file", "message") == [("a", 5, "f.x", ""), ("b", 5, "f.x", "")]
+    assert "Generate" in plan(found) and "Join" not in plan(checks := logs.parse_check_results(log))
+    head = logs.check_headline(checks)
+    assert "Join" not in plan(head)
+    assert rows(head.drop("summary")) == [(k, 2, 1, 1, "property", 1, "i1") for k in "ab"]
+
+
 def test_counterexamples(spark):
     text = (
         "The following assertion at line 12 is not always true:\n  require pkt > 0\nCounterexample:\n  Step 1:\n    Action: send\n"

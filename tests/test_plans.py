@@ -34,6 +34,17 @@ def test_fill_forward_over_chunk_borders(spark):
         assert rows(got, "k", "i", "f") == sorted(want, key=repr)
 
 
+def test_fill_forward_scans_short_keys_once(spark):
+    df = spark.createDataFrame([(k, i, i if i % 3 == 0 else None) for k in "ab" for i in range(1, 8)], "k string, i int, v int")
+    short = fill_forward(df, ["k"], ["i"], {"f": F.col("v")})
+    assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()  # no tails of chunks, so no second pass
+    want = [(k, i, i - i % 3 or None) for k in "ab" for i in range(1, 8)]
+    assert rows(short, "k", "i", "f") == sorted(want, key=repr)
+    far = spark.createDataFrame([("a", (1 << 16) * n + 5, None) for n in (1, 3)] + [("c", -1, 4), ("c", 0, None)], "k string, i int, v int")
+    want += [("a", (1 << 16) * n + 5, 6) for n in (1, 3)] + [("c", -1, 4), ("c", 0, 4)]
+    assert rows(fill_forward(df.unionByName(far), ["k"], ["i"], {"f": F.col("v")}), "k", "i", "f") == sorted(want, key=repr)
+
+
 def test_fill_forward_keeps_null_inside_struct_as_reset(spark):
     df = spark.createDataFrame([(0, "a"), (1, None), (2, "reset"), (3, None)], "i int, v string")
     value = F.when(F.col("v") == "reset", F.struct(F.lit(None).cast("string").alias("x"))).when(
