@@ -87,7 +87,8 @@ def resolve_closest(includes_raw: DataFrame, files: DataFrame) -> DataFrame:
     """Each include with the candidate that shares the longest directory path with the includer.
 
     The first path wins a tie. Files are indexed by every directory above them, so that the includer's
-    own directories, deepest first, find the closest candidate by equality.
+    own directories, deepest first, find the closest candidate by equality. Sides are merged, never broadcast: the
+    index holds a row for each directory above a file, which Spark cannot tell from the size of the file table.
     """
     index = (
         files.select("path")
@@ -104,13 +105,13 @@ def resolve_closest(includes_raw: DataFrame, files: DataFrame) -> DataFrame:
         .withColumn("_dir", F.explode(_ancestors(F.col("_from"))))
     )
     best = (
-        places.join(index, ["include_name", "_dir"])
+        places.join(index.hint("merge"), ["include_name", "_dir"])
         .groupBy("include_name", "_from")
         .agg(F.max_by("_path", F.length("_dir")).alias("to_path"))
     )
     return (
         includes_raw.withColumn("_from", dir_of(F.col("from_path")))
-        .join(best, ["include_name", "_from"], "left")
+        .join(best.hint("merge"), ["include_name", "_from"], "left")
         .select(*includes_raw.columns, "to_path")
     )
 

@@ -1,6 +1,7 @@
 """Helpers against brute force on small random inputs."""
 
 import random
+import re
 from itertools import accumulate
 
 import pytest
@@ -12,6 +13,7 @@ from factloom.operators.graph import detect_cycles, scope_partitions
 from factloom.operators.resolve import near_miss
 from factloom.operators.tags import resolve_tags
 from factloom.plans.bitsets import count_through, counts_through
+from factloom.operators.resolve import resolve_closest
 from factloom.plans.closure import reach
 from factloom.plans.keyed import fill_forward, pick_first, pick_last, running_total, top_per_key
 
@@ -95,6 +97,21 @@ def test_reach_excludes_start_and_survives_cycles(spark):
         assert set(rows(reach(df, seeds, "in"), "start", "node")) == _closure(back, [0, 2, 77])
 
 
+def test_reach_goes_over_numbers_where_nodes_are_texts(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", None)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("d",), ("none",)], "n string")
+    got = reach(df, seeds)
+    assert rows(got) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
+    assert rows(reach(df, seeds, "in"), "start", "node", "hops") == [
+        ("a", "b", 2), ("a", "c", 1), ("d", "a", 3), ("d", "b", 2), ("d", "c", 1),
+    ]
+    assert rows(reach(df, seeds, max_rounds=0)) == []
+    assert [t for c, t in got.dtypes] == ["string", "string", "int"]
+    stored = [x for x in got._jdf.queryExecution().analyzed().toString().split("\n") if "LogicalRDD" in x and "hops" in x]
+    assert stored and all(re.search(r"start#\d+L, node#\d+L", x) for x in stored)  # long, not text
+
+
 def test_reach_hops_and_rounds(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(20)], "src int, dst int")
     seeds = spark.createDataFrame([(0,)], "n int")
@@ -226,6 +243,14 @@ def test_scope_partitions_is_greedy_by_name(spark):
     assert dict(rows(got)) == {s: f"partition_{c}" for s, c in colours.items()}
 
 
+def test_resolve_closest_never_broadcasts(spark, tmp_path):
+    spark.createDataFrame([(f"a/b{i % 3}/c/x{i % 2}.spec",) for i in range(6)], "path string").write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame([("a/b1/z.spec", "x0"), ("q.spec", "x1"), ("q.spec", "none")], "from_path string, include_name string").write.parquet(str(tmp_path / "i"))
+    got = resolve_closest(spark.read.parquet(str(tmp_path / "i")), spark.read.parquet(str(tmp_path / "f")))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == [("a/b1/z.spec", "x0", "a/b1/c/x0.spec"), ("q.spec", "none", None), ("q.spec", "x1", "a/b0/c/x1.spec")]
+
+
 def test_running_offsets(spark):
     data = [list(range(n)) for n in (0, 1, 63, 64, 65, 300)]
     df = spark.createDataFrame([(d,) for d in data], "a array<int>")
