@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import coverage, filters, graph, navigate, patterns, resolve, symbols, tags, wiring
 from factloom.plans.lineage import cut_lineage
-from workload.derived import LINES, cte, table
+from workload.derived import LINES, cte, scratch, table
 from workload.extraction import NESTED
 from workload.registry import register
 
@@ -925,7 +925,10 @@ def _impact(name, type_name, change):
     @register(name, cte("src", "RECURSIVE " + LINES + _IMPACT.replace("{type}", type_name)))
     def _(spark, sf):
         src = table(spark, sf, "src")
-        return graph.change_impact(cut_lineage(_patterns(spark, sf)), src, symbols.extract_includes(src), type_name, change)
+        # read many times, a few columns at a time: a table of columns, where a checkpoint holds whole rows
+        found = scratch(spark, name)
+        _patterns(spark, sf).write.parquet(found)
+        return graph.change_impact(spark.read.parquet(found), src, symbols.extract_includes(src), type_name, change)
 
 
 _impact("change_impact", "box_5", "add_field")
