@@ -243,6 +243,38 @@ def test_scope_partitions_is_greedy_by_name(spark):
     assert dict(rows(got)) == {s: f"partition_{c}" for s, c in colours.items()}
 
 
+@pytest.mark.parametrize("sizes", [(2048, 8192), (5, 3)])
+def test_scope_partitions_rounds_do_not_grow_with_rivals(spark, monkeypatch, sizes):
+    from factloom.operators import graph
+
+    rnd = random.Random(3)
+    members = {(f"t{s:03d}", f"d{rnd.randint(0, 20)}/c{rnd.randint(0, 3)}.x") for s in range(60) for _ in range(rnd.randint(0, 3))}
+    members |= {(f"t{s:03d}", f"own{s}.x") for s in range(60)}
+    need = {s: {} for s, _ in members}
+    for s, p in members:
+        if "/" in p:
+            need[s].setdefault(p.split("/")[1], set()).add(p)
+    leader, colours = {}, {}  # scopes that need the same files are one
+    for s in sorted(need):
+        same = leader.setdefault(frozenset(p for v in need[s].values() for p in v), s)
+        rivals = {
+            o for o in colours for stem, mine in need[s].items() if any(a != b for a in mine for b in need[o].get(stem, ()))
+        } if same == s else ()
+        taken = {colours[o] for o in rivals}
+        colours[s] = next(c for c in range(99) if c not in taken) if same == s else colours[same]
+    cuts = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(df) or df.localCheckpoint())
+    got = scope_partitions(
+        spark.createDataFrame(sorted(members), "scope_file string, member_path string"),
+        spark.createDataFrame([(f"c{i}",) for i in range(4)], "stem string"),
+        *sizes,
+    )
+    assert max(colours.values()) > 9
+    assert dict(rows(got)) == {s: f"partition_{c}" for s, c in colours.items()}
+    if sizes[0] > 60:
+        assert len(cuts) == 5  # one round
+
+
 def test_resolve_closest_never_broadcasts(spark, tmp_path):
     spark.createDataFrame([(f"a/b{i % 3}/c/x{i % 2}.spec",) for i in range(6)], "path string").write.parquet(str(tmp_path / "f"))
     spark.createDataFrame([("a/b1/z.spec", "x0"), ("q.spec", "x1"), ("q.spec", "none")], "from_path string, include_name string").write.parquet(str(tmp_path / "i"))
