@@ -275,6 +275,21 @@ def test_scope_partitions_rounds_do_not_grow_with_rivals(spark, monkeypatch, siz
         assert len(cuts) == 5  # one round
 
 
+def test_dirty_expand_keeps_nodes_not_pairs(spark, monkeypatch):
+    from factloom.operators.graph import dirty_expand
+    from factloom.plans import closure
+
+    sizes = []
+    monkeypatch.setattr(closure, "cut_lineage", lambda df: sizes.append(df.localCheckpoint()) or sizes[-1])
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(6)] + [("n0", "n6")]
+    edges = spark.createDataFrame(chain + [("n0", f"s{i}") for i in range(40)] + [("x", "y")], "from_path string, to_path string")
+    seeds = spark.createDataFrame([(f"s{i}",) for i in range(40)], "path string")
+    got = dirty_expand(seeds, edges, 100)
+    assert rows(got) == sorted([(f"n{i}",) for i in range(7)] + [(f"s{i}",) for i in range(40)])
+    assert max(df.count() for df in sizes) == 48  # the edges; 40 * 7 pairs of a seed and a node before
+    assert dirty_expand(seeds, edges, 50) is None
+
+
 def test_resolve_closest_never_broadcasts(spark, tmp_path):
     spark.createDataFrame([(f"a/b{i % 3}/c/x{i % 2}.spec",) for i in range(6)], "path string").write.parquet(str(tmp_path / "f"))
     spark.createDataFrame([("a/b1/z.spec", "x0"), ("q.spec", "x1"), ("q.spec", "none")], "from_path string, include_name string").write.parquet(str(tmp_path / "i"))
