@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import exploded, last_component
 
+#: Rows whose hash table and sort a task holds.
+TASK_ROWS = 1 << 19
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_.]*"
 
 
@@ -41,9 +43,11 @@ def wire_reads(formulas: DataFrame, state_vars: DataFrame) -> DataFrame:
 
 def wire_constrains(reqs: DataFrame) -> DataFrame:
     """``CONSTRAINS`` edges from requirements to the action they monitor."""
-    return _edges(
-        reqs.filter(F.coalesce("monitor_action", F.lit("")) != ""), "id", "CONSTRAINS", "monitor_action"
-    )
+    known = reqs.filter(F.coalesce("monitor_action", F.lit("")) != "").select("id", "monitor_action")
+    # an id rarely comes twice: dealt by it, over tasks of bounded size, the rows are made distinct and joined by id where they are
+    least = int(reqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = known.repartition(max(least, -(-reqs.count() // TASK_ROWS)), "id")
+    return _edges(known, "id", "CONSTRAINS", "monitor_action")
 
 
 def wire_depends_on(properties: DataFrame, reads: DataFrame, axioms: DataFrame | None = None) -> DataFrame:

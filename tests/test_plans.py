@@ -350,3 +350,25 @@ def test_log_lines_are_numbered_before_they_are_made(spark, tmp_path):
     want = spark.sql(derived._fill(derived.DERIVED["log"], places))
     assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want) and got.count() == 84
     assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1
+
+
+def test_reads_are_dealt_once_as_numbers(spark, tmp_path):
+    from workload.derived import DERIVED, SPARK_FORM, _spark_sql
+
+    items = [(o, n, s) for o in (1, 2, 1250, 1251, 2500) for n in (1, 2, 7) for s in (1, 2, 4, 2496)] * 2
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = spark.sql(_spark_sql(spark, "reads", str(tmp_path)))
+    want = spark.sql(DERIVED["reads"].replace("{lineitem}", f"parquet.`{tmp_path}/lineitem.parquet`"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert "reads" in SPARK_FORM and plan(got) == 1 < plan(want)
+    assert rows(got) == rows(want)
+
+
+def test_constrains_tasks_are_bounded(spark, monkeypatch):
+    from factloom.operators import wiring
+
+    monkeypatch.setattr(wiring, "TASK_ROWS", 10)
+    reqs = spark.createDataFrame([(f"r{i % 90}", f"a{i % 30}") for i in range(100)] + [("r1", ""), ("r2", None)], "id string, monitor_action string")
+    got = wiring.wire_constrains(reqs)
+    assert rows(got) == sorted((f"r{i}", "CONSTRAINS", f"a{i % 30}") for i in range(90))
+    assert got.rdd.getNumPartitions() == 11
