@@ -69,3 +69,21 @@ def test_formulas_and_variables_of_actions(spark):
     assert rows(found, "action", "access", "var") == [
         ("a1", "read", "v"), ("a1", "read", "w"), ("a1", "written", "u"), ("a1", "written", "v"),
     ]
+
+
+def test_variable_counts_shuffle_reads_once(spark, tmp_path):
+    from factloom.operators.reports import _variable_counts
+
+    for name, data, kind in (
+        ("reqs", [(f"r{i}", f"a{i % 2}", f"f{i % 3}") for i in range(6)], "id string, monitor_action string, path string"),
+        ("reads", [(f"r{i % 6}", f"x{i % 4}") for i in range(24)] * 3, "id string, var string"),
+    ):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}")
+    reqs, reads = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("reqs", "reads"))
+    got, _ = _variable_counts(reqs, reads, spark.createDataFrame([("f0", "x9")], "path string, var string"))
+    want = {}
+    for i in range(24):
+        want.setdefault(f"a{i % 6 % 2}", set()).add(f"x{i % 4}")
+    assert {r.id: r.vars_read for r in got.collect()} == {a: len(v) for a, v in want.items()}
+    # no aggregate of the reads by themselves: the distinct pairs of action and variable are enough
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [id#") == 0
