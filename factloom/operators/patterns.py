@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators.blocks import extract_blocks
+from factloom.plans.lineage import cut_lineage
 
 KINDS = ["serdes", "variants", "monitors", "shim", "module", "entity", "include_chain"]
 
@@ -646,6 +647,7 @@ def find_variants(patterns: DataFrame, files: DataFrame, types: DataFrame) -> Da
     members = extract_variant_structs(files).join(
         wanted.withColumnRenamed("type_name", "parent"), "parent", "left_semi"
     ).join(structs.select(F.col("name").alias("parent")), "parent", "left_anti")
+    members = cut_lineage(members.select("parent", "path", "line", "name"))  # read twice; the texts once
     first = members.groupBy("parent").agg(F.min("path").alias("path"))
     members = members.join(first, ["parent", "path"])
     order = Window.partitionBy("parent", "path").orderBy("line", "name")

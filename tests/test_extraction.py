@@ -344,3 +344,21 @@ def test_word_index_columns(spark, files):
     assert find_references(idx, spark.createDataFrame([("ab",)], "w string")).count() == 3
     plan = rename_plan(idx, spark.createDataFrame([("ab", "zz")], "old string, new string"))
     assert [(r["line"], r["col"]) for r in plan.orderBy("edit_no").collect()] == [(2, 3), (0, 9), (0, 0)]
+
+
+def test_pattern_queries_scan_texts_once(spark, tmp_path, monkeypatch):
+    from factloom.operators import patterns
+    from workload import relations
+    from workload.registry import QUERIES
+
+    src = str(tmp_path / "src")
+    text = "object box = {\n  type this = struct { a : idx, b : fr.arr }\n  object p = {\n    variant this of fr = struct { f : idx }\n  }\n}\n"
+    spark.createDataFrame([(f"a{i}.spec", text) for i in range(3)], "path string, content string").write.parquet(src)
+    monkeypatch.setattr(relations, "table", lambda spark, sf, name: spark.read.parquet(src))
+    monkeypatch.setattr(patterns, "cut_lineage", lambda df: df.localCheckpoint(), raising=False)
+    for name, scans in (("find_variants", 2), ("pattern_crossref", 0)):  # members and codes are read from the texts
+        got = QUERIES[name](spark, "unused")
+        assert got._jdf.queryExecution().executedPlan().toString().count(f"file:{src}") <= scans
+        assert name != "find_variants" or {(r.type_name, r.kind, r.tag, r.member) for r in got.collect()} == {
+            ("box", "struct", 0, "a"), ("box", "struct", 1, "b"), ("fr", "variant", 0, "p")
+        }

@@ -801,6 +801,13 @@ def _patterns(spark, sf, kinds=None):
     return patterns.detect_patterns(table(spark, sf, "src"), kinds)
 
 
+def _stored_patterns(spark, sf, name, kinds=None):
+    """The patterns for an operator that reads them many times, a few columns at a time: a table of columns, where a checkpoint holds whole rows."""
+    found = scratch(spark, name)
+    _patterns(spark, sf, kinds).write.parquet(found)
+    return spark.read.parquet(found)
+
+
 _SHOWN = ["kind", "subtype", "path", "line", "name"]
 _NO_CORPUS = "SELECT kind, subtype, path, line, name FROM pat"
 
@@ -859,7 +866,7 @@ UNION ALL SELECT DISTINCT 'module_without_instance', NULL, CAST(NULL AS INT), na
     ),
 )
 def _(spark, sf):
-    return patterns.pattern_crossref(_patterns(spark, sf)).select("finding", "path", "line", "related")
+    return patterns.pattern_crossref(_stored_patterns(spark, sf, "crossref")).select("finding", "path", "line", "related")
 
 
 @register(
@@ -925,10 +932,7 @@ def _impact(name, type_name, change):
     @register(name, cte("src", "RECURSIVE " + LINES + _IMPACT.replace("{type}", type_name)))
     def _(spark, sf):
         src = table(spark, sf, "src")
-        # read many times, a few columns at a time: a table of columns, where a checkpoint holds whole rows
-        found = scratch(spark, name)
-        _patterns(spark, sf).write.parquet(found)
-        return graph.change_impact(spark.read.parquet(found), src, symbols.extract_includes(src), type_name, change)
+        return graph.change_impact(_stored_patterns(spark, sf, name), src, symbols.extract_includes(src), type_name, change)
 
 
 _impact("change_impact", "box_5", "add_field")
@@ -953,7 +957,7 @@ UNION ALL SELECT vm.parent, 'variant', vm.path, vm.line, vm.tag, vm.name, 'struc
 )
 def _(spark, sf):
     src = table(spark, sf, "src")
-    p = patterns.detect_patterns(src, ["variants", "module", "serdes"])
+    p = _stored_patterns(spark, sf, "find_variants", ["variants", "module", "serdes"])
     structs = p.filter("subtype = 'struct_object'").select(F.col("name").alias("t"))
     types = structs.unionByName(p.filter("subtype = 'variant'").select(F.col("details")["parent"].alias("t")))
     return patterns.find_variants(p, src, types)
