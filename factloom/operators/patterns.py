@@ -17,6 +17,8 @@ from factloom.operators.blocks import extract_blocks
 from factloom.plans.lineage import cut_lineage
 
 KINDS = ["serdes", "variants", "monitors", "shim", "module", "entity", "include_chain"]
+#: The kinds that ``pattern_crossref`` looks at.
+CROSSREF_KINDS = ["serdes", "monitors", "shim", "module", "entity"]
 
 # Base classes of serializers, socket calls, connection state names.
 SERIALIZER_BASE = r"binary_ser_[0-9]+"
@@ -138,11 +140,14 @@ def serdes_rows() -> Column:
 
 
 def variants_rows() -> Column:
-    # the object with its text up to the struct, to check the distance without line marks
-    near = rf"{_OBJECT}(?=([\s\S]{{0,{STRUCT_REACH * 10}}}?{T.BOL}{_STRUCT}))"
-    heads = F.regexp_extract_all(_text(), F.lit(near), F.lit(0))
-    tails = F.regexp_extract_all(_text(), F.lit(near), F.lit(1))
-    zipped = F.arrays_zip(heads.alias("head"), tails.alias("tail"))
+    # the object with its text up to the struct, to check the distance without line marks; found once, then cut after the object
+    near = rf"(?=({_OBJECT}[\s\S]{{0,{STRUCT_REACH * 10}}}?{T.BOL}{_STRUCT})){_OBJECT}"
+
+    def cut(h: Column) -> Column:
+        head = F.regexp_extract(h, rf"^{_OBJECT}", 0)
+        return F.struct(head.alias("head"), F.substr(h, F.length(head) + 1).alias("tail"))
+
+    zipped = F.transform(F.regexp_extract_all(_text(), F.lit(near), F.lit(1)), cut)
     between = lambda z: F.regexp_replace(
         T.unnumbered(z["tail"]), r"(?s)\s*type[ \t]+this\s*=\s*struct\s*\{[^}]+\}$", ""
     )
@@ -486,7 +491,7 @@ def pattern_crossref(patterns: DataFrame) -> DataFrame:
     receiving handler, module that is never instantiated.
 
     Every pattern says which names it offers and which it needs; one aggregate per name finds the needs
-    that nothing offers.
+    that nothing offers. Patterns of other kinds than ``CROSSREF_KINDS`` say nothing here.
     """
     d, name, sub = F.col("details"), F.col("name"), F.col("subtype")
 

@@ -866,7 +866,7 @@ UNION ALL SELECT DISTINCT 'module_without_instance', NULL, CAST(NULL AS INT), na
     ),
 )
 def _(spark, sf):
-    return patterns.pattern_crossref(_stored_patterns(spark, sf, "crossref")).select("finding", "path", "line", "related")
+    return patterns.pattern_crossref(_stored_patterns(spark, sf, "crossref", patterns.CROSSREF_KINDS)).select("finding", "path", "line", "related")
 
 
 @register(
