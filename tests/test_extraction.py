@@ -362,3 +362,18 @@ def test_pattern_queries_scan_texts_once(spark, tmp_path, monkeypatch):
         assert name != "find_variants" or {(r.type_name, r.kind, r.tag, r.member) for r in got.collect()} == {
             ("box", "struct", 0, "a"), ("box", "struct", 1, "b"), ("fr", "variant", 0, "p")
         }
+
+
+def test_scan_check_log_query_writes_zipped_files(spark, tmp_path, monkeypatch):
+    from workload import extraction
+    from workload.registry import QUERIES
+
+    log = spark.createDataFrame([(f"log{o}", i, f"line {o}.{i}") for o in (1, 255, 256, 700) for i in range(3)], "log_id string, line_no int, text string")
+    monkeypatch.setattr(extraction, "table", lambda spark, sf, name: log)
+    monkeypatch.setattr(extraction, "scratch", lambda spark, name: str(tmp_path / name))
+    got = rows(QUERIES["scan_check_log"](spark, "unused"))
+    lines = {0: [(o, i) for o in (1, 255) for i in range(3)], 1: [(256, i) for i in range(3)], 2: [(700, i) for i in range(3)]}
+    want = [(b, n, f"line {o}.{i}") for b, ls in lines.items() for n, (o, i) in enumerate(ls)] + [(b, len(ls), "") for b, ls in lines.items()]
+    assert got == sorted(want, key=repr)
+    parts = [f.name for f in (tmp_path / "scan_check_log").rglob("part-*")]
+    assert parts and all(f.endswith(".txt.gz") for f in parts)

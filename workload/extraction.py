@@ -485,13 +485,13 @@ SELECT * FROM b UNION ALL SELECT block, CAST(count(*) AS INT), '' FROM b GROUP B
     ),
 )
 def _(spark, sf):
-    # the logs of 256 orders make one file, which ends with a line break
+    # the logs of 256 orders make one file, which ends with a line break; files are zipped, as logs that are kept mostly are
     root = scratch(spark, "scan_check_log")
     o = F.substring("log_id", 4, 20).cast("long")
     rows = table(spark, sf, "log").select(o.alias("o"), "line_no", "text", F.floor(o / 256).alias("block"))
-    rows.repartition("block").sortWithinPartitions("block", "o", "line_no").select("block", "text").write.partitionBy("block").text(root)
+    rows.repartition("block").sortWithinPartitions("block", "o", "line_no").select("block", "text").write.partitionBy("block").text(root, compression="gzip")
     block = F.regexp_extract("log_id", "block=([0-9]+)", 1).cast("long")
-    return corpus.scan_check_log(spark, f"{root}/*/*.txt").select(block.alias("block"), F.col("line_no").cast("int"), "text")
+    return corpus.scan_check_log(spark, f"{root}/*/*.txt.gz").select(block.alias("block"), F.col("line_no").cast("int"), "text")
 
 
 @register(
