@@ -269,3 +269,15 @@ def test_keys_of_a_bucket_share_their_state_calls():
     assert sum(len(x) for x in map(list, [ordered._unpacked(step.waiting)])) == 25_000
     assert step.handle.timers == [1_400]
     assert len(calls) <= 8
+
+
+def test_lint_shuffles_texts_only_where_a_path_comes_twice(spark, files, tmp_path, monkeypatch):
+    calls = []
+    latest = changes.latest_changes
+    monkeypatch.setattr(changes, "latest_changes", lambda batch: calls.append(1) or latest(batch))
+    batches = [[(1, _at(0), "a", "change", "}"), (2, _at(0), "b", "change", "}")], [(3, _at(1), "a", "change", "x"), (4, _at(2), "a", "change", "}}")]]
+    d = str(tmp_path / "out")
+    changes.write_lint(_files(spark, str(tmp_path / "in"), batches, CHANGES), d, str(tmp_path / "cp")).awaitTermination()
+    assert calls == [1]
+    want = rows(lint.text_diagnostics(files(("a", "}}"), ("b", "}"))), "code", "path", "line")
+    assert rows(changes.current_lint(spark, d), "code", "path", "line") == want
