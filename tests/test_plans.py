@@ -352,7 +352,8 @@ def test_log_lines_are_numbered_before_they_are_made(spark, tmp_path):
     assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1
 
 
-def test_reads_are_dealt_once_as_numbers(spark, tmp_path):
+def test_reads_are_dealt_once_as_numbers(spark, tmp_path, monkeypatch):
+    from workload import derived
     from workload.derived import DERIVED, SPARK_FORM, _spark_sql
 
     items = [(o, n, s) for o in (1, 2, 1250, 1251, 2500) for n in (1, 2, 7) for s in (1, 2, 4, 2496)] * 2
@@ -362,6 +363,9 @@ def test_reads_are_dealt_once_as_numbers(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert "reads" in SPARK_FORM and plan(got) == 1 < plan(want)
     assert rows(got) == rows(want)
+    monkeypatch.setattr(derived, "TASK_ROWS", 20)  # 120 line items
+    more = spark.sql(_spark_sql(spark, "reads", str(tmp_path)))
+    assert more.rdd.getNumPartitions() == 6 and rows(more) == rows(want)
 
 
 def test_constrains_tasks_are_bounded(spark, monkeypatch):
