@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +49,9 @@ class Lines:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         starts, stops, rows = words(data, ends)
-        digits = np.concatenate(([0], np.cumsum(_DIGIT[data], dtype=np.int64)))
-        self.exact = word_hashes(data, starts, stops)
-        self.words = self.exact.copy()
-        self.words[digits[stops] > digits[starts]] = _FIELD
+        self.words = word_hashes(data, starts, stops)
+        numbers = np.zeros(len(starts), dtype=bool)  # words with a digit
+        numbers[np.searchsorted(starts, np.flatnonzero(_DIGIT[data]), side="right") - 1] = True
         breaks = np.flatnonzero(data == ord("\n"))
         at = np.searchsorted(breaks, starts)
         new = np.ones(len(starts), dtype=bool)
@@ -61,18 +61,28 @@ class Lines:
         self.row = rows[self.first]
         self.number = at[self.first] - np.searchsorted(breaks, ends[self.row])  # line breaks of the text before it
         place = (np.arange(len(starts)) - np.repeat(self.first, self.size)).astype(np.uint64)
-        spread = mix64(self.words + place * _PLACE)
-        if len(self.first):
-            self.hash = mix64(np.add.reduceat(spread, self.first) + self.size.astype(np.uint64))
-            self.verbatim = mix64(np.add.reduceat(mix64(self.exact + place * _PLACE), self.first) + self.size.astype(np.uint64))
-            leading = np.repeat(np.minimum(LEADING, self.size // 2), self.size).astype(np.uint64)
-            lead = np.add.reduceat(np.where(place < leading, spread, np.uint64(0)), self.first)
-            self.leaf = mix64(lead ^ mix64(self.size.astype(np.uint64)))
-        else:
+        place *= _PLACE
+        if not len(self.first):
             self.hash = self.verbatim = self.leaf = np.zeros(0, dtype=np.uint64)
-
-
-_LINES = "doc_class long, leaf long, line long, verbatim long, n_words int, words array<long>"
+            return
+        size = self.size.astype(np.uint64)
+        exact = self.words[numbers]
+        self.words[numbers] = _FIELD
+        spread = mix64(self.words + place)
+        total = np.add.reduceat(spread, self.first)
+        self.hash = mix64(total + size)
+        # word for word, a line's sum differs by its words with a digit
+        line = np.searchsorted(self.first, np.flatnonzero(numbers), side="right") - 1
+        np.add.at(total, line, mix64(exact + place[numbers]) - spread[numbers])
+        self.verbatim = mix64(total + size)
+        lead = np.zeros(len(self.first), dtype=np.uint64)
+        for k in range(LEADING):
+            deep = np.flatnonzero(self.size // 2 > k)
+            lead[deep] += spread[self.first[deep] + k]
+        self.leaf = mix64(lead ^ mix64(size))
+
+
+_LINES = "doc_class long, leaf long, line long, verbatim long, n_words int, words binary"
 
 
 def _read(classes: SharedMap):
@@ -86,12 +96,10 @@ def _read(classes: SharedMap):
                 _, fresh = np.unique(lines.hash, return_index=True)
                 shown = np.zeros(len(lines.first), dtype=bool)
                 shown[fresh] = True
-                size = np.where(shown, lines.size, 0)
-                ends = np.concatenate(([0], np.cumsum(size)))
-                place = np.arange(ends[-1]) + np.repeat(lines.first - ends[:-1], size)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(lines.words[place].view(np.int64), pa.int64()), mask=pa.array(~shown)
-                )
+                held = [
+                    lines.words[a : a + n].tobytes() if new else None
+                    for a, n, new in zip(lines.first.tolist(), lines.size.tolist(), shown.tolist(), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(classes.get(doc), pa.int64()),
@@ -99,7 +107,7 @@ def _read(classes: SharedMap):
                         pa.array(lines.hash.view(np.int64)),
                         pa.array(lines.verbatim.view(np.int64), mask=lines.verbatim == lines.hash),
                         pa.array(lines.size, pa.int32()),
-                        lists,
+                        pa.array(held, pa.binary()),
                     ],
                     names=["doc_class", "leaf", "line", "verbatim", "n_words", "words"],
                 )
@@ -107,6 +115,26 @@ def _read(classes: SharedMap):
     return run
 
 
+_FIELDS = "leaf long, line long, classes long, place int, word long"
+
+
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a line after the leading ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            found = [np.frombuffer(x, dtype=np.int64) for x in part.column("words").to_pylist()]
+            size = np.array([len(x) for x in found])
+            lead = np.minimum(LEADING, size // 2)
+            of = pa.array(np.repeat(np.arange(part.num_rows), size - lead))
+            places = [np.arange(a, b, dtype=np.int32) for a, b in zip(lead.tolist(), size.tolist(), strict=True)]
+            named = [part.column(c).take(of) for c in ("leaf", "line", "classes")]
+            values = [x[a:] for x, a in zip(found, lead.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*named, pa.array(np.concatenate(places)), pa.array(np.concatenate(values))], names=["leaf", "line", "classes", "place", "word"]
+            )
+
+
 def _held(fields: DataFrame, members: DataFrame) -> DataFrame:
     """``(leaf, place, word, classes, held)``: how many classes have each word at its place of a leaf, each class once.
 
@@ -133,10 +161,7 @@ def recurring_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     members = lines.select("leaf", "line", "doc_class").join(leaves.select("leaf"), "leaf").distinct()
     members = stored(members, "members")
     texts = lines.filter("words IS NOT NULL").select("leaf", "line", "words").join(leaves, "leaf").dropDuplicates(["leaf", "line"])
-    fields = texts.select("leaf", "line", "classes", "words", F.posexplode("words").alias("place", "word")).filter(
-        F.col("place") >= F.least(F.lit(LEADING), F.floor(F.size("words") / 2))
-    )
-    fields = stored(fields.drop("words"), "fields")
+    fields = stored(texts.select("leaf", "line", "classes", "words").mapInArrow(_fields, _FIELDS), "fields")
     held = _held(fields.filter(F.col("word") != int(_FIELD)), members)
     constant = held.filter(F.col("held") >= fewest).select(
         "leaf", "place", "word", F.when(F.col("held") >= SHARE * F.col("classes"), 1).alias("constant"), F.lit(1).alias("frequent")
@@ -177,17 +202,19 @@ def _strip(gone: SharedSet, text: str, names: list[str]):
                 out = gone.has(lines.hash) | gone.has(lines.verbatim)
                 if "doc_id" in batch.schema.names:
                     out &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[lines.row]
-                texts = batch.column(text).to_pylist()
-                n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
+                held = batch.column(text)
+                n_lines = pc.fill_null(pc.add(pc.count_substring(held, "\n"), 1), 0)
                 n_gone = np.bincount(lines.row[out], minlength=batch.num_rows)
                 bounds = row_bounds(lines.row[out], batch.num_rows)
+                number = lines.number[out]
+                less = []
                 for i in np.flatnonzero(n_gone):
-                    drop = set(lines.number[out][bounds[i] : bounds[i + 1]].tolist())
-                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in drop)
-                new = {text: pa.array(texts, batch.column(text).type)}
+                    drop = set(number[bounds[i] : bounds[i + 1]].tolist())
+                    less.append("\n".join(line for k, line in enumerate(held[i].as_py().split("\n")) if k not in drop))
+                new = {text: pc.replace_with_mask(held, pa.array(n_gone > 0), pa.array(less, held.type))}
                 for name, values in (("n_lines", n_lines), ("n_dropped", n_gone)):
                     if name not in batch.schema.names:
-                        new[name] = pa.array(values, pa.int64())
+                        new[name] = pc.cast(pa.array(values), pa.int64())
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
     return run

@@ -3,9 +3,10 @@
 A document's set holds its distinct five-word shingles (64-bit hashes; a text of fewer words is one shingle, a text
 without words has none). Two documents are linked when ``100 * |A & B| >= 75 * |A | B|``, always decided on full sets.
 
-1. One pass over the texts gives set size, set digest, 512 MinHash values and the keys of 32 bands of four values.
+1. One pass over the texts gives set size, set digest and the keys of 32 bands of four MinHash values.
    Documents with the same digest are one class, represented by the smallest id.
-2. Classes that share a band key are candidates. The signatures of a pair are compared in batches of 64 values; after
+2. Classes that share a band key are candidates; only their texts are read again, for all 512 values of their
+   signatures and their full sets. The signatures of a pair are compared in batches of 64 values; after
    each batch the pair is dropped once the posterior probability of similarity 0.75 or more, given the matches so
    far and a flat prior, is below ``MISS``. Survivors are verified on full sets.
 3. First every class is tried with the heaviest class of each of its bands: one pair per row, whatever the size of
@@ -44,8 +45,8 @@ MISS = 1e-4
 BLOCK = 256
 
 _random = np.random.default_rng(20240229)
-_MULTIPLY = (_random.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1))[:, None]
-_ADD = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)[:, None]
+_MULTIPLY = (_random.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1))
+_ADD = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 _PLACES = mix64(np.arange(1, SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -72,40 +73,49 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """``VALUES`` MinHash values of a set that isn't empty."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(VALUES, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(low), 256):
-        np.minimum(least, (low[None, at : at + 256] * _MULTIPLY + _ADD).min(axis=1), out=least)
+def signature(shingles: np.ndarray, values: int = VALUES) -> np.ndarray:
+    """The first ``values`` MinHash values of a set that isn't empty."""
+    low = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(values, np.iinfo(np.uint32).max, dtype=np.uint32)
+    rows = (1 << 16) // values  # a block stays in the cache of its core
+    block = np.empty((min(rows, len(low)), values), dtype=np.uint32)
+    for at in range(0, len(low), rows):
+        part = low[at : at + rows]
+        own = block[: len(part)]
+        np.multiply(part, _MULTIPLY[:values], out=own)
+        own += _ADD[:values]
+        np.minimum(least, own.min(axis=0), out=least)
     return least
 
 
-_FEATURES = "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
+_FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(BANDS * ROWS, dtype=np.uint32)
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = shingle_sets(*utf8(batch.column("text")))
-            values = np.stack([signature(s) if len(s) else np.zeros(VALUES, dtype=np.uint32) for s in sets])
-            wide = values[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS).astype(np.uint64)
+            values = np.stack([signature(s, BANDS * ROWS) if len(s) else none for s in sets])
+            wide = values.reshape(len(sets), BANDS, ROWS).astype(np.uint64)
             keys = (wide * _PLACES[:ROWS]).sum(axis=2, dtype=np.uint64) + _PLACES[-1] * np.arange(BANDS, dtype=np.uint64)
             keys = mix64(keys).view(np.int64)
             full = np.array([len(s) > 0 for s in sets])
-            sketches = values.astype(np.uint8)  # the low byte of each value is enough to compare
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sketches], pa.binary()),
+                    _digests(sets),
                     pa.ListArray.from_arrays(
                         pa.array(np.concatenate(([0], np.cumsum(full * keys.shape[1]))), pa.int32()),
                         pa.array(keys[full].ravel(), pa.int64()),
                     ),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                names=["doc_id", "n_shingles", "digest", "bands"],
             )
 
 
@@ -230,46 +240,52 @@ def _verified_links(bounds: list[int], percent: int):
     return run
 
 
-def _sets(wanted: SharedSet):
+def _candidates(wanted: SharedSet):
+    """Digest, sketch and shingles of the wanted documents; the low byte of each MinHash value is enough to compare."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             ids = whole.column("doc_id")
             whole = whole.filter(pa.array(wanted.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)))
             for batch in slices(whole, "text"):
                 sets = shingle_sets(*utf8(batch.column("text")))
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                flat = np.concatenate([s.view(np.int64) for s in sets])
+                full = pa.array([len(s) > 0 for s in sets], pa.bool_())
+                sets = [s for s in sets if len(s)]
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["doc_id", "shingles"],
+                    [
+                        batch.column("doc_id").filter(full),
+                        _digests(sets),
+                        pa.array([signature(s).astype(np.uint8).tobytes() for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                    ],
+                    names=["node", "digest", "sketch", "shingles"],
                 )
 
     return run
 
 
-def shingles_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(doc_id, shingles)`` of the documents whose id is in the only column of ``ids``.
+def candidates_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, digest, sketch, shingles)`` of the documents whose id is in the only column of ``ids``.
 
     The ids are a set that workers map, so no text is shuffled.
     """
-    wanted = shared_set(ids, "verified")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(texts.mapInArrow(_sets(wanted), "doc_id long, shingles array<long>"), "shingles")
+    schema = "node long, digest binary, sketch binary, shingles array<long>"
+    return texts.mapInArrow(_candidates(shared_set(ids, "candidates")), schema)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets fulfil ``100 * intersection >= percent * union``.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets in ``sets(node, shingles)`` fulfil ``100 * intersection >= percent * union``.
 
-    Only the texts of documents in a pair are taken apart again. The pairs of a hot ``a`` are dealt over several tasks; its set is sent once to each.
+    The pairs of a hot ``a`` are dealt over several tasks; its set is sent once to each.
     """
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     pairs = pairs.join(busy, "a").select("a", "b", F.pmod("part", "parts").alias("part"))
-    sets = shingles_of(pairs.select("a").union(pairs.select("b")), docs)
-    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    left = (
-        pairs.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    )
+    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    left = pairs.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
         right.join(left, ["a", "part"])
@@ -289,19 +305,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         full.join(classes, "digest")
         .filter("doc_id = node")
         .dropDuplicates(["digest", "node"])
-        .select("node", "weight", "n_shingles", "sketch", "bands")
+        .select("node", "digest", "weight", "n_shingles", "bands")
     )
     reps = stored(reps, "classes")
     member = reps.select("node", "weight", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     member = stored(member.join(shared, "key"), "bands")
+    found = stored(candidates_of(member.select("node").distinct(), docs), "candidates")
+    sets = found.select("node", "shingles")
+    sketch = found.select("node", "digest", "sketch").dropDuplicates(["node", "digest"])
+    sketch = stored(sketch.join(reps.select("node", "digest", "n_shingles", "bands"), ["node", "digest"]).drop("digest"), "sketches")
 
     # every class with the heaviest class of its band
     hub = member.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
     hub = hub.select("key", (-F.col("top.minus")).alias("hub"))
     a, b = F.least("hub", "node"), F.greatest("hub", "node")
     first = member.join(hub, "key").filter("hub <> node").select(a.alias("a"), b.alias("b")).distinct()
-    sketch = reps.select("node", "n_shingles", "sketch")
     first = (
         first.join(sketch.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sketch_a")), "a")
         .join(sketch.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
@@ -309,14 +328,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         .select("a", "b", "sketch_a", "sketch_b")
         .mapInArrow(_prune_pairs(bounds), "a long, b long")
     )
-    links = stored(verify(stored(first, "pairs"), docs, percent), "links")
+    links = stored(verify(stored(first, "pairs"), sets, percent), "links")
     found = components(links)
 
     # bands that still hold several components
     member = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_bands = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     member = member.join(open_bands.select("key"), "key", "left_semi").select("key", "node", "component", "n")
-    member = member.join(reps.select("node", "n_shingles", "sketch"), "node")
+    member = member.join(sketch.select("node", "n_shingles", "sketch"), "node")
     maybe = (
         in_block_pairs(member, "node", "n", BLOCK)
         .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch")
@@ -325,10 +344,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         .mapInArrow(_plausible_members(bounds, percent), "key long, lo long, hi long, node long, component long, block long")
     )
     maybe = stored(maybe, "members")
-    sets = shingles_of(maybe.select("node"), docs).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
-    sets = sets.join(reps.select("node", "n_shingles", "sketch", "bands"), "node")
+    sets = sets.join(maybe.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     more = (
-        maybe.join(sets, "node")
+        maybe.join(sets.join(sketch, "node"), "node")
         .select(*_GROUP, "node", "component", "block", "n_shingles", "sketch", "bands", "shingles")
         .repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP)

@@ -89,7 +89,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     before = inside[:-1]
     starts = np.flatnonzero(body[:-1] & (~before[:-1] | cut[:-1]))
     stops = np.flatnonzero(before[1:] & (~body[1:] | cut[1:])) + 1
-    rows = np.searchsorted(ends, starts, side="right") - 1
+    rows = np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(starts, ends)))
     return starts, stops, rows
 
 

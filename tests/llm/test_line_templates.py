@@ -1,6 +1,7 @@
+import numpy as np
 from llm.test_operators import docs, prose
 
-from factloom.llm import line_templates
+from factloom.llm import line_templates, near_dups
 
 
 def left(spark, rows):
@@ -64,3 +65,18 @@ def test_a_leaf_holds_many_templates(spark):
         rows.append((i, f"{letters(40, 1000 + i)}\n2024-01-{i} 12:{i} 7{i} {messages[i % 12]} {who}"))
     got = left(spark, rows)
     assert all(got[d] == text.split("\n")[:1] for d, text in rows)
+
+
+def test_only_candidates_of_near_dedup_get_a_sketch(spark, monkeypatch):
+    rows = [(i, letters(40, 3000 + i)) for i in range(30)] + [(100, letters(40, 3000)), (101, f"{letters(40, 3001)} once more")]
+    held = []
+    whole = near_dups.candidates_of
+    monkeypatch.setattr(near_dups, "candidates_of", lambda ids, texts: held.append(whole(ids, texts)) or held[0])
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i for i in range(30)} | {100: 0, 101: 1}
+    assert {r.node for r in held[0].select("node").collect()} == {1, 101}  # exact copies are one class
+
+
+def test_a_signature_may_be_taken_in_part():
+    shingles = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert (near_dups.signature(shingles, 128) == near_dups.signature(shingles)[:128]).all()
