@@ -9,12 +9,13 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators import lint
 from factloom.operators.graph import detect_cycles, scope_partitions
 from factloom.operators.resolve import near_miss
 from factloom.operators.tags import resolve_tags
 from factloom.plans.bitsets import count_through, counts_through
 from factloom.operators.resolve import resolve_closest
-from factloom.plans.closure import reach
+from factloom.plans.closure import reach, reach_least
 from factloom.plans.keyed import fill_forward, pick_first, pick_last, running_total, top_per_key
 
 
@@ -376,3 +377,41 @@ def test_constrains_tasks_are_bounded(spark, monkeypatch):
     got = wiring.wire_constrains(reqs)
     assert rows(got) == sorted((f"r{i}", "CONSTRAINS", f"a{i % 30}") for i in range(90))
     assert got.rdd.getNumPartitions() == 11
+
+
+def _first_bringers(edges, asked):
+    out = {}
+    for path in asked:
+        for line, name, to in sorted(e[1:] for e in edges if e[0] == path):
+            seen, todo = {to}, [to]
+            while todo:
+                at = todo.pop()
+                new = {e[3] for e in edges if e[0] == at} - seen
+                seen |= new
+                todo += new
+            for node in seen:
+                out.setdefault((path, node), (line, name))
+    return sorted((p, *i, n) for (p, n), i in out.items())
+
+
+def test_first_bringer_takes_files_in_include_order_or_falls_back_on_a_cycle(spark, monkeypatch):
+    rnd = random.Random(5)
+    dag = [(f"f{a}", line, f"n{rnd.randrange(3)}", f"f{rnd.randrange(a)}") for a in range(1, 12) for line in (1, 2, 2)]
+    dag += [("f7", 9, "n0", "f7"), ("f1", 3, "gone", "out")]
+    asked = [f"f{a}" for a in range(0, 12, 2)] + ["f7"]
+    closures = []
+    monkeypatch.setattr(lint, "reach", lambda *a: closures.append(1) or reach(*a))
+    for edges, fallbacks in ((dag, 0), ([*dag, ("f0", 4, "n1", "f9")], 1), ([], 0)):
+        includes = spark.createDataFrame(edges, "from_path string, line int, include_name string, to_path string")
+        files = spark.createDataFrame([(a,) for a in asked], "path string")
+        got = lint.first_bringer(includes, files)
+        assert rows(got, "path", "line", "include_name", "brought") == sorted(_first_bringers(edges, asked), key=repr)
+        assert len(closures) == fallbacks
+        closures.clear()
+
+
+def test_least_rank_over_paths_of_unlike_length(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (4, 5)], "node long, next long")
+    seeds = spark.createDataFrame([(7, 4, 2), (7, 1, 1), (8, 5, 1), (8, 3, 3)], "start long, node long, rank long")
+    want = [(7, n, 1) for n in (1, 2, 3, 4, 5)] + [(8, 3, 3), (8, 4, 3), (8, 5, 1)]
+    assert rows(reach_least(edges, seeds), "start", "node", "least") == want
