@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import stem_of
 from factloom.operators.patterns import categorize_file, containing_structs, find_variants, serdes_correlation
 from factloom.plans.bitsets import count_through
-from factloom.plans.closure import reach, reach_any
+from factloom.plans.closure import reach, reach_any, reach_others
 from factloom.plans.lineage import cut_lineage
 
 
@@ -250,8 +250,9 @@ def change_impact(
         )
     auto = cut_lineage(auto.distinct())
     stems = auto.select(stem_of(F.col("path")).alias("start")).distinct()
+    includes_raw = cut_lineage(includes_raw.select("from_path", "include_name"))  # read twice; the texts once
     edges = includes_raw.select(stem_of(F.col("from_path")).alias("src"), F.col("include_name").alias("dst"))
-    users = reach(edges, stems, "in").select(F.col("node").alias("stem")).distinct()
+    users = reach_others(edges, stems, "in").select(F.col("node").alias("stem"))
     every = files.select("path") if all_files else includes_raw.select(F.col("from_path").alias("path"))
     rest = (
         every.distinct().withColumn("stem", stem_of(F.col("path")))
